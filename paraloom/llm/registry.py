@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from paraloom.llm import line_dedup
+from paraloom.llm import line_dedup, packing, token_files
 
 QUERIES = {
     "op4_line_dedup": line_dedup.query,
+    "op9_packing": packing.query,
+    "op10_token_files": token_files.query,
 }
 
 ORACLES = {
