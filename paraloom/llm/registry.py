@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from paraloom.llm import line_dedup, packing, token_files
+from paraloom.llm import embedding_dedup, line_dedup, packing, simhash, token_files
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op4_line_dedup": line_dedup.query,
+    "op7_simhash": simhash.query,
     "op9_packing": packing.query,
     "op10_token_files": token_files.query,
 }
