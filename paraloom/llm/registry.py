@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from paraloom.llm import embedding_dedup, line_dedup, packing, simhash, token_files
+from paraloom.llm import embedding_dedup, language_id, line_dedup, mixing, packing, quality, simhash, token_files
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
+    "op3_mixing": mixing.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_language_id": language_id.query,
+    "op6_quality": quality.query,
     "op7_simhash": simhash.query,
     "op9_packing": packing.query,
     "op10_token_files": token_files.query,
