@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paraloom.llm import line_dedup
+from paraloom.llm import language_id, line_dedup, mixing, packing, simhash
 from paraloom.llm.common import checkpoint_folder, read_table
 
 STAGES = [
+    ("language ID", language_id.stage),
     ("line dedup", line_dedup.stage),
+    ("SimHash near-dedup", simhash.stage),
+    ("mixing sources to target weights", mixing.stage),
+    ("best-fit packing", packing.stage),
 ]
 
 #: Language ID and tokenising cannot be written in SQL; tests/llm/test_pipeline.py holds the stages against plain Python.

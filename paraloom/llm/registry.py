@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from paraloom.llm import embedding_dedup, language_id, line_dedup, mixing, packing, quality, simhash, token_files
+from paraloom.llm import embedding_dedup, html_text, language_id, line_dedup, mixing, packing, quality, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
+    "op2_url_filter": url_filter.query,
     "op3_mixing": mixing.query,
     "op4_line_dedup": line_dedup.query,
     "op5_language_id": language_id.query,
     "op6_quality": quality.query,
     "op7_simhash": simhash.query,
+    "op8_html_text": html_text.query,
     "op9_packing": packing.query,
     "op10_token_files": token_files.query,
 }
