@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paraloom.plans import base_queries
+
+QUERIES: dict = dict(base_queries.QUERIES)
+ORACLES: dict = dict(base_queries.ORACLES)
