@@ -215,7 +215,7 @@ def runs(node: Node) -> list[list[Node]]:
 def own_text(nodes: list[Node]) -> str:
     """The text that belongs to a wrapper node itself: all of it where several or prose nodes stand for one."""
     if len(nodes) > 1 or nodes[0].tag not in CONTAINERS:
-        return " ".join(" ".join(blocks(x)) for x in nodes)
+        return " ".join(line for x in nodes for line in blocks(x))
     return " ".join("".join(x for x in nodes[0].parts if isinstance(x, str)).split())
 
 
