@@ -23,7 +23,7 @@ def modal(df: DataFrame, keys: list[str], value: str, min_support: int = 1, weig
     """(keys, value, support): the most frequent (or heaviest) non-null value, the lowest of equals; null below min_support."""
     amount = F.sum(weight) if weight else F.count("*")
     counted = df.groupBy(*keys, value).agg(F.when(F.col(value).isNotNull(), amount).alias("__n"))
-    best = counted.groupBy(*keys).agg(F.max(F.col("__n")).alias("support"), F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias("__v"))
+    best = counted.groupBy(*keys).agg(F.max(F.col("__n")).alias("support"), F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(-F.col("__n"), F.col(value)))).alias("__v"))
     return best.select(*keys, F.when(F.col("support") >= min_support, F.col("__v")).alias(value), F.coalesce("support", F.lit(0)).alias("support"))
 
 

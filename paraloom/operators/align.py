@@ -53,13 +53,13 @@ def semi_global(pattern, text, most: int):
 
 def map_locally(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, most: int, apart: int = 10) -> DataFrame:
     """(query_id, ref_id, strand, end, distance): seeds verified in their window on both strands; of hits within `apart` the better stays."""
-    both = queries.select(query_id, F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col(query).alias("q")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col(query)).alias("q")))).alias("s"))
-    both = both.select(F.concat_ws("|", F.col("s.strand"), F.col(query_id).cast("string")).alias("__id"), query_id, F.col("s.strand").alias("strand"), F.col("s.q").alias("q"))
-    seeds = qgram_seeds(both, "__id", "q", refs, ref_id, ref, q, most)
+    both = queries.select(query_id, F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col(query).alias("__q")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col(query)).alias("__q")))).alias("s"))
+    both = both.select(F.concat_ws("|", F.col("s.strand"), F.col(query_id).cast("string")).alias("__id"), query_id, F.col("s.strand").alias("strand"), F.col("s.__q").alias("__q"))
+    seeds = qgram_seeds(both, "__id", "__q", refs, ref_id, ref, q, most)
     placed = seeds.join(both, "__id").join(refs.select(ref_id, F.col(ref).alias("__r")), ref_id)
     start = F.greatest(F.col("diagonal") - 2 * most, F.lit(0))
-    window = F.substring("__r", (start + 1).cast("int"), (F.col("diagonal") + F.char_length("q") + 2 * most - start).cast("int"))
-    hit = placed.withColumn("__w", window).withColumn("__s", start).withColumn("__h", semi_global(F.col("q"), F.col("__w"), most)).where("__h is not null and __h.distance is not null")
+    window = F.substring("__r", (start + 1).cast("int"), (F.col("diagonal") + F.char_length("__q") + 2 * most - start).cast("int"))
+    hit = placed.withColumn("__w", window).withColumn("__s", start).withColumn("__h", semi_global(F.col("__q"), F.col("__w"), most)).where("__h is not null and __h.distance is not null")
     found = hit.select(query_id, ref_id, "strand", (F.col("__s") + F.col("__h.end")).alias("end"), F.col("__h.distance").alias("distance"))
     order = Window.partitionBy(query_id, ref_id, "strand").orderBy("end")
     cluster = F.sum(F.when(F.col("end") - F.lag("end").over(order) <= apart, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
