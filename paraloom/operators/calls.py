@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.functions.scalar import alt_count, geometric_mean, ref_count
+from paraloom.functions.scalar import alt_count, geometric_mean, ref_count, without_copies
 
 # Tag, expected copies in all, up to exon 9, from there to intron 1, and upstream of intron 1.
 TAG_COPIES = (
@@ -323,14 +323,51 @@ def confidence(parts: dict[str, Column]) -> Column:
     return geometric_mean(list(parts.values()), [WEIGHTS[k] for k in parts])
 
 
+def ramp(x: Column, good: float, bad: float, floor: float) -> Column:
+    """1 up to `good`, falling evenly to `floor` at `bad` and beyond; good may be above bad, for values that should be large."""
+    share = (x - good) / (bad - good)
+    return 1 - (1 - floor) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+
 def depth_score(depth: Column, mad: Column) -> Column:
-    """Full at 30-fold depth and a spread of 0.05, falling on either side."""
-    return F.least(F.lit(1.0), depth / 30) * F.when(mad <= 0.05, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (mad - 0.05) * 4))
+    """Depth is full from 40 on, spread up to 0.10."""
+    return ramp(depth, 40.0, 5.0, 0.2) * ramp(mad, 0.10, 0.30, 0.3)
+
+
+def rounding_score(total: Column, spacer: Column) -> Column:
+    """How near two copy-number depths are to integers."""
+    return (ramp(F.abs(total - F.round(total)), 0.15, 0.40, 0.3) + ramp(F.abs(spacer - F.round(spacer)), 0.15, 0.40, 0.3)) / 2
+
+
+def match_score(info: Column, current: Column) -> Column:
+    """What kind of match a call is, and its filter."""
+    base = F.when(info.isNull() | (info == "no_match"), 0.1).when(info == "unique_match", 1.0).when(info == "more_than_one_match", 0.7).when(F.startswith(info, F.lit("fuzzy_match")), 0.4).otherwise(0.5)
+    kept = F.when(current == "PASS", 1.0).when(current == "More_than_one_possible_genotype", 0.7).when(current == "Fuzzy_match", 0.6).when(current == "LowQ_high_CN", 0.4).when(current == "Not_assigned_to_haplotypes", 0.2).otherwise(0.5)
+    return base * kept
+
+
+def consistency_score(site_depths: DataFrame, keys: list[str], value: str, least: int = 10) -> DataFrame:
+    """(keys, consistency): how near the sites of a profile are to integers; 0.5 for few sites."""
+    off = F.avg(F.abs(F.col(value) - F.round(value)))
+    return site_depths.groupBy(*keys).agg(F.when(F.count(value) >= least, ramp(off, 0.10, 0.35, 0.3)).otherwise(0.5).alias("consistency"))
+
 
+def variant_scores(calls: DataFrame, counts: DataFrame, stars: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, completeness, specificity) of calls (keys, genotype) from counts (keys, name, alt, ref) and star items (name, parts).
 
-def rounding_score(*depths: Column) -> Column:
-    """How near copy-number depths are to integers."""
-    return F.least(*[F.greatest(F.lit(0.0), 1 - 2 * F.abs(d - F.round(d))) for d in depths])
+    Completeness is the share of the first diplotype's defining variants that have alternative reads; specificity falls with
+    the share of deep sites whose alternative is over 15 % without being expected.
+    """
+    parts = calls.select(*keys, "genotype", F.explode_outer(F.split(F.split("genotype", ";")[0], r"[/+]")).alias("__s")).withColumn("__s", without_copies(F.col("__s")))
+    items = stars.select(F.col("name").alias("__s"), F.explode("parts").alias("name")).where("name <> 'exon9gc'")
+    expected = parts.join(items, "__s").select(*keys, "name").distinct()
+    seen = expected.join(counts, [*keys, "name"], "left").groupBy(*keys).agg((F.count_if(F.col("alt") > 0) / F.count("*")).alias("__c"))
+    deep = counts.where(F.col("alt") + F.col("ref") >= 10).join(expected.withColumn("__e", F.lit(True)), [*keys, "name"], "left")
+    odd = F.count_if((F.col("alt") / (F.col("alt") + F.col("ref")) > 0.15) & F.col("__e").isNull())
+    more = deep.groupBy(*keys).agg(F.greatest(F.lit(0.2), 1 - 5 * odd / F.count("*")).alias("__p"))
+    met = calls.select(*keys, "genotype").join(seen, keys, "left").join(more, keys, "left")
+    none = F.col("__c").isNull()
+    return met.select(*keys, F.when(F.col("genotype").isNull(), 0.1).when(none, 1.0).otherwise(F.col("__c")).alias("completeness"), F.when(F.col("genotype").isNull() | none, 1.0).otherwise(F.coalesce("__p", F.lit(1.0))).alias("specificity"))
 
 
 def variant_support(counts: Column) -> Column:
