@@ -135,7 +135,7 @@ def j2_interval_counts(spark, d):
 
 
 @query("""SELECT event_id, b.k AS day FROM events JOIN (SELECT unnest(range(0, 400)) AS k) b
-ON epoch(ts)::BIGINT >= (SELECT min(epoch(ts)::BIGINT) FROM events) + b.k * 86400 AND epoch(ts)::BIGINT < (SELECT min(epoch(ts)::BIGINT) FROM events) + b.k * 86400 + 43200""")
+ON floor(epoch(ts))::BIGINT >= (SELECT min(floor(epoch(ts))::BIGINT) FROM events) + b.k * 86400 AND floor(epoch(ts))::BIGINT < (SELECT min(floor(epoch(ts))::BIGINT) FROM events) + b.k * 86400 + 43200""")
 def j1_point_in_interval(spark, d):
     events = table(spark, d, "events").select("event_id", F.unix_timestamp("ts").alias("sec"))
     start = events.agg(F.min("sec")).first()[0] or 0
