@@ -114,3 +114,15 @@ def dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read_table(spark, sf_dir, "embeddings"))
+
+
+_DOT = "list_sum(list_transform(list_zip({0}.e, {1}.e), lambda z: z[1] * z[2]))"
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE {_DOT.format("a", "b")} / (sqrt({_DOT.format("a", "a")}) * sqrt({_DOT.format("b", "b")})) >= {COSINE}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM ok UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.r = v.r) AS n_links, coalesce(c, v.vec_id) AS component_id, v.vec_id IS NOT DISTINCT FROM coalesce(c, v.vec_id) AS kept FROM v LEFT JOIN least ON v.vec_id = least.a
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op2_url_filter": url_filter.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
 }

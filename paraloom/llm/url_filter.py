@@ -107,3 +107,40 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("url_filter")
     out = judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), read_table(spark, sf_dir, "labels"))
     return out.select("page_id", *[x[c].alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def _oracle() -> str:
+    """The query in DuckDB's SQL, from the same constants."""
+    fits = {
+        rule: f"(host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}')" for rule, _ in RULES
+    }
+    by_length = sorted(RULES, key=lambda r: (len(r[0]), r[0]), reverse=True)
+    rule = " ".join(f"WHEN {fits[r]} THEN '{r}'" for r, _ in by_length)
+    verdict = " ".join(f"WHEN {fits[r]} THEN '{v}'" for r, v in by_length)
+    long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+    last = lambda n: f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
+
+    def level(name: str, source: str, keys: str) -> str:
+        return f"""{name}_fit AS (SELECT CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN least(1.0, greatest(0.0, sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)))) ELSE 0.0 END AS rho FROM {source} WHERE n > 0),
+{name} AS (SELECT {keys}, (p * m + bad) / (p + n) AS mean, p + n AS strength FROM {source}, (SELECT CASE WHEN rho > 0 THEN least({STRENGTH[1]}, greatest({STRENGTH[0]}, (1 - rho) / rho)) ELSE {STRENGTH[1]} END AS p FROM {name}_fit))"""
+
+    return f"""
+WITH pg AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+said AS (SELECT doc_id AS doc, count(*) AS n, count(*) FILTER (WHERE coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
+seen AS (SELECT host, try_cast(nullif(regexp_extract(path, '(\\d{{1,18}})[^\\d]*$', 1), '') AS BIGINT) AS doc FROM pg),
+named AS (SELECT host, regexp_replace(host, '^.*@|:\\d*$', '', 'g') AS name, coalesce(sum(said.n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM seen LEFT JOIN said USING (doc) GROUP BY 1),
+tree AS (SELECT host, n, bad, CASE WHEN regexp_full_match(name, '[\\d.]*') THEN name WHEN {last(2)} IN ({long}) THEN {last(2)} ELSE {last(1)} END AS suffix,
+  CASE WHEN regexp_full_match(name, '[\\d.]*') THEN name WHEN {last(2)} IN ({long}) THEN {last(3)} ELSE {last(2)} END AS domain FROM named),
+dom AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM tree GROUP BY 1, 2), suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dom GROUP BY 1),
+suf_m AS (SELECT *, (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.0 END FROM suf) AS m FROM suf),
+{level("suf_post", "suf_m", "suffix")},
+dom_m AS (SELECT dom.*, mean AS m FROM dom JOIN suf_post USING (suffix)),
+{level("dom_post", "dom_m", "domain, suffix")},
+host_m AS (SELECT tree.*, mean AS m FROM tree JOIN dom_post USING (domain, suffix)),
+{level("host_post", "host_m", "host")}
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN mean - {Z} * sqrt(mean * (1 - mean) / (strength + 1)) > {BLOCK_RATE} THEN 'block' ELSE 'allow' END AS verdict FROM pg JOIN host_post USING (host)
+"""
+
+
+ORACLE_SQL = _oracle()
