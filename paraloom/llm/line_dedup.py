@@ -52,8 +52,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # a key of its own for the join: else it would reuse the aggregation's partitions, and a hot line's could not be split
+    pair = F.col("h1").bitwiseXOR(F.col("h2")).alias("h12")
     drops = (
-        lines.join(common, ["h1", "h2"])
+        lines.select("*", pair).join(common.select("*", pair), ["h1", "h2", "h12"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drop"))
     )
