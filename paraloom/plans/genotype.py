@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from paraloom.functions import scalar as S
 from paraloom.operators import aggregates as A
 from paraloom.operators import calls as C
+from paraloom.operators import haplotypes as H
+from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import models as P
 from paraloom.operators import segment as G
+from paraloom.plans.lineage import cut
+from paraloom.sources import tables as T
+from paraloom.sources.tables import Resources, percent
 
 # What combinations a tag's variants may come from: times of each item, ordered or not, and items beside them.
 HYBRID_ITEMS, HYBRID_PAIRS = ("*36", "*4.013", "*57", "*83", "*141"), (("*36", "*10"), ("*4.013", "*4"))
@@ -216,9 +221,81 @@ def phenotypes(calls: DataFrame, function: DataFrame) -> DataFrame:
 
 def frequencies(calls: DataFrame, haplotypes: DataFrame, diplotypes: DataFrame) -> DataFrame:
     """(sample_id, grp, name, percent) of a call's diplotypes and haplotypes in each group; names without a row have no rows."""
-    from paraloom.sources.tables import percent
-
     each = calls.where("genotype is not null").select("sample_id", F.explode(F.split("genotype", ";")).alias("d"))
     names = each.select("sample_id", F.explode(F.concat(F.array("d"), F.split("d", "/"))).alias("name")).distinct()
     both = haplotypes.unionByName(diplotypes).withColumnRenamed("allele", "name")
     return names.join(both, "name").select("sample_id", "grp", "name", percent(F.col("freq")).alias("percent"))
+
+
+def model_states(parameters: DataFrame, region: str) -> tuple[list, float]:
+    """(states, shift) of a region from the parameter table, a handful of rows."""
+    rows = [r for r in parameters.where(F.col("region") == region).collect()]
+    of = lambda p: {r["cn"]: r["value"] for r in rows if r["param"] == p}
+    shift = of("shift")[None]
+    return P.gmm_states(shift, of("mean"), of("prior"), of("sd")[2]), shift
+
+
+def source_counts(reads: DataFrame, sites: DataFrame, both: bool, min_mapq: int) -> DataFrame:
+    """(sample_id, idx, n1, n2, n1_fwd, n1_rev) of every site of every sample: distinct fragments at one coordinate or at both."""
+    coordinates = I.two_coordinate(sites, "pos1", "pos2") if both else sites.withColumn("pos", F.col("pos1"))
+    at = coordinates.select("idx", "chrom", "pos", "alleles1", "alleles2")
+    found = I.supporting_counts(I.allele_reads(I.site_bases(reads, at, min_mapq), ["sample_id"]), ["sample_id"])
+    grid = reads.select("sample_id").distinct().crossJoin(F.broadcast(sites.select("idx")))  # the panel's sites
+    return grid.join(found, ["sample_id", "idx"], "left").na.fill(0, ["n1", "n2", "n1_fwd", "n1_rev"])
+
+
+def exon9_copies(sites: DataFrame, totals: DataFrame, pair: tuple[int, int] = (7, 8)) -> DataFrame:
+    """(sample_id, exon9_cn): copies at the two conversion sites where they and their mean agree."""
+    called = P.poisson_call(sites.where(F.col("idx").isin(*pair)).join(totals.select("sample_id", F.col("total_cn").alias("t")), "sample_id"), "t", "n1", "n2")
+    each = called.select("sample_id", "idx", "n1", "n2", "t", P.conversion_filter(F.col("cn_call"), 0.88).alias("c"), (F.col("t") * F.try_divide(F.col("n1"), F.col("n1") + F.col("n2"))).alias("raw"))
+    pick = lambda col, k: F.max(F.when(F.col("idx") == k, F.col(col)))
+    wide = each.groupBy("sample_id").agg(F.first("t").alias("t"), F.round(F.avg("n1")).cast("long").alias("m1"), F.round(F.avg("n2")).cast("long").alias("m2"), *[pick(c, k).alias(f"{c}{j}") for c in ("c", "raw") for j, k in enumerate(pair)])
+    mean = P.poisson_call(wide, "t", "m1", "m2").withColumn("by_mean", P.conversion_filter(F.col("cn_call"), 0.70))
+    return mean.select("sample_id", C.exon9_call([F.col("c0"), F.col("c1")], [F.col("raw0"), F.col("raw1")], F.col("by_mean")).alias("exon9_cn"))
+
+
+def run(reads: DataFrame, res: Resources, options: Options | None = None) -> DataFrame:
+    """One row per sample of a reads table: depth, copies, tag, variants, genotype, filter and, with a function table, phenotype.
+
+    A sample that a step cannot call keeps nulls from there on.
+    """
+    options = options or Options()
+    samples = reads.select("sample_id").distinct()
+    counts = I.region_read_counts(reads, res.regions, ["sample_id"]).join(res.regions, "name")
+    depth = cut(normalised_depth(cut(counts), T.read_length(reads)))
+    gene, shift = model_states(res.parameters, "d67")
+    spacer, spacer_shift = model_states(res.parameters, "spacer")
+    own = region_copies(depth, "d67", gene, shift, "total_cn").withColumn("high_cn", F.col("total_cn") > 10)
+    quality = depth.where("region_type = 'd67'").select("sample_id", "mad", "median_depth")
+    totals = cut(samples.join(own, "sample_id", "left").join(region_copies(depth, "spacer", spacer, spacer_shift, "spacer_cn"), "sample_id", "left").join(quality, "sample_id", "left"))
+
+    sites = cut(site_copies(source_counts(reads, res.sites, True, 0), totals))
+    exon9 = cut(exon9_copies(sites.drop("total_cn", "cn"), totals))
+    tagged = cut(structural_calls(sites, totals.select("sample_id", "total_cn", "spacer_cn"), exon9, options))
+
+    named = res.targets.select("idx", F.col("label").alias("name"), (F.col("pos1") + 1).alias("pos"))
+    target = source_counts(reads, res.targets, False, 10).join(F.broadcast(named), "idx")  # the panel's variants
+    target = cut(H.insertion_counts(target, H.motif_counts(reads, res.chrom)))
+    called = variant_copies(target, tagged, options).select("sample_id", "name", "cn")
+    homology = source_counts(reads, res.homology, True, 0).join(F.broadcast(res.homology.select("idx", F.col("label").alias("name"))), "idx").join(totals.select("sample_id", "total_cn"), "sample_id")
+    homology = P.poisson_call(homology, "total_cn", "n1", "n2", 4)
+    called = called.unionByName(homology.select("sample_id", "name", F.least(P.denovo_filter(F.col("cn_call"), 0.8, 0.65), F.col("total_cn") - 2).alias("cn")))
+    names = cut(A.repeated(called, ["sample_id"], "name", "cn"))
+    observed = cut(tagged.where("tag is not null").select("sample_id", "tag").join(names, "sample_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))))
+
+    matched = cut(match_stars(observed, cut(dictionaries(res.stars)), res.stars, options))
+    calls = cut(genotypes(matched, totals, options)).drop("tag", "total_cn", "spacer_cn", "high_cn", "names")
+    raw = target.select("sample_id", "name", F.col("n1").alias("alt"), F.col("n2").alias("ref"))
+    scores = C.variant_scores(calls.select("sample_id", "genotype"), raw, res.stars, ["sample_id"])
+    profile = sites.select("sample_id", (F.col("total_cn") * F.try_divide(F.col("n1"), F.col("n1") + F.col("n2"))).alias("v"))
+    even = C.consistency_score(profile, ["sample_id"], "v")
+    out = totals.join(tagged.select("sample_id", "tag", "exon9", "exon9_intron4", "intron4_intron1", "intron1_up"), "sample_id", "left").join(observed.select("sample_id", "names"), "sample_id", "left")
+    out = out.join(calls, "sample_id", "left").join(scores, "sample_id", "left").join(even, "sample_id", "left")
+    parts = {
+        "depth": C.depth_score(F.coalesce("median_depth", F.lit(0.0)), F.coalesce("mad", F.lit(1.0))), "cn": C.rounding_score(F.coalesce("total_cn_raw", F.lit(0.5)), F.coalesce("spacer_cn_raw", F.lit(0.5))),
+        "match": C.match_score(F.col("call_info"), F.col("filter")), "completeness": F.coalesce("completeness", F.lit(0.1)), "consistency": F.coalesce("consistency", F.lit(0.5)), "specificity": F.coalesce("specificity", F.lit(1.0)),
+    }
+    out = out.withColumn("confidence", F.round(C.confidence(parts), 2)).withColumn("confidence_label", S.confidence_label(F.col("confidence")))
+    if res.function is not None:
+        out = out.join(phenotypes(calls.select("sample_id", "genotype"), res.function), "sample_id", "left")
+    return out

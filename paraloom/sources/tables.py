@@ -144,6 +144,7 @@ class Resources:
     targets: DataFrame
     homology: DataFrame
     stars: DataFrame
+    chrom: str = "22"
     function: DataFrame | None = None
     haplotype_frequency: DataFrame | None = None
     diplotype_frequency: DataFrame | None = None
@@ -163,3 +164,11 @@ def write_tsv(calls: DataFrame, path: str) -> None:
 def all_samples(samples: DataFrame, calls: DataFrame, sample: str = "sample_id") -> DataFrame:
     """A row for every sample, of nulls where there is no call."""
     return samples.select(sample).distinct().join(calls, sample, "left")
+
+
+def resources(spark: SparkSession, folder: str, names: dict[str, str], genome: str = "38") -> Resources:
+    """The tables of a folder by their file names: regions, parameters, sites, targets, homology, stars and, where there are any, function, haplotype_frequency, diplotype_frequency, panel."""
+    path = lambda k: f"{folder}/{names[k]}"
+    own = {k: sites(spark, path(k), genome) for k in ("sites", "targets", "homology")}
+    more = {"function": haplotype_function, "haplotype_frequency": wide_frequencies, "diplotype_frequency": wide_frequencies, "panel": diagnostic_panel}
+    return Resources(regions(spark, path("regions"), genome), model_parameters(spark, path("parameters")), **own, stars=star_items(spark, path("stars")), **{k: f(spark, path(k)) for k, f in more.items() if k in names})
