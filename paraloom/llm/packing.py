@@ -102,8 +102,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 rows = [
                     (doc, n, n * capacity, len(x) // 4, crc_of(x), x)[: len(fields)]

@@ -36,51 +36,48 @@ ROUND_PAIRS, LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 4096, 8, 0.01, 12
 MAGIC = b"RPB1"
 
 
-def compress(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with frequent pairs replaced, and the pairs (rule k stands for symbol END + 1 + k)."""
-    rules: list[np.ndarray] = []
-    made = 0
+def compress(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence with frequent pairs replaced, the pairs (rule k stands for symbol END + 1 + k), and the length each expands to."""
+    rules, size = [np.zeros((0, 2), np.uint32)], np.ones(END + 1, dtype=np.uint32)
     for _ in range(MOST_ROUNDS):
         if len(symbols) < 2:
             break
-        inner = (symbols[:-1] != END) & (symbols[1:] != END)
-        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        ordered = np.sort(pairs[inner])
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(ordered)])
+        pairs = symbols[:-1].astype(np.uint64)
+        pairs <<= np.uint64(32)
+        pairs |= symbols[1:]
+        pairs.sort()
+        first = np.flatnonzero(pairs[1:] != pairs[:-1]) + 1
+        first = np.concatenate([np.zeros(1, first.dtype), first])
+        count = np.diff(first, append=len(pairs))
         often = np.flatnonzero(count >= LEAST_COUNT)
+        found = pairs[first[often]]
+        whole = (found >> np.uint64(32) != END) & (found & np.uint64(0xFFFFFFFF) != END)  # no pair crosses a document's end
+        often, found = often[whole], found[whole]
         if not len(often):
             break
-        best = often[np.argsort(-count[often], kind="stable")[:ROUND_PAIRS]]
-        chosen = np.sort(ordered[first[best]])
-        lead = np.zeros(END + 2 + made, dtype=bool)
-        follow = lead.copy()
-        lead[chosen >> np.uint64(32)] = True
-        follow[chosen & np.uint64(0xFFFFFFFF)] = True
-        at = np.flatnonzero(inner & lead[symbols[:-1]] & follow[symbols[1:]])
-        rule = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        hit = chosen[rule] == pairs[at]
+        chosen = np.sort(found[np.argsort(-count[often], kind="stable")[:ROUND_PAIRS]])
+        first_of, second_of = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        row, column = np.full((2, len(size)), -1, dtype=np.int32)
+        leads, follows = np.unique(first_of), np.unique(second_of)
+        row[leads], column[follows] = np.arange(len(leads)), np.arange(len(follows))
+        table = np.full((len(leads), len(follows)), -1, dtype=np.int32)
+        table[row[first_of], column[second_of]] = np.arange(len(chosen))
+        i, j = row[symbols[:-1]], column[symbols[1:]]
+        at = np.flatnonzero((i | j) >= 0)
+        rule = table[i[at], j[at]]
+        hit = rule >= 0
         at, rule = at[hit], rule[hit]
-        run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
+        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
         taken = (np.arange(len(at)) - run) % 2 == 0  # of overlapping pairs every other one, from the left
         at, rule = at[taken], rule[taken]
         if len(at) < LEAST_GAIN * len(symbols):
             break
         symbols = symbols.copy()
-        symbols[at] = END + 1 + made + rule
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols = symbols[keep]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(chosen)
-    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def expansion_lengths(rules: np.ndarray) -> np.ndarray:
-    lengths = np.ones(END + 1 + len(rules), dtype=np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[END + 1 + k] = lengths[a] + lengths[b]
-    return lengths[END + 1 :]
+        symbols[at] = len(size) + rule
+        symbols = np.delete(symbols, at + 1)
+        rules.append(np.stack([first_of, second_of], 1).astype(np.uint32))
+        size = np.concatenate([size, size[first_of] + size[second_of]])
+    return symbols, np.concatenate(rules), size[END + 1 :]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -100,12 +97,12 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
 def write_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """The payload of documents whose ids are given without the end id."""
     tail = np.array([END], dtype="<u4").tobytes()
-    symbols, rules = compress(np.frombuffer(b"".join(x + tail for x in ids), dtype="<u4").astype(np.uint32))
+    symbols, rules, lengths = compress(np.frombuffer(b"".join(x + tail for x in ids), dtype="<u4").astype(np.uint32))
     starts = np.r_[0, np.flatnonzero(symbols == END) + 1]
     null = np.array([x is None for x in doc_ids], dtype=np.uint8)
     parts = [
         MAGIC, struct.pack("<III", len(doc_ids), len(rules), len(symbols)), np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), null.tobytes(),
-        starts.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(rules).astype("<u4").tobytes(), symbols.astype("<u4").tobytes(),
+        starts.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u4").tobytes(),
     ]
     return b"".join(parts)
 
@@ -165,8 +162,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, id_col: str = "do
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
                 ids = enc.encode([x or "" for x in part.column(1).to_pylist()])
                 for doc, x in zip(part.column(0).to_pylist(), ids, strict=True):
                     held.append((doc, x))

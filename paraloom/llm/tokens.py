@@ -7,15 +7,18 @@ white space than blank and line feed take the plain way: the library encodes the
 
 from __future__ import annotations
 
-import re
+import itertools
 import zlib
 
 import numpy as np
 
 #: Units whose ids a worker keeps, and the longest that it keeps; both bound its memory.
-KEPT_UNITS, KEPT_CHARS = 600_000, 48
+KEPT_UNITS, KEPT_CHARS = 800_000, 48
+#: Characters of the texts whose units are looked up together.
+CHUNK_CHARS = 2_000_000
 END_ID = 0
-_PLAIN = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  |\n\n| \n|\n ")
+#: Runs of blanks and white space other than blank and line feed: what keeps a text from being told apart into units.
+_ODD = ["  ", "\n\n", " \n", "\n ", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 #: Below this code point lower case and letters are the same in Python and in the library.
 _KNOWN = "\u0250"
 _ENCODERS: dict = {}
@@ -74,38 +77,41 @@ class UnitEncoder:
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
         """The ids of units that are not known."""
+        known, tails, ends_words = self.ids, self.tails, self.ends_words
+        line = b"" if ends_words else self.line
         words: dict[str, dict[str, None]] = {"": {}, " ": {}}
-        made, odd = [], []
+        out, made, odd = {}, [], []
         for u in units:
-            tail = u[-1:] if u[-1:] in self.tails and len(u) > 1 else ""
-            core = u[: len(u) - len(tail)]
-            lead = core[0] if core[0] in "\n\0" else ""
-            word = core[len(lead) :]
-            if not word.isalpha() or max(word) >= _KNOWN:
+            tail = tails.get(u[-1:], b"")
+            word = u[:-1] if tail else u
+            lead = b""
+            if ends_words:
+                word = word.lower()
+                key, blank = word, ""
+            elif word[:1] == "\n":
+                lead, word, blank = line, word[1:], ""
+                key = f"\0{word}"
+            elif word[:1] == "\0":
+                key, word, blank = word, word[1:], ""
+            else:
+                key, blank = word, " "
+            if not word.isalpha() or not (word.isascii() or max(word) < _KNOWN):
                 odd.append(u)
-                continue
-            if self.ends_words:
-                word, blank = word.lower(), ""
+            elif (x := known.get(key)) is not None:
+                out[u] = lead + x + tail
             else:
-                blank = "" if lead else " "
-            made.append((u, lead, blank, word, tail))
-            words[blank][word] = None
-        ids = {}
+                made.append((u, lead, key, tail))
+                words[blank][word] = None
         for blank, need in words.items():
-            key = (lambda w: w) if self.ends_words or blank else (lambda w: f"\0{w}")
-            todo = []
-            for w in need:
-                if (x := self.ids.get(key(w))) is None:
-                    todo.append(w)
-                else:
-                    ids[blank, w] = x
-            got = self._words(todo, blank) if todo else []
-            for w, x in zip(todo, got, strict=True):
-                ids[blank, w] = x
-                if len(self.ids) < self.kept_units and len(w) < KEPT_CHARS:
-                    self.ids[key(w)] = x
-        line = b"" if self.ends_words else self.line
-        out = {u: (line if lead == "\n" else b"") + ids[blank, w] + (self.tails[tail] if tail else b"") for u, lead, blank, w, tail in made}
+            todo = list(need)
+            keys = todo if ends_words or blank else [f"\0{w}" for w in todo]
+            out_keys = dict(zip(keys, self._words(todo, blank) if todo else [], strict=True))
+            words[blank] = out_keys
+            room = max(0, self.kept_units - len(known))
+            known.update((k, x) for k, x in itertools.islice(out_keys.items(), room) if len(k) < KEPT_CHARS)
+        ids = words[""] | words[" "]
+        for u, lead, key, tail in made:
+            out[u] = lead + ids[key] + tail
         if odd:
             spelled = [u if self.ends_words or u[0] == "\n" else u[1:] if u[0] == "\0" else f" {u}" for u in odd]
             out.update(zip(odd, self._batch(spelled), strict=True))
@@ -114,13 +120,22 @@ class UnitEncoder:
     def _units(self, text: str) -> list[str] | None:
         if self.ends_words:
             return text.replace("\n", " ").split(" ")
-        if _PLAIN.search(text):
+        if any(map(text.__contains__, _ODD)):
             return None
         units = text.replace("\n", " \n").split(" ")
         units[0] = f"\0{units[0]}"
         return units if units[0] != "\0" else units[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out, first, size = [], 0, 0
+        for k, x in enumerate(texts):
+            size += len(x)
+            if size >= CHUNK_CHARS or k == len(texts) - 1:
+                out += self._encode(texts[first : k + 1])
+                first, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         known, split, new = self.ids, [], set()
         for x in texts:
             split.append(self._units(x) if x and "\0" not in x else None)
