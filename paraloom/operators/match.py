@@ -134,8 +134,7 @@ def kmer_hits(texts: DataFrame, keys: list[str], text: str, panel: DataFrame, k:
     """(keys, panel columns, n): occurrences of a panel's k-mers (column kmer) in each text; windows with `without` do not count."""
     rows = texts.select(*keys, F.explode(windows(F.col(text), k)).alias("kmer"))
     rows = rows.where(~F.contains("kmer", F.lit(without))) if without else rows
-    counted = rows.groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
-    return counted.join(panel, "kmer")
+    return rows.join(panel, "kmer").groupBy(*keys, *panel.columns).agg(F.count("*").alias("n"))
 
 
 def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int = 500) -> DataFrame:
