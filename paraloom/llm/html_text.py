@@ -5,9 +5,10 @@ leniently (implied end tags, unclosed and truncated markup, raw text elements);
 footers, adverts and the like by tag, role or class are pruned. What is left is aligned page by page with the group's wrapper by simple tree matching, neighbours
 with one signature being one repeated node. A wrapper node is constant if its own text is the same on all pages that have it. The content slot is the
 deepest container with most of the varying text; constant containers in it are template too, while its paragraphs, repeated or not, are content.
-A page without others is its own wrapper.
+A page without others is its own wrapper. Copies of a page on a host share a group and are learned once, so they tell nothing about the template; of a page with more than COPIES copies one
+stands in the group, and the others get its text by join.
 
-Defined cases: null or empty html, and a page with nothing but template, give the empty string; a repeated page is a page of its own; a page with null or odd url
+Defined cases: null or empty html, and a page with nothing but template, give the empty string; a repeated page gives the same text each time; a page with null or odd url
 belongs to the host of no name; extra columns pass through, whatever their names.
 """
 
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import read_table
+from paraloom.llm.common import cut, read_table
 from paraloom.llm.url_filter import host_of
 
 GROUP = 32
+#: Copies of a page that go through its group at most; of more, one does.
+COPIES = 16
 #: Hosts that are broadcast with their number of pages at most; more are joined by shuffle.
 BROADCAST_HOSTS = 500_000
 #: Share of the varying text that a container must hold for the slot to lie in it.
@@ -183,6 +186,23 @@ def blocks(node: Node, skip: frozenset = frozenset()) -> list[str]:
     return out
 
 
+def form(node: Node) -> tuple[str, ...]:
+    """Signatures and texts of a tree in page order: equal for copies of a page."""
+    out: list[str] = []
+
+    def walk(x: Node) -> None:
+        out.append(f"<{x.sig}")
+        for part in x.parts:
+            if not isinstance(part, str):
+                walk(part)
+            elif text := " ".join(part.split()):
+                out.append(f" {text}")
+        out.append(">")
+
+    walk(node)
+    return tuple(out)
+
+
 class Slot:
     """A wrapper node: what the aligned nodes of the pages have in common."""
 
@@ -289,6 +309,14 @@ def learn(slot: Slot, group: list[Node], placed: dict[int, Slot]) -> None:
     slot.children = children + slot.children[at:]
 
 
+def place_copy(node: Node, like: Node, placed: dict[int, Slot]) -> None:
+    """Give the nodes of a tree the places of those of a tree with an equal form."""
+    if id(like) in placed:
+        placed[id(node)] = placed[id(like)]
+    for x, y in zip(*([p for p in n.parts if not isinstance(p, str)] for n in (node, like)), strict=True):
+        place_copy(x, y, placed)
+
+
 def content_slot(wrapper: Slot) -> Slot:
     """The deepest container with most of the varying text."""
     while True:
@@ -300,16 +328,22 @@ def content_slot(wrapper: Slot) -> Slot:
 
 
 def extract(pages: list[str | None]) -> list[str]:
-    """The main texts of pages of one host."""
+    """The main texts of pages of one host; what is left of a page is learned once, however many copies it has."""
+    known = list(dict.fromkeys(page or "" for page in pages))
     roots = []
-    for page in pages:
-        root = parse(page or "")
+    for page in known:
+        root = parse(page)
         prune(root)
         roots.append(main_root(root))
     wrappers: dict[str, Slot] = {}
     placed: dict[int, Slot] = {}
+    learned: dict[tuple[str, ...], Node] = {}
     for root in roots:
-        learn(wrappers.setdefault(root.sig, Slot(root.sig, root.tag)), [root], placed)
+        like = learned.setdefault(form(root), root)
+        if like is root:
+            learn(wrappers.setdefault(root.sig, Slot(root.sig, root.tag)), [root], placed)
+        else:
+            place_copy(root, like, placed)
     slots = {sig: content_slot(w) for sig, w in wrappers.items()}
     out = []
     for root in roots:
@@ -329,25 +363,46 @@ def extract(pages: list[str | None]) -> list[str]:
         look(root, False)
         # a page that the slot's path does not lead through keeps what is no template by label
         out.append("\n".join(line for x in found or [root] for line in blocks(x, frozenset(skip))))
-    return out
+    texts = dict(zip(known, out, strict=True))
+    return [texts[page or ""] for page in pages]
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = GROUP, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = GROUP, broadcast_hosts: int = BROADCAST_HOSTS, copies: int = COPIES) -> DataFrame:
     """pages with the column `main_text`; a column of that name is replaced."""
     kept = [c for c in pages.columns if c != "main_text"]
-    counts = pages.select(host_of(F.col(url_col)).alias("__c")).groupBy("__c").agg(F.ceil(F.count("*") / group).alias("__groups"))
+    keyed = pages.select(*kept, host_of(F.col(url_col)).alias("__host"), F.xxhash64(html_col).alias("__page"))
+    keys = cut(keyed.groupBy("__host", "__page").agg(F.count("*").alias("__n")))
+    counts = keys.groupBy(F.col("__host").alias("__c")).agg(F.ceil(F.count("*") / group).alias("__groups"))
     if counts.count() <= broadcast_hosts:
         counts = F.broadcast(counts)
-    rows = pages.select(*kept, host_of(F.col(url_col)).alias("__host"), F.xxhash64(url_col, html_col).alias("__order")).join(counts, F.col("__host") == F.col("__c")).drop("__c")
-    rows = rows.withColumn("__g", F.pmod(F.xxhash64(F.lit(3), "__order"), F.col("__groups"))).drop("__groups")
+    rows = keyed.join(counts, F.col("__host") == F.col("__c")).drop("__c")
+    rows = rows.withColumn("__g", F.pmod(F.xxhash64(F.lit(3), "__page"), F.col("__groups"))).drop("__groups")
+    types = {f.name: f.dataType.simpleString() for f in pages.schema}
+    fields = "".join(f"`{c}` {types[c]}, " for c in kept)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("__order", kind="stable")
+        x = x.sort_values("__page", kind="stable")
         texts = extract([None if not isinstance(t, str) else t for t in x[html_col]])
         return x[kept].assign(main_text=texts)
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name in kept)
-    return rows.groupBy("__host", "__g").applyInPandas(run, f"{fields}main_text string")
+    often = keys.where(F.col("__n") > copies).select("__host", "__page", F.lit(True).alias("__often"))
+    n_often = often.count()
+    if not n_often:
+        return rows.groupBy("__host", "__g").applyInPandas(run, f"{fields}main_text string")
+
+    def run_marked(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("__page", kind="stable")
+        return run(x).assign(__host=x["__host"], __page=x["__page"], __often=x["__often"])
+
+    marked = rows.join(F.broadcast(often) if n_often <= broadcast_hosts else often, ["__host", "__page"], "left").withColumn("__often", F.coalesce("__often", F.lit(False)))
+    few, many = marked.where(~F.col("__often")), marked.where("__often")
+    # a set of one page each, so copies are merged before they are dealt
+    one = many.groupBy("__host", "__page", "__g", "__often").agg(F.get(F.collect_set(html_col), F.lit(0)).alias(html_col))
+    one = one.select(*few.columns[:2], *[F.col(c) if c == html_col else F.lit(None).cast(types[c]).alias(c) for c in kept], "__g", "__often")
+    texts = lambda df: df.unionByName(one).groupBy("__host", "__g").applyInPandas(run_marked, f"{fields}main_text string, __host string, __page long, __often boolean")
+    concerned = one.select("__host", "__g").distinct()
+    of_many = texts(few.join(concerned, ["__host", "__g"], "left_semi")).where("__often").select("__host", "__page", "main_text")
+    return texts(few).where(~F.col("__often")).select(*kept, "main_text").unionByName(many.join(of_many, ["__host", "__page"]).select(*kept, "main_text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

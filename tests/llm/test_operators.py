@@ -393,6 +393,25 @@ def test_html_pages(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_copies_keep_their_text(spark):
+    body = lambda t, more="": f"<html><head><script>{{}}</script></head><body><article><div><h1>{t}</h1><p>{t} text</p>{more}</div></article></body></html>"
+    bare = "<html><body><div><p>a b c</p></div></body></html>"
+    more = "<ul><li>u</li></ul><ol><li>o</li></ol><table><tr><td>t</td></tr></table><div>d</div><section>s</section>"
+    alone, whole = html_text.extract([body("one")]), "three\nthree text\nu\no\nt\nd\ns"
+    assert alone == ["one\none text"] and html_text.extract([body("one")] * 2) == alone * 2
+    assert html_text.extract([bare] * 3) == ["a b c"] * 3
+    nonces = [body("one").replace("{}", f"var n={k}") for k in range(3)]
+    assert html_text.extract(nonces) == alone * 3
+    assert html_text.extract([body("one"), body("two"), body("three", more), body("three", more)]) == ["one\none text", "two\ntwo text", whole, whole]
+    rows = [(k, f"http://h.net/{k}", body(f"p{k}")) for k in range(9)] + [(100 + k, f"http://h.net/c{k}", body("three", more)) for k in range(30)] + [(200 + k, "http://i.net/", bare) for k in range(30)] + [(300 + k, "http://i.net/", None) for k in range(9)]
+    want = sorted([(k, f"p{k}\np{k} text") for k in range(9)] + [(100 + k, whole) for k in range(30)] + [(200 + k, "a b c") for k in range(30)] + [(300 + k, "") for k in range(9)])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for copies in (50, 4):
+        for hosts in (10, 0):
+            got = html_text.extract_pages(df, group=8, broadcast_hosts=hosts, copies=copies)
+            assert got.columns == [*df.columns, "main_text"] and sorted((r["page_id"], r["main_text"]) for r in got.collect()) == want
+
+
 # ---- tokens, packing, token files ----
 
 ODD_TEXTS = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "\na", "a\n", "don't <|endoftext|> x<|startoftext|>y", "é́ x y\tz", "a\x1cb c", "\0 a b", "x" * 300 + " y " + "z" * 60, "Ünï ẞ ß 12345 !!??", "Σας ΣΑΣ. x", "Word, word. WORD Word", "İstanbul I ı", "!", "a,b ,c . d.,"]
