@@ -7,6 +7,9 @@ of a chain that must be free of differences is the join key; the rest of the cha
 full distance. A group of fingerprints that share a key is split again by a further segment as long as it is large, which loses
 no pair: among k segments with d < k differences one is equal. A group gives the edges of a spanning forest, not its pairs.
 
+The pipeline's stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY as well: candidates share a band of BANDS x ROWS
+minimum hashes (a pair at 0.8 shares none with probability 6e-7), and every candidate pair is checked on the whole sets.
+
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other; fewer words than a shingle
 has are one shingle; repeated rows have equal fingerprints; a row with a null doc_id gets a fingerprint and the component
 of its links, and never names one; other columns are not looked at.
@@ -29,6 +32,15 @@ SHINGLE, DISTANCE, SEGMENTS = 3, 2, 5
 SEED = 42
 #: Groups of fingerprints that share a key are split further above this size.
 GROUP = 512
+#: Words of a shingle and least Jaccard similarity of the stage's near copies, as a fraction.
+NEAR_WORDS, SIMILARITY = 5, (4, 5)
+BANDS, ROWS = 20, 3
+#: Candidates that are checked against each other at once; larger groups go by pairs of parts.
+PART = 4096
+#: Texts of candidates that are looked up by broadcast at most.
+BROADCAST_IDS = 1_000_000
+_A = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(SEED + 1).integers(0, 1 << 63, max(NEAR_WORDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -156,11 +168,116 @@ def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEG
     return groups.join(sizes.drop("n"), ["start", "more", "key"], "left_semi").groupBy("start", "more", "key").applyInPandas(link, "a long, b long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links lead to, the row's own included."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's NEAR_WORDS-word shingles; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = np.array([xxh64_intdigest(w, SEED) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
+    width = min(NEAR_WORDS, len(words))
+    if not width:
+        return words
+    hashes = sum(words[k : len(words) - width + 1 + k] * _MIX[k] for k in range(width))
+    hashes = (hashes ^ hashes >> np.uint64(31)) * _MIX[0]
+    return np.unique(hashes ^ hashes >> np.uint64(29))
+
+
+def set_id(found: np.ndarray) -> int | None:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)) if len(found) else None
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key a band of minimum hashes of a set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(found), 1 << 12):
+        least = np.minimum(least, ((found[k : k + (1 << 12), None] ^ _A[0]) * _A[1]).min(axis=0))
+    return (least.reshape(BANDS, ROWS) * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, sid, keys): the fingerprint, the set's hash (null without words) and its band keys."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sids, keys = [], [], []
+            for x in batch.column(1):
+                text = x.as_py()
+                found = shingle_set(text)
+                fps.append(fingerprint(text, shingle))
+                sids.append(set_id(found))
+                keys.append(band_keys(found) if len(found) else [])
+            columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sid", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compute, "doc_id long, fp long, sid long, keys array<long>")
+
+
+def similar_forest(sets: list[np.ndarray]) -> np.ndarray:
+    """Edges of a spanning forest of the pairs whose Jaccard similarity is SIMILARITY or more."""
+    sizes = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark, group, (top, bottom), edges = np.zeros(at.max() + 1, dtype=bool), np.arange(len(sets)), SIMILARITY, []
+    for k in range(len(sets) - 1):
+        rest = group[k + 1 :] != group[k]  # pairs that are connected already need no look
+        if not rest.any():
+            continue
+        own = at[starts[k] : starts[k] + sizes[k]]
+        mark[own] = True
+        both = np.add.reduceat(mark[at[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1], dtype=np.int64)
+        mark[own] = False
+        met = np.flatnonzero(rest & (bottom * both >= top * (sizes[k] + sizes[k + 1 :] - both))) + k + 1
+        others, first = np.unique(group[met], return_index=True)
+        edges += [(k, m) for m in met[first].tolist()]
+        group[np.isin(group, others)] = group[k]
+    return np.array(edges, dtype=np.int64).reshape(-1, 2)
+
+
+def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(a, b): fingerprints of texts whose shingle sets are equal or similar; marked has the rows of sketches."""
+    held = marked.where(F.col("sid").isNotNull())
+    of_set = cut(held.groupBy("sid").agg(F.min("fp").alias("least"), F.min("doc_id").alias("doc_id")))
+    equal = held.select("sid", "fp").distinct().join(of_set, "sid").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    bands = held.select("sid", F.posexplode("keys").alias("band", "key")).distinct()
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"m{k}") for k in (1, 2)]
+    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n"), *members).where("n > 1")
+    # groups with the same members in several bands are checked once
+    sizes = sizes.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("k")).select("n", "k.*")
+    met = cut(bands.join(sizes, ["band", "key"]))
+    wanted = of_set.join(met.select("sid").distinct(), "sid", "left_semi")
+    ids = wanted.select(F.col("doc_id").alias("__id")).where(F.col("__id").isNotNull()).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    texts = texts.join(ids, "__id", "left_semi").unionByName(texts.where(F.col("__id").isNull())).select("text")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "found"])
+
+    sets = texts.mapInArrow(compute, "sid long, found binary").where(F.col("sid").isNotNull()).dropDuplicates(["sid"])
+    parts = F.ceil(F.col("n") / part)
+    mine = F.pmod(F.xxhash64(F.lit(5), "sid"), parts)
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    rows = met.select("sid", "band", "key", F.explode(tiles).alias("t")).select("sid", "band", "key", "t.*").join(sets, "sid")
+
+    def link(x: pd.DataFrame) -> pd.DataFrame:
+        at, sids = similar_forest([np.frombuffer(v, dtype=np.uint64) for v in x["found"]]), x["sid"].to_numpy(np.int64)
+        return pd.DataFrame({"x": sids[at[:, 0]], "y": sids[at[:, 1]]})
+
+    pairs = rows.groupBy("band", "key", "i", "j").applyInPandas(link, "x long, y long").distinct()
+    fp = lambda side, name: of_set.select(F.col("sid").alias(side), F.col("least").alias(name))
+    similar = pairs.join(fp("x", "a"), "x").join(fp("y", "b"), "y").where(F.col("a") != F.col("b")).select("a", "b")
+    return equal.unionByName(similar).distinct()
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, near: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that links lead to, the row's own included; with near, similar shingle sets link too."""
+    marked = cut(sketches(docs, id_col, text_col, shingle) if near else fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(linked_edges(nodes.select("fp"), distance))
+    edges = linked_edges(nodes.select("fp"), distance)
+    found = components(edges.unionByName(near_edges(docs, marked, id_col, text_col)) if near else edges)
     grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
     ids = grouped.join(least, "group").select("fp", "component_id")
@@ -174,7 +291,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (of rows that repeat it, the first by text); rows without doc_id stay."""
-    groups = dedup(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    groups = dedup(docs, near=True).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(*[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
     rows = docs.join(groups, "doc_id", "left_semi").withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k")
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))

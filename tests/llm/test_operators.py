@@ -134,6 +134,33 @@ def test_simhash(spark, docs, group, monkeypatch):
     assert simhash.dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("part", [3, 4096])
+def test_simhash_stage_takes_five_words_and_four_fifths(spark, part, monkeypatch):
+    monkeypatch.setattr(simhash.near_edges, "__defaults__", ("doc_id", "text", part, 0 if part == 3 else 10))
+    r, rows = random.Random(8), []
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(4000)]
+    for k in range(40):
+        base = r.choices(words, k=80)
+        rows.append(" ".join(base))
+        for m in range(k % 4):
+            copy = list(base)
+            for at in r.sample(range(80), 1 + m):
+                copy[at] = "zz"
+            rows.append(" ".join(copy))
+    base = r.choices(words, k=200)
+    rows += [" ".join([*base[:k], f"w{k}", *base[k + 1 :]]) for k in range(0, 60, 3)] + [None, "", "a b", "A  b", "a b c"]
+    rows = [(k, t, None, None, 0) for k, t in enumerate(rows)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {"none"} for _, t, *_ in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    fps = [brute_fingerprint(t or "") for _, t, *_ in rows]
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2]
+    root = unions(len(rows), near + close)
+    only_close = unions(len(rows), close)
+    want = [k for k in range(len(rows)) if root[k] == k]
+    assert sorted(x["doc_id"] for x in simhash.stage(spark, frame(spark, rows), "").collect()) == want
+    assert len(want) < len([k for k in range(len(rows)) if only_close[k] == k])
+
+
 def test_simhash_stage_keeps_one(spark, docs):
     rows = frame(spark, docs)
     groups = simhash.dedup(rows).where("doc_id is not null").select("component_id").distinct().count()
