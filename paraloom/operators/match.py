@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -160,6 +162,50 @@ def nearest(queries: DataFrame, query_id: str, vector: str, train: DataFrame, tr
     return votes.groupBy(query_id).agg(F.max_by("label", F.struct("__n", -F.col("label"))).alias("label"), (F.max("__n") / F.sum("__n")).alias("confidence"))
 
 
+def nearest_in_blocks(queries: DataFrame, query_id: str, vector: str, train: DataFrame, train_vector: str, label: str, order: str, k: int = 5, block: int = 4096) -> DataFrame:
+    """nearest() with a training table of any size: both sides are dealt into blocks and every pair of blocks gives its k nearest a query.
+
+    Rows without a vector are left out; the training side has those with a label.
+    """
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("__q"), F.col(vector).cast("array<float>").alias("__v"))
+    t = train.where(F.col(train_vector).isNotNull() & F.col(label).isNotNull()).select(F.col(order).alias("__o"), F.col(label).alias("label"), F.col(train_vector).cast("array<float>").alias("__v"))
+    n_q, n_t = (max(1, -(-df.count() // block)) for df in (q, t))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("__i", F.pmod(F.xxhash64("__q"), F.lit(n_q)).cast("int")).withColumn("__j", every(n_t))
+    right = t.withColumn("__j", F.pmod(F.xxhash64("__o"), F.lit(n_t)).cast("int")).withColumn("__i", every(n_q))
+    q_type, o_type, l_type = q.schema["__q"].dataType.simpleString(), t.schema["__o"].dataType.simpleString(), t.schema["label"].dataType.simpleString()
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = ([], [], [])
+        if len(x) and len(y):
+            y = y.sort_values("__o", kind="stable")  # places in y are in order of ties
+            a, b = np.stack(x["__v"].to_numpy()).astype(np.float32), np.stack(y["__v"].to_numpy()).astype(np.float32)
+            b64 = b.astype(np.float64)
+            squares = (b64 * b64).sum(axis=1)
+            for at in range(0, len(a), 256):
+                part = a[at : at + 256].astype(np.float64)
+                own = (part * part).sum(axis=1)
+                d2 = own[:, None] + squares[None, :] - 2 * part @ b64.T
+                kth = np.partition(d2, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+                # more than the error of the product and of rounding to six places
+                most = (np.sqrt(np.maximum(kth, 0)) + 1e-5) ** 2 + 1e-12 * (own + squares.max())
+                row, col = np.nonzero(d2 <= most[:, None])
+                dist = np.concatenate([((part_a.astype(np.float64)) ** 2).sum(axis=1) for s in range(0, len(row), 1 << 16) for part_a in [a[at + row[s : s + (1 << 16)]] - b[col[s : s + (1 << 16)]]]])
+                dist = np.floor(np.sqrt(dist) * 1e6 + 0.5) / 1e6
+                by = np.lexsort((col, dist, row))
+                row, col, dist = row[by], col[by], dist[by]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                for out, values in zip(found, (row[first] + at, col[first], dist[first]), strict=True):
+                    out.append(values)
+        row, col, dist = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in found)
+        return pd.DataFrame({"__q": x["__q"].to_numpy()[row], "label": y["label"].to_numpy()[col], "__o": y["__o"].to_numpy()[col], "dist": dist.astype(np.float64)})
+
+    scored = left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInPandas(near, f"__q {q_type}, label {l_type}, __o {o_type}, dist double")
+    kept = scored.withColumn("__k", F.row_number().over(Window.partitionBy("__q").orderBy("dist", "__o"))).where(F.col("__k") <= k)
+    votes = kept.groupBy(F.col("__q").alias(query_id), "label").agg(F.count("*").alias("__n"))
+    return votes.groupBy(query_id).agg(F.max_by("label", F.struct("__n", -F.col("label"))).alias("label"), (F.max("__n") / F.sum("__n")).alias("confidence"))
+
+
 def symmetric_difference(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
 

@@ -303,6 +303,25 @@ def test_knn(spark):
     assert {x["q"]: (x["label"], x["confidence"]) for x in got} == {0: (0, 1.0), 1: (3, 1.0)}
 
 
+def test_knn_searches_the_whole_table(spark, tmp_path):
+    from paraloom.plans import match_queries
+
+    r = random.Random(6)
+    rows = [(k, [float(r.randint(0, 3)) for _ in range(3)], r.randint(0, 3)) for k in range(150)]
+    want = {}
+    for q, v, _ in rows:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, t, strict=True)) ** 0.5, 6), o, label) for o, t, label in rows)[:5]
+        n = Counter(label for *_, label in near)
+        want[q] = (min(c for c in n if n[c] == max(n.values())), max(n.values()) / 5)
+    e = spark.createDataFrame([*rows, (200, None, 1), (201, [9.0] * 3, None)], "vec_id long, embedding array<float>, label int")
+    for block in (4096, 40):
+        got = M.nearest_in_blocks(e.where("vec_id < 200"), "vec_id", "embedding", e.withColumnRenamed("embedding", "t"), "t", "label", "vec_id", block=block)
+        assert {x["vec_id"]: (x["label"], x["confidence"]) for x in got.collect()} == want
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {x["vec_id"]: (x["label"], x["confidence"]) for x in match_queries.j16_knn(spark, str(tmp_path)).collect()}
+    assert got.pop(201) and got == want
+
+
 # ---- decisions ----
 
 
