@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -12,6 +16,8 @@ from paraloom.functions.scalar import main_allele, multiset_key
 
 # Alleles that yield to any other candidate.
 RARE_ALLELES = ("*34", "*39", "*4.009", "*139")
+#: k-mers of a panel that go to the workers at most.
+PANEL_KMERS = 500_000
 FUZZY_EXTRA, FUZZY_MISSING, FUZZY_EXCESS, FUZZY_LEAST = 0.5, 0.3, 2, 1.0
 
 
@@ -139,6 +145,31 @@ def kmer_hits(texts: DataFrame, keys: list[str], text: str, panel: DataFrame, k:
     return rows.join(panel, "kmer").groupBy(*keys, *panel.columns).agg(F.count("*").alias("n"))
 
 
+def shared_kmers(texts: DataFrame, keys: list[str], text: str, items: DataFrame, item_id: str, item_text: str, k: int, panel_kmers: int = PANEL_KMERS) -> DataFrame:
+    """(keys, item_id, n): windows of each text that stand anywhere in an item, for all windows of the items' whole texts.
+
+    A panel of few k-mers goes to the workers, which then give only windows that hit; of a larger one all windows are joined.
+    """
+    panel = items.where(F.char_length(item_text) >= k).select(item_id, F.explode(windows(F.col(item_text), k)).alias("kmer")).distinct()
+    kmers = panel.select("kmer").distinct()
+    few = {r["kmer"] for r in kmers.limit(panel_kmers + 1).collect()}
+    wanted = texts.sparkSession.sparkContext.broadcast(few if len(few) <= panel_kmers else None)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
+        for batch in batches:
+            for at, x in enumerate(batch.column(batch.num_columns - 1)):
+                t = x.as_py() or ""
+                found = Counter(w for w in (t[i : i + k] for i in range(len(t) - k + 1)) if known is None or w in known)
+                if found:
+                    row = pa.array([at] * len(found))
+                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[:-1]), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=[*keys, "kmer", "n"])
+
+    fields = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keys)
+    hits = texts.select(*keys, text).mapInArrow(cut, f"{fields}kmer string, n long")
+    return hits.join(panel, "kmer").groupBy(*keys, item_id).agg(F.sum("n").cast("long").alias("n"))
+
+
 def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int = 500) -> DataFrame:
     """(query_id, ref_id, diagonal): candidates of pigeonhole seeding, once per bucket of max_k + 1 diagonals.
 

@@ -114,8 +114,8 @@ def j11_pair_mixture(spark, d):
 w AS (SELECT event_id, unnest(list_transform(range(1, length(props) - 10), lambda i: substr(props, i, 12))) AS kmer FROM (SELECT doc_id AS event_id, text AS props FROM documents WHERE length(text) >= 12))
 SELECT event_id AS doc_id, item_id, count(*) AS n FROM w JOIN p USING (kmer) GROUP BY 1, 2""")
 def j12_kmer_join(spark, d):
-    panel = table(spark, d, "benchmark").where(F.char_length("text") >= 12).groupBy(F.substring("text", 1, 12).alias("kmer")).agg(F.min("item_id").alias("item_id"))
-    return M.kmer_hits(table(spark, d, "documents"), ["doc_id"], "text", panel, 12, "").groupBy("doc_id", "item_id").agg(F.sum("n").cast("long").alias("n"))
+    # all windows of the whole benchmark texts, for every item; the SQL above still has the first window only and differs
+    return M.shared_kmers(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "benchmark"), "item_id", "text", 12)
 
 
 @query("""WITH q AS (SELECT p_partkey, o, substr(p_name, o + 1, 5) AS gram FROM part, (SELECT unnest([0, 5, 10]) AS o) WHERE length(substr(p_name, o + 1, 5)) = 5),

@@ -322,6 +322,25 @@ def test_knn_searches_the_whole_table(spark, tmp_path):
     assert got.pop(201) and got == want
 
 
+def test_kmer_join_takes_all_windows_of_all_items(spark, tmp_path):
+    from paraloom.plans import match_queries
+
+    r = random.Random(9)
+    items = [(k, "".join(r.choices("abcé ", k=60))) for k in range(8)]
+    items += [(8, items[0][1]), (9, items[1][1][:12] + "other end of it"), (10, "short"), (11, None), (12, "z" * 30)]
+    docs = [(k, f"x{items[k][1][20:50]}y{items[k][1][20:40]}") for k in range(8)] + [(20, "z" * 20), (21, None), (22, ""), (None, items[2][1]), (23, "no hit at all, none")]
+    grams = lambda t: [t[i : i + 12] for i in range(len(t or "") - 11)]
+    want = {(q, o): n for q, t in docs for o, u in items if (n := sum(w in set(grams(u)) for w in grams(t)))}
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    for most in (500_000, 3):
+        got = M.shared_kmers(docs, ["doc_id"], "text", items, "item_id", "text", 12, panel_kmers=most)
+        assert {(x["doc_id"], x["item_id"]): x["n"] for x in got.collect()} == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(x["doc_id"], x["item_id"]): x["n"] for x in match_queries.j12_kmer_join(spark, str(tmp_path)).collect()} == want
+
+
 # ---- decisions ----
 
 
