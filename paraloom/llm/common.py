@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set, as in local tests."""
+    """The shared folder of the session; a temporary one only where none is set and all runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if folder:
@@ -31,17 +32,49 @@ def checkpoint_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(folder)
         return folder
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.sparkContext.setCheckpointDir("file://" + os.path.abspath(made))
     return jsc.getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, if the session still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None and context._gateway is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the shared one; it goes when the program ends, since results are read from it until then."""
+    folder = f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, spark, folder)
+    return folder
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has so few rows; df must be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there: computed once, safe against lost executors."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, names: list[str]) -> DataFrame:
+    """df's columns under the names c0, c1, ..., so that none can clash with an operator's own."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+
+
+def renamed(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """Numbered columns under their own names again, and more columns."""
+    return df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *more)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
