@@ -96,23 +96,24 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[l
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids with the end id, cut where they exceed capacity."""
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
+    end = np.array([END_ID], dtype="<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
+            held = batch.column(0).to_pylist()
+            ids = enc.encode(batch.column(1))
             for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                rows = [
-                    (doc, n, n * capacity, len(x) // 4, crc_of(x), x)[: len(fields)]
-                    for doc, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True)
-                    for whole in [ids + end]
-                    for n in range(-(-len(whole) // (4 * capacity)))
-                    for x in [whole[4 * capacity * n : 4 * capacity * (n + 1)]]
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+                columns = [[] for _ in names]
+                for doc in held[k : k + 2048]:
+                    whole = np.concatenate([next(ids), end])
+                    for n, start in enumerate(range(0, len(whole), capacity)):
+                        part = whole[start : start + capacity]
+                        for column, value in zip(columns, (doc, n, start, len(part), crc_of(part), part.tobytes() if with_ids else None), strict=False):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(pieces, schema)
