@@ -1,28 +1,35 @@
 """HTML extraction by wrapper induction: same-host pages are aligned, what stays constant is template, the slot that varies is content.
 
 Pages of a host are dealt into groups of about GROUP pages, so a host's size does not matter and every page takes part. Trees are built
-leniently (implied end tags, unclosed and truncated markup, raw text elements); nodes that are menus, headers,
-footers, adverts and the like by tag, role or class are pruned. What is left is aligned page by page with the group's wrapper by simple tree matching, neighbours
-with one signature being one repeated node. A wrapper node is constant if its own text is the same on all pages that have it. The content slot is the
-deepest container with most of the varying text; constant containers in it are template too, while its paragraphs, repeated or not, are content.
-A page without others is its own wrapper. Copies of a page on a host share a group and are learned once, so they tell nothing about the template; of a page with more than COPIES copies one
+leniently (implied end tags, unclosed and truncated markup, raw text elements). They are aligned page by page with the group's wrapper
+by simple tree matching (maximum over ordered pairs of equal signature, neighbours with one signature being one repeated node). A wrapper node is constant if
+its own text is the same on two or more distinct pages and on all that have it. The content slot is found from the root downwards: the child with most of the varying
+text is entered as long as no varying heading or paragraph stays beside it. Constant containers in the slot are template too, while its
+paragraphs and tables, repeated or not, are content.
+
+Names break ties only: elements that are menus, footers, sidebars, forms, adverts and the like by tag, role or by a whole class or id word are
+not entered on the way to the slot while others can be, and are left out inside it unless they hold an article or main element. Where no single child has most of the varying text
+and the articles of the slot have half of its text or more, they are the content, all of them. A page without others is its own wrapper, so names alone decide there.
+Copies of a page on a host share a group and are learned once, so they tell nothing about the template; of a page with more than COPIES copies one
 stands in the group, and the others get its text by join.
 
 Defined cases: null or empty html, and a page with nothing but template, give the empty string; a repeated page gives the same text each time; a page with null or odd url
-belongs to the host of no name; extra columns pass through, whatever their names.
+belongs to the host of no name; trees may be as deep and lists as long as they like; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, read_table
+from paraloom.llm.common import cut, numbered, read_table, renamed, small
 from paraloom.llm.url_filter import host_of
 
 GROUP = 32
@@ -32,58 +39,81 @@ COPIES = 16
 BROADCAST_HOSTS = 500_000
 #: Share of the varying text that a container must hold for the slot to lie in it.
 SLOT_SHARE = 0.7
-#: Child lists with more pairs than this are aligned in order of signature instead of by the full table.
-TABLE_CELLS = 40_000
+#: Cells of an alignment's table that are held at once; a longer pair of lists is halved first, which gives the same maximum.
+TABLE_CELLS = 4_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp svg math object canvas".split())
-PRUNED = RAW | frozenset("head nav footer aside form button select option dialog menu input label fieldset audio video map datalist".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Not shown as text of the page, or controls.
+NEVER = RAW | frozenset("head noscript template button select option datalist input dialog".split())
+NAMED = frozenset("nav footer aside form menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("#root html body div section article main center table tbody tr td details header".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption caption".split())
+CONTAINERS = frozenset("#root html body div section article main center table tbody tr td details header nav footer aside form ul ol fieldset".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th tr tbody table figure figcaption caption header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status note".split())
 LABELS = frozenset(
-    "nav navbar navigation menu menus submenu topbar sidebar sidebars aside rail footer header masthead ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion"
-    " cookie cookies consent gdpr notice notices alert alerts warning popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs crumbs"
-    " comment comments commentlist respond reply replies discussion disqus widget widgets pagination pager toolbar search skip hidden".split()
+    "nav navbar navigation menu menus submenu topbar sidebar sidebars rail footer masthead ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion"
+    " cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs crumbs"
+    " comment comments commentlist respond replies disqus widget widgets pagination pager toolbar search skip hidden".split()
 )
+#: Words that tell nothing beside a label in a hyphenated name.
+NEUTRAL = frozenset("box bar block list item items area wrap wrapper container section inner outer site page top bottom left right main global links form unit slot".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th", "tbody"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?P<tag>/?[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?/][^>]*(?:>|$)|[^<]+|<", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-#: Deeper elements are kept beside their parent, so that no page exhausts the stack.
-MOST_DEPTH = 200
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "sig", "parts", "pruned")
+    __slots__ = ("tag", "sig", "parts", "named")
 
-    def __init__(self, tag: str, sig: str, pruned: bool):
-        self.tag, self.sig, self.pruned, self.parts = tag, sig, pruned, []  # parts: strings and nodes in page order
+    def __init__(self, tag: str, sig: str, named: bool):
+        self.tag, self.sig, self.named, self.parts = tag, sig, named, []  # parts: strings and nodes in page order
 
 
-def _named(attrs: str, tag: str) -> tuple[str, bool]:
-    """(signature, pruned) of an element."""
+def labelled(names: str, words: frozenset[str]) -> bool:
+    """Whether a class or id word is a label, alone or with neutral words by hyphen."""
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_\d]+", name) if x]
+        if not words.isdisjoint(parts) and all(x in words or x in NEUTRAL for x in parts):
+            return True
+    return False
+
+
+def _named(attrs: str, tag: str, inside: bool) -> tuple[str, bool]:
+    """(signature, named) of an element; a header names nothing inside an article or main element."""
+    named = tag in NAMED or (tag == "header" and not inside)
     if not attrs.strip():
-        return tag, tag in PRUNED
+        return tag, named
     found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTR.findall(attrs)}
-    label = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    role = found.get("role", "").lower()
-    words = set(re.split(r"[^a-z]+", label))
-    gone = tag in PRUNED or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    return f"{tag}.{found.get('class', '')}", gone or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(LABELS))
+    named = named or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
+    if not named and tag not in ("html", "body", "article", "main"):
+        words = LABELS if inside else LABELS | {"header"}
+        named = labelled(f"{found.get('class', '')} {found.get('id', '')}", words)
+    elif tag == "article":  # a reader's comment may be an article
+        named = labelled(found.get("class", ""), frozenset(["comment", "comments"]))
+    return f"{tag}.{found.get('class', '')}", named
 
 
-def parse(page: str) -> Node:
-    """The tree of a page."""
+def parse(page: str) -> tuple[Node, int]:
+    """The tree of what a page shows, and its depth."""
     root = Node("#root", "#root", False)
-    stack, at = [root], 0
+    stack, at, depth, inside = [root], 0, 1, 0
+    kept = [True]  # whether each open element is shown
+
+    def close(k: int) -> None:
+        nonlocal inside
+        for x in stack[k:]:
+            inside -= x.tag in ("article", "main")
+        del stack[k:]
+        del kept[k:]
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at, name = m.end(), m["tag"]
         if name is None:
-            if m[0][0] != "<" or m[0] == "<":
+            if kept[-1] and (m[0][0] != "<" or m[0] == "<"):
                 stack[-1].parts.append(m[0])
             continue
         tag = name.lower()
@@ -91,14 +121,13 @@ def parse(page: str) -> Node:
             tag = tag[1:]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
-        sig, pruned = _named(m["attrs"], tag)
         if tag in BLOCKS:
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
@@ -107,55 +136,50 @@ def parse(page: str) -> Node:
                 if stack[k].tag in SCOPES.get(tag, ()):
                     break
                 if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                     break
-        node = Node(tag, sig, pruned)
-        stack[-1].parts.append(node)
-        if tag in RAW and tag not in ("svg", "math", "object", "canvas", "template", "noscript"):
+        sig, named = _named(m["attrs"], tag, inside > 0)
+        node = Node(tag, sig, named)
+        shown = kept[-1] and tag not in NEVER
+        if shown:
+            stack[-1].parts.append(node)
+        if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
             if end is None:
                 break
-            close = page.find(">", at)
-            at = close + 1 if close >= 0 else len(page)
-        elif tag not in VOID and len(stack) < MOST_DEPTH:  # a slash does not close an HTML element
+            stop = page.find(">", end.start())
+            at = stop + 1 if stop >= 0 else len(page)
+        elif tag not in VOID:  # a slash does not close an HTML element
             stack.append(node)
-    return root
+            kept.append(shown)
+            inside += tag in ("article", "main")
+            depth = max(depth, len(stack))
+    return root, depth
 
 
-def prune(node: Node, inside: bool = False) -> None:
-    """Take out what is no content by its tag, role or label; a header inside an article keeps its place."""
-    inside = inside or node.tag in ("article", "main")
-    node.parts = [x for x in node.parts if isinstance(x, str) or not (x.pruned or (x.tag == "header" and not inside))]
+def keep_holders(node: Node) -> bool:
+    """Take the name from elements that hold an article or main element; whether this one does or is one."""
+    found = False
     for x in node.parts:
-        if not isinstance(x, str):
-            prune(x, inside)
-
-
-def size(node: Node) -> int:
-    """Characters of text, white space aside."""
-    return sum(len("".join(x.split())) if isinstance(x, str) else size(x) for x in node.parts)
-
-
-def main_root(root: Node) -> Node:
-    """The largest article, else main, else the whole tree."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
+        if not isinstance(x, str) and keep_holders(x):
+            found = True
+    if found:
+        node.named = False
+    return found or (node.tag in ("article", "main") and not node.named)
 
-    def look(node: Node) -> None:
-        for x in node.parts:
-            if not isinstance(x, str):
-                if x.tag in found:
-                    found[x.tag].append(x)
-                look(x)
 
-    look(root)
-    for tag in ("article", "main"):
-        if found[tag]:
-            return max(found[tag], key=size)
-    return root
+def size(node: Node, skip: frozenset | set = frozenset()) -> int:
+    """Characters of text, white space aside, without the skipped subtrees."""
+    total = 0
+    for x in node.parts:
+        if isinstance(x, str):
+            total += len("".join(x.split()))
+        elif id(x) not in skip:
+            total += size(x, skip)
+    return total
 
 
-def blocks(node: Node, skip: frozenset = frozenset()) -> list[str]:
+def blocks(node: Node, skip: frozenset | set = frozenset()) -> list[str]:
     """The texts of a subtree's blocks in page order, decoded, with single spaces."""
     out: list[str] = []
     line: list[str] = []
@@ -206,18 +230,11 @@ def form(node: Node) -> tuple[str, ...]:
 class Slot:
     """A wrapper node: what the aligned nodes of the pages have in common."""
 
-    __slots__ = ("sig", "tag", "texts", "pages", "chars", "children")
-
-    def __init__(self, sig: str, tag: str):
-        self.sig, self.tag, self.texts, self.pages, self.chars, self.children = sig, tag, set(), 0, 0, []
+    __slots__ = ("sig", "tag", "named", "texts", "pages", "chars", "children", "constant", "varying")
 
-    @property
-    def constant(self) -> bool:
-        return self.pages > 1 and len(self.texts) == 1 and all(c.constant for c in self.children)
-
-    def varying(self) -> int:
-        own = 0 if self.pages > 1 and len(self.texts) == 1 else self.chars
-        return own + sum(c.varying() for c in self.children)
+    def __init__(self, like: Node):
+        self.sig, self.tag, self.named, self.texts, self.pages, self.chars, self.children = like.sig, like.tag, like.named, set(), 0, 0, []
+        self.constant, self.varying = False, 0
 
 
 def runs(node: Node) -> list[list[Node]]:
@@ -232,61 +249,111 @@ def runs(node: Node) -> list[list[Node]]:
     return out
 
 
+def _is_leaf(group: list[Node]) -> bool:
+    return len(group) > 1 or group[0].tag not in CONTAINERS
+
+
 def own_text(nodes: list[Node]) -> str:
     """The text that belongs to a wrapper node itself: all of it where several or prose nodes stand for one."""
-    if len(nodes) > 1 or nodes[0].tag not in CONTAINERS:
+    if _is_leaf(nodes):
         return " ".join(line for x in nodes for line in blocks(x))
     return " ".join("".join(x for x in nodes[0].parts if isinstance(x, str)).split())
 
 
-def matching(slots: list[Slot], groups: list[list[Node]]) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: pairs with equal signatures, in order, with the most matched nodes below them."""
-    head = 0
-    while head < min(len(slots), len(groups)) and slots[head].sig == groups[head][0].sig:
-        head += 1
-    pairs = [(k, k) for k in range(head)]
-    a, b = slots[head:], groups[head:]
-    if len(a) * len(b) > TABLE_CELLS:
-        place: dict[str, list[int]] = {}
-        for k in range(len(a) - 1, -1, -1):
-            place.setdefault(a[k].sig, []).append(k)
-        last = -1
-        for j, group in enumerate(b):
-            queue = place.get(group[0].sig, [])
-            while queue and queue[-1] <= last:
-                queue.pop()
-            if queue:
-                last = queue.pop()
-                pairs.append((head + last, head + j))
-        return pairs
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            both = table[i + 1][j + 1] + tree_match(a[i], b[j]) if a[i].sig == b[j][0].sig else 0
-            table[i][j] = max(table[i + 1][j], table[i][j + 1], both)
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if a[i].sig == b[j][0].sig and table[i][j] > max(table[i + 1][j], table[i][j + 1]):
-            pairs.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+class Matcher:
+    """Simple tree matching over numbered shapes: trees with equal signatures all over have one number, so each pair of shapes is matched once."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.sigs: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def _number(self, sig: str, kids: list[int]) -> int:
+        key = (sig, *kids)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.sigs)
+            self.sigs.append(sig)
+            self.kids.append(tuple(kids))
+        return self.numbers[key]
+
+    def of_group(self, group: list[Node]) -> int:
+        kids = []
+        if not _is_leaf(group):
+            for x in runs(group[0]):
+                kids.append(self.of_group(x))
+        return self._number(group[0].sig, kids)
+
+    def of_slot(self, slot: Slot) -> int:
+        kids = []
+        for x in slot.children:
+            kids.append(self.of_slot(x))
+        return self._number(slot.sig, kids)
+
+    def score(self, a: int, b: int) -> int:
+        """How many nodes of two trees match, roots with roots."""
+        if self.sigs[a] != self.sigs[b]:
+            return 0
+        if (a, b) not in self.known:
+            total = 1
+            if self.kids[a] and self.kids[b]:
+                for i, j in self.pairs(self.kids[a], self.kids[b]):
+                    total += self.score(self.kids[a][i], self.kids[b][j])
+            self.known[a, b] = total
+        return self.known[a, b]
+
+    def pairs(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of two child lists that are matched, in order, with the most matched nodes below them."""
+        left, right = [self.sigs[x] for x in a], {self.sigs[x]: j for j, x in enumerate(b)}
+        if len(right) == len(b) and len(set(left)) == len(left):  # each signature once: if none cross, all that are in both
+            both = [(i, right[x]) for i, x in enumerate(left) if x in right]
+            if all(x[1] < y[1] for x, y in zip(both, both[1:], strict=False)):
+                return both
+        of_a, of_b = sorted(set(a)), sorted(set(b))
+        weight = np.zeros((len(of_a), len(of_b)), dtype=np.int32)
+        for i, x in enumerate(of_a):
+            for j, y in enumerate(of_b):
+                weight[i, j] = self.score(x, y)
+        ia, ib = np.searchsorted(of_a, a), np.searchsorted(of_b, b)
+        return best_pairs(weight, ia, ib)
+
+
+def _last_row(weight: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """The best total of all of ia with each beginning of ib."""
+    best = np.zeros(len(ib) + 1, dtype=np.int64)
+    for i in ia:
+        row = best.copy()
+        np.maximum(row[1:], best[:-1] + weight[i, ib], out=row[1:])
+        best = np.maximum.accumulate(row)
+    return best
+
+
+def best_pairs(weight: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> list[tuple[int, int]]:
+    """The ordered pairs of two lists with the largest total weight; pairs of weight 0 are none."""
+    if not len(ia) or not len(ib):
+        return []
+    if len(ia) > 1 and len(ia) * len(ib) > TABLE_CELLS:
+        half = len(ia) // 2
+        cut_at = int(np.argmax(_last_row(weight, ia[:half], ib) + _last_row(weight, ia[half:][::-1], ib[::-1])[::-1]))
+        return best_pairs(weight, ia[:half], ib[:cut_at]) + [(i + half, j + cut_at) for i, j in best_pairs(weight, ia[half:], ib[cut_at:])]
+    table = np.zeros((len(ia) + 1, len(ib) + 1), dtype=np.int64)
+    for k, i in enumerate(ia):
+        row = table[k].copy()
+        np.maximum(row[1:], table[k, :-1] + weight[i, ib], out=row[1:])
+        table[k + 1] = np.maximum.accumulate(row)
+    found, i, j = [], len(ia), len(ib)
+    while i and j and table[i, j]:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
         else:
-            j += 1
-    return pairs
-
-
-def tree_match(slot: Slot, group: list[Node]) -> int:
-    """How many nodes of two trees with equal roots match."""
-    if slot.sig != group[0].sig:
-        return 0
-    if len(group) > 1 or not slot.children:
-        return 1
-    below = runs(group[0])
-    return 1 + sum(tree_match(slot.children[i], below[j]) for i, j in matching(slot.children, below))
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found[::-1]
 
 
-def learn(slot: Slot, group: list[Node], placed: dict[int, Slot]) -> None:
+def learn(slot: Slot, group: list[Node], placed: dict[int, Slot], matcher: Matcher) -> None:
     """Align a page's nodes with a wrapper node; nodes that it lacks are added in their place."""
     text = own_text(group)
     slot.texts.add(hash(text))
@@ -294,18 +361,25 @@ def learn(slot: Slot, group: list[Node], placed: dict[int, Slot]) -> None:
     slot.chars += len(text)
     for x in group:
         placed[id(x)] = slot
-    if len(group) > 1 or group[0].tag not in CONTAINERS:
+    if _is_leaf(group):
         return
     below = runs(group[0])
-    met = {j: i for i, j in matching(slot.children, below)}
+    met: dict[int, int] = {}
+    if slot.children and below:
+        a, b = [], []
+        for x in slot.children:
+            a.append(matcher.of_slot(x))
+        for x in below:
+            b.append(matcher.of_group(x))
+        met = {j: i for i, j in matcher.pairs(tuple(a), tuple(b))}
     children, at = [], 0
     for j, other in enumerate(below):
         if j in met:
             children += slot.children[at : met[j] + 1]
             at = met[j] + 1
         else:
-            children.append(Slot(other[0].sig, other[0].tag))
-        learn(children[-1], other, placed)
+            children.append(Slot(other[0]))
+        learn(children[-1], other, placed, matcher)
     slot.children = children + slot.children[at:]
 
 
@@ -317,92 +391,149 @@ def place_copy(node: Node, like: Node, placed: dict[int, Slot]) -> None:
         place_copy(x, y, placed)
 
 
+def settle(slot: Slot) -> None:
+    """Tell for each wrapper node whether it is constant, and how many characters vary."""
+    own = slot.pages > 1 and len(slot.texts) == 1
+    slot.constant, slot.varying = own, 0 if own else slot.chars
+    for x in slot.children:
+        settle(x)
+        slot.constant = slot.constant and x.constant
+        slot.varying += x.varying
+
+
 def content_slot(wrapper: Slot) -> Slot:
-    """The deepest container with most of the varying text."""
-    while True:
-        total = wrapper.varying()
-        deeper = [c for c in wrapper.children if c.tag in CONTAINERS and c.varying() > SLOT_SHARE * total]
-        if not deeper:
-            return wrapper
-        wrapper = deeper[0]
+    """The wrapper node whose text is the content: the child with most of the varying text is entered while nothing that reads as content stays beside it."""
+    while wrapper.tag != "article":
+        most = max(wrapper.children, key=lambda c: c.varying, default=None)
+        total = wrapper.varying
+        if most is None or not most.varying:
+            break
+        if most.named or most.tag not in CONTAINERS or most.varying <= SLOT_SHARE * total:
+            # no child by the alignment alone: names break the tie
+            others = [c for c in wrapper.children if not c.named]
+            most = max(others, key=lambda c: c.varying, default=None)
+            total -= sum(c.varying for c in wrapper.children if c.named)
+            if most is None or not most.varying or most.tag not in CONTAINERS or most.varying <= SLOT_SHARE * total:
+                break
+        if any(c is not most and c.varying and not c.named and c.tag in PROSE for c in wrapper.children):
+            break
+        wrapper = most
+    return wrapper
+
+
+def articles_of(node: Node, skip: set) -> list[Node]:
+    """The outermost article elements of a subtree, those left out aside."""
+    found = []
+    for x in node.parts:
+        if not isinstance(x, str) and id(x) not in skip:
+            if x.tag == "article":
+                found.append(x)
+            else:
+                found += articles_of(x, skip)
+    return found
+
+
+def page_text(root: Node, slot: Slot, placed: dict[int, Slot], constants: bool = True) -> str:
+    """A page's text in the slot; without the slot, that of the whole page without what is template by name."""
+    found: list[Node] = []
+    skip: set[int] = set()
+
+    def look(node: Node, inside: bool) -> None:
+        here = placed.get(id(node))
+        if here is slot and not inside:
+            found.append(node)
+            inside = True
+        elif node.named:
+            skip.add(id(node))
+        elif inside and constants and here is not None and here.constant and here.tag not in PROSE:
+            skip.add(id(node))
+        for x in node.parts:
+            if not isinstance(x, str):
+                look(x, inside)
+
+    look(root, False)
+    out = []
+    for x in found or [root]:
+        articles = articles_of(x, skip) if x.tag != "article" else []
+        held = 0
+        for y in articles:
+            held += size(y, skip)
+        for y in articles if articles and 2 * held >= size(x, skip) else [x]:
+            out += blocks(y, skip)
+    return "\n".join(out)
 
 
 def extract(pages: list[str | None]) -> list[str]:
-    """The main texts of pages of one host; what is left of a page is learned once, however many copies it has."""
+    """The main texts of pages of one host; what a page shows is learned once, however many copies it has."""
     known = list(dict.fromkeys(page or "" for page in pages))
-    roots = []
+    roots, deepest = [], 0
+    limit = sys.getrecursionlimit()
     for page in known:
-        root = parse(page)
-        prune(root)
-        roots.append(main_root(root))
-    wrappers: dict[str, Slot] = {}
-    placed: dict[int, Slot] = {}
-    learned: dict[tuple[str, ...], Node] = {}
-    for root in roots:
-        like = learned.setdefault(form(root), root)
-        if like is root:
-            learn(wrappers.setdefault(root.sig, Slot(root.sig, root.tag)), [root], placed)
-        else:
-            place_copy(root, like, placed)
-    slots = {sig: content_slot(w) for sig, w in wrappers.items()}
-    out = []
-    for root in roots:
-        slot, found, skip = slots[root.sig], [], set()
-
-        def look(node: Node, inside: bool) -> None:
-            here = placed.get(id(node))
-            if here is slot and not inside:
-                found.append(node)
-                inside = True
-            elif inside and here is not None and here.constant and here.tag not in PROSE:
-                skip.add(id(node))
-            for x in node.parts:
-                if not isinstance(x, str):
-                    look(x, inside)
-
-        look(root, False)
-        # a page that the slot's path does not lead through keeps what is no template by label
-        out.append("\n".join(line for x in found or [root] for line in blocks(x, frozenset(skip))))
+        root, depth = parse(page)
+        roots.append(root)
+        deepest = max(deepest, depth)
+    try:
+        # calls of Python functions take no C stack, so trees may be as deep as their pages are
+        sys.setrecursionlimit(max(limit, 4 * deepest + 2000))
+        wrapper, matcher = Slot(Node("#root", "#root", False)), Matcher()
+        placed: dict[int, Slot] = {}
+        learned: dict[tuple[str, ...], Node] = {}
+        for root in roots:
+            keep_holders(root)
+            like = learned.setdefault(form(root), root)
+            if like is root:
+                learn(wrapper, [root], placed, matcher)
+            else:
+                place_copy(root, like, placed)
+        settle(wrapper)
+        slot = content_slot(wrapper)
+        out = []
+        for root in roots:
+            out.append(page_text(root, slot, placed) or page_text(root, slot, placed, constants=False))
+    finally:
+        sys.setrecursionlimit(limit)
     texts = dict(zip(known, out, strict=True))
     return [texts[page or ""] for page in pages]
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = GROUP, broadcast_hosts: int = BROADCAST_HOSTS, copies: int = COPIES) -> DataFrame:
-    """pages with the column `main_text`; a column of that name is replaced."""
-    kept = [c for c in pages.columns if c != "main_text"]
-    keyed = pages.select(*kept, host_of(F.col(url_col)).alias("__host"), F.xxhash64(html_col).alias("__page"))
-    keys = cut(keyed.groupBy("__host", "__page").agg(F.count("*").alias("__n")))
-    counts = keys.groupBy(F.col("__host").alias("__c")).agg(F.ceil(F.count("*") / group).alias("__groups"))
-    if counts.count() <= broadcast_hosts:
-        counts = F.broadcast(counts)
-    rows = keyed.join(counts, F.col("__host") == F.col("__c")).drop("__c")
-    rows = rows.withColumn("__g", F.pmod(F.xxhash64(F.lit(3), "__page"), F.col("__groups"))).drop("__groups")
-    types = {f.name: f.dataType.simpleString() for f in pages.schema}
-    fields = "".join(f"`{c}` {types[c]}, " for c in kept)
+def extract_pages(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = GROUP, broadcast_hosts: int = BROADCAST_HOSTS, copies: int = COPIES, out: str = "main_text"
+) -> DataFrame:
+    """pages with the column `out`, the main text; a column of that name is replaced."""
+    kept = [c for c in pages.columns if c != out]
+    at = f"c{kept.index(html_col)}"
+    plain = numbered(pages, kept)
+    keyed = plain.select("*", host_of(F.col(f"c{kept.index(url_col)}")).alias("host"), F.xxhash64(at).alias("page"))
+    keys = cut(keyed.groupBy("host", "page").agg(F.count("*").alias("n")))
+    counts = cut(keys.groupBy(F.col("host").alias("h")).agg(F.ceil(F.count("*") / group).alias("groups")))
+    rows = keyed.join(small(counts, broadcast_hosts), F.col("host") == F.col("h")).drop("h")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(3), "page"), F.col("groups"))).drop("groups")
+    types = {f.name: f.dataType.simpleString() for f in plain.schema}
+    fields = "".join(f"{c} {t}, " for c, t in types.items())
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("__page", kind="stable")
-        texts = extract([None if not isinstance(t, str) else t for t in x[html_col]])
-        return x[kept].assign(main_text=texts)
+        x = x.sort_values("page", kind="stable")
+        texts = extract([None if not isinstance(t, str) else t for t in x[at]])
+        return x[list(types)].assign(found=texts)
 
-    often = keys.where(F.col("__n") > copies).select("__host", "__page", F.lit(True).alias("__often"))
-    n_often = often.count()
-    if not n_often:
-        return rows.groupBy("__host", "__g").applyInPandas(run, f"{fields}main_text string")
+    often = cut(keys.where(F.col("n") > copies).select("host", "page", F.lit(True).alias("often")))
+    if often.isEmpty():
+        return renamed(rows.groupBy("host", "g").applyInPandas(run, f"{fields}found string"), kept, F.col("found").alias(out))
 
     def run_marked(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("__page", kind="stable")
-        return run(x).assign(__host=x["__host"], __page=x["__page"], __often=x["__often"])
+        x = x.sort_values("page", kind="stable")
+        return run(x).assign(host=x["host"], page=x["page"], often=x["often"])
 
-    marked = rows.join(F.broadcast(often) if n_often <= broadcast_hosts else often, ["__host", "__page"], "left").withColumn("__often", F.coalesce("__often", F.lit(False)))
-    few, many = marked.where(~F.col("__often")), marked.where("__often")
+    marked = rows.join(small(often, broadcast_hosts), ["host", "page"], "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    few, many = marked.where(~F.col("often")), marked.where("often")
     # a set of one page each, so copies are merged before they are dealt
-    one = many.groupBy("__host", "__page", "__g", "__often").agg(F.get(F.collect_set(html_col), F.lit(0)).alias(html_col))
-    one = one.select(*few.columns[:2], *[F.col(c) if c == html_col else F.lit(None).cast(types[c]).alias(c) for c in kept], "__g", "__often")
-    texts = lambda df: df.unionByName(one).groupBy("__host", "__g").applyInPandas(run_marked, f"{fields}main_text string, __host string, __page long, __often boolean")
-    concerned = one.select("__host", "__g").distinct()
-    of_many = texts(few.join(concerned, ["__host", "__g"], "left_semi")).where("__often").select("__host", "__page", "main_text")
-    return texts(few).where(~F.col("__often")).select(*kept, "main_text").unionByName(many.join(of_many, ["__host", "__page"]).select(*kept, "main_text"))
+    one = many.groupBy("host", "page", "g", "often").agg(F.get(F.collect_set(at), F.lit(0)).alias(at))
+    one = one.select(*few.columns[:2], *[F.col(c) if c == at else F.lit(None).cast(types[c]).alias(c) for c in types], "g", "often")
+    texts = lambda df: df.unionByName(one).groupBy("host", "g").applyInPandas(run_marked, f"{fields}found string, host string, page long, often boolean")
+    concerned = one.select("host", "g").distinct()
+    of_many = texts(few.join(concerned, ["host", "g"], "left_semi")).where("often").select("host", "page", "found")
+    whole = texts(few).where(~F.col("often")).select(*types, "found").unionByName(many.join(of_many, ["host", "page"]).select(*types, "found"))
+    return renamed(whole, kept, F.col("found").alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
