@@ -1,15 +1,16 @@
 """Language ID by cross-parsing: a text takes few phrases from the language that it is written in.
 
 For each language one suffix automaton is built over a sample of its labelled texts. A text is parsed greedily into the longest phrases that the automaton
-knows, and the language with the fewest phrases for each character wins. Texts are first reduced to lower-case letters and
-single blanks, and cut into stretches of a fixed length that are parsed side by side; no character is left out.
+knows (a letter that it does not know is a phrase), and the language with the fewest phrases for each character wins. Texts are first reduced to lower-case letters and
+single blanks. Stretches of a text are parsed side by side from the automaton's root; then each is parsed again from the state in which its
+predecessor ended until both parses stand in the same state, so the count is that of one parse of the whole text.
 
-The sample is bounded: TRAIN_DOCS rows with label and a text of TEXT_CHARS characters or fewer for each language, in order of a hash, of LANGUAGES languages at
-most (those with the most such rows); the automaton takes whole texts up to TRAIN_CHARS characters in all. Predictions see the text only.
+The sample is bounded, the languages are not: TRAIN_DOCS rows of each label, in order of a hash, texts of TEXT_CHARS characters or fewer first and of longer
+ones TEXT_CHARS characters; an automaton takes TRAIN_CHARS characters at most. Predictions see the text only.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without labelled rows every text is; ties go to
 the first language by name; a null doc_id counts as the text `null` and is never held out unless its checksum says so; repeated rows are predicted alike;
-other columns are not looked at.
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import read_table
+from paraloom.llm.common import numbered, read_table
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
-TRAIN_DOCS, TEXT_CHARS, TRAIN_CHARS, LANGUAGES = 40, 10_000, 40_000, 64
-#: Characters of a stretch, and stretches parsed side by side.
-STRETCH, LANES = 128, 8192
+TRAIN_DOCS, TEXT_CHARS, TRAIN_CHARS = 40, 10_000, 40_000
+#: Characters of a stretch, stretches parsed side by side, and characters of texts that are predicted together (a longer text is a batch of its own).
+STRETCH, LANES, BATCH_CHARS = 256, 8192, 4_000_000
+#: Cells of the tables of all languages together; beyond that all automata are lists of edges, which answer alike.
+TABLE_CELLS = 32_000_000
+#: The stage takes a label for wrong if another language wins by this score.
+SURE = 0.1
 _MODELS: dict = {}
 
 
@@ -54,12 +59,13 @@ def _letter_table() -> np.ndarray:
 
 
 class Automaton:
-    """A suffix automaton as a table: the next state for each state and symbol, with what a step adds to the phrases."""
+    """A suffix automaton over one language's letters: its edges, or a table of the next state and whether a phrase begins for each state and letter."""
 
     def __init__(self, text: str, alphabet: dict[str, int]):
+        own = {c: k for k, c in enumerate(sorted(set(text)))}
         length, link, moves = [0], [-1], [{}]
         last = 0
-        for c in (alphabet[x] for x in text):
+        for c in map(own.__getitem__, text):
             now = len(length)
             length.append(length[last] + 1)
             link.append(0)
@@ -82,44 +88,85 @@ class Automaton:
                         p = link[p]
                     link[q] = link[now] = twin
             last = now
-        table = np.full((len(length), len(alphabet) + 1), -1, dtype=np.int32)
-        for s, out in enumerate(moves):
-            if out:
-                table[s, list(out)] = list(out.values())
-        # where no move is, a phrase ends and the next begins with this symbol, or is this symbol alone if the text never has it
-        fresh = table[0]
-        again = np.where(fresh >= 0, fresh * 4 + 1, 2).astype(np.int32)
-        self.steps = np.where(table >= 0, table * 4, again[None, :])
-        self.steps[0] = np.where(fresh >= 0, fresh * 4, 1)
-        self.width = table.shape[1]
-
-    def phrases(self, symbols: np.ndarray) -> np.ndarray:
-        """Phrases of each row of symbols; negative symbols end a row."""
-        state = np.zeros(len(symbols), dtype=np.int64)
-        total = np.zeros(len(symbols), dtype=np.int64)
-        steps, width = self.steps.ravel(), self.width
-        for k in range(symbols.shape[1]):
-            column = symbols[:, k]
-            if column[-1] < 0:  # rows are sorted by length, so the longer come first
-                n = int(np.searchsorted(-(column >= 0).astype(np.int8), 0))
-                column, state = column[:n], state[:n]
-            move = steps[state * width + column]
-            total[: len(move)] += move & 3
-            state = (move >> 2).astype(np.int64)
-        return total + (symbols[:, 0] >= 0)
+        # letters of other languages are the last one here
+        self.states, self.width = len(length), len(own) + 1
+        self.letter = np.full(len(alphabet) + 1, len(own), dtype=np.int32)
+        self.letter[[alphabet[c] for c in own]] = np.arange(len(own))
+        self.keys = np.fromiter((s * self.width + c for s, out in enumerate(moves) for c in sorted(out)), np.int64)
+        self.nexts = np.fromiter((out[c] for out in moves for c in sorted(out)), np.int32)
+        self.fresh = np.zeros(self.width, dtype=np.int32)
+        self.fresh[list(moves[0])] = list(moves[0].values())
+        self.table: np.ndarray | None = None
+
+    def tabulate(self) -> None:
+        """Make the table: twice the next state, and one more where a phrase begins."""
+        steps = np.broadcast_to(self.fresh * 2 + 1, (self.states, self.width)).copy()
+        steps.reshape(-1)[self.keys] = self.nexts * 2
+        steps[0] = self.fresh * 2 + 1
+        self.table = steps.reshape(-1)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Twice the next state, and one more where a phrase begins with the letter."""
+        at = state * self.width + letter
+        if self.table is not None:
+            return self.table[at]
+        k = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where((self.keys[k] == at) & (state > 0), self.nexts[k] * 2, self.fresh[letter] * 2 + 1)
+
+    def phrases(self, symbols: np.ndarray, length: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each row of symbols. Rows are columns of the array, longest first; after[k] is the row that row k goes on from, or -1."""
+        n, width = len(length), int(length[0])
+        letter = self.letter[symbols]
+        states, begun = np.zeros((width, n), dtype=np.int32), np.zeros((width, n), dtype=bool)
+        state, end = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        live = n - np.searchsorted(length[::-1], np.arange(width), side="right")  # rows that have a k-th symbol
+        for k in range(width):
+            m = int(live[k])
+            move = self.step(state[:m], letter[k, :m])
+            state = (move >> 1).astype(np.int64)
+            states[k, :m], begun[k, :m] = state, move & 1
+            end[:m] = state
+        lanes = np.flatnonzero(after >= 0)
+        entered = np.zeros(n, dtype=np.int64)
+        while len(lanes):
+            # from the state in which the row before ended, until the parse meets the one that is known
+            begin = end[after[lanes]]
+            todo = begin != entered[lanes]
+            lanes, begin = lanes[todo], begin[todo]
+            entered[lanes] = begin
+            state, rows, changed = begin, lanes, []
+            for k in range(width):
+                inside = length[rows] > k
+                rows, state = rows[inside], state[inside]
+                if not len(rows):
+                    break
+                move = self.step(state, letter[k, rows])
+                begun[k, rows] = move & 1
+                state = (move >> 1).astype(np.int64)
+                apart = state != states[k, rows]
+                rows, state = rows[apart], state[apart]
+                states[k, rows] = state
+                closed = rows[length[rows] == k + 1]
+                end[closed] = states[k, closed]
+                changed.append(closed)
+            lanes = np.flatnonzero(np.isin(after, np.concatenate(changed))) if changed else lanes[:0]
+        return begun.sum(axis=0)
 
 
 class Model:
-    """The automata of all languages over one alphabet."""
+    """The automata of all languages; a text's letters are numbered once for all of them."""
 
-    def __init__(self, samples: list[tuple[str, str]]):
+    def __init__(self, samples: list[tuple[str, str]], table_cells: int = TABLE_CELLS):
         self.languages = [x for x, _ in samples]
         texts = dict(samples)
         self.alphabet = {c: k for k, c in enumerate(sorted({c for t in texts.values() for c in t}))}
-        self.codes = np.full(0x110000, len(self.alphabet), dtype=np.int16)
+        self.codes = np.full(0x110000, len(self.alphabet), dtype=np.int32)
         for c, k in self.alphabet.items():
             self.codes[ord(c)] = k
         self.automata = [Automaton(texts[name], self.alphabet) for name in self.languages]
+        if sum(a.states * a.width for a in self.automata) <= table_cells:
+            for a in self.automata:
+                a.tabulate()
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         plain = [letters(x).strip() if x else "" for x in texts]
@@ -130,21 +177,25 @@ class Model:
         sizes = np.array([len(plain[k]) for k in known])
         flat = self.codes[np.frombuffer("".join(plain[k] for k in known).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         first, pieces = np.cumsum(sizes) - sizes, -(-sizes // STRETCH)
-        owner = np.repeat(np.arange(len(known)), pieces)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = first[owner] + inner * STRETCH
-        length = np.minimum(STRETCH, sizes[owner] - inner * STRETCH)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
+        before = np.cumsum(pieces) - pieces
         counts = np.zeros((len(self.languages), len(known)), dtype=np.int64)
-        for k in range(0, len(owner), LANES):
-            s, n, o = start[k : k + LANES], length[k : k + LANES], owner[k : k + LANES]
-            width = int(n[0])
-            at = s[:, None] + np.arange(width)[None, :]
-            rows = np.where(np.arange(width)[None, :] < n[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
-            rows = np.asfortranarray(rows)
+        begin = 0
+        while begin < len(known):
+            # whole texts of about LANES stretches
+            stop = max(begin + 1, int(np.searchsorted(before + pieces, before[begin] + LANES, side="right")))
+            owner = np.repeat(np.arange(begin, stop), pieces[begin:stop])
+            inner = np.arange(len(owner)) - (before[owner] - before[begin])
+            start = first[owner] + inner * STRETCH
+            length = np.minimum(STRETCH, sizes[owner] - inner * STRETCH)
+            order = np.argsort(-length, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            after = np.where(inner > 0, np.r_[-1, place[:-1]], -1)[order]
+            at = np.arange(int(length.max()))[:, None] + start[order][None, :]
+            symbols = flat[np.minimum(at, len(flat) - 1)]
             for m, automaton in enumerate(self.automata):
-                np.add.at(counts[m], o, automaton.phrases(rows))
+                counts[m, begin:stop] = np.bincount(owner[order] - begin, automaton.phrases(symbols, length[order], after), stop - begin)
+            begin = stop
         rate = counts / sizes[None, :]
         ordered, best = np.sort(rate, axis=0), np.argmin(rate, axis=0)
         score = 1 - ordered[0] / ordered[1] if len(self.languages) > 1 else np.ones(len(known))
@@ -155,39 +206,46 @@ class Model:
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
     """(language, sample text) for each language, by name."""
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(label_col).alias("lang"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.col(text_col).alias("text")
+    text = F.col(text_col)
+    rows = docs.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & text.isNotNull()).select(
+        F.col(label_col).alias("lang"), (F.char_length(text) > TEXT_CHARS).alias("long"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.substring(text, 1, TEXT_CHARS).alias("text")
     )
-    rows = rows.where(F.char_length("text") <= TEXT_CHARS)
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    picked = rows.join(common, "lang", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= TRAIN_DOCS)
-    found = sorted((r["lang"], r["k"], r["text"]) for r in picked.collect())  # LANGUAGES x TRAIN_DOCS texts at most
+    picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("k") <= TRAIN_DOCS)
+    found = sorted((r["lang"], r["k"], r["text"]) for r in picked.select("lang", "k", "text").collect())  # TRAIN_DOCS texts of TEXT_CHARS characters a language
     samples: dict[str, str] = {}
     for lang, _, text in found:
         plain, so_far = letters(text).strip(), samples.setdefault(lang, "")
         if len(so_far) + len(plain) < TRAIN_CHARS:
             samples[lang] = f"{so_far} {plain}".strip()
-    return sorted(samples.items())
+    return sorted((lang, x) for lang, x in samples.items() if x)
 
 
-def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """docs with the struct column `language` (lang, score); a column of that name is replaced."""
+def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text", out: str = "language") -> DataFrame:
+    """docs with the struct column `out` (lang, score); a column of that name is replaced."""
     key = hash(tuple(samples))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MODELS:
+            _MODELS.clear()  # one model at a time
             _MODELS[key] = Model(samples)
         model = _MODELS[key]
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                found = model.predict(part.column(0).to_pylist())
-                language = pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], language], names=[*part.schema.names[1:], "language"])
-
-    kept = [c for c in docs.columns if c != "language"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(F.col(text_col).alias("__text"), *kept).mapInArrow(compute, f"{fields}, language struct<lang:string,score:double>")
+            texts, found, size = [], [], 0
+            for x in batch.column(0):
+                texts.append(x.as_py())
+                size += len(texts[-1] or "")
+                if size >= BATCH_CHARS:
+                    found += model.predict(texts)
+                    texts, size = [], 0
+            found += model.predict(texts)
+            language = pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], language], names=[*batch.schema.names[1:], "found"])
+
+    kept = [c for c in docs.columns if c != out]
+    rows = numbered(docs, [text_col, *kept])
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    found = rows.mapInArrow(compute, f"{fields}found struct<lang:string,score:double>")
+    return found.select(*[F.col(f"c{k + 1}").alias(c) for k, c in enumerate(kept)], F.col("found").alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +256,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told: those without a letter go, and all if no language was learned."""
-    out = predict(docs, training_sample(docs))
-    return out.where(F.col("language.lang") != UNKNOWN).select(*docs.columns)
+    """Documents whose language can be told and is not plainly another than their label says; a null label is filled with the prediction.
+
+    Those without a letter go (nulls and empty texts too), and all if no language was learned. Repeated rows are judged alike; columns of
+    any name pass through unchanged, but for the nulls of `lang`.
+    """
+    samples = training_sample(docs)
+    told = F.col("__language.lang")
+    wrong = F.col("lang").isin([x for x, _ in samples]) & (F.col("lang") != told) & (F.col("__language.score") >= SURE)
+    out = predict(docs, samples, out="__language").where((told != UNKNOWN) & ~F.coalesce(wrong, F.lit(False)))
+    return out.select(*[F.coalesce("lang", told).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
