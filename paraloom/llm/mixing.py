@@ -3,12 +3,13 @@
 Targets: the sources in order of code point weigh 5, 2, 1, repeating, and share `share` of all words; none gets more than
 `most` times its size, and the excess goes to the others by weight (water filling in closed form over one row per source). Words come in
 blocks of equal size. Blocks go to sources by the highest quotients target / (2k + 1): rounding target / divisor
-gives that apportionment but for a few blocks, which the quotients then add or take away. A source's blocks go to its shards (documents by
-hash, a bounded number of words each) by the same rule, at most `most` times the blocks of a shard. Inside a shard documents stand in seeded order, and a
-seeded permutation of its block numbers selects as many as the quota asks for; quotas over a shard's blocks take whole passes first.
+gives that apportionment but for a few blocks, which the quotients then add or take away. A source's blocks go to groups of its shards and from there to shards (documents by
+hash, a bounded number of words each) by the same rule, at most `most` times the blocks of a shard. Inside a shard the seed orders the documents: the quota
+over the shard's blocks takes whole passes first, then the first blocks in that order. So in each shard one document at most is taken in part, and that part is its beginning.
 
 Defined cases: a null or empty text has size 0 and gives nothing; a null source is a source of its own, last; repeated rows are documents
-of their own; a source of size 0 has target 0; no documents give no rows; other columns are not looked at.
+of their own; equal quotients go by a hash of source and shard; a source of size 0 has target 0; no documents give no rows; other columns are not looked at.
+The table of sources, one row each, is put in order in one task.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import SPACES, cut, read_table
+from paraloom.llm.common import SPACES, WORD, cut, read_table, small
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK_WORDS = 16
-#: Words and documents of a shard, about.
-SHARD = 1 << 18
+#: Words and documents of a shard, about, and shards of a group.
+SHARD, GROUP = 1 << 18, 4096
 SEED = 17
-#: A prime above any number of blocks in a shard, so that its multiples run through all of them.
-STEP = 2_654_435_761
+#: Sources, and shards whose quotas the stage needs, that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -77,6 +78,39 @@ def apportion(parts: DataFrame, key: list[str], weight: str, seats: Column, cap:
     return rows.drop("__seats", "__q", "__room", "__off")
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    """(doc_id, source, size, h, more): h is what deals a document to its shard and orders it there."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *more, F.xxhash64(F.lit(seed), id_col, text).alias("h"))
+
+
+def _shard(shards: Column) -> Column:
+    return F.pmod(F.xxhash64("h"), shards)
+
+
+def _quotas(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, block: int, shard_words: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(source, source_size, target, shards) of each source, and (source, shard, blocks, passes, picked) of each shard."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    wanted = targets(sources.select("source", "source_size"), weights, share, most).join(
+        sources.select(F.col("source").alias("__s"), "n_docs"), F.col("source").eqNullSafe(F.col("__s"))
+    )
+    all_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block)
+    wanted = apportion(wanted.withColumn("__tie", F.xxhash64("source")), [], "target", all_blocks).withColumnRenamed("quota", "source_blocks")
+    wanted = cut(wanted.select("source", "source_size", "target", "source_blocks", F.ceil((F.col("source_size") + F.col("n_docs")) / shard_words).cast("long").alias("shards")))
+    named = wanted.select(F.col("source").alias("__s"), "source_blocks", "shards")
+    dealt = sized.join(small(named, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("__s"))).withColumn("shard", _shard(F.col("shards")))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
+    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block).cast("long")).withColumn("__g", F.floor(F.col("shard") / group))
+    groups = shards.groupBy("source", "__g").agg(F.sum("shard_size").alias("group_size"), F.sum("blocks").alias("group_blocks"), F.first("source_blocks").alias("source_blocks"))
+    groups = apportion(groups.withColumn("__tie", F.xxhash64("source", "__g")), ["source"], "group_size", F.col("source_blocks"), F.col("group_blocks") * most)
+    groups = groups.select(F.col("source").alias("__s"), F.col("__g").alias("__h"), F.col("quota").alias("group_quota"))
+    shards = shards.join(groups, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__g") == F.col("__h"))).withColumn("__tie", F.xxhash64("source", "shard"))
+    quotas = apportion(shards, ["source", "__g"], "shard_size", F.col("group_quota"), F.col("blocks") * most)
+    passes = F.coalesce(F.floor(F.try_divide(F.col("quota"), F.col("blocks"))), F.lit(0)).cast("long")
+    quotas = quotas.withColumn("passes", passes).select("source", "shard", "blocks", "passes", (F.col("quota") - F.col("passes") * F.col("blocks")).alias("picked"))
+    return wanted, quotas
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -88,63 +122,62 @@ def mix(
     block: int = BLOCK_WORDS,
     shard_words: int = SHARD,
     seed: int = SEED,
+    group: int = GROUP,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, passes, first_word, shard, blocks, picked) for each document.
+    """(doc_id, source, size, source_size, target, taken, passes, first_word, shard, blocks, picked, h) for each document.
 
-    A document is taken `passes` times whole and once more in the words that `selected` names.
+    A document is taken `passes` times whole and once more in the words that it has among the first `picked` blocks of its shard.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
-    sized = cut(sized.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    wanted = targets(sources.select("source", "source_size"), weights, share, most).join(
-        sources.select(F.col("source").alias("__s"), "n_docs"), F.col("source").eqNullSafe(F.col("__s"))
-    )
-    all_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block)
-    wanted = apportion(wanted.withColumn("__tie", F.xxhash64("source")), [], "target", all_blocks).withColumnRenamed("quota", "source_blocks")
-    wanted = cut(wanted.select("source", "source_size", "target", "source_blocks", F.ceil((F.col("source_size") + F.col("n_docs")) / shard_words).cast("long").alias("shards")))
-    named = wanted.select(F.col("source").alias("__s"), "source_size", "target", "source_blocks", "shards")
-    dealt = sized.join(named, F.col("source").eqNullSafe(F.col("__s"))).withColumn("shard", F.pmod(F.xxhash64("__h"), F.col("shards")))
-    dealt = dealt.drop("__s", "shards")
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block).cast("long")).withColumn("__tie", F.xxhash64("source", "shard"))
-    quotas = apportion(shards, ["source"], "shard_size", F.col("source_blocks"), F.col("blocks") * most)
-    quotas = quotas.select(F.col("source").alias("__s"), F.col("shard").alias("__k"), "blocks", "quota")
-    order = Window.partitionBy("source", "shard").orderBy("__h", "doc_id", "size")
-    placed = dealt.withColumn("first_word", F.sum("size").over(order) - F.col("size"))
+    sized = cut(_dealt(docs, id_col, text_col, source_col, seed, F.size(words(F.col(text_col))).cast("long").alias("size")))
+    wanted, quotas = _quotas(sized, weights, share, most, block, shard_words, group)
+    named = wanted.select(F.col("source").alias("__s"), "source_size", "target", "shards")
+    dealt = sized.join(small(named, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("__s"))).withColumn("shard", _shard(F.col("shards"))).drop("__s", "shards")
+    order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
+    placed = dealt.withColumn("first_word", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    quotas = quotas.select(F.col("source").alias("__s"), F.col("shard").alias("__k"), "blocks", "passes", "picked")
     out = placed.join(quotas, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__k")))
-    passes = F.coalesce(F.floor(F.try_divide(F.col("quota"), F.col("blocks"))), F.lit(0)).cast("long")
-    out = out.withColumn("passes", passes).withColumn("picked", F.col("quota") - F.col("passes") * F.col("blocks"))
-    lo = F.floor(F.col("first_word") / block)
-    hi = F.floor((F.col("first_word") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
-    in_block = lambda b: F.least((b + 1) * block, F.col("first_word") + F.col("size")) - F.greatest(b * block, F.col("first_word"))
-    part = F.aggregate(F.filter(F.sequence(lo, hi), lambda b: selected(b, seed)), F.lit(0).cast("long"), lambda a, b: a + in_block(b))
-    out = out.withColumn("taken", F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("picked") > 0), part).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "first_word", "shard", "blocks", "picked")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("picked") * block - F.col("first_word")))
+    out = out.withColumn("taken", F.col("passes") * F.col("size") + part)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "first_word", "shard", "blocks", "picked", "h")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, as it stands."""
+    parts = F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1)
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("chars"))
 
+    def add(s: Column, x: Column) -> Column:
+        more = F.struct((s["words"] + F.when(x != "", 1).otherwise(0)).alias("words"), (s["chars"] + F.char_length(x) + 1).alias("chars"))
+        return F.when(s["words"] >= n, s).otherwise(more)
 
-def selected(block_number: Column, seed: int = SEED) -> Column:
-    """Whether the shard's seeded permutation has the block among its picked ones."""
-    blocks = F.greatest(F.col("blocks"), F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(seed), "shard"), blocks)
-    return F.pmod(block_number * F.lit(STEP) + start, blocks) < F.col("picked")
+    return F.substring(text, F.lit(1), F.aggregate(parts, start, add)["chars"] - 1)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block: int = BLOCK_WORDS) -> DataFrame:
-    """The mix: a document's row as often as it is taken whole, and a row with the words of its selected blocks where it is taken in part.
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block: int = BLOCK_WORDS, shard_words: int = SHARD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The mix: a document's row as often as it is taken whole, and a row with its beginning where it is taken in part.
 
-    docs must have one row for each doc_id, as a dedup stage leaves them.
+    A document is judged by its shard's quota and by the first document that the quota does not take whole, so texts are not shuffled.
+    Rows without a word go; rows that are alike in doc_id and text are taken alike; columns of any name pass through.
     """
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "taken", "passes", "first_word", "shard", "blocks", "picked")
-    # a document in no partial pass needs no block numbers
-    part = F.col("taken") - F.col("passes") * F.col("size")
-    copies = F.concat(F.array_repeat(F.lit(True), F.col("passes").cast("int")), F.when(part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = docs.select(F.struct(*docs.columns).alias("__d"), F.col("doc_id").alias("__i")).join(plan, F.col("__i").eqNullSafe(F.col("__id")))
+    plan = cut(mix(docs, block=block, shard_words=shard_words).select("source", "shard", "h", "doc_id", "size", "first_word", "passes", "picked"))
+    past = F.col("first_word") + F.col("size") > F.col("picked") * block
+    edge = F.min(F.when(past, F.struct("h", "doc_id", (F.col("picked") * block - F.col("first_word")).alias("words"))))
+    shards = cut(plan.groupBy("source", "shard").agg(F.first("passes").alias("passes"), edge.alias("edge")).select(F.col("source").alias("__s"), F.col("shard").alias("__k"), "passes", "edge"))
+    sources = cut(plan.groupBy(F.col("source").alias("__t")).agg(F.ceil((F.sum("size") + F.count("*")) / shard_words).cast("long").alias("__n")))
+    rows = _dealt(docs, "doc_id", "text", "source", SEED, F.struct(*docs.columns).alias("__d"))
+    rows = rows.where(F.col("__d.text").rlike(WORD)).join(small(sources, broadcast_rows), F.col("source").eqNullSafe(F.col("__t")))
+    rows = rows.join(small(shards, broadcast_rows), F.col("source").eqNullSafe(F.col("__s")) & (_shard(F.col("__n")) == F.col("__k")))
+    at, edge_id = F.col("edge.h"), F.col("edge.doc_id")
+    same = F.col("edge").isNotNull() & (F.col("h") == at) & F.col("doc_id").eqNullSafe(edge_id)
+    before = F.col("edge").isNull() | (F.col("h") < at) | ((F.col("h") == at) & F.coalesce(F.col("doc_id") < edge_id, F.col("doc_id").isNull() & edge_id.isNotNull()))
+    part = F.when(same & (F.col("edge.words") > 0), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
+    copies = F.concat(F.array_repeat(F.lit(True), F.col("passes").cast("int") + before.cast("int")), part)
     rows = rows.withColumn("__whole", F.explode(copies))
-    some = F.array_join(F.filter(words(F.col("__d.text")), lambda w, i: selected(F.floor((F.col("first_word") + i) / block))), " ")
-    text = F.when(F.col("__whole") | (part == F.col("size")), F.col("__d.text")).otherwise(some)
+    text = F.when(F.col("__whole"), F.col("__d.text")).otherwise(first_words(F.col("__d.text"), F.col("edge.words")))
+    rows = rows.withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
-    return rows.withColumn("__text", text).select(*[(new[c] if c in new else F.col("__d")[c]).alias(c) for c in docs.columns])
+    return rows.select(*[(new[c] if c in new else F.col("__d")[c]).alias(c) for c in docs.columns])
