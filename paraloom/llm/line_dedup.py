@@ -1,8 +1,9 @@
 """Line dedup: explode normalised lines, hash them, count the documents of each hash, drop lines over a threshold, reassemble by position.
 
 Only DataFrame functions. Lines travel as hashes and positions, so each text is shuffled once, when the positions to drop
-meet their document. Counting is two-phase (a hot line shrinks before the shuffle); the join that finds the dropped
-lines is a sort-merge join whose hot partitions adaptive execution splits.
+meet their document. The hashes are written to the shared checkpoint folder, so texts are split for them once. Counting is two-phase (a hot line shrinks before the shuffle); the join that finds the dropped
+lines is a sort-merge join whose hot partitions adaptive execution splits. What stays of a document are the runs of lines between dropped positions, so the work
+is in proportion to its lines, however many go.
 
 Defined cases: a null or empty text is one empty line and keeps an empty text; lines of one text that are equal count one
 document; rows with the same doc_id count as one document and each keeps its own lines; a null doc_id is one document of
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import LOWER, SPACES, UPPER, ascii_lower, read_table
+from paraloom.llm.common import LOWER, SPACES, UPPER, ascii_lower, cut, read_table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -40,13 +41,19 @@ def _long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
     return rows.where(F.char_length("text") >= min_chars).select("id", F.xxhash64("text").alias("row"), F.explode(hashed).alias("x")).select("id", "row", "x.*")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the struct column `line_dedup` (text, n_lines, n_dropped): the text without its repeated lines.
+def _without(parts: Column, ends: Column) -> Column:
+    """The lines between positions; ends has those that go in order, -1 before and the number of lines after them."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda k: F.slice(parts, F.get(ends, k - 1) + 2, F.get(ends, k) - F.get(ends, k - 1) - 1))
+    return F.flatten(runs)
 
-    A line stays in the largest id that holds it. A column of docs named line_dedup is replaced.
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, out: str = "line_dedup") -> DataFrame:
+    """docs with the struct column `out` (text, n_lines, n_dropped): the text without its repeated lines.
+
+    A line stays in the largest id that holds it. A column of docs of that name is replaced.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = _long_lines(rows, min_chars)
+    lines = cut(_long_lines(rows, min_chars))
     common = (
         lines.groupBy("h1", "h2").agg(F.count_distinct(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
@@ -62,9 +69,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.select(F.struct(*docs.columns).alias("__d"), F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
     met = held.join(drops, held["__i"].eqNullSafe(drops["__id"]) & (F.xxhash64(held["__t"]) == drops["__row"]), "left")
     parts, gone = _lines(F.col("__t")), F.coalesce(F.size("__drop"), F.lit(0))
-    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col("__t"), F.lit(""))).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n"))
-    out = F.struct(kept.alias("text"), F.size(parts).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
-    return met.select(*[F.col("__d")[c].alias(c) for c in docs.columns if c != "line_dedup"], out.alias("line_dedup"))
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort("__drop"), F.array(F.size(parts)))
+    met = met.withColumn("__ends", F.when(F.col("__drop").isNotNull(), ends))
+    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col("__t"), F.lit(""))).otherwise(F.array_join(_without(parts, F.col("__ends")), "\n"))
+    found = F.struct(kept.alias("text"), F.size(parts).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
+    return met.select(*[F.col("__d")[c].alias(c) for c in docs.columns if c != out], found.alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +83,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their repeated lines gone."""
-    out = dedup_lines(docs)
-    new = {"text": F.col("line_dedup.text"), "n_chars": F.char_length("line_dedup.text").cast("long")}
+    """The documents with their repeated lines gone, and n_chars anew; a null text becomes empty, rows that repeat keep their own lines, and columns of any name pass through."""
+    out, x = dedup_lines(docs, out="__line_dedup"), F.col("__line_dedup.text")
+    new = {"text": x, "n_chars": F.char_length(x).cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
