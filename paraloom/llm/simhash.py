@@ -4,8 +4,8 @@ A text's fingerprint has a bit set where over half of its shingles' hashes have
 fingerprint. Fingerprints within a Hamming distance are found on the ring of segments: if they differ in d bits or fewer, some
 segment starts a chain whose cumulative differences over l segments stay within l * d / m for every l. The longest prefix
 of a chain that must be free of differences is the join key; the rest of the chain is checked before the
-full distance. A group of fingerprints that share a key is split again by a further segment as long as it is large, which loses
-no pair: among k segments with d < k differences one is equal. A group gives the edges of a spanning forest, not its pairs.
+full distance. A group of fingerprints that share a key is split again by a further part of the other bits as long as it is large, which loses
+no pair: among d + 1 parts with d differences one is equal. A group gives the edges of a spanning forest, not its pairs.
 
 The pipeline's stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY as well: candidates share a band of BANDS x ROWS
 minimum hashes (a pair at 0.8 shares none with probability 6e-7), and every candidate pair is checked on the whole sets.
@@ -84,10 +84,6 @@ def free_prefix(segments: int, distance: int) -> int:
     return -(-segments // distance) - 1
 
 
-def _parts(fps: np.ndarray, segments: int) -> np.ndarray:
-    return np.stack([fps >> np.uint64(s) & np.uint64((1 << w) - 1) for s, w in ring(segments)], axis=1)
-
-
 def linked_pairs(fps: np.ndarray, start: int, distance: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group whose chain from start holds and whose distance is within the limit."""
     order = [(start + k) % segments for k in range(segments)]
@@ -127,32 +123,35 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
 
 
 def _keyed(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
-    """(fp, start, more, key): each fingerprint once for every start of a chain. more has the segments that a split has added."""
+    """(fp, start, key, rest): each fingerprint once for every start of a chain; rest has the bits outside the prefix."""
     prefix, parts = free_prefix(segments, distance), ring(segments)
     keys = []
     for start in range(segments):
-        key = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in (parts[(start + k) % segments] for k in range(prefix))]
-        keys.append(F.struct(F.lit(start).alias("start"), F.lit(-1).alias("more"), F.xxhash64(*key).alias("key")))
+        order = [parts[(start + k) % segments] for k in range(segments)]
+        key = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in order[:prefix]]
+        rest = F.lit(0).cast("long")
+        for s, w in order[prefix:]:
+            rest = F.shiftleft(rest, w).bitwiseOR(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)))
+        keys.append(F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(start), *key).alias("key"), rest.alias("rest")))
     return nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
 
 
-def _split(rows: DataFrame, distance: int, segments: int) -> DataFrame:
-    """Groups over GROUP by a further segment: of those outside the prefix, more than distance are left, so one is equal in any pair."""
-    prefix, parts = free_prefix(segments, distance), ring(segments)
-    sizes = rows.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    marked = rows.join(sizes, ["start", "key"], "left")
-    more = []
-    for start in range(segments):
-        rest = [(start + k) % segments for k in range(prefix, segments)]
-        more.append(F.array(*[F.struct(F.lit(i).alias("more"), F.xxhash64("key", F.shiftrightunsigned("fp", parts[i][0]).bitwiseAND(F.lit((1 << parts[i][1]) - 1))).alias("key")) for i in rest]))
-    by_start = F.element_at(F.array(*more), F.col("start") + 1)
-    same = F.array(F.struct(F.lit(-1).alias("more"), F.col("key")))
-    return marked.select("fp", "start", F.explode(F.when(F.col("n").isNull(), same).otherwise(by_start)).alias("k")).select("fp", "start", "k.*")
+def _split(rows: DataFrame, distance: int, width: int) -> tuple[DataFrame, int]:
+    """The rows once for each of distance + 1 parts of their rest's width bits, the part in the key: one part is equal in any pair. With the width that is left."""
+    cuts = [width * k // (distance + 1) for k in range(distance + 2)]
+    parts = []
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = F.shiftrightunsigned("rest", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        others = F.shiftleft(F.shiftrightunsigned("rest", b), a).bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << a) - 1)))
+        parts.append(F.struct(F.xxhash64("key", F.lit(n), part).alias("key"), others.alias("rest")))
+    out = rows.select("fp", "start", F.explode(F.array(*parts)).alias("k")).select("fp", "start", "k.*")
+    return out, width - min(b - a for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group: int = GROUP) -> DataFrame:
     """(a, b): fingerprints within the distance; within a group of equal keys a spanning forest of its links."""
-    if free_prefix(segments, distance) < 1 or segments - free_prefix(segments, distance) <= distance:
+    prefix = free_prefix(segments, distance)
+    if prefix < 1:
         raise ValueError("the ring has too few segments for the distance")
 
     def link(x: pd.DataFrame) -> pd.DataFrame:
@@ -162,10 +161,19 @@ def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEG
         signed = fps.view(np.int64)
         return pd.DataFrame({"a": signed[at[:, 0]], "b": signed[at[:, 1]]})
 
-    groups = _split(_keyed(nodes, distance, segments), distance, segments)
-    # groups of one have no pair; the count is aggregated before the rows are dealt
-    sizes = groups.groupBy("start", "more", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return groups.join(sizes.drop("n"), ["start", "more", "key"], "left_semi").groupBy("start", "more", "key").applyInPandas(link, "a long, b long")
+    found, rows, width = None, _keyed(nodes, distance, segments), max(sum(ring(segments)[(s + k) % segments][1] for k in range(prefix, segments)) for s in range(segments))
+    while True:
+        # groups of one have no pair; the count is aggregated before the rows are dealt
+        sizes = cut(rows.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1"))
+        large = width > 2 * (distance + 1) and not sizes.where(F.col("n") > group).isEmpty()
+        small = rows.join((sizes.where(F.col("n") <= group) if large else sizes).drop("n"), ["start", "key"], "left_semi")
+        edges = small.groupBy("start", "key").applyInPandas(link, "a long, b long")
+        found = edges if found is None else found.unionByName(edges)
+        if not large:
+            return found
+        # a large group is split until it is small, or its bits are nearly used up, so that it cannot be large
+        rows, width = _split(rows.join(sizes.where(F.col("n") > group).drop("n"), ["start", "key"], "left_semi"), distance, width)
+        rows = cut(rows)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
