@@ -252,11 +252,11 @@ def brute_targets(sizes, share=1.5, most=2):
         capped |= over
 
 
-@pytest.mark.parametrize("shard", [mixing.SHARD, 700])
-def test_mixing(spark, docs, shard):
+@pytest.mark.parametrize(("shard", "group"), [(mixing.SHARD, mixing.GROUP), (700, 4096), (700, 3)])
+def test_mixing(spark, docs, shard, group):
     rows = docs + [(2000 + k, "w " * (k * 7), "en", ["c", "d", None][k % 3], 0) for k in range(90)] + [(5000, None, None, "empty", 0)]
     df = frame(spark, rows, size=1, taken=2, shard=3)
-    got = mixing.mix(df, shard_words=shard).collect()
+    got = mixing.mix(df, shard_words=shard, group=group).collect()
     assert sorted((r["doc_id"], r["size"]) for r in got if r["doc_id"] is not None) == sorted((d, len(WORD.findall(t or ""))) for d, t, *_ in rows if d is not None)
     sizes = Counter()
     for _, t, _, s, _ in rows:
@@ -267,7 +267,7 @@ def test_mixing(spark, docs, shard):
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(0.05 * t, 3 * mixing.BLOCK_WORDS), (s, taken[s], t)
-    assert sorted(map(tuple, mixing.mix(df.repartition(7), shard_words=shard).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    assert sorted(map(tuple, mixing.mix(df.repartition(7), shard_words=shard, group=group).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(frame(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, None, None, None, None)])).collect()] == [0]
 
@@ -286,16 +286,26 @@ def test_apportion_is_sainte_lague(spark):
         assert got == {k: want[k] for k in range(9)}
 
 
-def test_mixing_stage(spark):
-    rows = [(k, " ".join(f"w{k}_{i}" for i in range(k % 40)), "en", "ab"[k % 2], 0) for k in range(200)]
-    df = frame(spark, rows)
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
-    out = Counter()
-    for r in mixing.stage(spark, df, "").collect():
-        words = r["text"].split()
-        assert set(words) <= set(rows[r["doc_id"]][1].split()) and r["n_chars"] == len(r["text"])
-        out[r["doc_id"]] += len(words)
-    assert {d: n for d, n in taken.items() if n} == dict(out)
+@pytest.mark.parametrize(("shard", "rows"), [(mixing.SHARD, mixing.BROADCAST_ROWS), (500, 0)])
+def test_mixing_stage(spark, shard, rows):
+    r = random.Random(3)
+    kept = [(k if k % 50 else None, "".join(f"w{k}_{i}" + r.choice([" ", "\n", " \t "]) for i in range(k % 40)) or None, "en", ["a", "b", "b", None][k % 4], 0) for k in range(200)]
+    df = frame(spark, kept, shard=7, h="x", edge="y")
+    plan = mixing.mix(df, shard_words=shard).collect()
+    taken = sorted((r["taken"], r["size"]) for r in plan if r["taken"])
+    out = mixing.stage(spark, df, "", shard_words=shard, broadcast_rows=rows)
+    assert out.columns == df.columns
+    whole, cut_short = {t: [n, 0] for _, t, *_ in kept for n in [len((t or "").split())] if t}, 0
+    for x in out.collect():
+        assert x["n_chars"] == len(x["text"]) and (x["shard"], x["h"], x["edge"]) == (7, "x", "y")
+        # whole, or the beginning of a text as it stands, cut behind a word
+        own = next(t for t in whole if t.startswith(x["text"]) and len(t) - len(x["text"]) in (0, *range(1, 10**6)) and t.split()[0] == x["text"].split()[0])
+        cut_short += own != x["text"]
+        assert own == x["text"] or (x["text"] == x["text"].rstrip() and own[len(x["text"])].isspace())
+        whole[own][1] += len(x["text"].split())
+    assert sorted((n, size) for size, n in whole.values() if n) == taken
+    assert cut_short <= len({(r["source"], r["shard"]) for r in plan})
+    assert mixing.stage(spark, frame(spark, []), "").count() == 0
 
 
 # ---- language ID ----
@@ -324,29 +334,76 @@ def test_language_id(spark):
     assert all(x["h"] == (zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1) for x in held)
 
 
+def greedy_phrases(text, sample):
+    at = n = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample and text[at : at + size] in sample:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+@pytest.mark.parametrize("cells", [language_id.TABLE_CELLS, 0])
+def test_prediction_is_that_of_one_parse(cells, monkeypatch):
+    r, kinds = random.Random(4), {"xx": ["ka", "to", "mi", "re"], "yy": ["sch", "ung", "ver", "ei"], "zz": ["ção", "lh", "nho", "ka"]}
+    samples = [(x, sample_words(r, v, 150)) for x, v in kinds.items()] + [("aa", "k")]
+    texts = [sample_words(r, sum(r.sample(list(kinds.values()), 2), []) + ["ß", "中"] * (k % 2), r.choice([1, 2, 9, 40, 300])) for k in range(40)] + ["a" * 900, "中" * 700, "kato" * 300, samples[0][1], None, "12"]
+    want = []
+    for t in texts:
+        plain = language_id.letters(t).strip() if t else ""
+        n = sorted((greedy_phrases(plain, sample), x) for x, sample in sorted(samples)) if plain else None
+        want.append((n[0][1], 1 - n[0][0] / n[1][0]) if n else ("und", 0.0))
+    for stretch, lanes in ((256, 8192), (7, 16), (1, 5), (3, 1)):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        monkeypatch.setattr(language_id, "LANES", lanes)
+        got = language_id.Model(sorted(samples), cells).predict(texts)
+        assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
+def test_many_languages_and_letters(spark):
+    import tracemalloc
+
+    r = random.Random(3)
+    rows = [(k, sample_words(r, [chr(0x4E00 + 300 * (k % 70) + i) for i in range(90)], 60), f"l{k % 70:02d}", None, 0) for k in range(280)]
+    # a language that has long texts only, and one whose label has no letter in its texts
+    rows += [(1000 + k, "ñandu opa " * 1500, "long", None, 0) for k in range(3)] + [(2000, "1 2 3", "none", None, 0)]
+    df = frame(spark, rows)
+    samples = language_id.training_sample(df)
+    assert len(samples) == 71 and "none" not in dict(samples) and len(dict(samples)["long"]) <= language_id.TRAIN_CHARS
+    assert all(x["language"]["lang"] == x["lang"] for x in language_id.predict(df, samples).where("lang <> 'none'").collect())
+    text = "".join(r.choices([chr(0x4E00 + i) for i in range(5000)], k=40_000))
+    tracemalloc.start()
+    model = language_id.Model([("a", text), ("b", "abc " * 100)], table_cells=language_id.TABLE_CELLS)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 300e6 and [x for x, _ in model.predict([text[500:700], "abc abc"])] == ["a", "b"]
+
+
+def test_language_stage_decides(spark):
+    r, kinds = random.Random(4), {"xx": ["ka", "to", "mi", "re"], "yy": ["sch", "ung", "ver", "ei"]}
+    rows = [(k, sample_words(r, kinds[x], 60), x, "s", 0) for k in range(60) for x in [list(kinds)[k % 2]]]
+    wrong = next(k for k in range(500, 600) if zlib.crc32(str(k).encode()) % 3 == 1)  # not learned from
+    rows += [(wrong, rows[0][1], "yy", "s", 0), (101, rows[1][1], None, "s", 0), (102, rows[1][1], "other", "s", 0), (103, "1 2", "xx", "s", 0)]
+    rows = [x for x in rows if x[0] != 102] + [(102, "kato schung", None, None, 0)]
+    df = frame(spark, rows, language="mine", __text="t")
+    out = language_id.stage(spark, df, "")
+    got = {x["doc_id"]: x for x in out.collect()}
+    # a wrong label goes, a missing one is filled, the columns of such names stay as they are
+    assert out.columns == df.columns and set(got) == {x[0] for x in rows} - {wrong, 103}
+    assert got[101]["lang"] == "yy" and got[102]["lang"] in kinds and all(x["language"] == "mine" and x["__text"] == "t" for x in got.values())
+
+
 def test_cross_parsing_counts_greedy_phrases():
-    text = "abracadabra abrab"
-    alphabet = {c: k for k, c in enumerate(sorted(set(text)))}
-    automaton = language_id.Automaton(text, alphabet)
-
-    def greedy(s):
-        n = k = 0
-        while k < len(s):
-            size = 1
-            while k + size < len(s) and s[k : k + size + 1] in text:
-                size += 1
-            n, k = n + 1, k + size
-        return n
-
-    r = random.Random(1)
-    for _ in range(200):
-        s = "".join(r.choices("abrcd x", k=r.randint(1, 30)))
-        row = np.array([[alphabet.get(c, len(alphabet)) for c in s]], dtype=np.int64)
-        got = int(automaton.phrases(row)[0])
-        unknown = s.count("x")
-        assert greedy(s) <= got <= greedy(s) + unknown, s
-        if not unknown:
-            assert got == greedy(s), s
+    sample = "abracadabra abrab"
+    alphabet = {c: k for k, c in enumerate(sorted(set(sample) | {"x"}))}
+    automaton = language_id.Automaton(sample, alphabet)
+    for table in (False, True):
+        if table:
+            automaton.tabulate()
+        for text in ("abrabra", "cadabx xbra", "x", "abracadabra abrab", "bbbb"):
+            symbols = np.array([alphabet[c] for c in text])[:, None]
+            assert automaton.phrases(symbols, np.array([len(text)]), np.array([-1])).tolist() == [greedy_phrases(text, sample)]
 
 
 # ---- quality ----
@@ -376,20 +433,33 @@ def test_quality(spark, docs):
     rows = docs + good + junk
     labels = spark.createDataFrame([(d, 1, 0) for d, *_ in good[:40]] + [(d, 0, 0) for d, *_ in junk[:9]] + [(None, 1, 0), (3000, None, 1)], "doc_id long, quality int, toxic int")
     df = frame(spark, rows, quality_rules=1, good=2)
-    ratios, n = quality.log_ratios(df, labels)
-    again, _ = quality.log_ratios(df, labels, broadcast_ids=0)
-    assert n == 40 and np.array_equal(ratios, again)
-    got = {x["doc_id"]: x["quality_rules"] for x in quality.judge(df, ratios, quality.threshold(n)).collect()}
-    raw = np.zeros(quality.BUCKETS) + 1
+    ratios = quality.log_ratios(df, labels)
+    assert np.array_equal(ratios, quality.log_ratios(df, labels, broadcast_ids=0))
+    got = {x["doc_id"]: x["quality_rules"] for x in quality.judge(df, ratios).collect()}
+    raw, want = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS)
     for _, t, *_ in rows:
         np.add.at(raw, quality.buckets(t or ""), 1)
-    want = np.zeros(quality.BUCKETS) + 1
     for _, t, *_ in good[:40]:
         np.add.at(want, quality.buckets(t), 1)
-    assert np.allclose(ratios, np.log(want / want.sum()) - np.log(raw / raw.sum()))
+    raw /= raw.sum()
+    want = (want + quality.PRIOR * raw) / (want.sum() + quality.PRIOR)
+    assert np.allclose(ratios, np.log(want / raw))
     assert not any(got[d]["kept"] for d, *_ in junk) and not got[0]["kept"] and got[0]["base_failed"] and got[0]["ratio"] == 0
-    assert all(got[d]["ratio"] > quality.threshold(n) for d, *_ in good)
-    assert quality.judge(frame(spark, []), ratios, -1.0).count() == 0 and quality.log_ratios(frame(spark, []), labels)[0].max() == 0
+    # every document against the score of its own n-grams, one by one
+    for d, t, *_ in rows:
+        if d is not None:
+            grams = quality.buckets(t or "").tolist()
+            score = sum(np.log(want[g] / raw[g]) for g in grams) / max(1, len(grams))
+            words, *_, repeats = brute_counts(t or "")
+            failed = words < 50 or 100 * repeats > 50 * words
+            assert abs(got[d]["ratio"] - score) < 1e-9 and got[d]["base_failed"] == failed and got[d]["kept"] == (not failed and score >= -0.06)
+    assert all(got[d]["ratio"] > 0 for d, *_ in good)
+    # without trusted texts the base rules alone drop
+    none = quality.log_ratios(df, labels.limit(0))
+    assert np.abs(none).max() < 1e-12 and all(x["quality_rules"]["kept"] != x["quality_rules"]["base_failed"] for x in quality.judge(df, none).collect())
+    assert quality.judge(frame(spark, []), ratios).count() == 0 and np.abs(quality.log_ratios(frame(spark, []), labels)).max() < 1e-12
+    clash = quality.judge(frame(spark, rows[:3], found=1, c0="x", __text="y"), ratios)
+    assert clash.columns == [*frame(spark, [], found=1, c0="x", __text="y").columns, "quality_rules"] and {(r["found"], r["c0"], r["__text"]) for r in clash.collect()} == {(1, "x", "y")}
 
 
 # ---- HTML ----
@@ -439,6 +509,84 @@ def test_html_copies_keep_their_text(spark):
             assert got.columns == [*df.columns, "main_text"] and sorted((r["page_id"], r["main_text"]) for r in got.collect()) == want
 
 
+def test_html_matching_is_the_largest():
+    r = random.Random(8)
+
+    def tree(depth):
+        node = html_text.Node("div", r.choice("ab"), False)
+        node.parts = [tree(depth - 1) for _ in range(r.randint(0, 4))] if depth else []
+        return node
+
+    def brute(a, b):  # over runs of neighbours with one signature, as the wrapper has them
+        if a[0].sig != b[0].sig:
+            return 0
+        if len(a) > 1 or len(b) > 1:
+            return 1
+        x, y = html_text.runs(a[0]), html_text.runs(b[0])
+
+        def best(i, j):
+            if i == len(x) or j == len(y):
+                return 0
+            both = brute(x[i], y[j])
+            return max(best(i + 1, j), best(i, j + 1), both + best(i + 1, j + 1) if both else 0)
+
+        return 1 + best(0, 0)
+
+    for _ in range(150):
+        a, b = tree(3), tree(3)
+        m = html_text.Matcher()
+        assert m.score(m.of_group([a]), m.of_group([b])) == brute([a], [b])
+
+
+def test_html_long_lists_are_halved(monkeypatch):
+    r = np.random.default_rng(1)
+    for _ in range(30):
+        weight = r.integers(0, 5, (4, 4)).astype(np.int32)
+        ia, ib = r.integers(0, 4, 25), r.integers(0, 4, 31)
+        total = lambda pairs, weight=weight, ia=ia, ib=ib: sum(weight[ia[i], ib[j]] for i, j in pairs)
+        whole = html_text.best_pairs(weight, ia, ib)
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "TABLE_CELLS", 40)
+            halved = html_text.best_pairs(weight, ia, ib)
+        assert total(whole) == total(halved) and all(a < c and b < d for (a, b), (c, d) in zip(halved, halved[1:], strict=False))
+
+
+def test_html_names_are_whole_words():
+    keep = [
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>text</p></article>', "Title\ntext"), ('<div id="main" class="no-sidebar"><p>all text</p></div>', "all text"),
+        ('<div class="wrap has-sidebar"><article><p>one</p></article></div>', "one"), ('<article><section id="discussion"><p>one</p></section><div class="related-work">two</div></article>', "one\ntwo"),
+        ("<article><p>Fill <label>the name</label> here <math>x</math> <canvas>y</canvas></p></article>", "Fill the name here x y"), ("<form><div><article><p>one</p></article></div><input></form>", "one"),
+        ("<article><p>one</p></article><div class=ad>x</div><article class=b><p>two</p></article>", "one\ntwo"), ('<article><p>one</p><article class="comment"><p>no</p></article></article>', "one"),
+        ("<article><table><tr><td>cell</td></tr></table></article>", "cell"), ('<article><div class="ad-box">no</div><div id=cookie-notice>no</div><p>one</p></article>', "one"),
+    ]
+    for page, want in keep:
+        whole = f"<html><body><nav><a>m</a></nav>{page}<footer>f</footer></body></html>"
+        assert html_text.extract([whole]) == [want] and html_text.extract([whole] * 2) == [want] * 2
+
+
+def test_html_alignment_decides_without_names():
+    r = random.Random(4)
+    text = lambda n: sample_words(r, ["ka", "to", "mi", "re"], n)
+    pages, want = [], []
+    for _ in range(12):
+        body = [text(r.randint(5, 60)) for _ in range(3)]
+        teaser = text(4)
+        pages.append(f"<body><div class=x1><div>Our paper</div><div class=x9>Read on, day by day</div></div><div class=x2><h2>{body[0]}</h2><div class=x5>{body[1]}</div><div class=x8>All rights are ours and stay so</div><p>{body[2]}</p></div><div class=x3>{teaser}</div></body>")
+        want.append("\n".join(body))
+    assert html_text.extract(pages) == want
+    # what one page alone cannot tell
+    assert html_text.extract(pages[:1]) != want[:1]
+
+
+def test_html_depth_and_length():
+    deep = "<div class=a><p>x</p>" * 4000 + "<p>end" + "</div>" * 4000
+    out = html_text.extract([deep, deep.replace("end", "and")])
+    assert [x.split("\n")[-1] for x in out] == ["end", "and"]
+    rows = lambda n, w: "<table>" + "".join(f"<tr class=r{k % 2}><td>{w}{k}</td></tr>" for k in range(n)) + "</table>"
+    out = html_text.extract([rows(700, "a"), rows(900, "b")])
+    assert [len(x.split("\n")) for x in out] == [700, 900]
+
+
 # ---- tokens, packing, token files ----
 
 ODD_TEXTS = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "\na", "a\n", "don't <|endoftext|> x<|startoftext|>y", "é́ x y\tz", "a\x1cb c", "\0 a b", "x" * 300 + " y " + "z" * 60, "Ünï ẞ ß 12345 !!??", "Σας ΣΑΣ. x", "Word, word. WORD Word", "İstanbul I ı", "!", "a,b ,c . d.,"]
@@ -451,19 +599,29 @@ def test_encoder_equals_the_library(name, kept):
 
     path = tokens.vocabulary_path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     enc = tokens.UnitEncoder(path, kept)
     some = ODD_TEXTS + [t for t in texts(11, 40) if t] + [f"{a} {b}" for a in ODD_TEXTS for b in ODD_TEXTS[:9]]
     for _ in range(2):
-        assert enc.encode(some) == [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(some, add_special_tokens=False)]
-    assert enc.encode([]) == []
+        assert [x.tolist() for x in enc.encode(some)] == [x.ids for x in plain.encode_batch(some, add_special_tokens=False)]
+    assert list(enc.encode([])) == [] and [len(x) for x in enc.encode([None, "a", None])] == [0, 1, 0]
+    letters = [chr(c) + "x, " + chr(c) + ".\n" + chr(c) for c in range(1, 0x260)]
+    assert [x.tolist() for x in enc.encode(letters)] == [x.ids for x in plain.encode_batch(letters, add_special_tokens=False)]
+    plain.encode_special_tokens = True
+    assert [x.tolist() for x in tokens.UnitEncoder(path, kept, special_text=True).encode(some)] == [x.ids for x in plain.encode_batch(some, add_special_tokens=False)]
+
+
+def test_encoder_cuts_no_chunk(monkeypatch):
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    some = ODD_TEXTS + [t for t in texts(11, 40) if t]
+    whole = [x.tolist() for x in tokens.UnitEncoder(path).encode(some)]
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 100)
+    assert [x.tolist() for x in tokens.UnitEncoder(path).encode(some)] == whole
 
 
 def brute_ids(name, rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.vocabulary_path(name))
-    plain.encode_special_tokens = True
     return [plain.encode(t or "", add_special_tokens=False).ids + [0] for _, t, *_ in rows]
 
 
@@ -520,21 +678,42 @@ def test_packing(spark, docs):
 
 
 def test_repair_round_trip():
-    r = np.random.default_rng(2)
-    for symbols in (r.integers(0, 9, 5000), r.integers(0, 40_000, 5000), np.zeros(3000, int), np.array([], int), np.array([0])):
+    r, end = np.random.default_rng(2), 50_257
+    for symbols in (r.integers(0, 9, 5000), r.integers(0, 40_000, 5000), np.zeros(3000, int), np.array([], int), np.array([0]), r.zipf(1.3, 300_000) % 50_000):
         seq = symbols.astype(np.uint32)
         if len(seq):
-            seq[r.integers(0, len(seq), len(seq) // 50 + 1)] = token_files.END
-        short, rules, lengths = token_files.compress(seq)
-        back = token_files.expand(short, rules)
-        assert np.array_equal(back, np.where(seq == token_files.END, 0, seq))
-        assert len(lengths) == len(rules) and all(len(token_files.expand(np.array([token_files.END + 1 + k], np.uint32), rules)) == n for k, n in list(enumerate(lengths))[:50])
-    assert len(token_files.compress(np.zeros(3000, np.uint32))[0]) < 100
+            seq[r.integers(0, len(seq), len(seq) // 50 + 1)] = end
+        short, rules, lengths = token_files.compress(seq, end)
+        back = token_files.expand(short, rules, end)
+        assert np.array_equal(back, np.where(seq == end, 0, seq))
+        assert len(lengths) == len(rules) and all(len(token_files.expand(np.array([end + 1 + k], np.uint32), rules, end)) == n for k, n in list(enumerate(lengths))[:50])
+        # no pair is left that would pay, overlaps within runs of one symbol aside
+        left = Counter((a, b) for a, b in zip(short.tolist(), short.tolist()[1:]) if end not in (a, b) and a != b)
+        assert not left or max(left.values()) < token_files.LEAST_COUNT
+    assert len(token_files.compress(np.zeros(3000, np.uint32), end)[0]) < 100
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(3)
+    for most in (1, 1 << 10, 1 << 16, 1 << 17, 1 << 21):
+        for n in (0, 1, 7, 8, 1001):
+            values = r.integers(0, most, n).astype(np.uint32)
+            packed = b"x" + token_files.pack_numbers(values)
+            back, at = token_files.unpack_numbers(packed, 1, n)
+            assert np.array_equal(back, values) and at == len(packed)
+
+
+def test_payload_is_smaller_than_plain_ids():
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(3000)]
+    enc = tokens.UnitEncoder(tokens.vocabulary_path(token_files.VOCABULARY))
+    ids = list(enc.encode([" ".join(words[int(3000 * r.random() ** 3)] for _ in range(400)) for _ in range(200)]))
+    assert len(token_files.write_block(list(range(200)), ids, enc.size)) < 1.6 * sum(len(x) + 1 for x in ids)
 
 
 def test_block_random_access():
     ids = [np.array(x, dtype="<u4") for x in ([1, 2, 3] * 50, [], [0, 0, 0], [5] * 40)]
-    block = token_files.Block(token_files.write_block([4, None, 6, -7], [x.tobytes() for x in ids]))
+    block = token_files.Block(token_files.write_block([4, None, 6, -7], ids, 6))
     assert block.doc_ids == [4, None, 6, -7] and block.sizes().tolist() == [151, 1, 4, 41]
     for k in (3, 0, 2, 1):
         assert block.document(k).tolist() == [*ids[k].tolist(), 0]
@@ -544,12 +723,13 @@ def test_block_random_access():
 
 
 def test_token_files(spark, docs, tmp_path):
-    rows = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    # rows of one id, of no id, and alike: in the order of ids, each with its own ids
+    docs = docs + [(5, f"text {k % 4}", None, None, 0) for k in range(40)] + [(None, "no id", None, None, 0)] * 9
     token_files.write_token_files(frame(spark, docs, id=1, block=2), str(tmp_path / "f"), tokens.vocabulary_path(token_files.VOCABULARY), block_ids=500)
-    got, at, want = token_files.read_token_files(spark, str(tmp_path / "f")), 0, []
-    for (d, *_), ids in zip(rows, brute_ids(token_files.VOCABULARY, rows), strict=True):
-        want.append((d, at, len(ids), crc(ids)))
-        at += len(ids)
-    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+    got = sorted(map(tuple, token_files.read_token_files(spark, str(tmp_path / "f")).collect()), key=lambda r: r[1])
+    want = [(d, len(ids), crc(ids)) for (d, *_), ids in zip(docs, brute_ids(token_files.VOCABULARY, docs), strict=True)]
+    assert Counter((d, n, c) for d, _, n, c in got) == Counter(want)
+    assert [d for d, *_ in got] == sorted((d for d, *_ in got), key=lambda d: (d is not None, d or 0))
+    assert [s for _, s, *_ in got] == np.cumsum([0] + [n for _, _, n, _ in got])[:-1].tolist()
     token_files.write_token_files(frame(spark, []), str(tmp_path / "e"), tokens.vocabulary_path(token_files.VOCABULARY))
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0

@@ -59,7 +59,7 @@ def test_stages(spark, rows):
         assert set(t.split()) <= set(clean[d].split())
     assert all(abs(taken[s] - t) <= max(0.05 * t, 3 * mixing.BLOCK_WORDS) for s, t in target.items())
     enc = tokens.UnitEncoder(tokens.vocabulary_path(packing.VOCABULARY))
-    lengths = Counter(n for x in enc.encode([t for _, t, *_ in mixed]) for total in [len(x) // 4 + 1] for n in [2048] * (total // 2048) + [total % 2048] * (total % 2048 > 0))
+    lengths = Counter(n for x in enc.encode([t for _, t, *_ in mixed]) for total in [len(x) + 1] for n in [2048] * (total // 2048) + [total % 2048] * (total % 2048 > 0))
     assert Counter(r[3] for r in packed) == lengths
     assert len({r[5] for r in packed}) == packing.plan_packing(lengths)[1]
 
