@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paraloom.llm import language_id, line_dedup, mixing, packing, simhash
-from paraloom.llm.common import checkpoint_folder, read_table
+from paraloom.llm.common import read_table, remove_folder, scratch_folder
 
 STAGES = [
     ("language ID", language_id.stage),
@@ -20,13 +20,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet to the shared folder and read again."""
-    import uuid
-
-    docs, base = read_table(spark, sf_dir, "documents"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
+    """Apply the stages to documents, each written as Parquet to the shared folder and read again; what is read no more is deleted."""
+    docs, folder = read_table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}")
-            docs = spark.read.parquet(f"{base}/{k}")
+            last, folder = folder, scratch_folder(spark, "pipeline-" + name.replace(" ", "-"))
+            docs.write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            if last:
+                remove_folder(spark, last)
     return docs
