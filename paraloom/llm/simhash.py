@@ -7,8 +7,10 @@ of a chain that must be free of differences is the join key; the rest of the cha
 full distance. A group of fingerprints that share a key is split again by a further part of the other bits as long as it is large, which loses
 no pair: among d + 1 parts with d differences one is equal. A group gives the edges of a spanning forest, not its pairs.
 
-The pipeline's stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY as well: candidates share a band of BANDS x ROWS
-minimum hashes (a pair at 0.8 shares none with probability 6e-7), and every candidate pair is checked on the whole sets.
+The pipeline's stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY as well, since two bits of 64 reach few of them: candidates
+share a band of BANDS x ROWS minimum hashes (a pair at 0.8 shares none with probability 6e-7) and are checked on the whole sets (of 32-bit hashes).
+First every member of a band's group is checked against the member that shares most bands, which connects a group of near copies by as many checks as it has
+members; only groups that are not connected by then are checked pair by pair, in tiles, what is connected already aside.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other; fewer words than a shingle
 has are one shingle; repeated rows have equal fingerprints; a row with a null doc_id gets a fingerprint and the component
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, read_table
+from paraloom.llm.common import cut, numbered, read_table, renamed, small
 from paraloom.llm.components import components
 
 SHINGLE, DISTANCE, SEGMENTS = 3, 2, 5
@@ -35,8 +37,8 @@ GROUP = 512
 #: Words of a shingle and least Jaccard similarity of the stage's near copies, as a fraction.
 NEAR_WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 20, 3
-#: Candidates that are checked against each other at once; larger groups go by pairs of parts.
-PART = 4096
+#: Candidates that are checked against each other at once (larger groups go by pairs of parts), and members of a centre that one task checks.
+PART, DEAL = 4096, 1024
 #: Texts of candidates that are looked up by broadcast at most.
 BROADCAST_IDS = 1_000_000
 _A = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,8 +150,9 @@ def _split(rows: DataFrame, distance: int, width: int) -> tuple[DataFrame, int]:
     return out, width - min(b - a for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group: int = GROUP) -> DataFrame:
-    """(a, b): fingerprints within the distance; within a group of equal keys a spanning forest of its links."""
+def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group: int | None = None) -> DataFrame:
+    """(a, b): fingerprints within the distance; within a group of equal keys (split while over `group`, GROUP by default) a spanning forest of its links."""
+    group = group or GROUP
     prefix = free_prefix(segments, distance)
     if prefix < 1:
         raise ValueError("the ring has too few segments for the distance")
@@ -177,16 +180,16 @@ def linked_edges(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEG
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's NEAR_WORDS-word shingles; fewer words are one shingle."""
+    """The sorted distinct 32-bit hashes of a text's NEAR_WORDS-word shingles; fewer words are one shingle."""
     from xxhash import xxh64_intdigest
 
     words = np.array([xxh64_intdigest(w, SEED) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
     width = min(NEAR_WORDS, len(words))
     if not width:
-        return words
+        return words.astype(np.uint32)
     hashes = sum(words[k : len(words) - width + 1 + k] * _MIX[k] for k in range(width))
     hashes = (hashes ^ hashes >> np.uint64(31)) * _MIX[0]
-    return np.unique(hashes ^ hashes >> np.uint64(29))
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
 def set_id(found: np.ndarray) -> int | None:
@@ -199,7 +202,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     """One key a band of minimum hashes of a set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(found), 1 << 12):
-        least = np.minimum(least, ((found[k : k + (1 << 12), None] ^ _A[0]) * _A[1]).min(axis=0))
+        least = np.minimum(least, ((found[k : k + (1 << 12), None].astype(np.uint64) ^ _A[0]) * _A[1]).min(axis=0))
     return (least.reshape(BANDS, ROWS) * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -221,14 +224,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compute, "doc_id long, fp long, sid long, keys array<long>")
 
 
-def similar_forest(sets: list[np.ndarray]) -> np.ndarray:
-    """Edges of a spanning forest of the pairs whose Jaccard similarity is SIMILARITY or more."""
+def similar(sets: list[np.ndarray], other: np.ndarray) -> np.ndarray:
+    """Which sets have a Jaccard similarity of SIMILARITY or more to another."""
+    top, bottom = SIMILARITY
+    both = np.array([np.isin(x, other, assume_unique=True).sum() for x in sets], dtype=np.int64)
+    return bottom * both >= top * (np.array([len(x) for x in sets], dtype=np.int64) + len(other) - both)
+
+
+def similar_forest(sets: list[np.ndarray], group: np.ndarray | None = None) -> np.ndarray:
+    """Edges of a spanning forest of the pairs whose Jaccard similarity is SIMILARITY or more; sets of one group are connected already."""
     sizes = np.array([len(x) for x in sets])
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    mark, group, (top, bottom), edges = np.zeros(at.max() + 1, dtype=bool), np.arange(len(sets)), SIMILARITY, []
+    group = np.arange(len(sets)) if group is None else group.copy()
+    mark, (top, bottom), edges = np.zeros(at.max() + 1, dtype=bool), SIMILARITY, []
     for k in range(len(sets) - 1):
-        rest = group[k + 1 :] != group[k]  # pairs that are connected already need no look
+        rest = group[k + 1 :] != group[k]
         if not rest.any():
             continue
         own = at[starts[k] : starts[k] + sizes[k]]
@@ -242,42 +253,72 @@ def similar_forest(sets: list[np.ndarray]) -> np.ndarray:
     return np.array(edges, dtype=np.int64).reshape(-1, 2)
 
 
-def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """(a, b): fingerprints of texts whose shingle sets are equal or similar; marked has the rows of sketches."""
-    held = marked.where(F.col("sid").isNotNull())
-    of_set = cut(held.groupBy("sid").agg(F.min("fp").alias("least"), F.min("doc_id").alias("doc_id")))
-    equal = held.select("sid", "fp").distinct().join(of_set, "sid").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    bands = held.select("sid", F.posexplode("keys").alias("band", "key")).distinct()
-    members = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"m{k}") for k in (1, 2)]
-    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n"), *members).where("n > 1")
-    # groups with the same members in several bands are checked once
-    sizes = sizes.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("k")).select("n", "k.*")
-    met = cut(bands.join(sizes, ["band", "key"]))
-    wanted = of_set.join(met.select("sid").distinct(), "sid", "left_semi")
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
+    """(sid, found): the set of each document that is wanted (doc_id), once for each set; documents without an id are looked up as well."""
     ids = wanted.select(F.col("doc_id").alias("__id")).where(F.col("__id").isNotNull()).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    texts = texts.join(ids, "__id", "left_semi").unionByName(texts.where(F.col("__id").isNull())).select("text")
+    texts = texts.join(small(ids, broadcast_ids), "__id", "left_semi").unionByName(texts.where(F.col("__id").isNull())).select("text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "found"])
 
-    sets = texts.mapInArrow(compute, "sid long, found binary").where(F.col("sid").isNotNull()).dropDuplicates(["sid"])
+    return texts.mapInArrow(compute, "sid long, found binary").where(F.col("sid").isNotNull()).dropDuplicates(["sid"])
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, deal: int = DEAL) -> DataFrame:
+    """(x, y): the pairs (centre, sid) whose sets are similar; a centre with very many members is dealt to several tasks."""
+    centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / deal).alias("parts"))
+    left = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts"))).select("centre", "part", "sid").join(sets, "sid")
+    hubs = centres.select(F.col("centre").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal"))
+    right = hubs.join(sets.select(F.col("sid").alias("hub"), F.col("found").alias("own")), "hub")
+
+    def check(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
+        ok = similar([np.frombuffer(v, np.uint32) for v in x["found"]], np.frombuffer(y["own"].iloc[0], np.uint32))
+        sids = x["sid"].to_numpy(np.int64)[ok]
+        return pd.DataFrame({"x": sids, "y": np.full(len(sids), y["hub"].iloc[0], np.int64)})
+
+    return left.groupBy("centre", "part").cogroup(right.groupBy("hub", "deal")).applyInPandas(check, "x long, y long")
+
+
+def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(a, b): fingerprints of texts whose shingle sets are equal or similar; marked has the rows of sketches."""
+    held = marked.where(F.col("sid").isNotNull())
+    of_set = cut(held.groupBy("sid").agg(F.min("fp").alias("least"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
+    equal = held.select("sid", "fp").distinct().join(of_set.select("sid", "least"), "sid").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    bands = of_set.select("sid", F.posexplode("keys").alias("band", "key"))
+    # the key stands twice in the joins: else they would reuse the aggregation's partitions, and a hot band's could not be split
+    twice = F.xxhash64("key").alias("key2")
+    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(bands.select("*", twice).join(sizes.select("*", twice), ["band", "key", "key2"]))
+    shared = met.groupBy("sid").agg(F.sum(F.col("n") - 1).alias("shared"))
+    placed = cut(met.join(shared, "sid"))
+    centre = placed.groupBy("band", "key").agg(F.max(F.struct("shared", "sid"))["sid"].alias("centre")).select("*", twice)
+    stars = placed.join(centre, ["band", "key", "key2"]).where("sid <> centre").select("centre", "sid").distinct()
+    sets = cut(shingle_sets(docs, of_set.join(shared.select("sid"), "sid", "left_semi"), id_col, text_col, broadcast_ids))
+    links = cut(star_links(cut(stars), sets))
+    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    grouped = cut(placed.select("sid", "band", "key", "key2", "n").join(joined, F.col("sid") == F.col("node"), "left").select("sid", "band", "key", "key2", "n", F.coalesce("component", "sid").alias("group")))
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"m{k}") for k in (1, 2)]
+    open_ = grouped.groupBy("band", "key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n"), *members).where("g1 <> g2")
+    # groups with the same members in several bands are checked once
+    open_ = open_.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*").select("*", twice)
     parts = F.ceil(F.col("n") / part)
     mine = F.pmod(F.xxhash64(F.lit(5), "sid"), parts)
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
-    rows = met.select("sid", "band", "key", F.explode(tiles).alias("t")).select("sid", "band", "key", "t.*").join(sets, "sid")
+    rows = grouped.join(open_, ["band", "key", "key2"]).select("sid", "band", "key", "group", F.explode(tiles).alias("t")).select("sid", "band", "key", "group", "t.*").join(sets, "sid")
 
     def link(x: pd.DataFrame) -> pd.DataFrame:
-        at, sids = similar_forest([np.frombuffer(v, dtype=np.uint64) for v in x["found"]]), x["sid"].to_numpy(np.int64)
+        at, sids = similar_forest([np.frombuffer(v, dtype=np.uint32) for v in x["found"]], x["group"].to_numpy(np.int64)), x["sid"].to_numpy(np.int64)
         return pd.DataFrame({"x": sids[at[:, 0]], "y": sids[at[:, 1]]})
 
-    pairs = rows.groupBy("band", "key", "i", "j").applyInPandas(link, "x long, y long").distinct()
+    more = rows.groupBy("band", "key", "i", "j").applyInPandas(link, "x long, y long")
     fp = lambda side, name: of_set.select(F.col("sid").alias(side), F.col("least").alias(name))
-    similar = pairs.join(fp("x", "a"), "x").join(fp("y", "b"), "y").where(F.col("a") != F.col("b")).select("a", "b")
-    return equal.unionByName(similar).distinct()
+    found = links.unionByName(more).distinct().join(fp("x", "a"), "x").join(fp("y", "b"), "y").where(F.col("a") != F.col("b")).select("a", "b")
+    return equal.unionByName(found).distinct()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, near: bool = False) -> DataFrame:
@@ -297,9 +338,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (of rows that repeat it, the first by text); rows without doc_id stay."""
-    groups = dedup(docs, near=True).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(*[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
-    rows = docs.join(groups, "doc_id", "left_semi").withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k")
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id; of rows that repeat a doc_id one stays, the first by its columns; rows without doc_id stay.
+
+    The ids that go are looked up by broadcast while they are few, so that texts stay where they are.
+    """
+    marked = dedup(docs, near=True).where(F.col("doc_id").isNotNull())
+    of_id = marked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n"))
+    odd = cut(of_id.where("not keep or n > 1").select(F.col("doc_id").alias("id"), F.col("keep").alias("repeated")))
+    names = docs.columns
+    rows = numbered(docs, names).withColumn("own", F.col(f"c{names.index('doc_id')}").cast("long")).join(small(odd, broadcast_ids), F.col("own") == F.col("id"), "left")
+    whole = renamed(rows.where("id is null"), names)
+    if odd.where("repeated").isEmpty():
+        return whole
+    once = Window.partitionBy("own").orderBy(*[f"c{names.index(c)}" for c in ("text", "lang", "source", "n_chars") if c in names])
+    first = rows.where("repeated").withColumn("k", F.row_number().over(once)).where("k = 1")
+    return whole.unionByName(renamed(first, names))
