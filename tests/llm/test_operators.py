@@ -134,9 +134,29 @@ def test_simhash(spark, docs, group, monkeypatch):
     assert simhash.dedup(frame(spark, [])).count() == 0
 
 
+def brute_near(texts):
+    """Pairs of texts whose sets of five-word shingles are similar to four fifths; texts without words are alike."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").translate(LOW).split()) else {"none"} for t in texts]
+    return [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def test_simhash_splits_a_large_group(spark):
+    # fingerprints that share their first 26 bits, or all but the last few
+    r = random.Random(2)
+    fps = sorted({0xABCDEF << 40 | r.getrandbits(34) for _ in range(300)} | {0x123456789ABC << 16 | k for k in range(400)} | {0xABCDEF << 40 | 7 << k for k in range(30)})
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2]
+    want = unions(len(fps), pairs)
+    for group in (4, 100_000):
+        place = {x: k for k, x in enumerate(fps)}
+        edges = [(place[e["a"] % (1 << 64)], place[e["b"] % (1 << 64)]) for e in simhash.linked_edges(nodes, group=group).collect()]
+        assert set(map(tuple, map(sorted, edges))) <= set(map(tuple, map(sorted, pairs))) and unions(len(fps), edges) == want
+
+
 @pytest.mark.parametrize("part", [3, 4096])
 def test_simhash_stage_takes_five_words_and_four_fifths(spark, part, monkeypatch):
     monkeypatch.setattr(simhash.near_edges, "__defaults__", ("doc_id", "text", part, 0 if part == 3 else 10))
+    monkeypatch.setattr(simhash.star_links, "__defaults__", (2 if part == 3 else 1024,))
     r, rows = random.Random(8), []
     words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(4000)]
     for k in range(40):
@@ -150,8 +170,7 @@ def test_simhash_stage_takes_five_words_and_four_fifths(spark, part, monkeypatch
     base = r.choices(words, k=200)
     rows += [" ".join([*base[:k], f"w{k}", *base[k + 1 :]]) for k in range(0, 60, 3)] + [None, "", "a b", "A  b", "a b c"]
     rows = [(k, t, None, None, 0) for k, t in enumerate(rows)]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {"none"} for _, t, *_ in rows]
-    near = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    near = brute_near([t for _, t, *_ in rows])
     fps = [brute_fingerprint(t or "") for _, t, *_ in rows]
     close = [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2]
     root = unions(len(rows), near + close)

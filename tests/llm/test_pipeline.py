@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from paraloom.llm import language_id, mixing, packing, tokens
-from tests.llm.test_operators import DOCS, WORD, brute_fingerprint, brute_targets, frame, sample_words, unions
+from tests.llm.test_operators import DOCS, WORD, brute_fingerprint, brute_near, brute_targets, frame, sample_words, unions
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,9 @@ def test_stages(spark, rows):
     assert keeper and {r[0]: r[1] for r in lines} == clean and all(r[4] == len(r[1]) for r in lines)
     ids = sorted(clean)
     fps = [brute_fingerprint(clean[d]) for d in ids]
-    root = unions(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2])
+    near = brute_near([clean[d] for d in ids])
+    assert any(bin(fps[a] ^ fps[b]).count("1") > 2 for a, b in near)
+    root = unions(len(ids), near + [(a, b) for a in range(len(ids)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2])
     assert sorted(r[0] for r in unique) == [ids[k] for k in range(len(ids)) if root[k] == k] and len(unique) < len(ids)
     sizes = Counter()
     for _, t, _, s, _ in unique:
