@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,9 +86,12 @@ def fill_consensus(rows: DataFrame, total: str, spacer: str, exon9: str, loose:
     return filled.withColumn("exon9", F.coalesce(F.when(F.col(spacer).isNotNull(), F.when(between, own).otherwise(by_spacer)).otherwise(F.col("exon9")), own))
 
 
-def structural_tag(rows: DataFrame, total: str = "total_cn") -> DataFrame:
-    """rows (with the region columns) with `tag`: the events between regions if they balance, spelled as known; cn2 without events."""
-    up, far, mid, low, rep = F.col("intron1_up"), F.col("intron4_intron1"), F.col("exon9_intron4"), F.col("exon9"), F.lit(REP_COPIES)
+def structural_tag(rows: DataFrame, total: str = "total_cn", rep_col: str | None = None) -> DataFrame:
+    """rows (with the region columns) with `tag`: the events between regions if they balance, spelled as known; cn2 without events.
+
+    The region before exon 9 has two copies unless a column tells.
+    """
+    up, far, mid, low, rep = F.col("intron1_up"), F.col("intron4_intron1"), F.col("exon9_intron4"), F.col("exon9"), F.lit(REP_COPIES) if rep_col is None else F.col(rep_col)
     step = lambda a, b: F.coalesce(F.greatest(a - b, F.lit(0)), F.lit(0)).cast("int")
     n = {"star13intron1": step(far, up) + step(mid, far), "star68": step(up, far), "star13": step(low, mid), "exon9hyb": step(mid, low), "star5": step(rep, low), "dup": step(low, rep)}
     gained = sum((n[e] for e in GAINS), F.lit(0)) - sum((n[e] for e in LOSSES), F.lit(0))
@@ -131,8 +135,11 @@ def exon9_call(calls: list[Column], raw: list[Column], by_mean: Column) -> Colum
     return F.when((one == by_mean) & ((one != 1) | low), one)
 
 
-def repair_variants(names: Column, tag: Column) -> Column:
-    """The called variants with what a structural tag implies added or taken, as a sorted multiset."""
+def repair_variants(names: Column, tag: Column, exon9: Column | None = None, exon9_cn: Column | None = None, raw: list[Column] | None = None) -> Column:
+    """The called variants with what a structural tag implies added or taken, as a sorted multiset.
+
+    With the consensus at exon 9, its own call and the raw copies at its sites, a conversion of exon 9 alone is added too.
+    """
     count = lambda v: F.size(F.filter(names, lambda x: x == v))
     repeat = lambda v, n: F.array_repeat(F.lit(v), F.greatest(n, F.lit(0)).cast("int"))
     lead = lambda a, b: F.when(count(a) > count(b), count(a) - count(b)).otherwise(0)
@@ -151,7 +158,15 @@ def repair_variants(names: Column, tag: Column) -> Column:
         repeat("g.42130692G>A", topped("", count("g.42130692G>A"))), repeat("g.42129754G>A", top9754),
         repeat("g.42128945C>T", topped("", count("g.42128945C>T"), "g.42129754G>A")), repeat("g.42129809T>C", topped("", count("g.42129809T>C"), "g.42129754G>A")), repeat("g.42129819G>T", topped("", n819, "g.42129754G>A")),
     ]
-    return F.array_sort(F.filter(F.concat(kept, *added), lambda x: x != "NA"))
+    whole = F.concat(kept, *added)
+    if exon9 is not None:
+        less = (exon9 - exon9_cn).cast("int")
+        lacks = ~F.array_contains(whole, F.lit("g.42126611C>G"))
+        low = (F.least(*raw) < 1.15) & (F.greatest(*raw) < 1.2)
+        own = (F.contains(tag, F.lit("exon9hyb")) | (tag == "cn2")) & (less > 0) & (exon9_cn <= 1) & (lacks | low)
+        times = F.when(F.coalesce(own, F.lit(False)), less).otherwise(0)
+        whole = F.concat(whole, F.array_repeat(F.lit("exon9gc"), times), F.array_repeat(F.lit("g.42126611C>G"), F.when(lacks, times).otherwise(0)))
+    return F.array_sort(F.filter(whole, lambda x: x != "NA"))
 
 
 def _repeats(stars: list[str]) -> list[str]:
@@ -255,12 +270,20 @@ def spell_call(forms: list[str], tag: str, spacer: int | None) -> str | None:
     return whole
 
 
-def spelled_call(forms: Column, tag: Column, spacer: Column) -> Column:
-    @F.pandas_udf("string")
-    def spell(f: pd.Series, t: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if not isinstance(b, str) or a is None else spell_call(list(a), b, None if pd.isna(c) else int(c)) for a, b, c in zip(f, t, s, strict=True)], dtype=object)
+def spelled_calls(rows: DataFrame, forms: str, tag: str, spacer: str, out: str = "spelled") -> DataFrame:
+    """rows with the spelled genotype; each distinct combination of forms, tag and spacer is spelled once and joined back."""
+    keys = [F.to_json(forms).alias("__f"), F.col(tag).alias("__t"), F.col(spacer).cast("int").alias("__s")]
+
+    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            found = [None if t is None or f is None else spell_call(list(f), t, None if pd.isna(s) else int(s)) for f, t, s in zip(x["forms"], x["__t"], x["__s"], strict=True)]
+            yield x.drop(columns="forms").assign(__g=pd.Series(found, dtype=object, index=x.index))
 
-    return spell(forms, tag, spacer)
+    each = rows.select(*keys, F.col(forms).alias("forms")).dropDuplicates(["__f", "__t", "__s"])
+    told = each.mapInPandas(spell, "__f string, __t string, __s int, __g string")
+    held = rows.withColumns({"__f": F.to_json(forms), "__t": F.col(tag), "__s": F.col(spacer).cast("int")})
+    same = [held[c].eqNullSafe(told[c]) for c in ("__f", "__t", "__s")]
+    return held.join(told, same, "left").select(*[held[c] for c in rows.columns], F.col("__g").alias(out))
 
 
 def resolve_cn2(genotype: Column, tag: Column, info: Column, cis_938: Column, trans_803: Column) -> Column:

@@ -44,10 +44,11 @@ def region_read_counts(reads: DataFrame, regions: DataFrame, keys: list[str], wi
     return grid.join(counted, [*keys, "name"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def site_bases(reads: DataFrame, sites: DataFrame, min_mapq: int = 0, min_span: int = 0, width: int = 1 << 10, strict_end: bool = False) -> DataFrame:
+def site_bases(reads: DataFrame, sites: DataFrame, min_mapq: int = 0, min_span: int = 0, width: int = 1 << 10, most_span: int | None = None) -> DataFrame:
     """(reads' columns, site columns, qpos): pileup reads over each site with the offset of the site in the read.
 
-    sites (idx, chrom, pos, ...); a site inside a deletion or a skip has no offset and no row.
+    sites (idx, chrom, pos, ...); a site inside a deletion or a skip has no offset and no row. Pairs that are min_span apart
+    or more count, and with most_span only those that are nearer than that.
     """
     blocks = F.expr(
         """aggregate(cigar, named_struct('r', pos, 'q', 0L, 'b', array_repeat(named_struct('rs', 0L, 'qs', 0L, 'n', 0L), 0)),
@@ -56,6 +57,7 @@ def site_bases(reads: DataFrame, sites: DataFrame, min_mapq: int = 0, min_span:
                'b', if(c.op in ('M', '=', 'X'), concat(a.b, array(named_struct('rs', a.r, 'qs', a.q, 'n', cast(c.len as bigint)))), a.b))).b"""
     )
     use = reads.where((F.col("flag").bitwiseAND(NOT_PILEUP) == 0) & (F.col("mapq") >= min_mapq) & (F.abs("tlen") >= min_span))
+    use = use if most_span is None else use.where(F.abs("tlen") < most_span)
     aligned = use.withColumn("__block", F.explode(blocks)).withColumn("__rs", F.col("__block.rs")).withColumn("__re", F.col("__block.rs") + F.col("__block.n"))
     found = overlapping(aligned, sites.withColumnRenamed("pos", "site_pos"), "__rs", "__re", "site_pos", width, ("chrom",))
     return found.withColumn("qpos", F.col("__block.qs") + F.col("site_pos") - F.col("__rs")).drop("__block", "__rs", "__re")
@@ -70,6 +72,12 @@ def allele_reads(bases: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(hit).select(*keys, "idx", F.col("__s.allele").alias("allele"), strand.alias("strand"), "qname")
 
 
+def haplotype_bases(bases: DataFrame) -> DataFrame:
+    """bases with `base`: as many bases of the read as the shorter side's alleles have; a read that ends with them tells nothing."""
+    size = F.least(F.length(F.array_join("alleles1", ",")), F.length(F.array_join("alleles2", ",")))
+    return bases.where(F.col("qpos") + size < F.length("seq")).withColumn("base", F.col("seq").substr(F.col("qpos").cast("int") + 1, size))
+
+
 def supporting_counts(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, idx, n1, n2, n1_fwd, n1_rev): distinct fragments; one on both strands counts once in n1 and once in each strand."""
     of = lambda allele, strand=None: F.count_distinct(F.when((F.col("allele") == allele) & (F.lit(True) if strand is None else F.col("strand") == strand), F.col("qname")))

@@ -93,28 +93,38 @@ def exact_match(observed: DataFrame, dictionary: DataFrame, names: str, on: tupl
     return classify(keyed.join(dictionary, [*on, "key"], "left"))
 
 
-def fuzzy_score(observed: Column, candidate: Column) -> Column:
-    """matched - 0.5 * only in candidate - 0.3 * only observed, over multisets; null where either excess is over 2."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    both = F.aggregate(F.array_distinct(observed), F.lit(0), lambda s, x: s + F.least(count(observed, x), count(candidate, x)))
-    extra, missing = F.size(candidate) - both, F.size(observed) - both
-    return F.when((extra <= FUZZY_EXCESS) & (missing <= FUZZY_EXCESS), both - FUZZY_EXTRA * extra - FUZZY_MISSING * missing)
+def _numbered(names: Column) -> Column:
+    """Sorted names, each with the number of its repeat, so that a multiset is a set."""
+    held = F.array_sort(names)
+    return F.transform(held, lambda x, i: F.concat_ws("#", x, (i + 2 - F.array_position(held, x)).cast("string")))
+
+
+def _rarest(rows: DataFrame, key: str, words: str, frequency: DataFrame, n: int) -> DataFrame:
+    """(key, word): the n rarest words of each row; words without a frequency come first."""
+    each = rows.select(key, F.explode(words).alias("__w")).join(frequency, "__w", "left")
+    order = Window.partitionBy(key).orderBy(F.coalesce("__f", F.lit(0)), "__w")
+    return each.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).select(key, "__w")
 
 
 def fuzzy_match(observed: DataFrame, dictionary: DataFrame, keys: list[str], names: str) -> DataFrame:
     """(keys, key, score): the best candidate of each row with a score of 1 or more; the smallest key of equals.
 
-    A score of 1 needs a shared name, and the excess bounds the lengths, so candidates come from an equal join on single names.
+    Each distinct multiset is matched once. Two multisets that differ by FUZZY_EXCESS names on either side share one of
+    their FUZZY_EXCESS + 1 rarest names, in any one order of names, so candidates come from an equal join on those alone.
     """
-    rows = observed.select(*keys, F.col(names).alias("__o"))
-    words = dictionary.select("key", F.split("key", "_").alias("__c")).where("key <> 'NA'")
-    left = rows.withColumn("__w", F.explode(F.array_distinct("__o")))
-    right = words.withColumn("__w", F.explode(F.array_distinct("__c")))
-    near = left.join(right, "__w").where(F.abs(F.size("__o") - F.size("__c")) <= FUZZY_EXCESS)
-    pairs = near.groupBy(*keys, "key").agg(F.first("__o").alias("__o"), F.first("__c").alias("__c"))
-    scored = pairs.withColumn("score", F.round(fuzzy_score(F.col("__o"), F.col("__c")), 6)).where(F.col("score") >= FUZZY_LEAST)
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "key")
-    return scored.withColumn("__k", F.row_number().over(best)).where("__k = 1").select(*keys, "key", "score")
+    rows = observed.select(*keys, F.array_sort(names).alias("__o")).withColumn("__m", F.to_json("__o"))
+    some = rows.select("__m", "__o").dropDuplicates(["__m"]).withColumn("__on", _numbered(F.col("__o")))
+    words = dictionary.select("key", F.split("key", "_").alias("__c")).where("key <> 'NA'").withColumn("__cn", _numbered(F.col("__c")))
+    frequency = words.select(F.explode("__cn").alias("__w")).groupBy("__w").agg(F.count("*").alias("__f"))
+    left = _rarest(some, "__m", "__on", frequency, FUZZY_EXCESS + 1)
+    right = _rarest(words, "key", "__cn", frequency, FUZZY_EXCESS + 1)
+    pairs = left.join(right, "__w").select("__m", "key").distinct().join(some, "__m").join(words, "key")
+    both = F.size(F.array_intersect("__on", "__cn"))
+    extra, missing = F.size("__cn") - both, F.size("__on") - both
+    score = F.when((extra <= FUZZY_EXCESS) & (missing <= FUZZY_EXCESS), F.round(both - FUZZY_EXTRA * extra - FUZZY_MISSING * missing, 6))
+    scored = pairs.select("__m", "key", score.alias("score")).where(F.col("score") >= FUZZY_LEAST)
+    best = scored.groupBy("__m").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))
+    return rows.select(*keys, "__m").join(best, "__m").select(*keys, F.col("b.key").alias("key"), (-F.col("b.s")).alias("score"))
 
 
 def lookup_pivot(rows: DataFrame, keys: list[str], name: str, value: str, names: list[str], default: str = "n/a") -> DataFrame:
@@ -133,9 +143,10 @@ def pair_mixture(loglik: DataFrame, keys: list[str], read: str, item: str, value
 
 
 def windows(text: Column, k: int) -> Column:
-    """All substrings of k characters, in order."""
-    n = F.char_length(text)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of k characters, in order; the text is cut into characters once (as an element of its own, so that no window cuts it again)."""
+    cut = F.array(F.split(text, ""))
+    each = F.transform(cut, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(k)), "")))
+    return F.when(F.char_length(text) >= k, F.get(each, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_hits(texts: DataFrame, keys: list[str], text: str, panel: DataFrame, k: int, without: str = "N") -> DataFrame:
@@ -170,31 +181,26 @@ def shared_kmers(texts: DataFrame, keys: list[str], text: str, items: DataFrame,
     return hits.join(panel, "kmer").groupBy(*keys, item_id).agg(F.sum("n").cast("long").alias("n"))
 
 
-def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int = 500) -> DataFrame:
+def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int | None = 500) -> DataFrame:
     """(query_id, ref_id, diagonal): candidates of pigeonhole seeding, once per bucket of max_k + 1 diagonals.
 
-    A match with max_k errors leaves one of max_k + 1 disjoint seeds whole. q-grams with over most_hits places are repeats.
+    A match with max_k errors leaves one of max_k + 1 disjoint seeds whole. q-grams with over most_hits places are repeats
+    and give no seeds; most_hits None seeds with all of them, so that no candidate is lost.
     """
     seeds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_k)), lambda i: F.struct((i * q).alias("off"), F.substring(F.col(query), i * q + 1, F.lit(q)).alias("gram"))), lambda s: F.char_length(s["gram"]) == q)
     left = queries.select(query_id, F.explode(seeds).alias("s")).select(query_id, F.col("s.off").alias("off"), F.col("s.gram").alias("gram"))
     grams = refs.select(ref_id, F.posexplode(windows(F.col(ref), q)).alias("at", "gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("__n")).where(F.col("__n") > most_hits).select("gram")
-    hits = left.join(grams.join(common, "gram", "left_anti"), "gram").withColumn("d", F.col("at") - F.col("off"))
+    if most_hits is not None:
+        common = grams.groupBy("gram").agg(F.count("*").alias("__n")).where(F.col("__n") > most_hits).select("gram")
+        grams = grams.join(common, "gram", "left_anti")
+    hits = left.join(grams, "gram").withColumn("d", F.col("at") - F.col("off"))
     return hits.groupBy(query_id, ref_id, F.floor(F.col("d") / (max_k + 1)).alias("bucket")).agg(F.min("d").alias("diagonal")).drop("bucket")
 
 
-def nearest(queries: DataFrame, query_id: str, vector: str, train: DataFrame, train_vector: str, label: str, order: str, k: int = 5) -> DataFrame:
-    """(query_id, label, confidence): the vote of the k nearest training rows, a bounded table that is broadcast; the lowest label of equals."""
-    t = train.select(F.col(train_vector).alias("__t"), F.col(label).alias("label"), F.col(order).alias("__o"))
-    d2 = F.aggregate(F.zip_with(vector, "__t", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = queries.select(query_id, vector).crossJoin(F.broadcast(t)).select(query_id, "label", "__o", F.round(F.sqrt(d2), 6).alias("dist"))
-    near = scored.withColumn("__k", F.row_number().over(Window.partitionBy(query_id).orderBy("dist", "__o"))).where(F.col("__k") <= k)
-    votes = near.groupBy(query_id, "label").agg(F.count("*").alias("__n"))
-    return votes.groupBy(query_id).agg(F.max_by("label", F.struct("__n", -F.col("label"))).alias("label"), (F.max("__n") / F.sum("__n")).alias("confidence"))
-
+def nearest(queries: DataFrame, query_id: str, vector: str, train: DataFrame, train_vector: str, label: str, order: str, k: int = 5, block: int = 4096) -> DataFrame:
+    """(query_id, label, confidence): the vote of the k nearest training rows; the lowest label of equals.
 
-def nearest_in_blocks(queries: DataFrame, query_id: str, vector: str, train: DataFrame, train_vector: str, label: str, order: str, k: int = 5, block: int = 4096) -> DataFrame:
-    """nearest() with a training table of any size: both sides are dealt into blocks and every pair of blocks gives its k nearest a query.
+    Both sides may be of any size: they are dealt into blocks and every pair of blocks gives its k nearest a query.
 
     Rows without a vector are left out; the training side has those with a label.
     """

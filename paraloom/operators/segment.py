@@ -41,23 +41,28 @@ def best_split(df: DataFrame, keys: list[str], order: str, value: str, min_bins:
 
 
 def segments_of(values: np.ndarray, valid: np.ndarray, threshold: float, min_bins: int) -> list[tuple[int, int]]:
-    """Recursive binary segmentation: [start, end) of segments in order."""
-
-    def recurse(a: int, b: int) -> list[tuple[int, int]]:
-        best, at = 0.0, -1
-        for k in range(a + 1, b):
-            x, y = values[a:k][valid[a:k]], values[k:b][valid[k:b]]
-            if len(x) < min_bins or len(y) < min_bins:
-                continue
-            se = np.sqrt(x.var(ddof=1) / len(x) + y.var(ddof=1) / len(y)) if min(len(x), len(y)) > 1 else 0.0
-            t = abs(x.mean() - y.mean()) / se if se >= 1e-10 else 0.0
-            if t > best:
-                best, at = t, k
-        if at < 0 or best < threshold:
-            return [(a, b)]
-        return recurse(a, at) + recurse(at, b)
-
-    return recurse(0, len(values))
+    """Recursive binary segmentation: [start, end) of segments in order; the statistics of all cuts come from running sums."""
+    middle = values[valid].mean() if valid.any() else 0.0
+    held = np.where(valid, values - middle, 0.0)
+    count, total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (valid.astype(float), held, held * held))
+    found, open_ = [], [(0, len(values))]
+    while open_:
+        a, b = open_.pop()
+        k = np.arange(a + 1, b)
+        n1, n2 = count[k] - count[a], count[b] - count[k]
+        s1, s2 = total[k] - total[a], total[b] - total[k]
+        ok = np.flatnonzero((n1 >= max(2, min_bins)) & (n2 >= max(2, min_bins)))
+        k, n1, n2, s1, s2 = k[ok], n1[ok], n2[ok], s1[ok], s2[ok]
+        v1 = np.maximum(square[k] - square[a] - s1 * s1 / n1, 0) / (n1 - 1)
+        v2 = np.maximum(square[b] - square[k] - s2 * s2 / n2, 0) / (n2 - 1)
+        se = np.sqrt(v1 / n1 + v2 / n2)
+        t = np.where(se >= 1e-10, np.abs(s1 / n1 - s2 / n2) / np.maximum(se, 1e-10), 0.0)
+        if len(t) and t.max() > 0 and t.max() >= threshold:
+            at = int(k[np.argmax(t)])
+            open_ += [(at, b), (a, at)]
+        else:
+            found.append((a, b))
+    return found
 
 
 def changepoints(df: DataFrame, keys: list[str], order: str, value: str, threshold: float = 4.0, min_bins: int = 5) -> DataFrame:
@@ -78,9 +83,12 @@ def changepoints(df: DataFrame, keys: list[str], order: str, value: str, thresho
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def has_step(means: list[float], counts: list[int], least_step: float = 0.15, least_valid: int = 5) -> bool:
-    """Whether neighbouring segments differ enough for a hybrid."""
-    return any(abs(a - b) >= least_step and min(m, n) >= least_valid for a, b, m, n in zip(means, means[1:], counts, counts[1:], strict=False))
+def stepped(cuts: DataFrame, keys: list[str], least_step: float = 0.15, least_valid: int = 5) -> DataFrame:
+    """(keys, stepped, n_segments, first_mean, last_mean, first_valid, last_valid) of segments: whether two neighbours differ enough for a hybrid."""
+    w, mean = Window.partitionBy(*keys).orderBy("segment"), F.coalesce("mean", F.lit(0.0))
+    step = (F.abs(mean - F.lag(mean).over(w)) >= least_step) & (F.least("n_valid", F.lag("n_valid").over(w)) >= least_valid) & (F.lag("n_valid").over(w).isNotNull())
+    ends = [F.min_by(mean, "segment").alias("first_mean"), F.max_by(mean, "segment").alias("last_mean"), F.min_by("n_valid", "segment").alias("first_valid"), F.max_by("n_valid", "segment").alias("last_valid")]
+    return cuts.withColumn("__s", F.coalesce(step, F.lit(False))).groupBy(*keys).agg(F.max("__s").alias("stepped"), F.count("*").alias("n_segments"), *ends)
 
 
 def best_path(obs: np.ndarray, valid: np.ndarray, states: int, sd: float, stay: float = 0.995, zero_sd: float = 0.15) -> np.ndarray:
@@ -116,32 +124,42 @@ def viterbi(df: DataFrame, keys: list[str], order: str, obs: str, valid: str, st
     return df.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in [*keys, order]) + ", state int")
 
 
-def smooth(x: np.ndarray, y: np.ndarray, share: float = 2 / 3, rounds: int = 3) -> np.ndarray:
-    """LOWESS: local lines over the nearest share of points, tricube weights, bisquare rounds against outliers."""
+def smooth(x: np.ndarray, y: np.ndarray, share: float = 2 / 3, rounds: int = 3, cells: int = 4_000_000) -> np.ndarray:
+    """LOWESS: local lines over the nearest share of points, tricube weights, bisquare rounds against outliers.
+
+    The points are fitted in blocks of rows of their neighbours, as many as `cells` allow at once.
+    """
     n = len(x)
     if n < 3:
         return y.astype(float)
     k, robust, fit = max(2, int(share * n + 1e-10)), np.ones(n), np.empty(n)
     order = np.argsort(x, kind="stable")
     xs, ys = x[order].astype(float), y[order].astype(float)
+    # the window of a point moves on while the next point on the right is nearer than the first on the left
+    left = np.zeros(n, dtype=np.int64)
+    at = 0
+    for i in range(n):
+        while at + k < n and xs[at + k] - xs[i] < xs[i] - xs[at]:
+            at += 1
+        left[i] = at
+    wide = max(1.0, (xs[-1] - xs[0]) ** 2)
     for turn in range(rounds + 1):
-        left = 0
-        for i in range(n):
-            while left + k < n and xs[left + k] - xs[i] < xs[i] - xs[left]:
-                left += 1
-            near = slice(left, left + k)
-            reach = max(xs[i] - xs[left], xs[left + k - 1] - xs[i])
-            d = np.abs(xs[near] - xs[i])
-            w = robust[near] * (np.where(d < 0.999 * reach, (1 - (d / reach) ** 3) ** 3, 0.0) if reach > 0 else 1.0)
-            w = np.where(d <= 0.001 * reach, robust[near], w)
-            total = w.sum()
-            if total <= 0:
-                fit[i] = ys[i]
-                continue
-            mean = (w * xs[near]).sum() / total
-            var = (w * (xs[near] - mean) ** 2).sum() / total
-            weight = w / total * (1 + (xs[i] - mean) * (xs[near] - mean) / var if var > 1e-12 * max(1.0, (xs[-1] - xs[0]) ** 2) else 1.0)
-            fit[i] = (weight * ys[near]).sum()
+        for first in range(0, n, max(1, cells // k)):
+            i = np.arange(first, min(n, first + max(1, cells // k)))
+            near = left[i][:, None] + np.arange(k)[None, :]
+            d = np.abs(xs[near] - xs[i][:, None])
+            reach = np.maximum(xs[i] - xs[left[i]], xs[left[i] + k - 1] - xs[i])[:, None]
+            ratio = np.divide(d, reach, out=np.zeros_like(d), where=reach > 0)
+            weight = np.where(d <= 0.001 * reach, 1.0, np.where(d < 0.999 * reach, (1 - ratio**3) ** 3, 0.0))
+            weight = np.where(reach > 0, weight, 1.0) * robust[near]
+            total = weight.sum(axis=1)
+            safe = np.where(total > 0, total, 1.0)
+            mean = (weight * xs[near]).sum(axis=1) / safe
+            off = xs[near] - mean[:, None]
+            var = (weight * off * off).sum(axis=1) / safe
+            slope = np.divide(xs[i] - mean, var, out=np.zeros(len(i)), where=var > 1e-12 * wide)
+            line = (weight / safe[:, None] * (1 + slope[:, None] * off) * ys[near]).sum(axis=1)
+            fit[i] = np.where(total > 0, line, ys[i])
         if turn == rounds:
             break
         rest = np.abs(ys - fit)

@@ -143,11 +143,12 @@ def j1_point_in_interval(spark, d):
     return I.point_in_interval(events, days, "sec", "lo", "hi", 21600).select("event_id", "day")
 
 
-@query("""WITH s AS (SELECT k AS idx, k AS p1, k + 1000 AS p2 FROM (SELECT unnest(range(0, 200)) AS k)), u AS (SELECT idx, p1 AS pos FROM s UNION ALL SELECT idx, p2 FROM s)
-SELECT idx, count(DISTINCT user_id) AS n FROM u JOIN events ON event_id = pos GROUP BY 1""")
+@query("""WITH s AS (SELECT p_partkey AS idx, p_partkey AS p1, p_partkey + p_size AS p2 FROM part), u AS (SELECT idx, p1 AS pos FROM s UNION ALL SELECT idx, p2 FROM s)
+SELECT idx, count(DISTINCT l_orderkey) AS n FROM u JOIN lineitem ON l_partkey = pos GROUP BY 1""")
 def j3_two_coordinate_union(spark, d):
-    sites = I.two_coordinate(spark.range(200).select(F.col("id").alias("idx"), F.col("id").alias("p1"), (F.col("id") + 1000).alias("p2")), "p1", "p2")
-    return sites.join(table(spark, d, "events"), F.col("event_id") == F.col("pos")).groupBy("idx").agg(F.count_distinct("user_id").alias("n"))
+    parts = table(spark, d, "part")
+    sites = I.two_coordinate(parts.select(F.col("p_partkey").alias("idx"), F.col("p_partkey").alias("p1"), (F.col("p_partkey") + F.col("p_size")).alias("p2")), "p1", "p2")
+    return sites.join(table(spark, d, "lineitem"), F.col("l_partkey") == F.col("pos")).groupBy("idx").agg(F.count_distinct("l_orderkey").alias("n"))
 
 
 @query("""SELECT user_id, event_type, count(DISTINCT event_id) FILTER (WHERE value >= 0) AS n1, count(DISTINCT event_id) FILTER (WHERE event_id % 2 = 0) AS n1_fwd, count(DISTINCT event_id) FILTER (WHERE event_id % 2 = 1) AS n1_rev FROM events GROUP BY 1, 2""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paraloom.functions import scalar as S
 from paraloom.operators import aggregates as A
 from paraloom.operators import calls as C
+from paraloom.operators import evidence as E
 from paraloom.operators import haplotypes as H
 from paraloom.operators import intervals as I
 from paraloom.operators import match as M
@@ -30,6 +31,8 @@ TABLE_OF_TAG = {
     "cn6": "six", "exon9hyb": "triple", "exon9hyb_star68": "triple", "dup_exon9hyb": "dup_hybrid", "exon9hyb_exon9hyb": "hybrid2", "exon9hyb_exon9hyb_exon9hyb": "hybrid3", "exon9hyb_exon9hyb_exon9hyb_exon9hyb": "hybrid4",
 }
 STAR68_VARIANT = "g.42130692G>A"
+# The two sites of the conversion at exon 9.
+EXON9_SITES = (7, 8)
 
 
 @dataclass
@@ -42,6 +45,8 @@ class Options:
     hmm_cnv: bool = False
     spacer_cn_check: bool = False
     consistency_check: bool = False
+    read_voting: bool = False
+    phase_disambiguate: bool = False
 
 
 def normalised_depth(counts: DataFrame, read_length: DataFrame, hap_cn: int = 2) -> DataFrame:
@@ -77,8 +82,9 @@ def variant_copies(counts: DataFrame, tags: DataFrame, options: Options) -> Data
     noisy, clean = F.col("name").isin(*C.NOISY_VARIANTS), F.col("name").isin(*C.CLEAN_VARIANTS)
     rows = P.strand_noise(rows, "n1_fwd", "n1_rev", "n1").withColumn("n1", F.when(noisy & F.col("noisy"), 0).otherwise(F.col("n1")))
     if options.strand_bias_all:
-        half = rows.withColumn("r_fwd", F.floor(F.col("n2") / 2)).withColumn("r_rev", F.col("n2") - F.floor(F.col("n2") / 2))
-        rows = P.strand_bias(half, "n1_fwd", "n1_rev", "r_fwd", "r_rev", clean).withColumn("n1", F.when(~noisy & F.col("biased"), 0).otherwise(F.col("n1")))
+        # alternative reads by strand against two even halves of their number
+        half = rows.withColumn("half", F.floor((F.col("n1_fwd") + F.col("n1_rev")) / 2))
+        rows = P.strand_bias(half, "n1_fwd", "n1_rev", "half", "half", clean).withColumn("n1", F.when(~noisy & F.col("biased"), 0).otherwise(F.col("n1")))
     least = {"clean": clean, "noisy": noisy}
     out = None
     for kind, reads in (("clean", 2), ("noisy", 7), ("other", 4)):
@@ -89,26 +95,41 @@ def variant_copies(counts: DataFrame, tags: DataFrame, options: Options) -> Data
     return out
 
 
-def structural_calls(sites: DataFrame, totals: DataFrame, exon9: DataFrame, options: Options) -> DataFrame:
+def homology_copies(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(sample_id, name, cn): copies of variants that both sources may have (sample_id, name, n1, n2), at most those beyond two."""
+    called = P.poisson_call(counts.join(totals.select("sample_id", "total_cn"), "sample_id"), "total_cn", "n1", "n2", 4)
+    return called.select("sample_id", "name", F.least(P.denovo_filter(F.col("cn_call"), 0.8, 0.65), F.col("total_cn") - 2).alias("cn"))
+
+
+def changepoint_tags(sites: DataFrame, totals: DataFrame) -> DataFrame:
+    """(sample_id, step_tag): the hybrid that a clear step in the share of the first source suggests."""
+    ratio = sites.select("sample_id", "idx", F.when(F.col("n1") + F.col("n2") >= 5, F.col("n1") / (F.col("n1") + F.col("n2"))).alias("ratio"))
+    ends = G.stepped(G.changepoints(ratio, ["sample_id"], "idx", "ratio", 3.0, 5), ["sample_id"])
+    tag = C.changepoint_tag(F.col("total_cn"), *map(F.col, ("n_segments", "first_mean", "last_mean", "first_valid", "last_valid")))
+    return ends.join(totals.select("sample_id", "total_cn"), "sample_id").select("sample_id", F.when(F.col("stepped"), tag).alias("step_tag"))
+
+
+def hidden_state_tags(sites: DataFrame, totals: DataFrame, sd_cn2: float) -> DataFrame:
+    """(sample_id, state_tag): the tag of the most likely copy numbers along the sites; every region must have votes."""
+    shares = sites.select("sample_id", "idx", "n1", "n2").join(totals.select("sample_id", "total_cn"), "sample_id").withColumn("obs", F.coalesce(F.try_divide(F.col("total_cn") * F.col("n1"), F.col("n1") + F.col("n2")), F.lit(0.0)))
+    profile = shares.where("total_cn is not null").withColumn("valid", F.col("n1") + F.col("n2") >= 10).withColumn("states", (F.col("total_cn") + 3).cast("int"))
+    path = G.viterbi(profile, ["sample_id"], "idx", "obs", "valid", "states", sd_cn2 / 2**0.5).withColumn("region", C.region_of(F.col("idx")))
+    regions = list(C.REGION_ENDS)
+    wide = A.modal(path, ["sample_id", "region"], "state").groupBy("sample_id").pivot("region", regions).agg(F.first("state"))
+    full = wide.join(totals.select("sample_id", "total_cn"), "sample_id").where(" and ".join(f"{r} is not null" for r in regions))
+    return C.structural_tag(full, rep_col="rep").select("sample_id", F.col("tag").alias("state_tag"))
+
+
+def structural_calls(sites: DataFrame, totals: DataFrame, exon9: DataFrame, options: Options, sd_cn2: float = 0.3) -> DataFrame:
     """(sample_id, total_cn, spacer_cn, tag, region columns): totals (sample_id, total_cn, spacer_cn), exon9 (sample_id, exon9_cn)."""
     regions = C.region_consensus(sites, ["sample_id"], "idx", "cn")
     loose = C.loose_support(sites.drop("total_cn").join(totals.select("sample_id", "total_cn"), "sample_id"), ["sample_id"], "idx", "cn", "total_cn")
     rows = totals.join(regions, "sample_id", "left").join(loose, "sample_id", "left").join(exon9.select("sample_id", "exon9_cn"), "sample_id", "left")
     tagged = C.structural_tag(C.fill_consensus(rows, "total_cn", "spacer_cn", "exon9_cn", "loose"))
     if options.changepoint_hybrid:
-        ratio = sites.select("sample_id", "idx", F.when(F.col("n1") + F.col("n2") >= 10, F.col("n1") / (F.col("n1") + F.col("n2"))).alias("ratio"))
-        cut = G.changepoints(ratio, ["sample_id"], "idx", "ratio").groupBy("sample_id").agg(
-            F.count("*").alias("k"), F.min_by("mean", "segment").alias("m1"), F.max_by("mean", "segment").alias("m2"), F.min_by("n_valid", "segment").alias("v1"), F.max_by("n_valid", "segment").alias("v2")
-        )
-        tagged = tagged.join(cut, "sample_id", "left").withColumn("tag", F.coalesce("tag", C.changepoint_tag(F.col("total_cn") - 2, *map(F.col, ("k", "m1", "m2", "v1", "v2"))))).drop("k", "m1", "m2", "v1", "v2")
+        tagged = tagged.join(changepoint_tags(sites, totals), "sample_id", "left").withColumn("tag", F.coalesce("tag", "step_tag")).drop("step_tag")
     if options.hmm_cnv:
-        profile = sites.join(totals.select("sample_id", F.col("total_cn").alias("t")), "sample_id").withColumn("obs", F.try_divide(F.col("t") * F.col("n1"), F.col("n1") + F.col("n2")))
-        profile = profile.withColumn("valid", F.col("n1") + F.col("n2") >= 10).withColumn("states", (F.col("t") + 3).cast("int")).withColumn("obs", F.coalesce("obs", F.lit(0.0)))
-        path = G.viterbi(profile, ["sample_id"], "idx", "obs", "valid", "states").withColumn("region", C.region_of(F.col("idx")))
-        votes = A.modal(path, ["sample_id", "region"], "state")
-        wide = votes.groupBy("sample_id").pivot("region", ["exon9", "exon9_intron4", "intron4_intron1", "intron1_up"]).agg(F.first("state"))
-        second = C.structural_tag(wide.join(totals.select("sample_id", "total_cn"), "sample_id")).select("sample_id", F.col("tag").alias("__tag"))
-        tagged = tagged.join(second, "sample_id", "left").withColumn("tag", F.coalesce("tag", "__tag")).drop("__tag")
+        tagged = tagged.join(hidden_state_tags(sites, totals, sd_cn2), "sample_id", "left").withColumn("tag", F.coalesce("tag", "state_tag")).drop("state_tag")
     return tagged.withColumn("tag", C.known_tag(F.col("tag")))
 
 
@@ -139,12 +160,13 @@ def _table_of(tag):
 
 
 def match_stars(observed: DataFrame, tables: DataFrame, stars: DataFrame, options: Options) -> DataFrame:
-    """(sample_id, tag, names, call_info, candidates, star_call) of samples (sample_id, tag, names).
+    """(sample_id, tag, names, call_info, candidates, star_call) of samples (sample_id, tag, names[, exon9, exon9_cn, exon9_raw]).
 
     Beside the plain match these are tried: fewer copies of one variant where star68 may hold it, one more copy of a variant for
     more than two copies of the gene, and the best near match.
     """
-    rows = observed.withColumn("names", C.repair_variants(F.col("names"), F.col("tag"))).withColumn("cn_table", _table_of(F.col("tag")))
+    own = [F.col("exon9"), F.col("exon9_cn"), [F.get("exon9_raw", F.lit(k)) for k in (0, 1)]] if "exon9_cn" in observed.columns else []
+    rows = observed.withColumn("names", C.repair_variants(F.col("names"), F.col("tag"), *own)).withColumn("cn_table", _table_of(F.col("tag")))
     n68 = F.size(F.filter(F.split("tag", "_"), lambda x: x == "star68"))
     have = F.size(F.filter("names", lambda x: x == STAR68_VARIANT))
     drops = F.sequence(F.lit(0), F.least(n68, have))
@@ -179,31 +201,67 @@ def match_stars(observed: DataFrame, tables: DataFrame, stars: DataFrame, option
     chosen = F.when(F.col("n_drops") > 1, star68).when((F.col("plain.call_info") == "no_match") & (F.size("added") == 1), F.col("added")[0]).otherwise(F.col("plain"))
     out = grouped.withColumn("c", chosen).select("sample_id", "tag", "names", "cn_table", "c.*")
     if options.fuzzy_match:
-        open_ = out.where((F.col("call_info") == "no_match") & ((F.col("cn_table") == "single") | ~F.contains("tag", F.lit("star68"))))
-        best = None
-        for name in ("single", "pair", "triple_pair", "four", "five", "six", "dup_hybrid"):
-            near = M.fuzzy_match(open_.where(F.col("cn_table") == name), tables.where(F.col("cn_table") == name), ["sample_id"], "names").withColumn("cn_table", F.lit(name))
-            best = near if best is None else best.unionByName(near)
-        found = M.classify(best.join(tables, ["cn_table", "key"])).select("sample_id", F.concat(F.lit("fuzzy_match(score="), F.format_number("score", 1), F.lit(")")).alias("f_info"), F.col("candidates").alias("f_cand"), F.col("star_call").alias("f_call"))
+        open_ = cut(out.where((F.col("call_info") == "no_match") & ((F.col("cn_table") == "single") | ~F.contains("tag", F.lit("star68")))))
+        near = fuzzy_stars(open_, tables, stars)
+        found = M.classify(near).select("sample_id", F.concat(F.lit("fuzzy_match(score="), F.format_number("score", 1), F.lit(")")).alias("f_info"), F.col("candidates").alias("f_cand"), M.main_forms(F.col("candidates")).alias("f_call"))
         out = out.join(found, "sample_id", "left").select(
             "sample_id", "tag", "names", F.coalesce("f_info", "call_info").alias("call_info"), F.coalesce("f_cand", "candidates").alias("candidates"), F.coalesce("f_call", "star_call").alias("star_call")
         )
     return out.select("sample_id", "tag", "names", "call_info", "candidates", "star_call")
 
 
+def fuzzy_stars(open_: DataFrame, tables: DataFrame, stars: DataFrame) -> DataFrame:
+    """(sample_id, key, score, candidates): the best near match of samples (sample_id, tag, names, cn_table), in whichever table their tag uses.
+
+    The table of triples is not made; each sample combines the few alleles that it nearly shows.
+    """
+    parts = []
+    for name in sorted(set(TABLE_OF_TAG.values()) - {"triple"}):
+        own = tables.where(F.col("cn_table") == name)
+        parts.append(M.fuzzy_match(open_.where(F.col("cn_table") == name), own, ["sample_id"], "names").join(own.select("key", "candidates"), "key"))
+    parts.append(fuzzy_triples(open_.where(F.col("cn_table") == "triple"), stars))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    return found.select("sample_id", "key", "score", "candidates")
+
+
+def fuzzy_triples(open_: DataFrame, stars: DataFrame) -> DataFrame:
+    """fuzzy_stars for triples of alleles: at most FUZZY_EXCESS observed names are no allele's, and at most as many are lacking.
+
+    A triple's alleles lack FUZZY_EXCESS names in all, so each of them is observed but for so many of its parts; those few are combined.
+    """
+    rows = open_.select("sample_id", F.array_sort("names").alias("o"))
+    less = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.greatest(F.lit(0), F.size(F.filter(a, lambda y: y == x)) - F.size(F.filter(b, lambda y: y == x))))
+    few = rows.join(F.broadcast(stars.select("ord", "name", "parts")), less(F.col("parts"), F.col("o")) <= M.FUZZY_EXCESS)  # the release's alleles, hundreds
+    of = lambda k: few.select(F.col("sample_id").alias(f"s{k}"), "o", F.col("ord").alias(f"o{k}"), F.col("name").alias(f"n{k}"), F.col("parts").alias(f"p{k}"))
+    near = lambda p: less(p, F.col("o")) <= M.FUZZY_EXCESS
+    ab = of("a").join(of("b").drop("o"), (F.col("sa") == F.col("sb")) & (F.col("oa") <= F.col("ob"))).where(near(F.concat("pa", "pb")))
+    abc = ab.join(of("c").drop("o"), (F.col("sa") == F.col("sc")) & (F.col("ob") <= F.col("oc"))).withColumn("whole", F.array_sort(F.concat("pa", "pb", "pc"))).where("size(whole) > 0")
+    extra, missing = less(F.col("whole"), F.col("o")), less(F.col("o"), F.col("whole"))
+    score = F.round(F.size("o") - missing - M.FUZZY_EXTRA * extra - M.FUZZY_MISSING * missing, 6)
+    fits = abc.where((extra <= M.FUZZY_EXCESS) & (missing <= M.FUZZY_EXCESS)).withColumn("score", score).where(F.col("score") >= M.FUZZY_LEAST)
+    by_key = fits.groupBy(F.col("sa").alias("sample_id"), F.array_join("whole", "_").alias("key"), "score").agg(F.array_sort(F.collect_set(F.array_join(F.array_sort(F.array("na", "nb", "nc")), "_"))).alias("candidates"))
+    best = by_key.groupBy("sample_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "key", "candidates")).alias("b"))
+    return best.select("b.key", "sample_id", (-F.col("b.s")).alias("score"), "b.candidates")
+
+
 def genotypes(matched: DataFrame, totals: DataFrame, options: Options, flags: DataFrame | None = None) -> DataFrame:
-    """matched with genotype and filter; flags (sample_id, cis_938, trans_803) tell two ambiguous pairs apart."""
+    """matched with genotype and filter; flags (sample_id, cis_938, trans_803) tell two ambiguous pairs apart, and a column `resolved` has what phase tells."""
     rows = matched.join(totals.select("sample_id", "total_cn", "spacer_cn", "high_cn"), "sample_id")
     rows = rows.join(flags, "sample_id", "left") if flags is not None else rows.withColumns({"cis_938": F.lit(False), "trans_803": F.lit(False)})
     direct = F.try_element_at(F.create_map(*[F.lit(x) for pair in C.DIRECT_GENOTYPES.items() for x in pair]), F.col("tag"))
-    spelled = F.when(F.col("call_info") != "no_match", C.spelled_call(F.col("star_call"), F.col("tag"), F.col("spacer_cn")))
+    rows = C.spelled_calls(rows, "star_call", "tag", "spacer_cn")
+    spelled = F.when(F.col("call_info") != "no_match", F.col("spelled"))
+    if "resolved" in rows.columns:
+        spelled = F.when((F.col("call_info") == "more_than_one_match") & (F.col("tag") == "cn2"), F.coalesce("resolved", spelled)).otherwise(spelled)
     solved = C.resolve_cn2(spelled, F.col("tag"), F.col("call_info"), F.coalesce("cis_938", F.lit(False)), F.coalesce("trans_803", F.lit(False)))
     rows = rows.withColumn("genotype", F.coalesce(direct, solved))
     fuzzy = F.startswith("call_info", F.lit("fuzzy_match"))
     rows = rows.withColumn("filter", C.call_filter(F.col("genotype"), F.coalesce("high_cn", F.lit(False)), F.coalesce(fuzzy, F.lit(False))))
     if options.spacer_cn_check:
         rows = rows.withColumn("filter", C.spacer_filter(F.col("filter"), F.col("tag"), F.col("total_cn"), F.col("spacer_cn")))
-    return rows.withColumn("genotype", F.array_join(F.array_sort(F.transform(F.split("genotype", ";"), S.sort_pair)), ";")).drop("cis_938", "trans_803")
+    return rows.withColumn("genotype", F.array_join(F.array_sort(F.transform(F.split("genotype", ";"), S.sort_pair)), ";")).drop("cis_938", "trans_803", "spelled", "resolved")
 
 
 def phenotypes(calls: DataFrame, function: DataFrame) -> DataFrame:
@@ -235,16 +293,21 @@ def model_states(parameters: DataFrame, region: str) -> tuple[list, float]:
     return P.gmm_states(shift, of("mean"), of("prior"), of("sd")[2]), shift
 
 
-def source_counts(reads: DataFrame, sites: DataFrame, both: bool, min_mapq: int) -> DataFrame:
+def model_sd(parameters: DataFrame, region: str) -> float:
+    """The spread at two copies of a region, one row of the parameter table."""
+    return parameters.where((F.col("region") == region) & (F.col("param") == "sd") & (F.col("cn") == 2)).first()["value"]
+
+
+def source_counts(reads: DataFrame, sites: DataFrame, both: bool, min_mapq: int, min_span: int = 0, first: str = "pos1") -> DataFrame:
     """(sample_id, idx, n1, n2, n1_fwd, n1_rev) of every site of every sample: distinct fragments at one coordinate or at both."""
-    coordinates = I.two_coordinate(sites, "pos1", "pos2") if both else sites.withColumn("pos", F.col("pos1"))
+    coordinates = I.two_coordinate(sites, "pos1", "pos2") if both else sites.withColumn("pos", F.col(first))
     at = coordinates.select("idx", "chrom", "pos", "alleles1", "alleles2")
-    found = I.supporting_counts(I.allele_reads(I.site_bases(reads, at, min_mapq), ["sample_id"]), ["sample_id"])
+    found = I.supporting_counts(I.allele_reads(I.site_bases(reads, at, min_mapq, min_span), ["sample_id"]), ["sample_id"])
     grid = reads.select("sample_id").distinct().crossJoin(F.broadcast(sites.select("idx")))  # the panel's sites
     return grid.join(found, ["sample_id", "idx"], "left").na.fill(0, ["n1", "n2", "n1_fwd", "n1_rev"])
 
 
-def exon9_copies(sites: DataFrame, totals: DataFrame, pair: tuple[int, int] = (7, 8)) -> DataFrame:
+def exon9_copies(sites: DataFrame, totals: DataFrame, pair: tuple[int, int] = EXON9_SITES) -> DataFrame:
     """(sample_id, exon9_cn): copies at the two conversion sites where they and their mean agree."""
     called = P.poisson_call(sites.where(F.col("idx").isin(*pair)).join(totals.select("sample_id", F.col("total_cn").alias("t")), "sample_id"), "t", "n1", "n2")
     each = called.select("sample_id", "idx", "n1", "n2", "t", P.conversion_filter(F.col("cn_call"), 0.88).alias("c"), (F.col("t") * F.try_divide(F.col("n1"), F.col("n1") + F.col("n2"))).alias("raw"))
@@ -254,14 +317,55 @@ def exon9_copies(sites: DataFrame, totals: DataFrame, pair: tuple[int, int] = (7
     return mean.select("sample_id", C.exon9_call([F.col("c0"), F.col("c1")], [F.col("raw0"), F.col("raw1")], F.col("by_mean")).alias("exon9_cn"))
 
 
-def run(reads: DataFrame, res: Resources, options: Options | None = None) -> DataFrame:
+def haplotype_calls(reads: DataFrame, haplotypes: dict[str, DataFrame], totals: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The variants that patterns along reads tell: (sample_id, name, cn), the flags (sample_id, cis_938, trans_803) and raw counts (sample_id, name, alt, ref).
+
+    haplotypes has a table of sites for each of 938, 526_556, 803 and ins_a; those that a release lacks are left out.
+    """
+    nothing = tags.limit(0)
+    copies = nothing.select("sample_id", F.lit("").alias("name"), F.lit(0).cast("long").alias("cn"))
+    raw = nothing.select("sample_id", F.lit("").alias("name"), F.lit(0).cast("long").alias("alt"), F.lit(0).cast("long").alias("ref"))
+    flags = totals.select("sample_id").withColumns({"cis_938": F.lit(False), "trans_803": F.lit(False)})
+    last = lambda counts, sites: counts.join(F.broadcast(sites.agg(F.max("idx").alias("idx"))), "idx")  # noqa: E731  # one row
+    named = lambda rows, name, cn: rows.select("sample_id", F.lit(name).alias("name"), F.col(cn).cast("long").alias("cn"))
+    counted = lambda rows, name, alt, ref: rows.select("sample_id", F.lit(name).alias("name"), F.col(alt).cast("long").alias("alt"), F.col(ref).cast("long").alias("ref"))
+    if "938" in haplotypes:
+        sites = haplotypes["938"]
+        end = cut(last(source_counts(reads, sites, True, 0), sites))
+        found = cut(H.call_938(end, totals, E.read_patterns(reads, sites, True, 0)))
+        copies = copies.unionByName(named(found, "g.42126938C>T", "copies"))
+        raw = raw.unionByName(counted(end, "g.42126938C>T", "n2", "n1"))
+        flags = flags.drop("cis_938").join(found.select("sample_id", "cis_938"), "sample_id", "left")
+    if "526_556" in haplotypes:
+        sites = haplotypes["526_556"]
+        counts = source_counts(reads, sites, False, 10)
+        of = lambda k, c: F.max(F.when(F.col("idx") == k, F.col(c)))
+        wide = cut(counts.groupBy("sample_id").agg(of(0, "n2").alias("a1"), of(0, "n1").alias("r1"), of(1, "n2").alias("a2"), of(1, "n1").alias("r2")))
+        found = cut(H.call_526_556(wide, tags, E.read_patterns(reads, sites, False, 10)))
+        for name, cn, alt, ref in (("g.42127526C>T", "n526", "a1", "r1"), ("g.42127556T>C", "n556", "a2", "r2")):
+            copies, raw = copies.unionByName(named(found, name, cn)), raw.unionByName(counted(wide, name, alt, ref))
+    if "803" in haplotypes:
+        found = H.trans_803(tags, E.read_patterns(reads, haplotypes["803"], False, 10))
+        flags = flags.drop("trans_803").join(found, "sample_id", "left")
+    if "ins_a" in haplotypes:
+        sites, name = haplotypes["ins_a"], "g.42130655-42130656insA"
+        far = last(source_counts(reads, sites, False, 10, H.BETWEEN_SOURCES, "pos2"), sites).select("sample_id", F.col("n1").alias("first"), F.col("n2").alias("second"))
+        near = last(source_counts(reads, sites, False, 10, 0, "pos2"), sites).select("sample_id", F.col("n1").alias("aa"))
+        near = near.join(last(source_counts(reads, sites, False, 10), sites).select("sample_id", F.col("n1").alias("a")), "sample_id")
+        copies = copies.unionByName(named(H.call_inserted_a(far, near), name, "copies"))
+        both = far.join(near, "sample_id")
+        raw = raw.unionByName(both.select("sample_id", F.lit(name).alias("name"), (F.col("second") + F.col("aa")).alias("alt"), F.col("a").alias("ref")))
+    return copies.where("cn > 0"), flags, raw
+
+
+def run(reads: DataFrame, res: Resources, options: Options | None = None, counts: DataFrame | None = None) -> DataFrame:
     """One row per sample of a reads table: depth, copies, tag, variants, genotype, filter and, with a function table, phenotype.
 
-    A sample that a step cannot call keeps nulls from there on.
+    counts (sample_id, name, count) are those of regions if they have been counted before. A sample that a step cannot call keeps nulls from there on.
     """
     options = options or Options()
     samples = reads.select("sample_id").distinct()
-    counts = I.region_read_counts(reads, res.regions, ["sample_id"]).join(res.regions, "name")
+    counts = (I.region_read_counts(reads, res.regions, ["sample_id"]) if counts is None else counts).join(res.regions, "name")
     depth = cut(normalised_depth(cut(counts), T.read_length(reads)))
     gene, shift = model_states(res.parameters, "d67")
     spacer, spacer_shift = model_states(res.parameters, "spacer")
@@ -271,25 +375,49 @@ def run(reads: DataFrame, res: Resources, options: Options | None = None) -> Dat
 
     sites = cut(site_copies(source_counts(reads, res.sites, True, 0), totals))
     exon9 = cut(exon9_copies(sites.drop("total_cn", "cn"), totals))
-    tagged = cut(structural_calls(sites, totals.select("sample_id", "total_cn", "spacer_cn"), exon9, options))
+    tagged = cut(structural_calls(sites, totals.select("sample_id", "total_cn", "spacer_cn"), exon9, options, model_sd(res.parameters, "d67")))
 
     named = res.targets.select("idx", F.col("label").alias("name"), (F.col("pos1") + 1).alias("pos"))
     target = source_counts(reads, res.targets, False, 10).join(F.broadcast(named), "idx")  # the panel's variants
     target = cut(H.insertion_counts(target, H.motif_counts(reads, res.chrom)))
     called = variant_copies(target, tagged, options).select("sample_id", "name", "cn")
-    homology = source_counts(reads, res.homology, True, 0).join(F.broadcast(res.homology.select("idx", F.col("label").alias("name"))), "idx").join(totals.select("sample_id", "total_cn"), "sample_id")
-    homology = P.poisson_call(homology, "total_cn", "n1", "n2", 4)
-    called = called.unionByName(homology.select("sample_id", "name", F.least(P.denovo_filter(F.col("cn_call"), 0.8, 0.65), F.col("total_cn") - 2).alias("cn")))
-    names = cut(A.repeated(called, ["sample_id"], "name", "cn"))
-    observed = cut(tagged.where("tag is not null").select("sample_id", "tag").join(names, "sample_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))))
+    homology = source_counts(reads, res.homology, True, 0).join(F.broadcast(res.homology.select("idx", F.col("label").alias("name"))), "idx")  # the panel's variants
+    called = called.unionByName(homology_copies(homology, totals))
+    along, flags, more_raw = haplotype_calls(reads, res.haplotypes or {}, totals, tagged.select("sample_id", "tag"))
+    names = cut(A.repeated(called.unionByName(along), ["sample_id"], "name", "cn"))
+    raw9 = sites.where(F.col("idx").isin(*EXON9_SITES)).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.try_divide(F.col("total_cn") * F.col("n1"), F.col("n1") + F.col("n2")), F.lit(0.0)).alias("v")))).alias("r"))
+    raw9 = raw9.select("sample_id", F.transform("r", lambda x: x["v"]).alias("exon9_raw"))
+    own9 = exon9.join(raw9, "sample_id", "left")
+    observed = tagged.where("tag is not null").select("sample_id", "tag", "exon9").join(names, "sample_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    observed = cut(observed.join(own9, "sample_id", "left"))
 
     matched = cut(match_stars(observed, cut(dictionaries(res.stars)), res.stars, options))
-    calls = cut(genotypes(matched, totals, options)).drop("tag", "total_cn", "spacer_cn", "high_cn", "names")
+    if options.phase_disambiguate:
+        open_ = matched.where((F.col("call_info") == "more_than_one_match") & (F.col("tag") == "cn2")).select("sample_id", "candidates")
+        matched = matched.join(E.phased_calls(open_, res.stars, reads, T.variant_bases(res.targets), res.chrom), "sample_id", "left")
+    calls = cut(genotypes(matched, totals, options, flags))
     raw = target.select("sample_id", "name", F.col("n1").alias("alt"), F.col("n2").alias("ref"))
+    if options.consistency_check:
+        judged = calls.where("genotype is not null").select("sample_id", "genotype", "tag", "total_cn")
+        found = E.consistency_flags(judged, sites, raw, res.stars, ["sample_id"]).select("sample_id", "flag")
+        calls = calls.join(found, "sample_id", "left").withColumn("filter", E.flagged_filter(F.col("filter"), F.col("flag"))).drop("flag")
+    if options.read_voting:
+        chosen = calls.where(F.col("filter").isin("PASS", "Fuzzy_match")).select("sample_id", "genotype")
+        voting = E.vote_sites(named.select("name"))
+        scores = E.vote_scores(E.vote_observations(reads.join(chosen.select("sample_id"), "sample_id", "left_semi"), voting, res.chrom), voting, res.stars)
+        found = E.vote_flags(chosen, E.vote_pairs(scores), res.stars).select("sample_id", F.col("vote_flag").alias("flag"))
+        calls = calls.join(found, "sample_id", "left").withColumn("filter", E.flagged_filter(F.col("filter"), F.col("flag"))).drop("flag")
+    calls = cut(calls.drop("tag", "total_cn", "spacer_cn", "high_cn", "names"))
+    raw = raw.join(more_raw.select("sample_id", "name"), ["sample_id", "name"], "left_anti").unionByName(more_raw)
     scores = C.variant_scores(calls.select("sample_id", "genotype"), raw, res.stars, ["sample_id"])
     profile = sites.select("sample_id", (F.col("total_cn") * F.try_divide(F.col("n1"), F.col("n1") + F.col("n2"))).alias("v"))
     even = C.consistency_score(profile, ["sample_id"], "v")
     out = totals.join(tagged.select("sample_id", "tag", "exon9", "exon9_intron4", "intron4_intron1", "intron1_up"), "sample_id", "left").join(observed.select("sample_id", "names"), "sample_id", "left")
+    along_axis = sites.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("idx", "cn", F.coalesce(F.try_divide(F.col("total_cn") * F.col("n1"), F.col("n1") + F.col("n2")), F.lit(0.0)).alias("v")))).alias("a"))
+    along_axis = along_axis.select("sample_id", F.transform("a", lambda x: x["cn"]).alias("site_calls"), F.transform("a", lambda x: x["v"]).alias("site_raw"))
+    strands = target.select("sample_id", "name", F.format_string("%d(%d:%d),%d", "n1", "n1_fwd", "n1_rev", "n2").alias("c")).unionByName(more_raw.select("sample_id", "name", F.format_string("%d,%d", "alt", "ref").alias("c")))
+    strands = strands.groupBy("sample_id", "name").agg(F.min("c").alias("c")).groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "c")))).alias("raw_counts"))
+    out = out.join(exon9, "sample_id", "left").join(along_axis, "sample_id", "left").join(strands, "sample_id", "left")
     out = out.join(calls, "sample_id", "left").join(scores, "sample_id", "left").join(even, "sample_id", "left")
     parts = {
         "depth": C.depth_score(F.coalesce("median_depth", F.lit(0.0)), F.coalesce("mad", F.lit(1.0))), "cn": C.rounding_score(F.coalesce("total_cn_raw", F.lit(0.5)), F.coalesce("spacer_cn_raw", F.lit(0.5))),

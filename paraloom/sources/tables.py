@@ -99,6 +99,14 @@ def count_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("name").agg(F.min_by("count", "ord").alias("count"))
 
 
+def count_files(spark: SparkSession, folder: str, ending: str = "_count.txt") -> DataFrame:
+    """(sample_id, name, count) of a folder with a count file for each sample."""
+    raw = spark.read.text(f"{folder}/*{ending}", wholetext=True).select(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -1), F.lit(ending), F.lit("")).alias("sample_id"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    rows = raw.select("sample_id", "ord", F.split(F.trim("line"), r"\s+").alias("fields")).where(F.size("fields") >= 5)
+    rows = rows.select("sample_id", "ord", F.col("fields")[3].alias("name"), F.element_at("fields", -1).cast("long").alias("count"))
+    return rows.groupBy("sample_id", "name").agg(F.min_by("count", "ord").alias("count"))
+
+
 def diagnostic_panel(spark: SparkSession, path: str) -> DataFrame:
     """(kmer, source, k) of a panel's unique k-mers on both strands."""
     from paraloom.functions.scalar import reverse_complement
@@ -149,16 +157,8 @@ class Resources:
     haplotype_frequency: DataFrame | None = None
     diplotype_frequency: DataFrame | None = None
     panel: DataFrame | None = None
-
-
-def write_json(calls: DataFrame, path: str, sample: str = "sample_id") -> None:
-    """One JSON object a line: the sample and its call."""
-    rest = [c for c in calls.columns if c != sample]
-    calls.select(F.to_json(F.create_map(F.col(sample), F.struct(*rest)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
-
-
-def write_tsv(calls: DataFrame, path: str) -> None:
-    calls.write.csv(path, sep="\t", header=True, nullValue="None")
+    #: Sites along which reads are followed: 938, 526_556, 803 and ins_a.
+    haplotypes: dict[str, DataFrame] | None = None
 
 
 def all_samples(samples: DataFrame, calls: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -167,8 +167,13 @@ def all_samples(samples: DataFrame, calls: DataFrame, sample: str = "sample_id")
 
 
 def resources(spark: SparkSession, folder: str, names: dict[str, str], genome: str = "38") -> Resources:
-    """The tables of a folder by their file names: regions, parameters, sites, targets, homology, stars and, where there are any, function, haplotype_frequency, diplotype_frequency, panel."""
+    """The tables of a folder by their file names: regions, parameters, sites, targets, homology, stars and, where there are any, function, haplotype_frequency, diplotype_frequency, panel.
+
+    haplotypes names a table of sites by group, and haplotype_groups the group of each of 938, 526_556, 803 and ins_a.
+    """
     path = lambda k: f"{folder}/{names[k]}"
+    labels = names.get("haplotype_groups", {})
+    haplotypes = {k: sites(spark, path("haplotypes"), genome, label) for k, label in labels.items()} if "haplotypes" in names else None
     own = {k: sites(spark, path(k), genome) for k in ("sites", "targets", "homology")}
     more = {"function": haplotype_function, "haplotype_frequency": wide_frequencies, "diplotype_frequency": wide_frequencies, "panel": diagnostic_panel}
-    return Resources(regions(spark, path("regions"), genome), model_parameters(spark, path("parameters")), **own, stars=star_items(spark, path("stars")), **{k: f(spark, path(k)) for k, f in more.items() if k in names})
+    return Resources(regions(spark, path("regions"), genome), model_parameters(spark, path("parameters")), **own, stars=star_items(spark, path("stars")), haplotypes=haplotypes, **{k: f(spark, path(k)) for k, f in more.items() if k in names})

@@ -194,7 +194,8 @@ def test_segments(spark):
     got = G.changepoints(rows, ["k"], "i", "v").collect()
     assert sorted((x["k"], x["first"], x["last"]) for x in got) == [("s", 0, 29), ("s", 30, 54), ("t", 0, 19)]
     assert {x["k"]: x["split"] for x in G.best_split(rows, ["k"], "i", "v", 5).collect()}["s"] == 30
-    assert G.has_step([0.7, 0.3], [30, 25]) and not G.has_step([0.7, 0.6], [30, 25])
+    cuts = rows.sparkSession.createDataFrame([("a", 0, 0.7, 30), ("a", 1, 0.3, 25), ("b", 0, 0.7, 30), ("b", 1, 0.6, 25), ("c", 0, 0.7, 30), ("c", 1, 0.3, 4), ("d", 0, None, 0)], "k string, segment int, mean double, n_valid int")
+    assert {r["k"]: (r["stepped"], r["n_segments"], r["first_mean"]) for r in G.stepped(cuts, ["k"]).collect()} == {"a": (True, 2, 0.7), "b": (False, 2, 0.7), "c": (False, 2, 0.7), "d": (False, 1, 0.0)}
 
 
 def test_lowess():
@@ -315,7 +316,7 @@ def test_knn_searches_the_whole_table(spark, tmp_path):
         want[q] = (min(c for c in n if n[c] == max(n.values())), max(n.values()) / 5)
     e = spark.createDataFrame([*rows, (200, None, 1), (201, [9.0] * 3, None)], "vec_id long, embedding array<float>, label int")
     for block in (4096, 40):
-        got = M.nearest_in_blocks(e.where("vec_id < 200"), "vec_id", "embedding", e.withColumnRenamed("embedding", "t"), "t", "label", "vec_id", block=block)
+        got = M.nearest(e.where("vec_id < 200"), "vec_id", "embedding", e.withColumnRenamed("embedding", "t"), "t", "label", "vec_id", block=block)
         assert {x["vec_id"]: (x["label"], x["confidence"]) for x in got.collect()} == want
     e.write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {x["vec_id"]: (x["label"], x["confidence"]) for x in match_queries.j16_knn(spark, str(tmp_path)).collect()}

@@ -1,12 +1,16 @@
 """The genotype plan, loaders, sinks and streaming on toy tables that are no clinical data."""
 
+import gzip
+import io
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from paraloom.operators import models as P
 from paraloom.plans import genotype as G
+from paraloom.sources import alignment, sinks
 from paraloom.sources import tables as T
 from paraloom.streaming import ingest
 
@@ -45,12 +49,54 @@ def test_loaders(spark, files):
 
 
 def test_sinks(spark, tmp_path):
-    calls = spark.createDataFrame([("s1", "*1/*2", None)], "sample_id string, genotype string, filter string")
-    T.write_json(calls, str(tmp_path / "j"))
-    assert json.loads(spark.read.text(str(tmp_path / "j")).first()[0]) == {"s1": {"genotype": "*1/*2", "filter": None}}
-    T.write_tsv(calls, str(tmp_path / "t"))
-    assert spark.read.text(str(tmp_path / "t")).collect()[1][0] == "s1\t*1/*2\tNone"
-    assert sorted(map(tuple, T.all_samples(spark.createDataFrame([("s0",), ("s1",)], "sample_id string"), calls).collect())) == [("s0", None, None), ("s1", "*1/*2", None)]
+    calls = spark.createDataFrame([("s1", "*1/*2;*1/*9", "More_than_one_possible_genotype", 0.756, "HIGH", "cn2", 2, True, ["*1_*2", "*1_*9"], "1.5;1.0", "N;I"), ("s2", None, None, None, None, None, None, None, None, None, None)], "sample_id string, genotype string, filter string, confidence double, confidence_label string, tag string, n_alternatives int, reflex boolean, candidates array<string>, activity string, phenotype string")
+    sinks.write_json(calls, str(tmp_path / "j"))
+    found = sinks.read_json("\n".join(r[0] for r in spark.read.text(str(tmp_path / "j")).collect()))
+    assert set(found) == {"s1", "s2"} and all(list(x) == list(sinks.JSON_KEYS) for x in found.values())
+    assert (found["s1"]["Confidence"], found["s1"]["Phasing_ambiguous"], found["s1"]["Clinical_equivalence"], found["s1"]["Raw_star_allele"]) == ("0.76", True, "different_effect", ["*1_*2", "*1_*9"])
+    assert found["s2"]["Genotype"] is None and found["s2"]["Clinical_equivalence"] == "n/a"
+    haplotypes = spark.createDataFrame([("s1", "*1", "1.0", "normal", "x", "y"), ("s1", "*2", "0.5", "less", "x", None), ("s2", "*3", "0", "no", "x", "y")], "sample_id string, haplotype string, activity string, function string, evidence_strength string, evidence_summary string")
+    frequencies = spark.createDataFrame([("s1", "B", "*1", "50.0%"), ("s1", "A", "*1", "40.0%"), ("s1", "A", "*1/*2", "1.0%")], "sample_id string, grp string, name string, percent string")
+    sinks.write_tsv(calls, str(tmp_path / "t"), haplotypes, frequencies)
+    head = "\t".join(sinks.TSV_COLUMNS)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "t" / "sample=s1"), wholetext=True).collect()] == [
+        f"{head}\ns1\t*1/*2;*1/*9\tMore_than_one_possible_genotype\t0.76 (HIGH)\t1.5;1.0\tN;I\ttrue\ttrue\n\nHaplotype\tActivity value\tFunction\tEvidence strength\tEvidence summary\n*1\t1.0\tnormal\tx\ty\n*2\t0.5\tless\tx\t\n"
+        "\nBiogeographic group\t*1\t*1/*2\nA\t40.0%\t1.0%\nB\t50.0%\t\n"
+    ]
+    assert spark.read.text(str(tmp_path / "t" / "sample=s2"), wholetext=True).first()[0] == f"{head}\ns2\tNone\tNone\t0.00 (LOW)\t-\t-\tfalse\tfalse\n"
+    assert "s1" in sinks.console_report(calls)
+    sinks.write_json(calls.limit(0), str(tmp_path / "j0"))
+    sinks.write_tsv(calls.limit(0), str(tmp_path / "t0"))
+    assert spark.read.text(str(tmp_path / "j0")).collect()[0][0] == "{}" and spark.read.text(str(tmp_path / "t0")).collect()[0][0] == head
+    assert sorted(map(tuple, T.all_samples(spark.createDataFrame([("s0",), ("s1",)], "sample_id string"), calls.select("sample_id", "filter")).collect())) == [("s0", None), ("s1", "More_than_one_possible_genotype")]
+
+
+def bam(contigs, rows):
+    """A BAM file's bytes: contigs, then (name, flag, contig, pos, mapq, tlen, cigar, seq)."""
+    codes, ops = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+    out = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 1000) for c in contigs)
+    for name, flag, contig, pos, mapq, tlen, cigar, seq in rows:
+        packed = bytes(codes.index(a) << 4 | codes.index(b) for a, b in zip(seq[::2], (seq + "=")[1::2], strict=False))
+        body = struct.pack("<iiBBHHHiiii", contig, pos, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, tlen) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | ops.index(op)) for op, n in cigar) + packed + bytes(range(len(seq)))
+        out += struct.pack("<i", len(body)) + body
+    return out
+
+
+def test_bam(spark, tmp_path):
+    rows = [("r1", 16, 0, 100, 60, 300, [("S", 2), ("M", 5), ("D", 3), ("M", 4)], "ACGTNACGTAC"), ("r2", 4, -1, -1, 0, 0, [], "AC"), ("r3", 0, 1, 7, 9, -5, [("M", 4)], "TTGA")]
+    whole = bam(["chr22", "2"], rows)
+    # two members, as a blocked file has them
+    (tmp_path / "one.bam").write_bytes(gzip.compress(whole[:77]) + gzip.compress(whole[77:]))
+    (tmp_path / "cut.bam").write_bytes(gzip.compress(whole[:-3]))
+    got = alignment.read_bam(spark, str(tmp_path / "*.bam")).orderBy("sample_id", "qname").collect()
+    assert [(r["sample_id"], r["qname"], r["flag"], r["chrom"], r["pos"], r["end_pos"], r["mapq"], r["tlen"], r["seq"]) for r in got] == [
+        ("cut", "r1", 16, "22", 100, 112, 60, 300, "ACGTNACGTAC"), ("one", "r1", 16, "22", 100, 112, 60, 300, "ACGTNACGTAC"), ("one", "r3", 0, "2", 7, 11, 9, -5, "TTGA")
+    ]
+    assert [(c["op"], c["len"]) for c in got[0]["cigar"]] == [("S", 2), ("M", 5), ("D", 3), ("M", 4)] and got[0]["qual"] == list(range(11))
+    assert got[0].asDict().keys() == {f.split(" ")[0] for f in T.READS.split(", ")}
+    with pytest.raises(ValueError):
+        list(alignment.records(io.BytesIO(b"nothing at all")))
 
 
 STARS = [(0, "*1", []), (1, "*2", ["g.1A>C", "g.2A>C"]), (2, "*3", ["g.1A>C"]), (3, "*4", ["g.3C>T", "g.42130692G>A"]), (4, "*10", ["g.4A>C"]), (5, "*36", ["exon9gc", "g.42126611C>G", "g.4A>C"]), (6, "*4.013", ["exon9gc", "g.3C>T"])]
