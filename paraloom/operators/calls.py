@@ -89,7 +89,7 @@ def fill_consensus(rows: DataFrame, total: str, spacer: str, exon9: str, loose:
 def structural_tag(rows: DataFrame, total: str = "total_cn", rep_col: str | None = None) -> DataFrame:
     """rows (with the region columns) with `tag`: the events between regions if they balance, spelled as known; cn2 without events.
 
-    The region before exon 9 has two copies unless a column tells.
+    The region before exon 9 has two copies unless a column tells; then events that do not balance leave no tag.
     """
     up, far, mid, low, rep = F.col("intron1_up"), F.col("intron4_intron1"), F.col("exon9_intron4"), F.col("exon9"), F.lit(REP_COPIES) if rep_col is None else F.col(rep_col)
     step = lambda a, b: F.coalesce(F.greatest(a - b, F.lit(0)), F.lit(0)).cast("int")
@@ -105,7 +105,7 @@ def structural_tag(rows: DataFrame, total: str = "total_cn", rep_col: str | None
     special = (n["dup"] == 2) & (n["exon9hyb"] == 1) & (n["star13intron1"] == 1) & (sum(n.values(), F.lit(0)) == 4)
     all_dups = (F.size(names) > 0) & F.forall(names, lambda x: x == "dup")
     spelled = F.when(all_dups, F.concat(F.lit("cn"), (F.size(names) + 2).cast("string"))).when(special, "cn4").otherwise(F.array_join(names, "_"))
-    none = (mid == 2) & (far == 2) & (up == 2)
+    none = (mid == 2) & (far == 2) & (up == 2) & (F.lit(True) if rep_col is None else ~some)
     tag = F.when(up.isNull() | (F.col(total) < 2) | (up != F.col(total) - 2), None).when(some & (gained + 2 == up), spelled).when(none, "cn2")
     return rows.withColumn("tag", tag)
 
