@@ -1,10 +1,11 @@
 """Embedding near-dedup: int8 tile products with error bounds for each vector, full precision only where a pair may be over the threshold.
 
-Equal vectors of a label are merged into one class first. The classes of a label are dealt into blocks by hash, and each pair of blocks
-is one tile: a task sees two blocks and no more, whatever the label's size. In a tile unit vectors u are kept as s * q with q in
--127..127 and e = |u - s q|; then |u.w - s_u s_w q_u.q_w| <= e_u + (1 + e_u) e_w, so pairs under the threshold by more than
-that are settled by integer products (exact in single precision for up to 1040 dimensions, in double beyond). A tile
-returns link counts for each class and a spanning forest of its links, never its pairs.
+Equal vectors of a label are merged into one class first, and each class is quantised once: a unit vector u becomes s * q with q in
+-127..127 and e = |u - s q|. The classes of a label are dealt into blocks by hash, and each pair of blocks
+is one tile: a task sees the codes of two blocks and no more, whatever the label's size. Since |u.w - s_u s_w q_u.q_w| <= e_u + (1 + e_u) e_w, pairs
+that are over or under the threshold by more than that are settled by integer products (exact in single precision for up to 1040 dimensions, in double beyond); only
+those between are looked up in full and computed in double precision. A tile returns link counts for each class, a spanning forest of its settled links and
+the pairs that are left, never all its pairs.
 
 Defined cases: null, zero, null-holding and non-finite vectors, rows with a null label and rows with a null id link with nothing (n_links 0,
 component_id their own id, kept; a null id gives a null component); vectors of different lengths do not link; a repeated row is a vector
@@ -13,6 +14,8 @@ of its own; no rows give no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,27 +45,37 @@ def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error * (1 + SLACK) + SLACK
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) with cosine >= threshold between two blocks; within one block i < j."""
-    a, b = unit(left), unit(right)
-    (qa, sa, ea), (qb, sb, eb) = quantise(a), quantise(b)
-    kind = np.float32 if left.shape[1] <= 1040 else np.float64
-    qb, found = qb.astype(kind).T, []
-    for k in range(0, len(a), rows):
-        near = (qa[k : k + rows].astype(kind) @ qb).astype(np.float64) * (sa[k : k + rows, None] * sb)
+def tile_links(left: tuple, right: tuple, threshold: float, same: bool, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sure): pairs of two blocks of (codes, scales, errors) that are over the threshold, or may be; within one block i < j."""
+    (qa, sa, ea), (qb, sb, eb) = left, right
+    kind = np.float32 if qa.shape[1] <= 1040 else np.float64
+    turned, found = qb.astype(kind).T, []
+    for k in range(0, len(qa), rows):
+        near = (qa[k : k + rows].astype(kind) @ turned).astype(np.float64) * (sa[k : k + rows, None] * sb)
         bound = ea[k : k + rows, None] + (1 + ea[k : k + rows, None]) * eb
         i, j = np.nonzero(near + bound >= threshold - SLACK)
+        sure = near[i, j] - bound[i, j] >= threshold + SLACK
         i += k
-        if same:
-            i, j = i[i < j], j[i < j]
-        for m in range(0, len(i), 1 << 16):
-            x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
-            exact = (left[x] * right[y]).sum(axis=1) / (np.sqrt((left[x] ** 2).sum(axis=1)) * np.sqrt((right[y] ** 2).sum(axis=1)))
-            odd = ~np.isfinite(exact) | (exact == 0)
-            exact[odd] = (a[x[odd]] * b[y[odd]]).sum(axis=1)
-            over = exact >= threshold
-            found.append((x[over], y[over]))
-    return np.concatenate([x for x, _ in found] or [np.zeros(0, int)]), np.concatenate([y for _, y in found] or [np.zeros(0, int)])
+        some = i < j if same else np.ones(len(i), dtype=bool)
+        found.append((i[some], j[some], sure[some]))
+    return tuple(np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in range(3))
+
+
+def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision."""
+    with np.errstate(all="ignore"):
+        exact = (left * right).sum(axis=1) / (np.sqrt((left**2).sum(axis=1)) * np.sqrt((right**2).sum(axis=1)))
+    odd = ~np.isfinite(exact) | (exact == 0)
+    if odd.any():
+        exact[odd] = (unit(left[odd]) * unit(right[odd])).sum(axis=1)
+    return exact
+
+
+def _codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in frames:
+        for _, same in x.groupby(x["v"].map(len)):
+            q, s, e = quantise(unit(np.array(same["v"].tolist(), dtype=np.float64)))
+            yield same.drop(columns="v").assign(q=[row.tobytes() for row in q], s=s, e=e)
 
 
 def dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -76,32 +89,51 @@ def dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     classes = held.where("fit").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    label_type = classes.schema["label"].dataType.simpleString()
+    codes = classes.select("class", "label", "dim", "copies", "v").mapInPandas(_codes, f"class long, label {label_type}, dim int, copies long, q binary, s double, e double")
+    dealt = cut(codes).join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "label", "dim", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "class", "copies", "v"
+        "label", "dim", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "class", "copies", "q", "s", "e"
     )
 
     def link(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("class")
-        vectors, copies, cls = np.array(x["v"].tolist(), dtype=np.float64), x["copies"].to_numpy(np.int64), x["class"].to_numpy(np.int64)
+        copies, cls = x["copies"].to_numpy(np.int64), x["class"].to_numpy(np.int64)
         ti, tj = int(x["ti"].iloc[0]), int(x["tj"].iloc[0])
         a = np.flatnonzero(x["own"].to_numpy() == ti)
         b = a if ti == tj else np.flatnonzero(x["own"].to_numpy() == tj)
         if not len(a) or not len(b):
             return pd.DataFrame({"a": cls[:0], "b": cls[:0], "links": cls[:0]})
-        i, j = tile_links(vectors[a], vectors[b], threshold, ti == tj)
+        q, s, e = np.frombuffer(b"".join(x["q"]), np.int8).reshape(len(x), -1), x["s"].to_numpy(), x["e"].to_numpy()
+        i, j, sure = tile_links((q[a], s[a], e[a]), (q[b], s[b], e[b]), threshold, ti == tj)
         i, j = a[i], b[j]
+        left_i, left_j, i, j = i[~sure], j[~sure], i[sure], j[sure]
         links = np.zeros(len(x), dtype=np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         edges = np.array(forest(len(x), i, j), dtype=np.int64).reshape(-1, 2)
         some = np.flatnonzero(links)
-        none = np.full(len(some), -1)
-        return pd.DataFrame({"a": np.r_[cls[edges[:, 0]], cls[some]], "b": np.r_[cls[edges[:, 1]], none], "links": np.r_[np.zeros(len(edges), np.int64), links[some]]})
+        return pd.DataFrame({
+            "a": np.concatenate([cls[edges[:, 0]], cls[some], cls[left_i]]), "b": np.concatenate([cls[edges[:, 1]], np.full(len(some), -1), cls[left_j]]),
+            "links": np.concatenate([np.zeros(len(edges), np.int64), links[some], np.full(len(left_i), -1)]),
+        })
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for k in range(0, len(x), 1 << 14):
+                part = x.iloc[k : k + (1 << 14)]
+                # all pairs of one length at once
+                for _, same in part.groupby(part["va"].map(len)):
+                    over = cosines(np.array(same["va"].tolist(), dtype=np.float64), np.array(same["vb"].tolist(), dtype=np.float64)) >= threshold
+                    yield same.loc[over, ["a", "b", "ca", "cb"]]
 
     found = cut(tiles.groupBy("label", "dim", "ti", "tj").applyInPandas(link, "a long, b long, links long"))
-    links = found.where("b < 0").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("other_links"))
-    groups = components(found.where("b >= 0").select("a", "b"))
+    of = lambda side: classes.select(F.col("class").alias(side), F.col("v").alias(f"v{side}"), F.col("copies").alias(f"c{side}"))
+    between = found.where("links = -1").select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    settled = cut(between.mapInPandas(settle, "a long, b long, ca long, cb long"))
+    more = settled.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("cb").alias("links")), F.struct(F.col("b").alias("class"), F.col("ca").alias("links")))).alias("x")).select("x.*")
+    links = found.where("b < 0").select(F.col("a").alias("class"), "links").unionByName(more).groupBy("class").agg(F.sum("links").alias("other_links"))
+    groups = components(found.where("b >= 0 and links = 0").select("a", "b").unionByName(settled.select("a", "b")))
     named = classes.select("class", "first", "copies", "label", "v").join(groups, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("component", "class"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     named = named.join(least, "group").join(links, "class", "left")
