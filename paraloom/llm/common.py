@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -55,6 +57,19 @@ def scratch_folder(spark: SparkSession, kind: str) -> str:
     return folder
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker has made for a key; it keeps one such thing at a time, so that no stage holds the memory of another."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has so few rows; df must be cheap to count."""
     return F.broadcast(df) if df.count() <= most else df

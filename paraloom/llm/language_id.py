@@ -15,6 +15,7 @@ other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import numbered, read_table
+from paraloom.llm.common import kept, numbered, read_table
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
@@ -34,7 +35,6 @@ STRETCH, LANES, BATCH_CHARS = 256, 8192, 4_000_000
 TABLE_CELLS = 32_000_000
 #: The stage takes a label for wrong if another language wins by this score.
 SURE = 0.1
-_MODELS: dict = {}
 
 
 def held_out(id_col: Column) -> Column:
@@ -52,10 +52,9 @@ def letters(text: str) -> str:
     return out[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
+@functools.cache
 def _letter_table() -> np.ndarray:
-    if "letters" not in _MODELS:
-        _MODELS["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
-    return _MODELS["letters"]
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 class Automaton:
@@ -225,10 +224,7 @@ def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "te
     key = hash(tuple(samples))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS.clear()  # one model at a time
-            _MODELS[key] = Model(samples)
-        model = _MODELS[key]
+        model = kept(("language", key), lambda: Model(samples))
         for batch in batches:
             texts, found, size = [], [], 0
             for x in batch.column(0):
@@ -241,11 +237,11 @@ def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "te
             language = pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], language], names=[*batch.schema.names[1:], "found"])
 
-    kept = [c for c in docs.columns if c != out]
-    rows = numbered(docs, [text_col, *kept])
+    others = [c for c in docs.columns if c != out]
+    rows = numbered(docs, [text_col, *others])
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     found = rows.mapInArrow(compute, f"{fields}found struct<lang:string,score:double>")
-    return found.select(*[F.col(f"c{k + 1}").alias(c) for k, c in enumerate(kept)], F.col("found").alias(out))
+    return found.select(*[F.col(f"c{k + 1}").alias(c) for k, c in enumerate(others)], F.col("found").alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

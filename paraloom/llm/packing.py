@@ -27,6 +27,8 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a bucket as long as there are few, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
+#: Bytes of texts that are encoded together: few, for this stage shares its workers with others.
+CHUNK_BYTES = 3_000_000
 
 
 class CapacityTree:
@@ -104,7 +106,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         enc = encoder(path)
         for batch in batches:
             held = batch.column(0).to_pylist()
-            ids = enc.encode(batch.column(1))
+            ids = enc.encode(batch.column(1), CHUNK_BYTES)
             for k in range(0, batch.num_rows, 2048):
                 columns = [[] for _ in names]
                 for doc in held[k : k + 2048]:

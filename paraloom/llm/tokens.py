@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from paraloom.llm.common import kept
+
 #: Units whose ids a worker keeps, and the bytes of the longest that it keeps; both bound its memory.
-KEPT_UNITS, KEPT_CHARS = 800_000, 48
+KEPT_UNITS, KEPT_CHARS = 500_000, 48
 #: Bytes of the texts whose units are looked up together; a longer text is a chunk of its own.
 CHUNK_BYTES = 8_000_000
 END_ID = 0
@@ -28,7 +30,6 @@ _ODD = "  |\n\n| \n|\n |[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u202
 #: Letters that stay one letter in lower case, and a unit of them with what stands before and the signs after them.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
 _SIGNED = re.compile(f"([\n\0]?)({_LETTERS})([!-/:-@\\[-`{{-~]+)")
-_ENCODERS: dict = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -134,22 +135,24 @@ class UnitEncoder:
         out = starts[place], every[place], ids
         room = self.kept_units - len(self.known)
         if room > 0:
-            kept = min(room, int((~long).sum()))
-            self.known = pa.concat_arrays([self.known, names.slice(0, kept)])
+            some = min(room, int((~long).sum()))
+            self.known = pa.concat_arrays([self.known, names.slice(0, some)])
             self.lengths = every[: len(self.known)]
             self.flat = ids[: int(self.lengths.sum())]
         return out
 
-    def encode(self, texts: pa.Array | Iterable[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text in order; a null text has none."""
+    def encode(self, texts: pa.Array | Iterable[str | None], chunk_bytes: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text in order; a null text has none. chunk_bytes (CHUNK_BYTES by default) bounds the memory beside a longest text's."""
+        chunk_bytes = chunk_bytes or CHUNK_BYTES
         texts = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         first = 0
         while first < len(texts):
             done = size[first - 1] if first else 0
-            end = max(first + 1, int(np.searchsorted(size, done + CHUNK_BYTES, side="right")))
+            end = max(first + 1, int(np.searchsorted(size, done + chunk_bytes, side="right")))
             yield from self._chunk(texts.slice(first, end - first))
+            pa.default_memory_pool().release_unused()
             first = end
 
     def _chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -185,9 +188,7 @@ class UnitEncoder:
 
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a file; it outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: UnitEncoder(path))
 
 
 def crc_of(ids: np.ndarray) -> int:
