@@ -33,8 +33,8 @@ TRAIN_DOCS, TEXT_CHARS, TRAIN_CHARS = 40, 10_000, 40_000
 STRETCH, LANES, BATCH_CHARS = 256, 8192, 4_000_000
 #: Cells of the tables of all languages together; beyond that all automata are lists of edges, which answer alike.
 TABLE_CELLS = 32_000_000
-#: The stage takes a label for wrong if another language wins by this score.
-SURE = 0.1
+#: The stage takes a label for wrong if another language wins by this score and the label's own wins in less than this share of the text's pieces, of so many characters.
+SURE, PART, PIECE = 0.1, 0.1, 100
 
 
 def held_out(id_col: Column) -> Column:
@@ -203,6 +203,13 @@ class Model:
         return out
 
 
+    def share(self, text: str, language: str) -> float:
+        """The share of a text's pieces in which a language wins."""
+        plain = letters(text).strip()
+        found = self.predict([plain[k : k + PIECE] for k in range(0, len(plain), PIECE)])
+        return sum(x == language for x, _ in found) / max(1, len(found))
+
+
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
     """(language, sample text) for each language, by name."""
     text = F.col(text_col)
@@ -219,14 +226,18 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sorted((lang, x) for lang, x in samples.items() if x)
 
 
-def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text", out: str = "language") -> DataFrame:
-    """docs with the struct column `out` (lang, score); a column of that name is replaced."""
-    key = hash(tuple(samples))
+def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text", out: str = "language", label_col: str | None = None) -> DataFrame:
+    """docs with the struct column `out` (lang, score[, label_share]); a column of that name is replaced.
+
+    With a column of labels, label_share has the share of a text's pieces in which the label's language wins, for texts that go to another one.
+    """
+    key, known = hash(tuple(samples)), {x for x, _ in samples}
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("language", key), lambda: Model(samples))
         for batch in batches:
             texts, found, size = [], [], 0
+            first = 1 if label_col is None else 2
             for x in batch.column(0):
                 texts.append(x.as_py())
                 size += len(texts[-1] or "")
@@ -234,14 +245,22 @@ def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "te
                     found += model.predict(texts)
                     texts, size = [], 0
             found += model.predict(texts)
-            language = pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], language], names=[*batch.schema.names[1:], "found"])
+            parts = {"lang": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
+            if label_col is not None:
+                shares: list[float | None] = [None] * len(found)
+                for k, (label, (lang, _)) in enumerate(zip(batch.column(1).to_pylist(), found, strict=True)):
+                    if label in known and lang not in (label, UNKNOWN):
+                        shares[k] = model.share(batch.column(0)[k].as_py(), label)
+                parts["label_share"] = pa.array(shares, pa.float64())
+            language = pa.StructArray.from_arrays(list(parts.values()), list(parts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], language], names=[*batch.schema.names[first:], "found"])
 
     others = [c for c in docs.columns if c != out]
-    rows = numbered(docs, [text_col, *others])
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    found = rows.mapInArrow(compute, f"{fields}found struct<lang:string,score:double>")
-    return found.select(*[F.col(f"c{k + 1}").alias(c) for k, c in enumerate(others)], F.col("found").alias(out))
+    lead = [text_col] if label_col is None else [text_col, label_col]
+    rows = numbered(docs, [*lead, *others])
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[len(lead) :])
+    found = rows.mapInArrow(compute, f"{fields}found struct<lang:string,score:double{',label_share:double' if label_col else ''}>")
+    return found.select(*[F.col(f"c{k + len(lead)}").alias(c) for k, c in enumerate(others)], F.col("found").alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,11 +273,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told and is not plainly another than their label says; a null label is filled with the prediction.
 
-    Those without a letter go (nulls and empty texts too), and all if no language was learned. Repeated rows are judged alike; columns of
-    any name pass through unchanged, but for the nulls of `lang`.
+    Those without a letter go (nulls and empty texts too), and all if no language was learned. A text of several languages keeps the label of any that
+    has its part in it, and a label that was not learned is not judged. Repeated rows are judged alike; columns of any name pass through unchanged, but for the nulls of `lang`.
     """
-    samples = training_sample(docs)
-    told = F.col("__language.lang")
-    wrong = F.col("lang").isin([x for x, _ in samples]) & (F.col("lang") != told) & (F.col("__language.score") >= SURE)
-    out = predict(docs, samples, out="__language").where((told != UNKNOWN) & ~F.coalesce(wrong, F.lit(False)))
+    found, told = predict(docs, training_sample(docs), out="__language", label_col="lang"), F.col("__language.lang")
+    wrong = (F.col("__language.label_share") < PART) & (F.col("__language.score") >= SURE)
+    out = found.where((told != UNKNOWN) & ~F.coalesce(wrong, F.lit(False)))
     return out.select(*[F.coalesce("lang", told).alias(c) if c == "lang" else F.col(c) for c in docs.columns])

@@ -27,8 +27,8 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a bucket as long as there are few, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
-#: Bytes of texts that are encoded together: few, for this stage shares its workers with others.
-CHUNK_BYTES = 3_000_000
+#: Bytes of texts that are encoded together, and units whose ids a worker keeps: few, for this stage shares its workers with others.
+CHUNK_BYTES, KEPT_UNITS = 3_000_000, 250_000
 
 
 class CapacityTree:
@@ -103,7 +103,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     end = np.array([END_ID], dtype="<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, KEPT_UNITS)
         for batch in batches:
             held = batch.column(0).to_pylist()
             ids = enc.encode(batch.column(1), CHUNK_BYTES)

@@ -269,7 +269,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 def star_links(pairs: DataFrame, sets: DataFrame, deal: int = DEAL) -> DataFrame:
     """(x, y): the pairs (centre, sid) whose sets are similar; a centre with very many members is dealt to several tasks."""
-    centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / deal).alias("parts"))
+    centres = cut(pairs.groupBy("centre").agg(F.ceil(F.count("*") / deal).alias("parts")))
     left = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts"))).select("centre", "part", "sid").join(sets, "sid")
     hubs = centres.select(F.col("centre").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal"))
     right = hubs.join(sets.select(F.col("sid").alias("hub"), F.col("found").alias("own")), "hub")
@@ -296,7 +296,7 @@ def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_
     met = cut(bands.select("*", twice).join(sizes.select("*", twice), ["band", "key", "key2"]))
     shared = met.groupBy("sid").agg(F.sum(F.col("n") - 1).alias("shared"))
     placed = cut(met.join(shared, "sid"))
-    centre = placed.groupBy("band", "key").agg(F.max(F.struct("shared", "sid"))["sid"].alias("centre")).select("*", twice)
+    centre = cut(placed.groupBy("band", "key").agg(F.max(F.struct("shared", "sid"))["sid"].alias("centre"))).select("*", twice)
     stars = placed.join(centre, ["band", "key", "key2"]).where("sid <> centre").select("centre", "sid").distinct()
     sets = cut(shingle_sets(docs, of_set.join(shared.select("sid"), "sid", "left_semi"), id_col, text_col, broadcast_ids))
     links = cut(star_links(cut(stars), sets))

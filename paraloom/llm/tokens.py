@@ -186,9 +186,9 @@ class UnitEncoder:
                 k += 1
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, kept_units: int = KEPT_UNITS) -> UnitEncoder:
     """The worker's encoder for a file; it outlives a task."""
-    return kept(("encoder", path), lambda: UnitEncoder(path))
+    return kept(("encoder", path, kept_units), lambda: UnitEncoder(path, kept_units))
 
 
 def crc_of(ids: np.ndarray) -> int:

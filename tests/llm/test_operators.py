@@ -225,6 +225,27 @@ def test_quantisation_bound():
     assert (np.abs(exact - near) <= e[:, None] + (1 + e[:, None]) * e).all()
 
 
+def test_embedding_pairs_between_the_bounds(spark):
+    # vectors about the threshold apart, long ones, and columns with the operator's own names
+    r = np.random.default_rng(7)
+    rows = []
+    for dim in (8, 2000):
+        a = embedding_dedup.unit(r.normal(size=(30, dim)))
+        b = r.normal(size=(30, dim))
+        b = embedding_dedup.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+        for k, c in enumerate(np.r_[np.linspace(0.925, 0.935, 28), 0.5, 0.9999]):
+            rows += [(len(rows) + j, v.tolist(), dim * 100 + k, "x", 1, 2.0) for j, v in enumerate((a[k], c * a[k] + np.sqrt(1 - c * c) * b[k]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, class string, links int, v double")
+    got = {x["vec_id"]: x["n_links"] for x in embedding_dedup.dedup(df).collect()}
+    exact = {k: float(np.dot(rows[k][1], rows[k + 1][1]) / (np.linalg.norm(rows[k][1]) * np.linalg.norm(rows[k + 1][1]))) for k in range(0, len(rows), 2)}
+    assert all(abs(x - 0.93) > 1e-12 for x in exact.values())
+    assert got == {k + j: int(x >= 0.93) for k, x in exact.items() for j in (0, 1)} and 20 < sum(got.values()) < 100
+    codes = [embedding_dedup.quantise(np.array([rows[k][1]])) for k in range(0, 60)]
+    left, right = (tuple(np.concatenate([c[n] for c in codes[j::2]]) for n in range(3)) for j in (0, 1))
+    i, j, sure = embedding_dedup.tile_links(left, right, 0.93, False)
+    assert (~sure & (i == j)).sum() > 5 and (sure & (i == j)).sum() > 0
+
+
 # ---- URL filter ----
 
 
