@@ -14,6 +14,7 @@ from paraloom.operators import segment as G
 from paraloom.operators.calls import conversion_map
 from paraloom.operators.match import nearest
 from paraloom.operators.reads import phase_winner
+from paraloom.operators.sides import small
 
 # Zones in which clip clusters count, and parts of the second source whose depths are compared.
 CLIP_ZONES = {"d6_body": (42126499, 42130881), "rep6_spacer": (42130881, 42132500), "spacer": (42132500, 42139500), "d7": (42139676, 42145745)}
@@ -168,7 +169,7 @@ def vote_scores(observed: DataFrame, sites: DataFrame, stars: DataFrame) -> Data
     each = met.select("sample_id", "qname", "name", as_ref.alias("r"), (as_alt - as_ref).alias("d"))
     base = each.groupBy("sample_id", "qname").agg(F.sum("r").alias("r"))
     change = each.join(stars.select(F.col("name").alias("allele"), F.explode("parts").alias("name")), "name").groupBy("sample_id", "qname", "allele").agg(F.sum("d").alias("d"))
-    grid = base.crossJoin(F.broadcast(stars.select(F.col("name").alias("allele"))))  # the release's alleles, hundreds
+    grid = base.crossJoin(small(stars.select(F.col("name").alias("allele"))))
     return grid.join(change, ["sample_id", "qname", "allele"], "left").select("sample_id", "qname", "allele", (F.col("r") + F.coalesce("d", F.lit(0.0))).alias("ll"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paraloom.operators.sides import small
+
 #: Reads that depth counts: no secondary or supplementary alignments; duplicates stay.
 NOT_PRIMARY = 0x900
 #: Reads that a pileup counts: no duplicates either.
@@ -40,7 +42,7 @@ def primary(reads: DataFrame, min_mapq: int = 0) -> DataFrame:
 def region_read_counts(reads: DataFrame, regions: DataFrame, keys: list[str], width: int = 1 << 14) -> DataFrame:
     """(keys, name, count): primary reads that start in each region, for every sample that has reads."""
     counted = point_in_interval(primary(reads), regions.select("chrom", "name", "start", "end"), "pos", "start", "end", width, ("chrom",)).groupBy(*keys, "name").agg(F.count("*").alias("count"))
-    grid = reads.select(*keys).distinct().crossJoin(F.broadcast(regions.select("name").distinct()))  # the panel's regions, a table of the release
+    grid = reads.select(*keys).distinct().crossJoin(small(regions.select("name").distinct()))
     return grid.join(counted, [*keys, "name"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 

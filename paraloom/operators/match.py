@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from paraloom.functions.scalar import main_allele, multiset_key
+from paraloom.operators.sides import small
 
 # Alleles that yield to any other candidate.
 RARE_ALLELES = ("*34", "*39", "*4.009", "*139")
@@ -58,7 +59,7 @@ def triple_matches(observed: DataFrame, items: DataFrame, keys: list[str]) -> Da
     rows = observed.select(*keys, F.array_sort("names").alias("__obs"))
     some = F.filter("parts", lambda x: x != "NA")
     fits = F.forall(F.array_distinct(some), lambda x: F.size(F.filter(some, lambda y: y == x)) <= F.size(F.filter("__obs", lambda y: y == x)))
-    few = rows.join(F.broadcast(items.select("ord", "name", "parts")), fits)  # the dictionary's items, hundreds
+    few = rows.join(small(items.select("ord", "name", "parts")), fits)
     of = lambda k: few.select(*[F.col(c).alias(f"__{c}{k}") for c in keys], F.col("ord").alias(f"o{k}"), F.col("name").alias(f"n{k}"), F.col("parts").alias(f"p{k}"))
     same = lambda a, b: [F.col(f"__{c}{a}").eqNullSafe(F.col(f"__{c}{b}")) for c in keys]
     a, b, c = of("a"), of("b"), of("c")

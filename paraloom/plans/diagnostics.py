@@ -13,6 +13,7 @@ from paraloom.operators import evidence as E
 from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import reads as R
+from paraloom.operators.sides import small
 from paraloom.plans import genotype
 from paraloom.sources.tables import Resources, variant_bases
 
@@ -42,7 +43,7 @@ def d7_depth(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
 
 def _target_counts(reads: DataFrame, res: Resources) -> DataFrame:
     named = res.targets.select("idx", F.col("label").alias("name"))
-    return genotype.source_counts(reads, res.targets, False, 10).join(F.broadcast(named), "idx")  # the panel's variants
+    return genotype.source_counts(reads, res.targets, False, 10).join(small(named), "idx")
 
 
 def af_phasing(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import models as P
 from paraloom.operators import segment as G
+from paraloom.operators.sides import small
 from paraloom.plans.lineage import cut
 from paraloom.sources import tables as T
 from paraloom.sources.tables import Resources, percent
@@ -233,7 +234,7 @@ def fuzzy_triples(open_: DataFrame, stars: DataFrame) -> DataFrame:
     """
     rows = open_.select("sample_id", F.array_sort("names").alias("o"))
     less = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.greatest(F.lit(0), F.size(F.filter(a, lambda y: y == x)) - F.size(F.filter(b, lambda y: y == x))))
-    few = rows.join(F.broadcast(stars.select("ord", "name", "parts")), less(F.col("parts"), F.col("o")) <= M.FUZZY_EXCESS)  # the release's alleles, hundreds
+    few = rows.join(small(stars.select("ord", "name", "parts")), less(F.col("parts"), F.col("o")) <= M.FUZZY_EXCESS)
     of = lambda k: few.select(F.col("sample_id").alias(f"s{k}"), "o", F.col("ord").alias(f"o{k}"), F.col("name").alias(f"n{k}"), F.col("parts").alias(f"p{k}"))
     near = lambda p: less(p, F.col("o")) <= M.FUZZY_EXCESS
     ab = of("a").join(of("b").drop("o"), (F.col("sa") == F.col("sb")) & (F.col("oa") <= F.col("ob"))).where(near(F.concat("pa", "pb")))
@@ -303,7 +304,7 @@ def source_counts(reads: DataFrame, sites: DataFrame, both: bool, min_mapq: int,
     coordinates = I.two_coordinate(sites, "pos1", "pos2") if both else sites.withColumn("pos", F.col(first))
     at = coordinates.select("idx", "chrom", "pos", "alleles1", "alleles2")
     found = I.supporting_counts(I.allele_reads(I.site_bases(reads, at, min_mapq, min_span), ["sample_id"]), ["sample_id"])
-    grid = reads.select("sample_id").distinct().crossJoin(F.broadcast(sites.select("idx")))  # the panel's sites
+    grid = reads.select("sample_id").distinct().crossJoin(small(sites.select("idx")))
     return grid.join(found, ["sample_id", "idx"], "left").na.fill(0, ["n1", "n2", "n1_fwd", "n1_rev"])
 
 
@@ -378,10 +379,10 @@ def run(reads: DataFrame, res: Resources, options: Options | None = None, counts
     tagged = cut(structural_calls(sites, totals.select("sample_id", "total_cn", "spacer_cn"), exon9, options, model_sd(res.parameters, "d67")))
 
     named = res.targets.select("idx", F.col("label").alias("name"), (F.col("pos1") + 1).alias("pos"))
-    target = source_counts(reads, res.targets, False, 10).join(F.broadcast(named), "idx")  # the panel's variants
+    target = source_counts(reads, res.targets, False, 10).join(small(named), "idx")
     target = cut(H.insertion_counts(target, H.motif_counts(reads, res.chrom)))
     called = variant_copies(target, tagged, options).select("sample_id", "name", "cn")
-    homology = source_counts(reads, res.homology, True, 0).join(F.broadcast(res.homology.select("idx", F.col("label").alias("name"))), "idx")  # the panel's variants
+    homology = source_counts(reads, res.homology, True, 0).join(small(res.homology.select("idx", F.col("label").alias("name"))), "idx")
     called = called.unionByName(homology_copies(homology, totals))
     along, flags, more_raw = haplotype_calls(reads, res.haplotypes or {}, totals, tagged.select("sample_id", "tag"))
     names = cut(A.repeated(called.unionByName(along), ["sample_id"], "name", "cn"))

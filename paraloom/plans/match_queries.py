@@ -11,6 +11,7 @@ from paraloom.operators import align
 from paraloom.operators import calls as C
 from paraloom.operators import match as M
 from paraloom.operators import segment as G
+from paraloom.operators.sides import small
 from paraloom.plans.base_queries import r6, table
 
 QUERIES, ORACLES = {}, {}
@@ -106,7 +107,7 @@ FROM l a JOIN l b ON a.user_id = b.user_id AND a.event_id = b.event_id AND a.h <
 def j11_pair_mixture(spark, d):
     events = table(spark, d, "events").select("user_id", "event_id", "event_type").distinct()
     kinds = table(spark, d, "events").select(F.col("event_type").alias("h")).distinct()
-    ll = events.crossJoin(F.broadcast(kinds)).withColumn("ll", F.when(F.col("event_type") == F.col("h"), F.ln(F.lit(0.9))).otherwise(F.ln(F.lit(0.05))))  # the kinds of event, a handful
+    ll = events.crossJoin(small(kinds)).withColumn("ll", F.when(F.col("event_type") == F.col("h"), F.ln(F.lit(0.9))).otherwise(F.ln(F.lit(0.05))))
     return M.pair_mixture(ll, ["user_id"], "event_id", "h", "ll").select("user_id", "a", "b", r6("total").alias("total"))
 
 
@@ -292,7 +293,7 @@ def m20_semiglobal(spark, d):
 def m20_global_distance(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_brand")
     brands = parts.select(F.col("p_brand").alias("other")).distinct()
-    near = parts.join(F.broadcast(brands), F.levenshtein("p_brand", "other", 1) >= 0)  # brands, a few dozen
+    near = parts.join(small(brands), F.levenshtein("p_brand", "other", 1) >= 0)
     return near.select("p_partkey", "other", F.levenshtein("p_brand", "other").alias("distance"))
 
 
@@ -300,7 +301,7 @@ def m20_global_distance(spark, d):
 def m21_local_mapping(spark, d):
     dna = lambda c: F.translate(F.upper(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789#-", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGT")
     parts = table(spark, d, "part").select("p_partkey", dna(F.col("p_name")).alias("q"))
-    refs = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region"))).select((F.col("n_nationkey") * 5 + F.col("r_regionkey")).alias("ref"), dna(F.concat("n_name", F.lit(" "), "r_name", F.lit(" "), "n_name")).alias("r"))  # five regions
+    refs = table(spark, d, "nation").crossJoin(small(table(spark, d, "region"))).select((F.col("n_nationkey") * 5 + F.col("r_regionkey")).alias("ref"), dna(F.concat("n_name", F.lit(" "), "r_name", F.lit(" "), "n_name")).alias("r"))
     return align.map_locally(parts, "p_partkey", "q", refs, "ref", "r", 5, 2)
 
 

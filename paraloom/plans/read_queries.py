@@ -15,6 +15,7 @@ from paraloom.operators import haplotypes as H
 from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import reads as R
+from paraloom.operators.sides import small
 from paraloom.plans import genotype as G
 from paraloom.plans.base_queries import r6, table
 
@@ -497,7 +498,7 @@ _LOGLIK = """t AS (SELECT DISTINCT event_type AS h FROM events), l AS (SELECT us
 def _loglik(spark, d) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "event_id", "event_type").distinct()
     kinds = table(spark, d, "events").select(F.col("event_type").alias("h")).distinct()
-    ll = events.crossJoin(F.broadcast(kinds))  # the kinds of event, a handful
+    ll = events.crossJoin(small(kinds))
     return ll.select("user_id", "event_id", "h", F.when(F.col("event_type") == F.col("h"), F.ln(F.lit(0.9))).otherwise(F.ln(F.lit(0.05))).alias("v"), F.ln(0.2 + (F.col("event_id") % 3) * 0.2).alias("lo"), (2 + F.col("user_id") % 3).alias("cn"))
 
 
