@@ -63,13 +63,19 @@ _KEPT: dict = {}
 def kept(key, make):
     """What a worker has made for a key; it keeps one such thing at a time, so that no stage holds the memory of another."""
     if key not in _KEPT:
-        _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        let_go()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def let_go() -> None:
+    """Give back what a worker has kept for an earlier stage."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has so few rows; df must be cheap to count."""
     return F.broadcast(df) if df.count() <= most else df

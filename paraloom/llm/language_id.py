@@ -30,7 +30,7 @@ UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS, TEXT_CHARS, TRAIN_CHARS = 40, 10_000, 40_000
 #: Characters of a stretch, stretches parsed side by side, and characters of texts that are predicted together (a longer text is a batch of its own).
-STRETCH, LANES, BATCH_CHARS = 256, 8192, 4_000_000
+STRETCH, LANES, BATCH_CHARS = 256, 4096, 1_000_000
 #: Cells of the tables of all languages together; beyond that all automata are lists of edges, which answer alike.
 TABLE_CELLS = 32_000_000
 #: The stage takes a label for wrong if another language wins by this score and the label's own wins in less than this share of the text's pieces, of so many characters.
@@ -190,8 +190,9 @@ class Model:
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
             after = np.where(inner > 0, np.r_[-1, place[:-1]], -1)[order]
-            at = np.arange(int(length.max()))[:, None] + start[order][None, :]
-            symbols = flat[np.minimum(at, len(flat) - 1)]
+            at = np.arange(int(length.max()), dtype=np.int32)[:, None] + start[order][None, :].astype(np.int32 if len(flat) < 1 << 30 else np.int64)
+            symbols = flat.take(at, mode="clip")
+            del at
             for m, automaton in enumerate(self.automata):
                 counts[m, begin:stop] = np.bincount(owner[order] - begin, automaton.phrases(symbols, length[order], after), stop - begin)
             begin = stop

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, numbered, read_table, renamed, small
+from paraloom.llm.common import cut, let_go, numbered, read_table, renamed, small
 from paraloom.llm.components import components
 
 SHINGLE, DISTANCE, SEGMENTS = 3, 2, 5
@@ -201,8 +201,8 @@ def set_id(found: np.ndarray) -> int | None:
 def band_keys(found: np.ndarray) -> np.ndarray:
     """One key a band of minimum hashes of a set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(found), 1 << 12):
-        least = np.minimum(least, ((found[k : k + (1 << 12), None].astype(np.uint64) ^ _A[0]) * _A[1]).min(axis=0))
+    for k in range(0, len(found), 1 << 10):
+        least = np.minimum(least, ((found[k : k + (1 << 10), None].astype(np.uint64) ^ _A[0]) * _A[1]).min(axis=0))
     return (least.reshape(BANDS, ROWS) * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -210,16 +210,19 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """(doc_id, fp, sid, keys): the fingerprint, the set's hash (null without words) and its band keys."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            fps, sids, keys = [], [], []
-            for x in batch.column(1):
-                text = x.as_py()
-                found = shingle_set(text)
-                fps.append(fingerprint(text, shingle))
-                sids.append(set_id(found))
-                keys.append(band_keys(found) if len(found) else [])
-            columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sid", "keys"])
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                fps, sids, keys = [], [], []
+                for x in part.column(1):
+                    text = x.as_py()
+                    found = shingle_set(text)
+                    fps.append(fingerprint(text, shingle))
+                    sids.append(set_id(found))
+                    keys.append(band_keys(found) if len(found) else [])
+                columns = [part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sid", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compute, "doc_id long, fp long, sid long, keys array<long>")
 
@@ -261,8 +264,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "found"])
+            for first in range(0, batch.num_rows, 1024):
+                found = [shingle_set(x.as_py()) for x in batch.column(0).slice(first, 1024)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "found"])
 
     return texts.mapInArrow(compute, "sid long, found binary").where(F.col("sid").isNotNull()).dropDuplicates(["sid"])
 
