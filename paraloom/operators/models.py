@@ -80,15 +80,10 @@ def denovo_filter(call: Column, keep: float, choose: float, site_total: Column |
     return F.when(call["cn2"].isNull() | (call["p1"] > keep), call["cn1"]).when(both, F.when(call["p1"] > choose, call["cn1"]).otherwise(F.least(call["cn1"], call["cn2"])))
 
 
-def ln_factorials(spark, most: int) -> DataFrame:
-    """(n, lf): ln n! for 0..most."""
-    return spark.range(most + 1).select(F.col("id").alias("n"), F.sum(F.ln(F.greatest(F.col("id"), F.lit(1)))).over(Window.orderBy("id")).alias("lf"))
-
-
-def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, most: int = 100_000) -> DataFrame:
+def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """df with odds_ratio and p_value (two-sided) of the 2 x 2 table in four columns.
 
-    The tables with the same margins are run through once per row; ln n! is Stirling's series with its
+    The tables with the same margins, as many as the smallest margin and one more, are run through once per row; ln n! is Stirling's series with its
     correction, exact to 1e-12 from 8 on and tabled below.
     """
     small = [math.lgamma(n + 1) for n in range(16)]

@@ -367,7 +367,7 @@ def run(reads: DataFrame, res: Resources, options: Options | None = None, counts
     options = options or Options()
     samples = reads.select("sample_id").distinct()
     counts = (I.region_read_counts(reads, res.regions, ["sample_id"]) if counts is None else counts).join(res.regions, "name")
-    depth = cut(normalised_depth(cut(counts), T.read_length(reads)))
+    depth = cut(normalised_depth(cut(counts), T.read_length(reads, res.regions)))
     gene, shift = model_states(res.parameters, "d67")
     spacer, spacer_shift = model_states(res.parameters, "spacer")
     own = region_copies(depth, "d67", gene, shift, "total_cn").withColumn("high_cn", F.col("total_cn") > 10)

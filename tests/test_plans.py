@@ -71,6 +71,14 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, T.all_samples(spark.createDataFrame([("s0",), ("s1",)], "sample_id string"), calls.select("sample_id", "filter")).collect())) == [("s0", None), ("s1", "More_than_one_possible_genotype")]
 
 
+def test_read_length(spark):
+    row = lambda s, k, pos, n: (s, f"{s}{k}", 0, "22", pos, pos + n, 60, 0, [("M", n)], "A" * n, [1] * n)
+    reads = spark.createDataFrame([row("a", k, 100 + k, 10 + k) for k in range(3)] + [row("a", 9, 900, 50), row("b", 0, 900, 7)], T.READS)
+    regions = spark.createDataFrame([(0, "22", 0, 50, "d67"), (1, "22", 90, 200, "spacer"), (2, "22", 800, 950, "norm")], "ord int, chrom string, start long, end long, region_type string")
+    assert {r["sample_id"]: r["read_length"] for r in T.read_length(reads, regions).collect()} == {"a": 11.0, "b": 150.0}
+    assert {r["sample_id"]: r["read_length"] for r in T.read_length(reads).collect()} == {"a": 11.5, "b": 7.0}
+
+
 def bam(contigs, rows):
     """A BAM file's bytes: contigs, then (name, flag, contig, pos, mapq, tlen, cigar, seq)."""
     codes, ops = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
