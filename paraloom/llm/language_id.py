@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import kept, numbered, read_table
+from paraloom.llm.common import kept, numbered, read_table, small_batches
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
@@ -277,6 +277,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Those without a letter go (nulls and empty texts too), and all if no language was learned. A text of several languages keeps the label of any that
     has its part in it, and a label that was not learned is not judged. Repeated rows are judged alike; columns of any name pass through unchanged, but for the nulls of `lang`.
     """
+    small_batches(spark)
     found, told = predict(docs, training_sample(docs), out="__language", label_col="lang"), F.col("__language.lang")
     wrong = (F.col("__language.label_share") < PART) & (F.col("__language.score") >= SURE)
     out = found.where((told != UNKNOWN) & ~F.coalesce(wrong, F.lit(False)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, read_table
+from paraloom.llm.common import cut, read_table, small_batches
 from paraloom.llm.tokens import END_ID, crc_of, encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -158,4 +158,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their sequences; nulls, repeated rows and other columns as pack_documents has them."""
+    small_batches(spark)
     return pack_documents(docs)

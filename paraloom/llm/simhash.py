@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, let_go, numbered, read_table, renamed, small
+from paraloom.llm.common import cut, let_go, numbered, read_table, renamed, small, small_batches
 from paraloom.llm.components import components
 
 SHINGLE, DISTANCE, SEGMENTS = 3, 2, 5
@@ -347,6 +347,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int
 
     The ids that go are looked up by broadcast while they are few, so that texts stay where they are.
     """
+    small_batches(spark)
     marked = dedup(docs, near=True).where(F.col("doc_id").isNotNull())
     of_id = marked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n"))
     odd = cut(of_id.where("not keep or n > 1").select(F.col("doc_id").alias("id"), F.col("keep").alias("repeated")))
