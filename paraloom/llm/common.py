@@ -68,18 +68,6 @@ def kept(key, make):
     return _KEPT[key]
 
 
-#: Rows of an Arrow batch in the pipeline's stages.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches of the session have so few rows at most: stages share executors and workers with others, and batches of whole texts are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def let_go() -> None:
     """Give back what a worker has kept for an earlier stage."""
     if _KEPT:
