@@ -165,23 +165,21 @@ _LONG, _SHORT = H.INSERTION_NAMES["long"], H.INSERTION_NAMES["short"]
 
 
 @query(f"""WITH k AS (SELECT l_suppkey AS sample_id, CASE l_linenumber % 3 WHEN 0 THEN '{_LONG}' WHEN 1 THEN '{_SHORT}' ELSE 'g.x' END AS name, count(*) AS n1, sum(l_linenumber)::BIGINT AS n2 FROM lineitem GROUP BY 1, 2),
-m AS (SELECT l_suppkey AS sample_id, count(*) FILTER (WHERE l_returnflag = 'A') AS lo, count(*) FILTER (WHERE l_returnflag = 'N') AS sh, count(*) FILTER (WHERE l_returnflag = 'R') AS nn FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+m AS (SELECT l_suppkey AS sample_id, count(*) FILTER (WHERE l_returnflag = 'A') AS lo, count(*) FILTER (WHERE l_returnflag = 'N') AS sh, count(*) FILTER (WHERE l_returnflag = 'R') AS nn FROM lineitem GROUP BY 1)
 SELECT sample_id, name, CASE name WHEN '{_LONG}' THEN coalesce(lo, 0) WHEN '{_SHORT}' THEN coalesce(sh, 0) ELSE n1 END AS n1, CASE name WHEN '{_LONG}' THEN coalesce(sh + nn, 0) WHEN '{_SHORT}' THEN coalesce(lo + nn, 0) ELSE n2 END AS n2 FROM k LEFT JOIN m USING (sample_id)""")
 def d7_insertion_counts(spark, d):
     rows = table(spark, d, "lineitem").withColumn("sample_id", F.col("l_suppkey"))
     k = F.col("l_linenumber") % 3
     counts = rows.groupBy("sample_id", F.when(k == 0, _LONG).when(k == 1, _SHORT).otherwise("g.x").alias("name")).agg(F.count("*").alias("n1"), F.sum("l_linenumber").alias("n2"))
     of = lambda x: F.count_if(F.col("l_returnflag") == x)
-    motifs = rows.where("l_suppkey % 7 <> 0").groupBy("sample_id").agg(of("A").alias("long"), of("N").alias("short"), of("R").alias("none"))
+    motifs = rows.groupBy("sample_id").agg(of("A").alias("long"), of("N").alias("short"), of("R").alias("none"))
     return H.insertion_counts(counts, motifs).select("sample_id", "name", "n1", "n2")
 
 
-@query("""WITH p AS (SELECT p_partkey, upper(p_type) AS seen, upper(substr(p_name, 1, 1 + p_size % 4)) AS alt, substr(p_type, 1, 1 + p_size % 3) AS ref FROM part)
-SELECT p_partkey, CASE WHEN starts_with(seen, alt) OR starts_with(alt, seen) THEN true WHEN starts_with(seen, upper(ref)) OR starts_with(upper(ref), seen) THEN false END AS state FROM p""")
+@query("""WITH p AS (SELECT p_partkey, upper(string_split(p_name, ' ')[1]) AS seen, p_type AS alt, 'R' AS ref FROM part)
+SELECT p_partkey, CASE WHEN starts_with(seen, alt) OR starts_with(alt, seen) THEN true WHEN starts_with(seen, ref) OR starts_with(ref, seen) THEN false END AS state FROM p""")
 def p10_allele_state(spark, d):
-    # the alternative is the name's beginning, of one to four letters: a prefix is what the operator compares
-    alt, ref = F.col("p_name").substr(F.lit(1), 1 + F.col("p_size") % 4), F.col("p_type").substr(F.lit(1), 1 + F.col("p_size") % 3)
-    return table(spark, d, "part").select("p_partkey", S.allele_state(F.col("p_type"), alt, ref).alias("state"))
+    return table(spark, d, "part").select("p_partkey", S.allele_state(F.get(F.split("p_name", " "), F.lit(0)), F.col("p_type"), F.lit("r")).alias("state"))
 
 
 # ---- copies ----
@@ -256,15 +254,16 @@ def d8_exon9_copies(spark, d):
 
 # ---- variants along reads ----
 
-_PATTERNS = """p AS (SELECT l_suppkey AS sample_id, (CASE l_returnflag WHEN 'A' THEN '1' WHEN 'R' THEN '2' ELSE 'x' END) || (CASE l_linestatus WHEN 'F' THEN '1' ELSE '2' END) || (CASE WHEN l_quantity < 20 THEN '1' WHEN l_quantity < 45 THEN '2' ELSE 'x' END) AS pattern FROM lineitem WHERE l_orderkey % (1 + l_suppkey % 90) < 2)"""
+_PATTERNS = """p AS (SELECT l_suppkey AS sample_id, (CASE WHEN l_tax * 100 < l_suppkey % 9 THEN 'x' WHEN l_returnflag = 'A' THEN '1' WHEN l_returnflag = 'R' THEN '2' ELSE 'x' END) || (CASE WHEN l_discount * 100 < l_suppkey % 11 THEN 'x' WHEN l_linestatus = 'F' THEN '1' ELSE '2' END) || (CASE WHEN l_quantity < 20 THEN '1' WHEN l_quantity < 45 THEN '2' ELSE 'x' END) AS pattern FROM lineitem)"""
 
 
 def _patterns(spark, d) -> DataFrame:
-    # sparser for some suppliers, so that some samples see a pattern and others do not
-    some = table(spark, d, "lineitem").where("l_orderkey % (1 + l_suppkey % 90) < 2")
-    one = F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "R", "2").otherwise("x")
+    # the reads of some suppliers see less than those of others
+    k = F.col("l_suppkey")
+    one = F.when(F.col("l_tax") * 100 < k % 9, "x").when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "R", "2").otherwise("x")
+    two = F.when(F.col("l_discount") * 100 < k % 11, "x").when(F.col("l_linestatus") == "F", "1").otherwise("2")
     three = F.when(F.col("l_quantity") < 20, "1").when(F.col("l_quantity") < 45, "2").otherwise("x")
-    return some.select(F.col("l_suppkey").alias("sample_id"), F.concat(one, F.when(F.col("l_linestatus") == "F", "1").otherwise("2"), three).alias("pattern"))
+    return table(spark, d, "lineitem").select(k.alias("sample_id"), F.concat(one, two, three).alias("pattern"))
 
 
 _SUPPLIER_TAGS = f"g AS (SELECT s_suppkey AS sample_id, ({_TAG_LIST})[1 + s_suppkey % 28] AS tag FROM supplier)"
@@ -306,12 +305,11 @@ def d12_trans_803(spark, d):
 
 
 @query("""WITH f AS (SELECT s_suppkey AS sample_id, s_suppkey % 4 AS first, s_suppkey % 9 AS second, s_suppkey % 5 AS aa, s_suppkey % 14 AS a FROM supplier)
-SELECT sample_id, CASE WHEN second < 5 OR first > 2 THEN 0 WHEN CASE WHEN sample_id % 11 = 0 THEN 0 ELSE a END >= second + CASE WHEN sample_id % 11 = 0 THEN 0 ELSE aa END THEN 1 ELSE 2 END::INT AS copies FROM f""")
+SELECT sample_id, CASE WHEN second < 5 OR first > 2 THEN 0 WHEN a >= second + aa THEN 1 ELSE 2 END::INT AS copies FROM f""")
 def d13_inserted_a(spark, d):
     k = F.col("s_suppkey")
     rows = table(spark, d, "supplier").select(k.alias("sample_id"), (k % 4).alias("first"), (k % 9).alias("second"), (k % 5).alias("aa"), (k % 14).alias("a"))
-    near = rows.where("sample_id % 11 <> 0").select("sample_id", "aa", "a")
-    return H.call_inserted_a(rows.select("sample_id", "first", "second"), near)
+    return H.call_inserted_a(rows.select("sample_id", "first", "second"), rows.select("sample_id", "aa", "a"))
 
 
 # ---- decisions ----
