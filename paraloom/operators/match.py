@@ -190,7 +190,9 @@ def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame,
     """
     seeds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_k)), lambda i: F.struct((i * q).alias("off"), F.substring(F.col(query), i * q + 1, F.lit(q)).alias("gram"))), lambda s: F.char_length(s["gram"]) == q)
     left = queries.select(query_id, F.explode(seeds).alias("s")).select(query_id, F.col("s.off").alias("off"), F.col("s.gram").alias("gram"))
-    grams = refs.select(ref_id, F.posexplode(windows(F.col(ref), q)).alias("at", "gram"))
+    # only places of grams that are asked for go on
+    wanted = small(left.select("gram").distinct())
+    grams = refs.select(ref_id, F.posexplode(windows(F.col(ref), q)).alias("at", "gram")).join(wanted, "gram", "left_semi")
     if most_hits is not None:
         common = grams.groupBy("gram").agg(F.count("*").alias("__n")).where(F.col("__n") > most_hits).select("gram")
         grams = grams.join(common, "gram", "left_anti")
