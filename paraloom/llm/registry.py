@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paraloom.llm import embedding_dedup, filter_audit, html_text, language_id, line_dedup, mixing, packing, quality, simhash, token_files, url_filter
+from paraloom.llm import embedding_dedup, filter_audit, html_text, language_id, line_dedup, mixing, packing, quality, simhash, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_packing": packing.query,
     "op10_token_files": token_files.query,
+    "op11_vector_codes": vector_codes.query,
     "op13_filter_audit": filter_audit.query,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
