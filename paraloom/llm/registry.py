@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paraloom.llm import embedding_dedup, filter_audit, html_text, language_id, line_dedup, mixing, packing, quality, simhash, token_files, url_filter, vector_codes
+from paraloom.llm import bpe, embedding_dedup, filter_audit, html_text, language_id, line_dedup, mixing, packing, quality, simhash, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_token_files": token_files.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_bpe": bpe.query,
     "op13_filter_audit": filter_audit.query,
 }
 

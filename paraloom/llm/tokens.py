@@ -38,6 +38,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def encoded_whole(ends_words: bool, special: list[str]) -> str:
+    """The pattern of texts that are not told apart into units."""
+    # a sign that goes off stands behind a letter or a digit, else it is part of a longer run of signs
+    return "|".join(["[\0-\x02]", r"(?:\A|[^\pL\pN]|\x{130})[,.](?: |\n)", *[_ODD] * (not ends_words), *map(re.escape, special)])
+
+
 class UnitEncoder:
     """Encodes texts with the tokenizer in a file.
 
@@ -56,9 +62,7 @@ class UnitEncoder:
         self.size = max(self.tokenizer.get_vocab().values()) + 1
         # a vocabulary that ends words drops white space and case; else a unit starts with the blank before it
         self.ends_words = self.tokenizer.model.end_of_word_suffix is not None
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        # a sign that goes off stands behind a letter or a digit, else it is part of a longer run of signs
-        self.whole = "|".join(["[\0-\x02]", r"(?:\A|[^\pL\pN]|\x{130})[,.](?: |\n)", *[_ODD] * (not self.ends_words), *map(re.escape, special)])
+        self.whole = encoded_whole(self.ends_words, [x.content for x in self.tokenizer.get_added_tokens_decoder().values()])
         self.line = self._batch(["\n"])[0]
         self.spelled = self._letters()
         self.blank = "" if self.ends_words else self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
@@ -155,18 +159,22 @@ class UnitEncoder:
             pa.default_memory_pool().release_unused()
             first = end
 
-    def _chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
-        others = iter(self._batch(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else [])
-        rest = texts.filter(pa.array(~whole)) if whole.any() else texts
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """The units of texts that can be told apart into units."""
         if self.ends_words:
-            rest = pc.replace_substring(pc.ascii_lower(rest), "\n", " ")
+            texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         else:
             nothing = pa.scalar("", pa.large_string())
-            rest = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), rest, nothing), "\n", " \n")
+            texts = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, nothing), "\n", " \n")
         for mark, sign in _SIGNS.items():
-            rest = pc.replace_substring(rest, f"{sign} ", f" {mark} ")
-        units = pc.split_pattern(rest, " ")
+            texts = pc.replace_substring(texts, f"{sign} ", f" {mark} ")
+        return pc.split_pattern(texts, " ")
+
+    def _chunk(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        others = iter(self._batch(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else [])
+        rest = texts.filter(pa.array(~whole)) if whole.any() else texts
+        units = self._split(rest)
         numbered = units.flatten().dictionary_encode()
         starts, lengths, flat = self._table(numbered.dictionary)
         at = numbered.indices.to_numpy(zero_copy_only=False)
