@@ -4,12 +4,15 @@ Pages of a host are dealt into groups of about GROUP pages, so a host's size doe
 leniently (implied end tags, unclosed and truncated markup, raw text elements). They are aligned page by page with the group's wrapper
 by simple tree matching (maximum over ordered pairs of equal signature, neighbours with one signature being one repeated node). A wrapper node is constant if
 its own text is the same on two or more distinct pages and on all that have it. The content slot is found from the root downwards: the child with most of the varying
-text is entered as long as no varying heading or paragraph stays beside it. Constant containers in the slot are template too, while its
-paragraphs and tables, repeated or not, are content.
+text is entered as long as no varying heading or paragraph stays beside it; but an article or main element that varies is entered before any longer neighbour,
+several of them end the search, and inside main no child is entered while another holds prose that varies. In the slot, place tells what pages
+share: a constant container (div, section, list, details) with varying paragraphs, list items or tables both before and after it is content, one at the
+edge, before the first or after the last of them, is template; paragraphs, tables, quotations and headings, repeated or not, are content wherever they stand.
 
 Names break ties only: elements that are menus, footers, sidebars, forms, adverts and the like by tag, role or by a whole class or id word are
 not entered on the way to the slot while others can be, and are left out inside it unless they hold an article or main element. Where no single child has most of the varying text
 and the articles of the slot have half of its text or more, they are the content, all of them. A page without others is its own wrapper, so names alone decide there.
+What a page shares is told from the pages of its group (GROUP of its host, dealt by a hash of their html), so with other neighbours the same page may get another text.
 Copies of a page on a host share a group and are learned once, so they tell nothing about the template; of a page with more than COPIES copies one
 stands in the group, and the others get its text by join.
 
@@ -50,6 +53,9 @@ NAMED = frozenset("nav footer aside form menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("#root html body div section article main center table tbody tr td details header nav footer aside form ul ol fieldset".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th tr tbody table figure figcaption caption header".split())
+ARTICLES = frozenset(["article", "main"])
+#: Prose that bounds an article's body: a constant container between two of these is part of it.
+BODY = frozenset("p pre blockquote li dd dt td th tr tbody table figure".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status note".split())
 LABELS = frozenset(
     "nav navbar navigation menu menus submenu topbar sidebar sidebars rail footer masthead ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion"
@@ -230,11 +236,11 @@ def form(node: Node) -> tuple[str, ...]:
 class Slot:
     """A wrapper node: what the aligned nodes of the pages have in common."""
 
-    __slots__ = ("sig", "tag", "named", "texts", "pages", "chars", "children", "constant", "varying")
+    __slots__ = ("sig", "tag", "named", "texts", "pages", "chars", "children", "constant", "varying", "own", "marked", "prose")
 
     def __init__(self, like: Node):
         self.sig, self.tag, self.named, self.texts, self.pages, self.chars, self.children = like.sig, like.tag, like.named, set(), 0, 0, []
-        self.constant, self.varying = False, 0
+        self.constant, self.varying, self.own, self.marked, self.prose = False, 0, False, False, False
 
 
 def runs(node: Node) -> list[list[Node]]:
@@ -391,31 +397,48 @@ def place_copy(node: Node, like: Node, placed: dict[int, Slot]) -> None:
         place_copy(x, y, placed)
 
 
+def mark(slot: Slot) -> None:
+    """Tell whether a wrapper node is or holds an article or main element, and prose, that varies; what is template by name holds none."""
+    slot.marked, slot.prose = slot.tag in ARTICLES, slot.tag in BODY
+    for x in slot.children:
+        slot.marked = slot.marked or x.marked
+        slot.prose = slot.prose or x.prose
+    if slot.named or not slot.varying:
+        slot.marked = slot.prose = False
+
+
 def settle(slot: Slot) -> None:
     """Tell for each wrapper node whether it is constant, and how many characters vary."""
-    own = slot.pages > 1 and len(slot.texts) == 1
+    slot.own = own = slot.pages > 1 and len(slot.texts) == 1
     slot.constant, slot.varying = own, 0 if own else slot.chars
     for x in slot.children:
         settle(x)
         slot.constant = slot.constant and x.constant
         slot.varying += x.varying
+    mark(slot)
 
 
 def content_slot(wrapper: Slot) -> Slot:
     """The wrapper node whose text is the content: the child with most of the varying text is entered while nothing that reads as content stays beside it."""
+    inside = False
     while wrapper.tag != "article":
-        most = max(wrapper.children, key=lambda c: c.varying, default=None)
+        inside = inside or wrapper.tag == "main"
+        marked = [c for c in wrapper.children if c.marked]
+        if len(marked) > 1:
+            break
+        most = max(marked or wrapper.children, key=lambda c: c.varying, default=None)
         total = wrapper.varying
         if most is None or not most.varying:
             break
-        if most.named or most.tag not in CONTAINERS or most.varying <= SLOT_SHARE * total:
+        if not marked and (most.named or most.tag not in CONTAINERS or most.varying <= SLOT_SHARE * total):
             # no child by the alignment alone: names break the tie
             others = [c for c in wrapper.children if not c.named]
             most = max(others, key=lambda c: c.varying, default=None)
             total -= sum(c.varying for c in wrapper.children if c.named)
             if most is None or not most.varying or most.tag not in CONTAINERS or most.varying <= SLOT_SHARE * total:
                 break
-        if any(c is not most and c.varying and not c.named and c.tag in PROSE for c in wrapper.children):
+        rest = [c for c in wrapper.children if c is not most and c.varying and not c.named]
+        if any(c.tag in PROSE or (inside and c.prose) for c in rest):
             break
         wrapper = most
     return wrapper
@@ -437,21 +460,29 @@ def page_text(root: Node, slot: Slot, placed: dict[int, Slot], constants: bool =
     """A page's text in the slot; without the slot, that of the whole page without what is template by name."""
     found: list[Node] = []
     skip: set[int] = set()
+    shared: list[tuple[int, int]] = []  # constant containers of the slot, and how many pieces of varying prose stand before each
+    prose = 0
 
     def look(node: Node, inside: bool) -> None:
+        nonlocal prose
         here = placed.get(id(node))
         if here is slot and not inside:
             found.append(node)
             inside = True
         elif node.named:
             skip.add(id(node))
-        elif inside and constants and here is not None and here.constant and here.tag not in PROSE:
-            skip.add(id(node))
+            return
+        elif inside and here is not None and here.constant and here.tag not in PROSE:
+            shared.append((id(node), prose))
+            return
+        elif inside and here is not None and here.tag in BODY and not here.own and size(node):
+            prose += 1
         for x in node.parts:
             if not isinstance(x, str):
                 look(x, inside)
 
     look(root, False)
+    skip.update(k for k, before in shared if constants and not 0 < before < prose)
     out = []
     for x in found or [root]:
         articles = articles_of(x, skip) if x.tag != "article" else []

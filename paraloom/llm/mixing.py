@@ -2,8 +2,8 @@
 
 Targets: the sources in order of code point weigh 5, 2, 1, repeating, and share `share` of all words; none gets more than
 `most` times its size, and the excess goes to the others by weight (water filling in closed form over one row per source). Words come in
-blocks of equal size. Blocks go to sources by the highest quotients target / (2k + 1): rounding target / divisor
-gives that apportionment but for a few blocks, which the quotients then add or take away. A source's blocks go to groups of its shards and from there to shards (documents by
+blocks of equal size. Blocks go to sources by the highest quotients target / (2k + 1): a divisor found by bisection gives all
+but the last of them, and exact quotients give those. A source's blocks go to groups of its shards and from there to shards (documents by
 hash, a bounded number of words each) by the same rule, at most `most` times the blocks of a shard. Inside a shard the seed orders the documents: the quota
 over the shard's blocks takes whole passes first, then the first blocks in that order. So in each shard one document at most is taken in part, and that part is its beginning.
 
@@ -14,6 +14,11 @@ The table of sources, one row each, is put in order in one task.
 
 from __future__ import annotations
 
+import heapq
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -53,29 +58,53 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.withColumn("target", target).select("source", "source_size", "target")
 
 
-def apportion(parts: DataFrame, key: list[str], weight: str, seats: Column, cap: Column | None = None) -> DataFrame:
-    """parts with `quota`: the seats of a key given to its parts by the highest quotients weight / (2k + 1).
+def highest_quotients(weights: np.ndarray, seats: int, caps: np.ndarray | None, order: np.ndarray) -> np.ndarray:
+    """Seats by the highest quotients weight / (2k + 1), none beyond its cap; equal quotients go in the order given.
 
-    Rounding is at most one seat a part away from the sum unless a cap binds; what is missing or too much goes by
-    quotient, and seats that a cap turns away go to the parts that have room, in the same order.
+    A divisor just above the one that gives away all seats is found by bisection, since the seats given fall as it rises; what is
+    left then goes by exact quotients, one seat at a time.
+    """
+    given = np.zeros(len(weights), dtype=np.int64)
+    caps = np.full(len(weights), seats, dtype=np.int64) if caps is None else caps
+    caps = np.where(weights > 0, np.minimum(caps, seats), 0)
+    seats = min(seats, int(caps.sum()))
+    if seats <= 0:
+        return given
+    at = lambda divisor: np.minimum(np.floor(weights / (2 * divisor) + 0.5), caps).astype(np.int64)
+    # all seats are given where every part's quotient of its last seat is reached
+    low, high = float((weights / (2.0 * np.maximum(caps, 1) + 1))[caps > 0].min()) * 0.5, float(weights.max()) * 2
+    while high > low * (1 + 1e-12):
+        middle = (low * high) ** 0.5
+        if not low < middle < high:
+            break
+        low, high = (middle, high) if at(middle).sum() >= seats else (low, middle)
+    given = at(high * (1 + 1e-9))
+    heap = [(-Fraction(float(weights[k])) / int(2 * given[k] + 1), int(order[k]), k) for k in np.flatnonzero(given < caps).tolist()]
+    heapq.heapify(heap)
+    for _ in range(seats - int(given.sum())):
+        _, _, k = heap[0]
+        given[k] += 1
+        if given[k] < caps[k]:
+            heapq.heapreplace(heap, (-Fraction(float(weights[k])) / int(2 * given[k] + 1), int(order[k]), k))
+        else:
+            heapq.heappop(heap)
+    return given
+
+
+def apportion(parts: DataFrame, key: list[str], weight: str, seats: str, cap: str | None = None) -> DataFrame:
+    """parts with `quota`: the seats of a key (the same in each of its rows) given to its parts by the highest quotients weight / (2k + 1), up to their caps.
+
+    A key's parts meet in one task, so a key has few: the sources, the groups of a source, or the shards of a group. Ties go by the column __tie.
     """
-    of_key, order = Window.partitionBy(*key), [F.col("__tie")]
-    total = F.sum(weight).over(of_key)
-    first = F.coalesce(F.floor(F.try_divide(seats * F.col(weight), total) + 0.5), F.lit(0)).cast("long")
-    rows = parts.withColumn("__seats", seats).withColumn("__q", F.least(first, cap) if cap is not None else first)
-    rows = rows.withColumn("__room", (cap if cap is not None else F.col("__seats")) - F.col("__q"))
-    rows = rows.withColumn("__off", F.col("__seats") - F.sum("__q").over(of_key))
-    gain = F.when(F.col("__room") > 0, F.col(weight) / (2 * F.col("__q") + 1))
-    loss = F.when(F.col("__q") > 0, F.col(weight) / (2 * F.col("__q") - 1))
-    up = Window.partitionBy(*key).orderBy(gain.desc_nulls_last(), *order)
-    down = Window.partitionBy(*key).orderBy(loss.asc_nulls_last(), *order)
-    before = F.coalesce(F.sum("__room").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    few = F.count("*").over(of_key)
-    # one seat each while there are as many parts as seats; else fill up in order
-    more = F.when(F.col("__off") <= few, F.when((F.row_number().over(up) <= F.col("__off")) & (F.col("__room") > 0), 1).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("__room"), F.col("__off") - before)))
-    fewer = F.when((F.row_number().over(down) <= -F.col("__off")) & (F.col("__q") > 0), 1).otherwise(0)
-    rows = rows.withColumn("quota", F.col("__q") + F.when(F.col("__off") > 0, more).when(F.col("__off") < 0, -fewer).otherwise(0))
-    return rows.drop("__seats", "__q", "__room", "__off")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        order = np.empty(len(x), dtype=np.int64)
+        order[np.argsort(x["__tie"].to_numpy(), kind="stable")] = np.arange(len(x))
+        caps = x[cap].to_numpy(np.int64) if cap else None
+        return x.assign(quota=highest_quotients(x[weight].to_numpy(np.float64), int(x[seats].iloc[0]), caps, order))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    return parts.groupBy(*key).applyInPandas(run, f"{schema}, quota long")
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
@@ -94,18 +123,21 @@ def _quotas(sized: DataFrame, weights: tuple[int, ...], share: float, most: int,
     wanted = targets(sources.select("source", "source_size"), weights, share, most).join(
         sources.select(F.col("source").alias("__s"), "n_docs"), F.col("source").eqNullSafe(F.col("__s"))
     )
-    all_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block)
-    wanted = apportion(wanted.withColumn("__tie", F.xxhash64("source")), [], "target", all_blocks).withColumnRenamed("quota", "source_blocks")
+    all_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
+    wanted = wanted.select("source", "source_size", "target", "n_docs", F.xxhash64("source").alias("__tie"), all_blocks.alias("all_blocks"))
+    wanted = apportion(wanted, [], "target", "all_blocks").withColumnRenamed("quota", "source_blocks")
     wanted = cut(wanted.select("source", "source_size", "target", "source_blocks", F.ceil((F.col("source_size") + F.col("n_docs")) / shard_words).cast("long").alias("shards")))
     named = wanted.select(F.col("source").alias("__s"), "source_blocks", "shards")
     dealt = sized.join(small(named, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("__s"))).withColumn("shard", _shard(F.col("shards")))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block).cast("long")).withColumn("__g", F.floor(F.col("shard") / group))
     groups = shards.groupBy("source", "__g").agg(F.sum("shard_size").alias("group_size"), F.sum("blocks").alias("group_blocks"), F.first("source_blocks").alias("source_blocks"))
-    groups = apportion(groups.withColumn("__tie", F.xxhash64("source", "__g")), ["source"], "group_size", F.col("source_blocks"), F.col("group_blocks") * most)
+    groups = groups.withColumn("__tie", F.xxhash64("source", "__g")).withColumn("__cap", F.col("group_blocks") * most)
+    groups = apportion(groups, ["source"], "group_size", "source_blocks", "__cap")
     groups = groups.select(F.col("source").alias("__s"), F.col("__g").alias("__h"), F.col("quota").alias("group_quota"))
     shards = shards.join(groups, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__g") == F.col("__h"))).withColumn("__tie", F.xxhash64("source", "shard"))
-    quotas = apportion(shards, ["source", "__g"], "shard_size", F.col("group_quota"), F.col("blocks") * most)
+    shards = shards.select("source", "shard", "__g", "shard_size", "blocks", "group_quota", "__tie", (F.col("blocks") * most).alias("__cap"))
+    quotas = apportion(shards, ["source", "__g"], "shard_size", "group_quota", "__cap")
     passes = F.coalesce(F.floor(F.try_divide(F.col("quota"), F.col("blocks"))), F.lit(0)).cast("long")
     quotas = quotas.withColumn("passes", passes).select("source", "shard", "blocks", "passes", (F.col("quota") - F.col("passes") * F.col("blocks")).alias("picked"))
     return wanted, quotas
@@ -154,7 +186,8 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("doc_id").cast("long"), "size", "source_size", "target", F.col("taken").cast("long"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block: int = BLOCK_WORDS, shard_words: int = SHARD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,12 +5,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from paraloom.llm import embedding_dedup, html_text, language_id, line_dedup, mixing, packing, quality, simhash, token_files, tokens, url_filter
+from paraloom.llm import embedding_dedup, html_text, language_id, line_dedup, mixing, packing, quality, registry, simhash, token_files, tokens, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -312,18 +313,94 @@ def test_mixing(spark, docs, shard, group):
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, None, None, None, None)])).collect()] == [0]
 
 
+def brute_seats(weights, seats, caps):
+    want = Counter()
+    for _ in range(seats):
+        free = [k for k in range(len(weights)) if weights[k] > 0 and (caps is None or want[k] < caps[k])]
+        if not free:
+            break
+        want[max(free, key=lambda k: (Fraction(float(weights[k])) / (2 * want[k] + 1), -k))] += 1
+    return [want[k] for k in range(len(weights))]
+
+
 def test_apportion_is_sainte_lague(spark):
     from pyspark.sql import functions as F
 
     r = random.Random(2)
-    for seats in (0, 5, 17, 101):
-        weights = [r.randint(1, 1000) for _ in range(9)]
-        df = spark.createDataFrame(list(enumerate(weights)), "p int, weight long").withColumn("__tie", F.col("p"))
-        got = {x["p"]: x["quota"] for x in mixing.apportion(df, [], "weight", F.lit(seats)).collect()}
-        want = Counter()
-        for _ in range(seats):
-            want[max(range(9), key=lambda k: (weights[k] / (2 * want[k] + 1), -k))] += 1
-        assert got == {k: want[k] for k in range(9)}
+    weights = [r.randint(1, 1000) for _ in range(9)]
+    rows = [(g, k, w, s, 1 + k) for g, s in enumerate((0, 5, 17, 101)) for k, w in enumerate(weights)]
+    df = spark.createDataFrame(rows, "g int, p int, weight long, seats long, cap long").withColumn("__tie", F.col("p"))
+    for cap in (None, "cap"):
+        got = {(x["g"], x["p"]): x["quota"] for x in mixing.apportion(df, ["g"], "weight", "seats", cap).collect()}
+        assert [got[g, k] for g in range(4) for k in range(9)] == [q for s in (0, 5, 17, 101) for q in brute_seats(weights, s, cap and range(1, 10))]
+
+
+def test_highest_quotients():
+    r = random.Random(5)
+    cases = [([100, *[0.49] * 200], 198, None), ([100, 10, 10, 10], 100, [20, 40, 40, 40]), ([0, 0], 5, None), ([3, 3, 3], 7, [1, 1, 1]), ([1.0] * 50, 33, None), ([0, 5], 3, [9, 2])]
+    for _ in range(60):
+        weights = [r.paretovariate(0.7) for _ in range(r.randint(1, 60))]
+        cases.append((weights, r.randint(0, 300), None if r.random() < 0.4 else [r.randint(0, 12) for _ in weights]))
+        cases.append(([r.randint(1, 4) for _ in range(r.randint(2, 40))], r.randint(1, 200), None))  # ties
+    for weights, seats, caps in cases:
+        got = mixing.highest_quotients(np.array(weights, dtype=float), seats, None if caps is None else np.array(caps, dtype=np.int64), np.arange(len(weights)))
+        assert got.tolist() == brute_seats(weights, seats, caps), (weights, seats, caps)
+    # many seats: the totals are right and the divisor does the work
+    got = mixing.highest_quotients(np.array([1.0, 2.0, 1e9]), 10**12, None, np.arange(3))
+    assert got.sum() == 10**12 and got.tolist()[:2] == [1000, 2000]
+
+
+#: Columns and types that the contracts name; more may follow.
+CONTRACTS = {
+    "op1_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op2_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op3_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op4_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op5_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op6_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op7_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op8_html_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op9_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op10_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op11_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op12_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_schemas_are_the_contracts(spark, tmp_path, name):
+    made = {
+        "documents": frame(spark, [(1, "one two three four five\nsix", "en", "a", 27), (2, "un deux trois", "fr", None, 13), (3, None, None, None, None)]),
+        "labels": spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"),
+        "pages": spark.createDataFrame([(1, "http://a.b/c", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string"),
+        "embeddings": spark.createDataFrame([(k, [float(k), 1.0, 2.0, 3.0], k % 2) for k in range(4)], "vec_id long, embedding array<float>, label int"),
+    }
+    for table, df in made.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    found = registry.QUERIES[name](spark, str(tmp_path)).dtypes
+    want = [tuple(x.rsplit(" ", 1)) for x in CONTRACTS[name].split(", ")]
+    assert [x for x in found if x[0] in dict(want)] == want
+
+
+def test_mixing_sizes_and_targets_by_sql(spark, docs, tmp_path):
+    import duckdb
+
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.query(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD.pattern}')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+levels AS (SELECT source, n, w, (1.5 * sum(n) OVER () - coalesce(sum(2 * n) OVER before, 0)) / sum(w) OVER (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW before AS (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, n, least(2 * n, w * (SELECT min(level) FROM levels WHERE level * w < 2 * n)) AS target FROM levels)
+SELECT doc_id, size, n, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""").fetchall()
+    key = lambda x: (x[0] is None, x[0], x[1], x[2])
+    for a, b in zip(sorted([tuple(r)[:4] for r in got], key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
 
 
 @pytest.mark.parametrize(("shard", "rows"), [(mixing.SHARD, mixing.BROADCAST_ROWS), (500, 0)])
@@ -618,6 +695,90 @@ def test_html_alignment_decides_without_names():
     assert html_text.extract(pages[:1]) != want[:1]
 
 
+def test_html_article_wins_over_longer_neighbours():
+    pages = [f'<body><article><p>body {k} text</p></article><div class="x"><div class="y"><p>Reader {k} says a long long text here</p></div></div></body>' for k in range(4)]
+    assert html_text.extract(pages) == [f"body {k} text" for k in range(4)]
+    # the article is found below neutral containers, and several end the search
+    pages = [f'<body><div class="a"><div class="b"><main><p>body {k}</p></main></div></div><div class="x"><p>Reader {k} says a long long text here</p></div></body>' for k in range(4)]
+    assert html_text.extract(pages) == [f"body {k}" for k in range(4)]
+    pages = [f'<body><article class="a"><p>one {k}</p></article><article class="b"><p>two {k}, by far the longer one of the two</p></article></body>' for k in range(4)]
+    assert html_text.extract(pages) == [f"one {k}\ntwo {k}, by far the longer one of the two" for k in range(4)]
+    # nothing tells which part of main is the article: both stay
+    pages = [f'<body><main><div class="post"><p>body {k}</p></div><div class="w7"><p>Reader said {k} a long long text here</p></div></main></body>' for k in range(4)]
+    assert all(t.startswith(f"body {k}\n") for k, t in enumerate(html_text.extract(pages)))
+
+
+@pytest.mark.parametrize("tag", "ul ol dl section div details p table blockquote pre figure".split())
+def test_html_shared_parts_go_by_place(tag):
+    inner = {"ul": "<li>shared</li>", "ol": "<li>shared</li>", "dl": "<dt>shared</dt>", "table": "<tr><td>shared</td></tr>"}.get(tag, "shared")
+    part = f"<{tag}>{inner}</{tag}>"
+    between = [f"<body><nav>menu</nav><article><h1>T{k}</h1><p>first {k}</p>{part}<p>last {k}</p></article><footer>f</footer></body>" for k in range(4)]
+    assert html_text.extract(between) == [f"T{k}\nfirst {k}\nshared\nlast {k}" for k in range(4)] == [html_text.extract([x])[0] for x in between]
+    edge = [f"<body><article><h1>T{k}</h1><p>first {k}</p><p>last {k}</p>{part}</article></body>" for k in range(4)]
+    stays = tag in ("p", "table", "blockquote", "pre", "figure")
+    assert html_text.extract(edge) == [f"T{k}\nfirst {k}\nlast {k}" + "\nshared" * stays for k in range(4)]
+
+
+def brute_slot(slot):
+    """The same choice from the leaves' side: the deepest wrapper node such that no step of the way to it was refused."""
+
+    def holds(x, tags):
+        return not x.named and bool(x.varying) and (x.tag in tags or any(holds(c, tags) for c in x.children))
+
+    def step(x, inside):
+        marked = [c for c in x.children if holds(c, html_text.ARTICLES)]
+        if x.tag == "article" or len(marked) > 1:
+            return None
+        for some in ([marked] if marked else [x.children, [c for c in x.children if not c.named]]):
+            total = sum(c.varying for c in some) + (x.varying - sum(c.varying for c in x.children))
+            best = max(some, key=lambda c: c.varying, default=None)
+            if best is None or not best.varying:
+                return None
+            if marked or (not best.named and best.tag in html_text.CONTAINERS and best.varying > html_text.SLOT_SHARE * total):
+                beside = [c for c in x.children if c is not best and c.varying and not c.named]
+                return None if any(c.tag in html_text.PROSE or (inside and holds(c, html_text.BODY)) for c in beside) else best
+        return None
+
+    inside = False
+    while True:
+        inside = inside or slot.tag == "main"
+        below = step(slot, inside)
+        if below is None:
+            return slot
+        slot = below
+
+
+def test_html_slot_choice():
+    r = random.Random(9)
+    for _ in range(300):
+
+        def tree(depth):
+            node = html_text.Slot(html_text.Node(r.choice(["div", "div", "section", "p", "main", "article", "ul"]), "s", r.random() < 0.2))
+            node.children = [tree(depth - 1) for _ in range(r.randint(0, 3))] if depth and node.tag != "p" else []
+            node.varying = r.choice([0, 5, 40, 300]) * (not node.children) + sum(c.varying for c in node.children)
+            html_text.mark(node)
+            return node
+
+        root = tree(4)
+        root.named = False
+        html_text.mark(root)
+        assert html_text.content_slot(root) is brute_slot(root)
+
+
+def test_html_alignment_alone_on_the_pages(monkeypatch):
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages["url"].fillna("").str.extract(r"://([^/?#]*)")[0].fillna("").str.lower()
+    groups = [list(x) for _, x in pages["html"].groupby(hosts)]
+    want = [html_text.extract(x) for x in groups]
+    real = html_text._named
+    monkeypatch.setattr(html_text, "_named", lambda attrs, tag, inside: (real(attrs, tag, inside)[0], False))
+    bare = [[re.sub(r"<(/?)(article|main)\b", r"<\1section", x or "") for x in some] for some in groups]
+    same = sum(a == b for some, w in zip(bare, want, strict=True) for a, b in zip(html_text.extract(some), w, strict=True))
+    assert same >= 0.98 * len(pages)
+
+
 def test_html_depth_and_length():
     deep = "<div class=a><p>x</p>" * 4000 + "<p>end" + "</div>" * 4000
     out = html_text.extract([deep, deep.replace("end", "and")])
