@@ -39,8 +39,12 @@ DELETED = "*5"
 def read_patterns(reads: DataFrame, sites: DataFrame, both: bool, min_mapq: int) -> DataFrame:
     """(sample_id, qname, pattern): a character for each of the sites (idx 0 to n - 1): 1 or 2 for the source that the base tells, x for none."""
     at = I.two_coordinate(sites, "pos1", "pos2") if both else sites.withColumn("pos", F.col("pos1"))
-    bases = I.haplotype_bases(I.site_bases(reads, at.select("idx", "chrom", "pos", "alleles1", "alleles2"), min_mapq))
-    own = bases.groupBy("sample_id", "qname", "idx").agg(F.when(F.count_distinct("base") == 1, F.first("base")).alias("base"), F.first("alleles1").alias("a1"), F.first("alleles2").alias("a2"))
+    return patterns_along(I.site_bases(reads, at.select("idx", "chrom", "pos", "alleles1", "alleles2"), min_mapq), sites)
+
+
+def patterns_along(found: DataFrame, sites: DataFrame) -> DataFrame:
+    """read_patterns from what reads show at the sites."""
+    own = I.haplotype_bases(found).groupBy("sample_id", "qname", "idx").agg(F.when(F.count_distinct("base") == 1, F.first("base")).alias("base"), F.first("alleles1").alias("a1"), F.first("alleles2").alias("a2"))
     char = F.when(F.array_contains("a2", F.col("base")), "2").when(F.array_contains("a1", F.col("base")), "1").otherwise("x")
     whole = own.groupBy("sample_id", "qname").agg(F.map_from_entries(F.collect_list(F.struct("idx", char.alias("c")))).alias("m"))
     size = F.broadcast(sites.agg(F.max("idx").alias("last")))  # one row

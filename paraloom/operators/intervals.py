@@ -40,10 +40,20 @@ def primary(reads: DataFrame, min_mapq: int = 0) -> DataFrame:
 
 
 def region_read_counts(reads: DataFrame, regions: DataFrame, keys: list[str], width: int = 1 << 14) -> DataFrame:
-    """(keys, name, count): primary reads that start in each region, for every sample that has reads."""
-    counted = point_in_interval(primary(reads), regions.select("chrom", "name", "start", "end"), "pos", "start", "end", width, ("chrom",)).groupBy(*keys, "name").agg(F.count("*").alias("count"))
-    grid = reads.select(*keys).distinct().crossJoin(small(regions.select("name").distinct()))
-    return grid.join(counted, [*keys, "name"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    """(keys, name, count): primary reads that start in each region, for every sample that has reads.
+
+    One pass over a few narrow columns: the regions go to every task, and a read outside all of them is kept as one of no region, so the same rows tell which samples there are.
+    Where no region has a name, a sample has one row without.
+    """
+    cut = regions.where("end > start").select("chrom", "name", "start", "end").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    cut = cut.select(F.col("chrom").alias("__c"), "__b", "name", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    some = reads.select(*keys, "chrom", "pos", ((F.col("flag").bitwiseAND(NOT_PRIMARY) == 0) & (F.col("mapq") >= 0)).alias("__ok"))
+    inside = F.col("__ok") & (F.col("chrom") == F.col("__c")) & (F.floor(F.col("pos") / width) == F.col("__b")) & (F.col("pos") >= F.col("__s")) & (F.col("pos") < F.col("__e"))
+    found = some.join(small(cut), inside, "left").groupBy(*keys, "name").agg(F.count("*").alias("count"))
+    # a sample's regions, as many as there are names
+    held = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "count")))).alias("__m"))
+    names = small(regions.select("name").where("name is not null").distinct())
+    return held.join(names, F.lit(True), "left").select(*keys, "name", F.coalesce(F.try_element_at("__m", F.col("name")), F.lit(0)).alias("count"))
 
 
 def site_bases(reads: DataFrame, sites: DataFrame, min_mapq: int = 0, min_span: int = 0, width: int = 1 << 10, most_span: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from paraloom.operators import evidence as E
 from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import reads as R
+from paraloom.operators import site_index as X
 from paraloom.operators.sides import small
 from paraloom.plans import genotype
 from paraloom.sources.tables import Resources, variant_bases
@@ -23,7 +24,8 @@ CLIP_REGION, KMER_REGIONS = (42123000, 42146000), ((42123000, 42132000), (421350
 
 def het_check(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
     """(sample_id, n_sites, n_het, hemizygous)."""
-    sites = genotype.source_counts(reads, res.sites, True, 0)
+    observed = X.observe(reads, X.site_rows(res.sites, "sites"))
+    sites = genotype.source_counts(observed, calls, res.sites, "sites", (1, 2), 0)
     return C.hemizygous(sites.withColumn("ratio", fraction(F.col("n1"), F.col("n2"), 10)), ["sample_id"], "ratio")
 
 
@@ -41,14 +43,15 @@ def d7_depth(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
     return E.subregion_signals(I.region_read_counts(reads, regions, ["sample_id"]), ["sample_id"])
 
 
-def _target_counts(reads: DataFrame, res: Resources) -> DataFrame:
+def _target_counts(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
     named = res.targets.select("idx", F.col("label").alias("name"))
-    return genotype.source_counts(reads, res.targets, False, 10).join(small(named), "idx")
+    observed = X.observe(reads, X.site_rows(res.targets, "targets"))
+    return genotype.source_counts(observed, calls, res.targets, "targets", (1,), 10).join(small(named), "idx")
 
 
 def af_phasing(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
     """(sample_id, name, copies): copies of each heterozygous variant in samples of three copies or more."""
-    rows = _target_counts(reads, res).join(calls.select("sample_id", (F.col("total_cn") - 2).alias("cn")), "sample_id")
+    rows = _target_counts(reads, res, calls).join(calls.select("sample_id", (F.col("total_cn") - 2).alias("cn")), "sample_id")
     return R.allele_copies(rows, "n1", "n2", "cn").where("copies is not null").select("sample_id", "name", "copies")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import models as P
 from paraloom.operators import segment as G
-from paraloom.operators.sides import small
+from paraloom.operators import site_index as X
+from paraloom.operators.sides import SMALL_ROWS, small
 from paraloom.plans.lineage import cut
 from paraloom.sources import tables as T
 from paraloom.sources.tables import Resources, percent
@@ -34,6 +36,10 @@ TABLE_OF_TAG = {
 STAR68_VARIANT = "g.42130692G>A"
 # The two sites of the conversion at exon 9.
 EXON9_SITES = (7, 8)
+# Windows that are looked at beside the tables: of the insertion, and of clips, sub-regions and k-mers.
+WINDOWS = (H.INSERTION_WINDOW, (42_123_000, 42_146_000))
+#: Stretches that stand nearer than this are read as one, and how many there are at most.
+GAP, INTERVALS = 100_000, 32
 
 
 @dataclass
@@ -299,12 +305,39 @@ def model_sd(parameters: DataFrame, region: str) -> float:
     return parameters.where((F.col("region") == region) & (F.col("param") == "sd") & (F.col("cn") == 2)).first()["value"]
 
 
-def source_counts(reads: DataFrame, sites: DataFrame, both: bool, min_mapq: int, min_span: int = 0, first: str = "pos1") -> DataFrame:
+def gene_intervals(res: Resources) -> list[tuple[str, int, int]]:
+    """The few stretches that a run looks at read by read: regions that are not for normalising, sites of all tables, and fixed windows."""
+    rows = res.regions.where("region_type <> 'norm'").select("chrom", "start", "end")
+    for table in site_tables(res).values():
+        rows = rows.unionByName(table.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
+    known = rows.distinct().limit(SMALL_ROWS + 1).collect()
+    if len(known) > SMALL_ROWS:
+        # too many to look at: one stretch a contig
+        known = rows.groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end")).collect()
+    return X.merged([(r["chrom"], r["start"], r["end"]) for r in known] + [(res.chrom, *w) for w in WINDOWS], GAP, INTERVALS)
+
+
+def site_tables(res: Resources) -> dict[str, DataFrame]:
+    """The rows of the site index for each table of a run."""
+    tables = {"sites": res.sites, "targets": res.targets, "homology": res.homology} | {f"haplotype {k}": t for k, t in (res.haplotypes or {}).items()}
+    return {name: X.site_rows(table, name) for name, table in tables.items()}
+
+
+def gene_reads(reads: DataFrame, res: Resources) -> DataFrame:
+    """The reads of the gene's stretches, written once: the only full look at the reads that a run takes."""
+    columns = [f.split(" ")[0] for f in T.READS.split(", ") if f.split(" ")[0] in reads.columns]
+    return cut(X.overlapping_reads(reads, gene_intervals(res)).select(*columns))
+
+
+def observations(near: DataFrame, res: Resources) -> DataFrame:
+    """What the gene's reads show at the sites of all tables, written once."""
+    return cut(X.observe(near, reduce(DataFrame.unionByName, site_tables(res).values())))
+
+
+def source_counts(observed: DataFrame, samples: DataFrame, sites: DataFrame, source: str, sides: tuple[int, ...], min_mapq: int, min_span: int = 0) -> DataFrame:
     """(sample_id, idx, n1, n2, n1_fwd, n1_rev) of every site of every sample: distinct fragments at one coordinate or at both."""
-    coordinates = I.two_coordinate(sites, "pos1", "pos2") if both else sites.withColumn("pos", F.col(first))
-    at = coordinates.select("idx", "chrom", "pos", "alleles1", "alleles2")
-    found = I.supporting_counts(I.allele_reads(I.site_bases(reads, at, min_mapq, min_span), ["sample_id"]), ["sample_id"])
-    grid = reads.select("sample_id").distinct().crossJoin(small(sites.select("idx")))
+    found = I.supporting_counts(I.allele_reads(X.at_sites(observed, source, sides, min_mapq, min_span), ["sample_id"]), ["sample_id"])
+    grid = samples.select("sample_id").crossJoin(small(sites.select("idx")))
     return grid.join(found, ["sample_id", "idx"], "left").na.fill(0, ["n1", "n2", "n1_fwd", "n1_rev"])
 
 
@@ -318,11 +351,14 @@ def exon9_copies(sites: DataFrame, totals: DataFrame, pair: tuple[int, int] = EX
     return mean.select("sample_id", C.exon9_call([F.col("c0"), F.col("c1")], [F.col("raw0"), F.col("raw1")], F.col("by_mean")).alias("exon9_cn"))
 
 
-def haplotype_calls(reads: DataFrame, haplotypes: dict[str, DataFrame], totals: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def haplotype_calls(observed: DataFrame, haplotypes: dict[str, DataFrame], totals: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The variants that patterns along reads tell: (sample_id, name, cn), the flags (sample_id, cis_938, trans_803) and raw counts (sample_id, name, alt, ref).
 
     haplotypes has a table of sites for each of 938, 526_556, 803 and ins_a; those that a release lacks are left out.
     """
+    source_of = lambda k: f"haplotype {k}"
+    counts_of = lambda k, sides, mapq, span=0: source_counts(observed, totals, haplotypes[k], source_of(k), sides, mapq, span)
+    patterns_of = lambda k, sides, mapq: E.patterns_along(X.at_sites(observed, source_of(k), sides, mapq), haplotypes[k])
     nothing = tags.limit(0)
     copies = nothing.select("sample_id", F.lit("").alias("name"), F.lit(0).cast("long").alias("cn"))
     raw = nothing.select("sample_id", F.lit("").alias("name"), F.lit(0).cast("long").alias("alt"), F.lit(0).cast("long").alias("ref"))
@@ -332,59 +368,65 @@ def haplotype_calls(reads: DataFrame, haplotypes: dict[str, DataFrame], totals:
     counted = lambda rows, name, alt, ref: rows.select("sample_id", F.lit(name).alias("name"), F.col(alt).cast("long").alias("alt"), F.col(ref).cast("long").alias("ref"))
     if "938" in haplotypes:
         sites = haplotypes["938"]
-        end = cut(last(source_counts(reads, sites, True, 0), sites))
-        found = cut(H.call_938(end, totals, E.read_patterns(reads, sites, True, 0)))
+        end = cut(last(counts_of("938", (1, 2), 0), sites))
+        found = cut(H.call_938(end, totals, patterns_of("938", (1, 2), 0)))
         copies = copies.unionByName(named(found, "g.42126938C>T", "copies"))
         raw = raw.unionByName(counted(end, "g.42126938C>T", "n2", "n1"))
         flags = flags.drop("cis_938").join(found.select("sample_id", "cis_938"), "sample_id", "left")
     if "526_556" in haplotypes:
-        sites = haplotypes["526_556"]
-        counts = source_counts(reads, sites, False, 10)
+        counts = counts_of("526_556", (1,), 10)
         of = lambda k, c: F.max(F.when(F.col("idx") == k, F.col(c)))
         wide = cut(counts.groupBy("sample_id").agg(of(0, "n2").alias("a1"), of(0, "n1").alias("r1"), of(1, "n2").alias("a2"), of(1, "n1").alias("r2")))
-        found = cut(H.call_526_556(wide, tags, E.read_patterns(reads, sites, False, 10)))
+        found = cut(H.call_526_556(wide, tags, patterns_of("526_556", (1,), 10)))
         for name, cn, alt, ref in (("g.42127526C>T", "n526", "a1", "r1"), ("g.42127556T>C", "n556", "a2", "r2")):
             copies, raw = copies.unionByName(named(found, name, cn)), raw.unionByName(counted(wide, name, alt, ref))
     if "803" in haplotypes:
-        found = H.trans_803(tags, E.read_patterns(reads, haplotypes["803"], False, 10))
+        found = H.trans_803(tags, patterns_of("803", (1,), 10))
         flags = flags.drop("trans_803").join(found, "sample_id", "left")
     if "ins_a" in haplotypes:
         sites, name = haplotypes["ins_a"], "g.42130655-42130656insA"
-        far = last(source_counts(reads, sites, False, 10, H.BETWEEN_SOURCES, "pos2"), sites).select("sample_id", F.col("n1").alias("first"), F.col("n2").alias("second"))
-        near = last(source_counts(reads, sites, False, 10, 0, "pos2"), sites).select("sample_id", F.col("n1").alias("aa"))
-        near = near.join(last(source_counts(reads, sites, False, 10), sites).select("sample_id", F.col("n1").alias("a")), "sample_id")
+        far = last(counts_of("ins_a", (2,), 10, H.BETWEEN_SOURCES), sites).select("sample_id", F.col("n1").alias("first"), F.col("n2").alias("second"))
+        near = last(counts_of("ins_a", (2,), 10), sites).select("sample_id", F.col("n1").alias("aa"))
+        near = near.join(last(counts_of("ins_a", (1,), 10), sites).select("sample_id", F.col("n1").alias("a")), "sample_id")
         copies = copies.unionByName(named(H.call_inserted_a(far, near), name, "copies"))
         both = far.join(near, "sample_id")
         raw = raw.unionByName(both.select("sample_id", F.lit(name).alias("name"), (F.col("second") + F.col("aa")).alias("alt"), F.col("a").alias("ref")))
     return copies.where("cn > 0"), flags, raw
 
 
-def run(reads: DataFrame, res: Resources, options: Options | None = None, counts: DataFrame | None = None) -> DataFrame:
+def run(reads: DataFrame, res: Resources, options: Options | None = None, counts: DataFrame | None = None, near: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """One row per sample of a reads table: depth, copies, tag, variants, genotype, filter and, with a function table, phenotype.
 
-    counts (sample_id, name, count) are those of regions if they have been counted before. A sample that a step cannot call keeps nulls from there on.
+    The reads are scanned twice: once over a few narrow columns for the samples and the reads of each region (only for the samples where
+    counts (sample_id, name, count) have been made before), and once for the reads of the gene's stretches, unless those are given (near, from gene_reads). With
+    samples (sample_id) given, reads may be only those that can start in a region.
+    A sample that a step cannot call keeps nulls from there on.
     """
     options = options or Options()
-    samples = reads.select("sample_id").distinct()
-    counts = (I.region_read_counts(reads, res.regions, ["sample_id"]) if counts is None else counts).join(res.regions, "name")
-    depth = cut(normalised_depth(cut(counts), T.read_length(reads, res.regions)))
+    if counts is None:
+        regional = cut(I.region_read_counts(reads, res.regions, ["sample_id"]))
+        samples, counts = regional.select("sample_id").distinct() if samples is None else samples, regional.where("name is not null")
+    samples = cut(reads.select("sample_id").distinct() if samples is None else samples)
+    near = gene_reads(reads, res) if near is None else near
+    observed = observations(near, res)
+    depth = cut(normalised_depth(cut(counts.join(small(res.regions), "name")), T.read_length(near, res.regions, samples)))
     gene, shift = model_states(res.parameters, "d67")
     spacer, spacer_shift = model_states(res.parameters, "spacer")
     own = region_copies(depth, "d67", gene, shift, "total_cn").withColumn("high_cn", F.col("total_cn") > 10)
     quality = depth.where("region_type = 'd67'").select("sample_id", "mad", "median_depth")
     totals = cut(samples.join(own, "sample_id", "left").join(region_copies(depth, "spacer", spacer, spacer_shift, "spacer_cn"), "sample_id", "left").join(quality, "sample_id", "left"))
 
-    sites = cut(site_copies(source_counts(reads, res.sites, True, 0), totals))
+    sites = cut(site_copies(source_counts(observed, samples, res.sites, "sites", (1, 2), 0), totals))
     exon9 = cut(exon9_copies(sites.drop("total_cn", "cn"), totals))
     tagged = cut(structural_calls(sites, totals.select("sample_id", "total_cn", "spacer_cn"), exon9, options, model_sd(res.parameters, "d67")))
 
     named = res.targets.select("idx", F.col("label").alias("name"), (F.col("pos1") + 1).alias("pos"))
-    target = source_counts(reads, res.targets, False, 10).join(small(named), "idx")
-    target = cut(H.insertion_counts(target, H.motif_counts(reads, res.chrom)))
+    target = source_counts(observed, samples, res.targets, "targets", (1,), 10).join(small(named), "idx")
+    target = cut(H.insertion_counts(target, H.motif_counts(near, res.chrom)))
     called = variant_copies(target, tagged, options).select("sample_id", "name", "cn")
-    homology = source_counts(reads, res.homology, True, 0).join(small(res.homology.select("idx", F.col("label").alias("name"))), "idx")
+    homology = source_counts(observed, samples, res.homology, "homology", (1, 2), 0).join(small(res.homology.select("idx", F.col("label").alias("name"))), "idx")
     called = called.unionByName(homology_copies(homology, totals))
-    along, flags, more_raw = haplotype_calls(reads, res.haplotypes or {}, totals, tagged.select("sample_id", "tag"))
+    along, flags, more_raw = haplotype_calls(observed, res.haplotypes or {}, totals, tagged.select("sample_id", "tag"))
     names = cut(A.repeated(called.unionByName(along), ["sample_id"], "name", "cn"))
     raw9 = sites.where(F.col("idx").isin(*EXON9_SITES)).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.try_divide(F.col("total_cn") * F.col("n1"), F.col("n1") + F.col("n2")), F.lit(0.0)).alias("v")))).alias("r"))
     raw9 = raw9.select("sample_id", F.transform("r", lambda x: x["v"]).alias("exon9_raw"))
@@ -395,7 +437,7 @@ def run(reads: DataFrame, res: Resources, options: Options | None = None, counts
     matched = cut(match_stars(observed, cut(dictionaries(res.stars)), res.stars, options))
     if options.phase_disambiguate:
         open_ = matched.where((F.col("call_info") == "more_than_one_match") & (F.col("tag") == "cn2")).select("sample_id", "candidates")
-        matched = matched.join(E.phased_calls(open_, res.stars, reads, T.variant_bases(res.targets), res.chrom), "sample_id", "left")
+        matched = matched.join(E.phased_calls(open_, res.stars, near, T.variant_bases(res.targets), res.chrom), "sample_id", "left")
     calls = cut(genotypes(matched, totals, options, flags))
     raw = target.select("sample_id", "name", F.col("n1").alias("alt"), F.col("n2").alias("ref"))
     if options.consistency_check:
@@ -405,7 +447,7 @@ def run(reads: DataFrame, res: Resources, options: Options | None = None, counts
     if options.read_voting:
         chosen = calls.where(F.col("filter").isin("PASS", "Fuzzy_match")).select("sample_id", "genotype")
         voting = E.vote_sites(named.select("name"))
-        scores = E.vote_scores(E.vote_observations(reads.join(chosen.select("sample_id"), "sample_id", "left_semi"), voting, res.chrom), voting, res.stars)
+        scores = E.vote_scores(E.vote_observations(near.join(chosen.select("sample_id"), "sample_id", "left_semi"), voting, res.chrom), voting, res.stars)
         found = E.vote_flags(chosen, E.vote_pairs(scores), res.stars).select("sample_id", F.col("vote_flag").alias("flag"))
         calls = calls.join(found, "sample_id", "left").withColumn("filter", E.flagged_filter(F.col("filter"), F.col("flag"))).drop("flag")
     calls = cut(calls.drop("tag", "total_cn", "spacer_cn", "high_cn", "names"))

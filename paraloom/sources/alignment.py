@@ -1,8 +1,7 @@
 """Alignment files in BAM as a reads table.
 
-The files come as rows of Spark's own binary reader, so they may be in any store; each is decoded by one task, and many
-samples in parallel. Such a row holds 2 GB at most: slices of the genes and the normalisation regions fit; whole genomes are best turned
-into Parquet once, which is the canonical input (`tables.reads`). CRAM needs a reference-based codec that is not at hand.
+This is the way for stores that only Spark can read: the files come as rows of its own binary reader, each decoded by one task, of 2 GB at most. Indexed files
+of any size in other stores are read by many tasks, and only where they are needed (`bam`). CRAM needs a reference-based codec that is not at hand.
 """
 
 from __future__ import annotations
@@ -44,41 +43,47 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple]:
         body = stream.read(struct.unpack("<i", size)[0])
         if len(body) < struct.unpack("<i", size)[0]:
             return
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, _, _, tlen = struct.unpack_from("<iiBBHHHiiii", body)
-        at = 32 + n_name
-        ops = struct.unpack_from(f"<{n_ops}I", body, at)
-        at += 4 * n_ops
-        cigar = [(OPERATIONS[x & 15], x >> 4) for x in ops]
-        seq = decode_bases(body[at : at + (n_seq + 1) // 2], n_seq)
-        at += (n_seq + 1) // 2
-        if ref >= 0:
-            span = sum(n for op, n in cigar if op in "MDN=X")
-            yield body[32 : 32 + n_name - 1].decode(), flag, names[ref], pos, pos + span, mapq, tlen, cigar, seq, list(body[at : at + n_seq])
+        if struct.unpack_from("<i", body)[0] >= 0:
+            yield record(body, names)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """The records of one or many BAM files, with the columns of READS; the sample is the file's name without its ending, and `chr` goes from contigs."""
+def record(body: bytes, names: list[str]) -> tuple:
+    """(qname, flag, chrom, pos, end_pos, mapq, tlen, cigar, seq, qual) of an aligned record's bytes."""
+    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, _, _, tlen = struct.unpack_from("<iiBBHHHiiii", body)
+    at = 32 + n_name
+    ops = struct.unpack_from(f"<{n_ops}I", body, at)
+    at += 4 * n_ops
+    cigar = [(OPERATIONS[x & 15], x >> 4) for x in ops]
+    seq = decode_bases(body[at : at + (n_seq + 1) // 2], n_seq)
+    at += (n_seq + 1) // 2
+    span = sum(n for op, n in cigar if op in "MDN=X")
+    return body[32 : 32 + n_name - 1].decode(), flag, names[ref], pos, pos + span, mapq, tlen, cigar, seq, list(body[at : at + n_seq])
+
+
+def batch_of(sample: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Records of a sample with the columns of READS; `chr` goes from contigs."""
     cigar = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
     kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), cigar, pa.string(), pa.list_(pa.int32())]
-    names = [f.split(" ")[0] for f in READS.split(", ")]
+    columns = list(zip(*rows, strict=True))
+    columns[7] = [[{"op": op, "len": n} for op, n in x] for x in columns[7]]
+    columns[2] = [x.removeprefix("chr") for x in columns[2]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[sample] * len(rows), *columns], kinds, strict=True)], names=[f.split(" ")[0] for f in READS.split(", ")])
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(sample: str, rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            columns[7] = [[{"op": op, "len": n} for op, n in x] for x in columns[7]]
-            columns[2] = [x.removeprefix("chr") for x in columns[2]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[sample] * len(rows), *columns], kinds, strict=True)], names=names)
 
+def read_bam(spark: SparkSession, path: str) -> DataFrame:
+    """The records of one or many BAM files, with the columns of READS; the sample is the file's name without its ending, and `chr` goes from contigs."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sample, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows: list[tuple] = []
                 for row in records(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     rows.append(row)
                     if len(rows) == BATCH:
-                        yield made(sample, rows)
+                        yield batch_of(sample, rows)
                         rows = []
                 if rows:
-                    yield made(sample, rows)
+                    yield batch_of(sample, rows)
 
     files = spark.read.format("binaryFile").load(path)
     sample = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.bam$", "")

@@ -126,15 +126,19 @@ def fetch(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     return reads.where((F.col("chrom") == chrom) & (F.col("pos") < end) & (F.col("end_pos") > start))
 
 
-def read_length(reads: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """(sample_id, read_length): the median over the first reads of each sample, of the last region (ord, chrom, start, end, region_type) that is not for normalising where there are regions; else the default."""
+def read_length(reads: DataFrame, regions: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, read_length): the median over the first reads of each sample (of samples, else of those that have reads).
+
+    With regions (ord, chrom, start, end, region_type), reads of the last that is not for normalising; without reads the default.
+    """
     some = reads
     if regions is not None:
         last = regions.where("region_type <> 'norm'").orderBy(F.desc("ord")).limit(1).select(F.col("chrom").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"))
         some = reads.join(F.broadcast(last), (F.col("chrom") == F.col("__c")) & (F.col("pos") < F.col("__e")) & (F.col("end_pos") > F.col("__s")), "left_semi")  # one row
     first = some.withColumn("k", F.row_number().over(Window.partitionBy("sample_id").orderBy("chrom", "pos", "qname"))).where(F.col("k") <= READS_FOR_LENGTH)
     found = first.groupBy("sample_id").agg(F.median(F.length("seq")).alias("read_length"))
-    return reads.select("sample_id").distinct().join(found, "sample_id", "left").withColumn("read_length", F.coalesce("read_length", F.lit(DEFAULT_READ_LENGTH)))
+    samples = reads.select("sample_id").distinct() if samples is None else samples.select("sample_id")
+    return samples.join(found, "sample_id", "left").withColumn("read_length", F.coalesce("read_length", F.lit(DEFAULT_READ_LENGTH)))
 
 
 def uses_chr(contigs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paraloom import cli
 from paraloom.operators import evidence as E
 from paraloom.operators import match as M
+from paraloom.operators import site_index as X
 from paraloom.plans import diagnostics
 from paraloom.plans import genotype as G
 from paraloom.sources import sinks
@@ -131,11 +132,12 @@ def test_variants_along_reads(spark):
     totals = spark.createDataFrame([("one", 4), ("none", 4)], "sample_id string, total_cn int")
     tags = spark.createDataFrame([("one", "cn2"), ("none", "cn2")], "sample_id string, tag string")
     df = spark.createDataFrame(sites, schema)
-    copies, flags, raw = G.haplotype_calls(reads, {"938": df, "803": df}, totals, tags)
+    observed = X.observe(reads, X.site_rows(df, "haplotype 938").unionByName(X.site_rows(df, "haplotype 803")))
+    copies, flags, raw = G.haplotype_calls(observed, {"938": df, "803": df}, totals, tags)
     assert [(r["sample_id"], r["name"], r["cn"]) for r in copies.collect()] == [("one", "g.42126938C>T", 1)]
     assert {r["sample_id"]: (r["cis_938"], r["trans_803"]) for r in flags.collect()} == {"one": (True, False), "none": (False, False)}
     assert {r["sample_id"]: (r["alt"], r["ref"]) for r in raw.collect()} == {"one": (50, 10), "none": (30, 30)}
-    nothing = G.haplotype_calls(reads, {}, totals, tags)
+    nothing = G.haplotype_calls(observed, {}, totals, tags)
     assert nothing[0].count() == nothing[2].count() == 0 and {r["cis_938"] for r in nothing[1].collect()} == {False}
 
 
