@@ -28,7 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a bucket as long as there are few, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
 #: Bytes of texts that are encoded together, and units whose ids a worker keeps: few, for this stage shares its workers with others.
-CHUNK_BYTES, KEPT_UNITS = 3_000_000, 250_000
+CHUNK_BYTES, KEPT_UNITS = 1_500_000, 120_000
 
 
 class CapacityTree:
