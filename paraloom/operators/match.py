@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from paraloom.functions.scalar import main_allele, multiset_key
+from paraloom.operators.grams import known_grams, occurrences
+from paraloom.operators.pair_search import best_pairs
 from paraloom.operators.sides import small
 
 # Alleles that yield to any other candidate.
@@ -134,13 +132,9 @@ def lookup_pivot(rows: DataFrame, keys: list[str], name: str, value: str, names:
     return wide.select(*keys, *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(default)).alias(n) for n in names])
 
 
-def pair_mixture(loglik: DataFrame, keys: list[str], read: str, item: str, value: str) -> DataFrame:
-    """(keys, a, b, total): for all a <= b the sum over reads of ln((e^la + e^lb) / 2)."""
-    a, b = loglik.select(*keys, read, F.col(item).alias("a"), F.col(value).alias("la")), loglik.select(*keys, read, F.col(item).alias("b"), F.col(value).alias("lb"))
-    pairs = a.join(b, [*keys, read]).where("a <= b")
-    top = F.greatest("la", "lb")
-    mixed = top + F.ln(F.exp(F.col("la") - top) + F.exp(F.col("lb") - top)) - F.ln(F.lit(2.0))
-    return pairs.groupBy(*keys, "a", "b").agg(F.sum(mixed).alias("total"))
+def pair_mixture(loglik: DataFrame, keys: list[str], read: str, item: str, value: str, most: int | None = None) -> DataFrame:
+    """(keys, a, b, total): for all a <= b the sum over reads of ln((e^la + e^lb) / 2), or for the best `most` of them."""
+    return best_pairs(loglik, keys, read, item, value, most=most)
 
 
 def windows(text: Column, k: int) -> Column:
@@ -150,11 +144,19 @@ def windows(text: Column, k: int) -> Column:
     return F.when(F.char_length(text) >= k, F.get(each, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def kmer_hits(texts: DataFrame, keys: list[str], text: str, panel: DataFrame, k: int, without: str = "N") -> DataFrame:
+def kmer_hits(texts: DataFrame, keys: list[str], text: str, panel: DataFrame, k: int, without: str = "N", panel_kmers: int = PANEL_KMERS) -> DataFrame:
     """(keys, panel columns, n): occurrences of a panel's k-mers (column kmer) in each text; windows with `without` do not count."""
-    rows = texts.select(*keys, F.explode(windows(F.col(text), k)).alias("kmer"))
-    rows = rows.where(~F.contains("kmer", F.lit(without))) if without else rows
-    return rows.join(panel, "kmer").groupBy(*keys, *panel.columns).agg(F.count("*").alias("n"))
+    panel = panel.where(~F.contains("kmer", F.lit(without))) if without else panel
+    hits = _gram_counts(texts, keys, text, panel.select(F.col("kmer").alias("gram")), k, panel_kmers)
+    return hits.join(panel, "kmer").groupBy(*keys, *panel.columns).agg(F.sum("n").cast("long").alias("n"))
+
+
+def _gram_counts(texts: DataFrame, keys: list[str], text: str, grams: DataFrame, k: int, most: int) -> DataFrame:
+    """(keys, kmer, n) of windows that are among the grams; with too many of those for the workers, of all windows."""
+    known = known_grams(grams.where(F.char_length("gram") == k), most)
+    if known is None:
+        return texts.select(*keys, F.explode(windows(F.col(text), k)).alias("kmer")).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+    return occurrences(texts, keys, text, known, k).withColumnRenamed("gram", "kmer")
 
 
 def shared_kmers(texts: DataFrame, keys: list[str], text: str, items: DataFrame, item_id: str, item_text: str, k: int, panel_kmers: int = PANEL_KMERS) -> DataFrame:
@@ -163,26 +165,11 @@ def shared_kmers(texts: DataFrame, keys: list[str], text: str, items: DataFrame,
     A panel of few k-mers goes to the workers, which then give only windows that hit; of a larger one all windows are joined.
     """
     panel = items.where(F.char_length(item_text) >= k).select(item_id, F.explode(windows(F.col(item_text), k)).alias("kmer")).distinct()
-    kmers = panel.select("kmer").distinct()
-    few = {r["kmer"] for r in kmers.limit(panel_kmers + 1).collect()}
-    wanted = texts.sparkSession.sparkContext.broadcast(few if len(few) <= panel_kmers else None)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wanted.value
-        for batch in batches:
-            for at, x in enumerate(batch.column(batch.num_columns - 1)):
-                t = x.as_py() or ""
-                found = Counter(w for w in (t[i : i + k] for i in range(len(t) - k + 1)) if known is None or w in known)
-                if found:
-                    row = pa.array([at] * len(found))
-                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[:-1]), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=[*keys, "kmer", "n"])
-
-    fields = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keys)
-    hits = texts.select(*keys, text).mapInArrow(cut, f"{fields}kmer string, n long")
+    hits = _gram_counts(texts, keys, text, panel.select(F.col("kmer").alias("gram")), k, panel_kmers)
     return hits.join(panel, "kmer").groupBy(*keys, item_id).agg(F.sum("n").cast("long").alias("n"))
 
 
-def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int | None = 500) -> DataFrame:
+def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int | None = 500, panel_grams: int = PANEL_KMERS) -> DataFrame:
     """(query_id, ref_id, diagonal): candidates of pigeonhole seeding, once per bucket of max_k + 1 diagonals.
 
     A match with max_k errors leaves one of max_k + 1 disjoint seeds whole. q-grams with over most_hits places are repeats
@@ -191,8 +178,11 @@ def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame,
     seeds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_k)), lambda i: F.struct((i * q).alias("off"), F.substring(F.col(query), i * q + 1, F.lit(q)).alias("gram"))), lambda s: F.char_length(s["gram"]) == q)
     left = queries.select(query_id, F.explode(seeds).alias("s")).select(query_id, F.col("s.off").alias("off"), F.col("s.gram").alias("gram"))
     # only places of grams that are asked for go on
-    wanted = small(left.select("gram").distinct())
-    grams = refs.select(ref_id, F.posexplode(windows(F.col(ref), q)).alias("at", "gram")).join(wanted, "gram", "left_semi")
+    known = known_grams(left, panel_grams)
+    if known is None:
+        grams = refs.select(ref_id, F.posexplode(windows(F.col(ref), q)).alias("at", "gram")).join(left.select("gram").distinct(), "gram", "left_semi")
+    else:
+        grams = occurrences(refs, [ref_id], ref, known, q, places=True).withColumn("at", F.col("at").cast("int"))
     if most_hits is not None:
         common = grams.groupBy("gram").agg(F.count("*").alias("__n")).where(F.col("__n") > most_hits).select("gram")
         grams = grams.join(common, "gram", "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from paraloom.operators.pair_search import best_pairs
+
 
 def phasing_modes(rows: DataFrame, keys: list[str], fragment: str, site: str, alt: str) -> DataFrame:
     """(keys, pattern, n): sorted site:alt patterns of fragments that see two or more sites, and how many have each."""
@@ -40,21 +42,13 @@ def well_mapped(loglik: DataFrame, keys: list[str], read: str, value: str, n_sit
     return loglik.groupBy(*keys, read).agg(F.max(value).alias("__v"), F.first(n_sites).alias("__n")).where(F.col("__v") >= least * F.col("__n")).select(*keys, read)
 
 
-def paralog_mixture(loglik: DataFrame, keys: list[str], read: str, item: str, value: str, other: str, copies: str) -> DataFrame:
-    """(keys, a, b, total): pairs of haplotypes beside a paralog that each read may come from.
+def paralog_mixture(loglik: DataFrame, keys: list[str], read: str, item: str, value: str, other: str, copies: str, most: int | None = None) -> DataFrame:
+    """(keys, a, b, total): pairs of haplotypes beside a paralog that each read may come from, or the best `most` of them.
 
     loglik has a row per read and haplotype with its log likelihood and that of the paralog (`other`). Of `copies` + 1 sources the
     paralog is one; the pair shares the rest by every split, and the best counts (a pair of one haplotype has it all).
     """
-    base = loglik.select(*keys, read, item, value, other, copies)
-    left = base.select(*keys, read, F.col(item).alias("a"), F.col(value).alias("la"), F.col(other).alias("lo"), F.col(copies).alias("cn"))
-    right = base.select(*keys, read, F.col(item).alias("b"), F.col(value).alias("lb"))
-    pairs = left.join(right, [*keys, read]).where("a <= b")
-    splits = pairs.withColumn("k", F.explode(F.when(F.col("a") == F.col("b"), F.array("cn")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("cn") - 1, F.lit(1))))))
-    top = F.greatest("la", "lb", "lo")
-    whole = F.exp(F.col("lo") - top) + F.col("k") * F.exp(F.col("la") - top) + (F.col("cn") - F.col("k")) * F.exp(F.col("lb") - top)
-    summed = splits.groupBy(*keys, "a", "b", "k").agg(F.sum(top + F.ln(whole / (F.col("cn") + 1))).alias("total"))
-    return summed.groupBy(*keys, "a", "b").agg(F.max("total").alias("total"))
+    return best_pairs(loglik, keys, read, item, value, other, copies, most)
 
 
 def posteriors(scored: DataFrame, keys: list[str], total: str, most: int = 20) -> DataFrame:

@@ -19,6 +19,8 @@ from paraloom.plans import genotype
 from paraloom.sources.tables import Resources, variant_bases
 
 PARALOG, LN10 = "paralog", math.log(10)
+#: Pairs of alleles that the search of a sample keeps.
+BEST = 20
 CLIP_REGION, KMER_REGIONS = (42123000, 42146000), ((42123000, 42132000), (42135000, 42146000))
 
 
@@ -104,7 +106,7 @@ def diplotype_caller(reads: DataFrame, res: Resources, calls: DataFrame) -> Data
     well = R.well_mapped(scores.join(per, ["sample_id", "qname"]), ["sample_id"], "qname", "ll", "n")
     ll = scores.where(F.col("allele") != PARALOG).join(other, ["sample_id", "qname"]).join(well, ["sample_id", "qname"], "left_semi").join(calls.select("sample_id", F.col("total_cn").alias("copies")), "sample_id")
     natural = ll.select("sample_id", "qname", "allele", (F.col("ll") * LN10).alias("la"), (F.col("lo") * LN10).alias("lo"), "copies")
-    return R.posteriors(R.paralog_mixture(natural, ["sample_id"], "qname", "allele", "la", "lo", "copies"), ["sample_id"], "total")
+    return R.posteriors(R.paralog_mixture(natural, ["sample_id"], "qname", "allele", "la", "lo", "copies", BEST), ["sample_id"], "total", BEST)
 
 
 def haplotype_details(called: DataFrame, function: DataFrame) -> DataFrame:
