@@ -230,9 +230,10 @@ p AS (SELECT *, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) +
 f AS (SELECT l_suppkey, l_linenumber, a, b, c, d, least(1.0, sum(p) FILTER (WHERE p <= po + 1e-12)) AS p_value FROM (SELECT *, max(CASE WHEN x = a THEN p END) OVER (PARTITION BY l_suppkey, l_linenumber) AS po FROM p) GROUP BY ALL)"""
 
 
-def _tables(spark, d):
+def _tables(spark, d, reverse=None):
     flag, status = F.col("l_returnflag") == "A", F.col("l_linestatus") == "F"
-    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count_if(flag & status).alias("a"), F.count_if(flag & ~status).alias("b"), F.count_if(~flag & status).alias("c"), F.count_if(~flag & ~status).alias("d"))
+    reverse = ~status if reverse is None else reverse
+    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count_if(flag & status).alias("a"), F.count_if(flag & reverse).alias("b"), F.count_if(~flag & status).alias("c"), F.count_if(~flag & ~status).alias("d"))
 
 
 @query(f"""{_FISHER} SELECT l_suppkey, l_linenumber, a, b, c, d, round(p_value, 6) + 0.0 AS p_value, round(a * d / nullif(b * c, 0)::DOUBLE, 6) + 0.0 AS odds_ratio FROM f""")
@@ -240,18 +241,27 @@ def m6_fisher(spark, d):
     return M.fisher_exact(_tables(spark, d), "a", "b", "c", "d").select("l_suppkey", "l_linenumber", "a", "b", "c", "d", r6("p_value").alias("p_value"), r6("odds_ratio").alias("odds_ratio"))
 
 
-@query(f"""{_FISHER} SELECT l_suppkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN p_value < 0.01 AND least(a, b) = 0 ELSE p_value < 0.02 AND least(a, b) <= 1 END AND a + b >= 3 AS biased FROM f""")
+# reverse reads are those of few parts for some suppliers and of none for others, so that strands are empty, uneven and even
+_REVERSE_SQL = "l_linestatus = 'O' AND l_partkey % 7 < l_suppkey % 8"
+_BIASED = _FISHER.replace("l_returnflag = 'A' AND l_linestatus = 'O'", f"l_returnflag = 'A' AND {_REVERSE_SQL}")
+
+
+def _reverse():
+    return (F.col("l_linestatus") == "O") & (F.col("l_partkey") % 7 < F.col("l_suppkey") % 8)
+
+
+@query(f"""{_BIASED} SELECT l_suppkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN p_value < 0.01 AND least(a, b) = 0 ELSE p_value < 0.02 AND least(a, b) <= 1 END AND a + b >= 3 AS biased FROM f""")
 def m8_strand_bias(spark, d):
-    return M.strand_bias(_tables(spark, d), "a", "b", "c", "d", F.col("l_linenumber") <= 3).select("l_suppkey", "l_linenumber", "biased")
+    return M.strand_bias(_tables(spark, d, _reverse()), "a", "b", "c", "d", F.col("l_linenumber") <= 3).select("l_suppkey", "l_linenumber", "biased")
 
 
-@query("""WITH t AS (SELECT l_suppkey, count(*) FILTER (WHERE l_linestatus = 'F') AS a, count(*) FILTER (WHERE l_linestatus = 'O') AS b, count(*) // 2 AS c FROM lineitem GROUP BY 1),
+@query("""WITH t AS (SELECT l_suppkey, count(*) FILTER (WHERE l_linestatus = 'F') AS a, count(*) FILTER (WHERE l_linestatus = 'O' AND l_partkey % 7 < l_suppkey % 8) AS b, count(*) // 2 AS c FROM lineitem GROUP BY 1),
 k AS (SELECT *, unnest(range(greatest(0, a - c), least(a + b, a + c) + 1)) AS x FROM t),
 p AS (SELECT *, exp(lgamma(a + b + 1) + lgamma(2 * c + 1) + lgamma(a + c + 1) + lgamma(b + c + 1) - lgamma(a + b + 2 * c + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(c - a + x + 1)) AS p FROM k),
 f AS (SELECT l_suppkey, a, b, sum(p) FILTER (WHERE p <= po + 1e-12) AS p_value FROM (SELECT *, max(CASE WHEN x = a THEN p END) OVER (PARTITION BY l_suppkey) AS po FROM p) GROUP BY ALL)
 SELECT l_suppkey, a, b, p_value < 0.05 OR a <= 1 OR b <= 1 AS noisy FROM f""")
 def m7_strand_noise(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("a"), F.count_if(F.col("l_linestatus") == "O").alias("b"), F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("a"), F.count_if(_reverse()).alias("b"), F.count("*").alias("n"))
     return M.strand_noise(rows, "a", "b", "n").select("l_suppkey", "a", "b", "noisy")
 
 

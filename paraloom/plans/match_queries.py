@@ -191,7 +191,8 @@ def m14_best_split(spark, d):
     return G.best_split(table(spark, d, "events"), ["user_id"], "event_id", "value", 5)
 
 
-_CBS = """WITH RECURSIVE d AS (SELECT event_type AS g, ts::DATE AS day, avg(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT g, avg(v) AS mean, count(*) AS n FROM d GROUP BY 1),
+# steps of no, medium and large height in the middle third of a month
+_CBS = """WITH RECURSIVE d AS (SELECT event_type AS g, ts::DATE AS day, avg(value) + CASE WHEN day(ts::DATE) BETWEEN 11 AND 20 THEN 30 * (length(event_type) % 3) ELSE 0 END AS v FROM events GROUP BY 1, 2), m AS (SELECT g, avg(v) AS mean, count(*) AS n FROM d GROUP BY 1),
 p AS (SELECT d.g, row_number() OVER (PARTITION BY d.g ORDER BY day) - 1 AS i, day, v, v - mean AS c FROM d JOIN m USING (g)),
 u AS (SELECT g, 0 AS i, 0 AS n, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q FROM m UNION ALL SELECT g, i + 1, count(c) OVER w, coalesce(sum(c) OVER w, 0), coalesce(sum(c * c) OVER w, 0) FROM p WINDOW w AS (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 c AS (SELECT a.g, a.i AS a, b.i AS b, k.i AS k, k.n - a.n AS n1, b.n - k.n AS n2, k.s - a.s AS s1, b.s - k.s AS s2, k.q - a.q AS q1, b.q - k.q AS q2 FROM u a JOIN u b ON a.g = b.g AND b.i > a.i JOIN u k ON k.g = a.g AND k.i > a.i AND k.i < b.i),
@@ -206,12 +207,15 @@ SELECT f.g AS event_type, (dense_rank() OVER (PARTITION BY f.g ORDER BY f.a) - 1
 @query(_CBS)
 def m14_cbs(spark, d):
     daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    step = F.when(F.dayofmonth("day").between(11, 20), 30 * (F.length("event_type") % 3)).otherwise(0)
+    daily = daily.withColumn("v", F.col("v") + step)
     out = G.changepoints(daily, ["event_type"], "day", "v")
     return out.select("event_type", "segment", "first", "last", "n_valid", r6("mean").alias("mean"))
 
 
 _EMIT = "CASE WHEN NOT o.valid THEN 0.0 WHEN s = 0 THEN -0.5 * ln(2 * pi() * 0.15 * 0.15) - o.obs * o.obs / (2 * 0.15 * 0.15) ELSE -0.5 * ln(2 * pi() * 0.09 * s) - (o.obs - s) * (o.obs - s) / (2 * 0.09 * s) END"
-_VITERBI = f"""WITH RECURSIVE b AS (SELECT l_suppkey AS g, l_linenumber AS idx, avg(l_quantity) / 12 AS obs, count(*) >= 10 AS valid FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY idx) AS k FROM b),
+# from the fourth line on the level is one, two or three times as high, or a tenth
+_VITERBI = f"""WITH RECURSIVE b AS (SELECT l_suppkey AS g, l_linenumber AS idx, avg(l_quantity) / 12 * CASE WHEN l_linenumber < 4 THEN 1.0 WHEN l_suppkey % 4 = 3 THEN 0.1 ELSE (1 + l_suppkey % 4)::DOUBLE END AS obs, count(*) >= 10 AS valid FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY idx) AS k FROM b),
 w(g, k, score, paths) AS (SELECT o.g, o.k, list_transform(range(0, 6), lambda s: ({_EMIT} - ln(6))::DOUBLE), list_transform(range(0, 6), lambda s: [s]) FROM o WHERE o.k = 1
   UNION ALL SELECT o.g, o.k, list_transform(range(0, 6), lambda s: (list_max(r[s + 1]) + {_EMIT})::DOUBLE), list_transform(range(0, 6), lambda s: list_append(o.paths[list_position(r[s + 1], list_max(r[s + 1]))], s))
   FROM (SELECT o.*, w.paths, list_transform(range(0, 6), lambda s: list_transform(range(0, 6), lambda q: w.score[q + 1] + CASE WHEN s = q THEN ln(0.995) ELSE ln(0.005 / 5) END)) AS r FROM w JOIN o ON o.g = w.g AND o.k = w.k + 1) o),
@@ -222,6 +226,8 @@ SELECT o.g AS l_suppkey, o.idx, z.path[o.k]::INT AS state FROM o JOIN z USING (g
 @query(_VITERBI)
 def m15_viterbi(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("idx")).agg((F.avg("l_quantity") / 12).alias("obs"), (F.count("*") >= 10).alias("valid"))
+    level = F.when(F.col("idx") < 4, 1.0).when(F.col("l_suppkey") % 4 == 3, 0.1).otherwise((1 + F.col("l_suppkey") % 4).cast("double"))
+    rows = rows.withColumn("obs", F.col("obs") * level)
     return G.viterbi(rows.withColumn("states", F.lit(6)), ["l_suppkey"], "idx", "obs", "valid", "states")
 
 
@@ -403,9 +409,12 @@ def d37_ambiguity(spark, d):
     return C.ambiguity(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus")
 
 
-@query("""SELECT l_suppkey, count(*) FILTER (WHERE l_discount IS NOT NULL) AS n_sites, count(*) FILTER (WHERE l_discount > 0.1 AND l_discount < 0.9) AS n_het, count(l_discount) >= 20 AND count(*) FILTER (WHERE l_discount > 0.1 AND l_discount < 0.9) <= 2 AS hemizygous FROM lineitem GROUP BY 1""")
+@query("""WITH r AS (SELECT l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN l_discount * 10 ELSE l_discount END AS ratio FROM lineitem)
+SELECT l_suppkey, count(ratio) AS n_sites, count(*) FILTER (WHERE ratio > 0.1 AND ratio < 0.9) AS n_het,
+  count(ratio) >= 20 AND count(*) FILTER (WHERE ratio > 0.1 AND ratio < 0.9) <= 2 AS hemizygous FROM r GROUP BY 1""")
 def d31_hemizygous(spark, d):
-    return C.hemizygous(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount")
+    ratio = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_discount") * 10).otherwise(F.col("l_discount"))
+    return C.hemizygous(table(spark, d, "lineitem").withColumn("ratio", ratio), ["l_suppkey"], "ratio")
 
 
 @query("""WITH m AS (SELECT user_id, event_id, CASE WHEN count(*) OVER w = 5 AND count(value) OVER w >= 3 THEN avg(value / 100) OVER w END AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))

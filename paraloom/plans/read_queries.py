@@ -416,7 +416,8 @@ _HALF_EVEN = "CASE WHEN {0} * 100 - floor({0} * 100) = 0.5 AND floor({0} * 100)
 
 
 @query(f"""WITH c AS (SELECT s_suppkey AS id, 'NATION-' || (s_suppkey % 25) || '/NATION-' || (s_suppkey * 7 % 25) AS g, ['cn2', 'cn3'][1 + s_suppkey % 2] AS tag, 4 AS total FROM supplier),
-i AS ({_ITEMS}), q AS (SELECT l_suppkey AS id, l_quantity::INT AS idx, count(*) FILTER (WHERE l_returnflag = 'A') AS n1, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_suppkey % 3 = 0) AS n2 FROM lineitem GROUP BY 1, 2),
+i AS ({_ITEMS}), q AS (SELECT l_suppkey AS id, floor(l_quantity / 4)::INT AS idx, count(*) FILTER (WHERE l_returnflag = 'A' AND (l_quantity < 24 OR l_suppkey % 5 > 0 OR l_partkey % 16 = 0)) AS n1,
+  count(*) FILTER (WHERE l_returnflag = 'R' AND l_suppkey % 3 = 0) AS n2 FROM lineitem GROUP BY 1, 2),
 z AS (SELECT id, idx, CASE WHEN n1 + n2 >= 10 THEN n1 / (n1 + n2)::DOUBLE END AS ratio FROM q),
 w AS (SELECT id, CASE WHEN count(*) OVER x = 5 AND count(ratio) OVER x >= 3 THEN avg(ratio) OVER x END AS m FROM z WINDOW x AS (PARTITION BY id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 cv AS (SELECT id, count(*) FILTER (WHERE m > 0.35) >= 3 AND count(*) FILTER (WHERE m < 0.15) >= 3 AS ch FROM w GROUP BY 1),
@@ -434,7 +435,10 @@ def d30_consistency(spark, d):
     star = lambda x: F.concat(F.lit("NATION-"), x.cast("string"))
     calls = table(spark, d, "supplier").select("s_suppkey", F.concat_ws("/", star(k % 25), star(k * 7 % 25)).alias("genotype"), F.when(k % 2 == 0, "cn2").otherwise("cn3").alias("tag"), F.lit(4).alias("total_cn"))
     rows = table(spark, d, "lineitem").withColumn("s_suppkey", F.col("l_suppkey"))
-    sites = rows.groupBy("s_suppkey", F.col("l_quantity").cast("int").alias("idx")).agg(F.count_if(F.col("l_returnflag") == "A").alias("n1"), F.count_if((F.col("l_returnflag") != "A") & (F.col("l_suppkey") % 3 == 0)).alias("n2"))
+    # one supplier of five changes sources along the quantities
+    one = (F.col("l_returnflag") == "A") & ((F.col("l_quantity") < 24) | (F.col("l_suppkey") % 5 > 0) | (F.col("l_partkey") % 16 == 0))
+    two = (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 3 == 0)
+    sites = rows.groupBy("s_suppkey", F.floor(F.col("l_quantity") / 4).cast("int").alias("idx")).agg(F.count_if(one).alias("n1"), F.count_if(two).alias("n2"))
     part = F.col("l_partkey")
     name = F.when(part % 2 == 0, F.concat(F.lit("r"), (part % 5).cast("string"))).otherwise(F.concat(F.lit("k"), (part % 7).cast("string")))
     counts = rows.groupBy("s_suppkey", name.alias("name")).agg(F.count_if((F.col("l_returnflag") == "A") & (F.col("l_suppkey") % 4 < 2)).alias("alt"), F.count_if((F.col("l_returnflag") == "R") & (part % 3 == 0)).alias("ref"))
@@ -454,14 +458,17 @@ def d32_clip_zones(spark, d):
 
 
 _SPANS = {n: b - a for n, (a, b) in E.SUBREGIONS.items()}
+# the first and the third part count up to four and two times for some suppliers
+_TIMES = (4, 1, 2, 1)
 
 
-@query(f"""WITH c AS (SELECT l_suppkey, {', '.join(f"coalesce(sum(l_quantity) FILTER (WHERE l_linenumber = {k + 1}), 0) / {_SPANS[n]}.0::DOUBLE AS {n}" for k, n in enumerate(_SPANS))} FROM lineitem GROUP BY 1),
+@query(f"""WITH c AS (SELECT l_suppkey, {', '.join(f"coalesce(sum(l_quantity * (1 + l_suppkey % {_TIMES[k]})) FILTER (WHERE l_linenumber = {k + 1}), 0) / {_SPANS[n]}.0::DOUBLE AS {n}" for k, n in enumerate(_SPANS))} FROM lineitem GROUP BY 1),
 r AS (SELECT l_suppkey, CASE WHEN in4_in8 > 0 THEN exon9 / in4_in8 ELSE 1.0 END AS e, CASE WHEN five_prime > 0 THEN three_prime / five_prime ELSE 1.0 END AS p FROM c)
 SELECT l_suppkey, round(e, 6) + 0.0 AS exon9_ratio, round(p, 6) + 0.0 AS prime_ratio, e >= 1.25 AND e < 1.75 AS exon9_elevated, p >= 0.40 AND p < 0.80 AS three_prime_depleted FROM r""")
 def d32_subregions(spark, d):
     names = F.array(*map(F.lit, E.SUBREGIONS))
-    counts = table(spark, d, "lineitem").groupBy("l_suppkey", F.get(names, F.col("l_linenumber") - 1).alias("name")).agg(F.sum("l_quantity").alias("count")).where("name is not null")
+    times = 1 + F.col("l_suppkey") % F.get(F.array(*map(F.lit, _TIMES)), F.col("l_linenumber") - 1)
+    counts = table(spark, d, "lineitem").groupBy("l_suppkey", F.get(names, F.col("l_linenumber") - 1).alias("name")).agg(F.sum(F.col("l_quantity") * times).alias("count")).where("name is not null")
     out = E.subregion_signals(counts, ["l_suppkey"])
     return out.select("l_suppkey", r6("exon9_ratio").alias("exon9_ratio"), r6("prime_ratio").alias("prime_ratio"), "exon9_elevated", "three_prime_depleted")
 
