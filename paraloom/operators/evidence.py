@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -139,6 +139,39 @@ def phased_calls(candidates: DataFrame, stars: DataFrame, reads: DataFrame, vari
     return candidates.join(best, "sample_id").select("sample_id", sort_pair(F.array_join(F.transform(F.split(chosen, "_"), main_allele), "/")).alias("resolved"))
 
 
+def phasing_scores(modes: DataFrame, calls: DataFrame, stars: DataFrame, least: int = 3, lead: float = 1.0) -> DataFrame:
+    """(sample_id, place, candidate, consistent_modes, inconsistent_modes, consistent_reads, inconsistent_reads, score, best, phasing_flag): how well each of a call's alternatives explains its fragments.
+
+    modes (sample_id, pattern, n) as phasing_modes gives them, calls (sample_id, genotype). A mode is consistent if one side of the candidate has all of its alternatives and none of
+    its references; modes of references only tell nothing. The score is the log odds of consistent reads, at most 10 either way, and 0 without any. The best has the highest, the first
+    of equals; the flag names it where it is not the first candidate, `lead` ahead of the second and has `least` reads. Samples without modes have no rows; a candidate that has not two sides scores 0.
+    """
+    each = calls.where("genotype is not null").join(modes.select("sample_id").distinct(), "sample_id", "left_semi")
+    each = each.select("sample_id", F.posexplode(F.split("genotype", ";")).alias("place", "c")).select("sample_id", "place", F.trim("c").alias("candidate"))
+    sides = each.select("sample_id", "place", F.posexplode(F.split("candidate", "/")).alias("side", "x"))
+    alleles = sides.select("sample_id", "place", "side", F.explode(F.split("x", r"\+")).alias("allele")).withColumn("allele", without_copies(F.trim("allele")))
+    held = alleles.join(stars.select(F.col("name").alias("allele"), F.explode("parts").alias("v")), "allele").groupBy("sample_id", "place").agg(
+        *[F.collect_set(F.when(F.col("side") == k, F.col("v"))).alias(f"v{k}") for k in (0, 1)]
+    )
+    nothing = F.array().cast("array<string>")
+    two = each.join(held, ["sample_id", "place"], "left").select("sample_id", "place", "candidate", (F.size(F.split("candidate", "/")) == 2).alias("two"), *[F.coalesce(f"v{k}", nothing).alias(f"v{k}") for k in (0, 1)])
+    word = lambda x: F.struct(F.substring_index(x, ":", 1).alias("name"), (F.substring_index(x, ":", -1) == "1").alias("alt"))
+    seen = modes.select("sample_id", "n", F.transform(F.split("pattern", ","), word).alias("seen")).where(F.exists("seen", lambda x: x["alt"]))
+    fits = lambda v: F.forall("seen", lambda x: x["alt"] == F.array_contains(v, x["name"]))
+    met = two.join(seen, "sample_id", "left").withColumn("ok", F.when(F.col("two") & F.col("seen").isNotNull(), fits("v0") | fits("v1")))
+    count = lambda ok, what: F.coalesce(F.sum(F.when(F.col("ok") == ok, what)), F.lit(0)).cast("long")
+    counted = met.groupBy("sample_id", "place", "candidate").agg(
+        count(True, F.lit(1)).alias("consistent_modes"), count(False, F.lit(1)).alias("inconsistent_modes"), count(True, F.col("n")).alias("consistent_reads"), count(False, F.col("n")).alias("inconsistent_reads")
+    )
+    good, bad = F.col("consistent_reads"), F.col("inconsistent_reads")
+    scored = counted.withColumn("score", F.when(good + bad == 0, 0.0).when(bad == 0, 10.0).when(good == 0, -10.0).otherwise(F.ln(good / bad)))
+    order = Window.partitionBy("sample_id").orderBy(F.desc("score"), "place")
+    ranked = scored.withColumns({"k": F.row_number().over(order), "next": F.lead("score").over(order)})
+    prefers = (F.col("k") == 1) & F.col("next").isNotNull() & (F.col("score") > F.col("next") + lead) & (good >= least) & (F.col("place") > 0)
+    flag = F.when(prefers, F.concat(F.lit("Phasing_prefers_"), F.replace("candidate", F.lit("/"), F.lit("_"))))
+    return ranked.select(*scored.columns, (F.col("k") == 1).alias("best"), flag.alias("phasing_flag"))
+
+
 # ---- votes of reads ----
 
 

@@ -64,6 +64,12 @@ def read_phasing(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFram
     return R.phasing_modes(states, ["sample_id"], "qname", "name", "alt")
 
 
+def phasing_scores(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
+    """(sample_id, place, candidate, consistent and inconsistent modes and reads, score, best, phasing_flag): how well each alternative of a call explains its fragments."""
+    modes = genotype.cut(read_phasing(reads, res, calls))
+    return E.phasing_scores(modes, calls.select("sample_id", "genotype"), res.stars)
+
+
 def cn_classifier(reads: DataFrame, res: Resources, calls: DataFrame) -> DataFrame:
     """(sample_id, label, confidence)."""
     return E.classify_profiles(calls.where("total_cn is not null"), "sample_id")
@@ -118,6 +124,6 @@ def haplotype_details(called: DataFrame, function: DataFrame) -> DataFrame:
 
 
 TABLES = {
-    "het_check": het_check, "clip_evidence": clip_evidence, "d7_depth": d7_depth, "af_phasing": af_phasing, "read_phasing": read_phasing, "cn_classifier": cn_classifier, "kmer_validation": kmer_validation,
+    "het_check": het_check, "clip_evidence": clip_evidence, "d7_depth": d7_depth, "af_phasing": af_phasing, "read_phasing": read_phasing, "phasing_scores": phasing_scores, "cn_classifier": cn_classifier, "kmer_validation": kmer_validation,
     "diplotype_caller": diplotype_caller,
 }

@@ -447,6 +447,33 @@ def d30_consistency(spark, d):
     return out.select("s_suppkey", "conversion_flag", "mismatch_flag", "balance_flag", "flag", E.flagged_filter(current, F.col("flag")).alias("filter"))
 
 
+_SCORED = """WITH c AS (SELECT s_suppkey AS id, unnest([0, 1]) AS place,
+  unnest(['NATION-' || (s_suppkey % 25) || '/NATION-' || (s_suppkey * 7 % 25), 'NATION-' || ((s_suppkey + 3) % 25) || '/NATION-' || (s_suppkey * 11 % 25)]) AS candidate FROM supplier),
+o AS (SELECT l_suppkey AS id, l_orderkey % 200 AS f, CASE WHEN l_partkey % 2 = 0 THEN 'r' || (l_partkey % 3) ELSE 'k' || (l_partkey % 3) END AS name, max((l_linenumber <= 2 + l_suppkey % 3)::INT) AS alt FROM lineitem GROUP BY 1, 2, 3),
+m AS (SELECT id, string_agg(name || ':' || alt, ',' ORDER BY name || ':' || alt) AS p, list({'name': name, 'alt': alt}) AS seen FROM o GROUP BY id, f HAVING count(*) >= 2),
+k AS (SELECT id, any_value(seen) AS seen, count(*) AS n FROM m GROUP BY id, p HAVING contains(p, ':1')),
+h AS (SELECT c.*, coalesce(a.parts, []) AS v0, coalesce(b.parts, []) AS v1 FROM c LEFT JOIN i a ON a.name = string_split(candidate, '/')[1] LEFT JOIN i b ON b.name = string_split(candidate, '/')[2]),
+t AS (SELECT h.id, place, candidate, n, len(list_filter(seen, lambda x: (x.alt = 1) <> list_contains(v0, x.name))) = 0 OR len(list_filter(seen, lambda x: (x.alt = 1) <> list_contains(v1, x.name))) = 0 AS ok FROM h LEFT JOIN k ON h.id = k.id),
+g AS (SELECT id, place, candidate, count(*) FILTER (WHERE ok) AS consistent_modes, count(*) FILTER (WHERE NOT ok) AS inconsistent_modes, coalesce(sum(n) FILTER (WHERE ok), 0)::BIGINT AS consistent_reads,
+  coalesce(sum(n) FILTER (WHERE NOT ok), 0)::BIGINT AS inconsistent_reads FROM t GROUP BY 1, 2, 3),
+s AS (SELECT *, CASE WHEN consistent_reads + inconsistent_reads = 0 THEN 0.0 WHEN inconsistent_reads = 0 THEN 10.0 WHEN consistent_reads = 0 THEN -10.0 ELSE ln(consistent_reads / inconsistent_reads::DOUBLE) END AS score FROM g),
+r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY id ORDER BY score DESC, place))"""
+
+
+@query(f"""{_SCORED.replace("WITH c AS", f"WITH i AS ({_ITEMS}), c AS")}
+SELECT id AS s_suppkey, place, candidate, consistent_modes, inconsistent_modes, consistent_reads, inconsistent_reads, round(score, 6) + 0.0 AS score, rank = 1 AS best,
+  CASE WHEN rank = 1 AND score > next + 0.2 AND consistent_reads >= 3 AND place > 0 THEN 'Phasing_prefers_' || replace(candidate, '/', '_') END AS phasing_flag FROM r""")
+def d33_phasing_scores(spark, d):
+    k, part = F.col("s_suppkey"), F.col("l_partkey")
+    star = lambda x: F.concat(F.lit("NATION-"), x.cast("string"))
+    options = F.concat_ws(";", F.concat_ws("/", star(k % 25), star(k * 7 % 25)), F.concat_ws("/", star((k + 3) % 25), star(k * 11 % 25)))
+    calls = table(spark, d, "supplier").select(k.cast("string").alias("sample_id"), options.alias("genotype"))
+    name = F.concat(F.when(part % 2 == 0, "r").otherwise("k"), (part % 3).cast("string"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("sample_id"), (F.col("l_orderkey") % 200).alias("frag"), name.alias("name"), (F.col("l_linenumber") <= 2 + F.col("l_suppkey") % 3).alias("alt"))
+    out = E.phasing_scores(R.phasing_modes(rows, ["sample_id"], "frag", "name", "alt"), calls, _stars(spark, d), lead=0.2)
+    return out.select(F.col("sample_id").cast("long").alias("s_suppkey"), *[r6("score").alias("score") if c == "score" else F.col(c) for c in out.columns if c != "sample_id"])
+
+
 _ZONES = ", ".join(f"coalesce(bool_or(bin BETWEEN {a} AND {b} AND n_left + n_right >= 3), false) AS {n}" for n, (a, b) in E.CLIP_ZONES.items())
 
 

@@ -142,3 +142,60 @@ def test_seeds_with_a_large_panel(spark):
     queries = spark.createDataFrame([(k, "".join(r.choices("ab", k=12))) for k in range(20)], "qid int, q string")
     out = [sorted(map(tuple, M.qgram_seeds(queries, "qid", "q", refs, "rid", "ref", 4, 2, panel_grams=n).collect())) for n in (10**6, 2)]
     assert out[0] == out[1] and len(out[0]) > 20
+
+
+# ---- two-sided tests without tables, and fragments against candidates ----
+
+
+def plain_fisher(a, b, c, d):
+    n, row, col = a + b + c + d, a + b, a + c
+    if n == 0:
+        return 1.0
+    p = lambda k: math.comb(row, k) * math.comb(n - row, col - k) / math.comb(n, col)
+    return min(1.0, sum(x for k in range(max(0, row + col - n), min(row, col) + 1) if (x := p(k)) <= p(a) + 1e-12))
+
+
+def test_two_sided():
+    from paraloom.operators.models import two_sided
+
+    r = random.Random(1)
+    rows = [[r.randint(0, 40) for _ in range(4)] for _ in range(1500)] + [[r.choice([0, 1, 300]) for _ in range(4)] for _ in range(60)] + [[0] * 4, [0, 5, 0, 5], [5, 0, 0, 7], [1, 0, 0, 0]]
+    assert two_sided(*np.array(rows).T) == pytest.approx([plain_fisher(*x) for x in rows], abs=1e-11)
+    large = np.array([[500_000, 500_000, 500_000, 500_000], [500_000, 500_600, 500_700, 500_000], [501_500, 500_000, 500_000, 501_500], [10, 10**6, 10**6, 5]] * 50)
+    tracemalloc.start()
+    got = two_sided(*large.T)
+    assert tracemalloc.get_traced_memory()[1] < 5e6  # no table as long as a margin
+    tracemalloc.stop()
+    # against the normal distribution of the same mean and spread, with its correction
+    for x, p in zip(large[:3], got, strict=False):
+        a, b, c, d = map(float, x)
+        n, row, col = a + b + c + d, a + b, a + c
+        spread = math.sqrt(row * col * (n - row) * (n - col) / n / n / (n - 1))
+        assert p == pytest.approx(min(1.0, math.erfc(max(0.0, abs(a - row * col / n) - 0.5) / spread / math.sqrt(2))), abs=2e-3)
+    assert got[3] < 1e-9 and (got[:4] == got[4:8]).all()
+
+
+def test_fisher_nulls(spark):
+    from paraloom.operators import models
+
+    df = spark.createDataFrame([(0, 0, 0, 0), (3, 1, 0, 5), (None, 1, 2, 3)], "a int, b int, c int, d int")
+    got = [(x["p_value"], x["odds_ratio"]) for x in models.fisher_exact(df, "a", "b", "c", "d").orderBy("b", "a").collect()]
+    assert (1.0, None) in got and (None, None) in got and any(p == pytest.approx(plain_fisher(3, 1, 0, 5)) for p, _ in got if p)
+
+
+def test_phasing_scores(spark):
+    from paraloom.operators import evidence as E
+
+    stars = spark.createDataFrame([("*1", []), ("*2", ["x", "y"]), ("*3", ["x"]), ("*4", ["y"]), ("*9", ["z"])], "name string, parts array<string>")
+    modes = [("s", "x:1,y:1", 8), ("s", "x:1,y:0", 1), ("s", "x:0,y:0", 50), ("t", "x:1,y:0", 4), ("t", "x:0,y:1", 5), ("u", "x:0,y:0", 3), ("w", "z:1,y:1", 5)]
+    calls = [("s", "*3/*4;*1/*2"), ("t", "*1/*2;*3x2/*9+*4;*5"), ("u", "*1/*2"), ("v", "*1/*2"), ("w", "*1/*9 ; *4/*9+*4"), ("none", None)]
+    out = E.phasing_scores(spark.createDataFrame(modes, "sample_id string, pattern string, n long"), spark.createDataFrame(calls, "sample_id string, genotype string"), stars)
+    got = {(r["sample_id"], r["candidate"]): tuple(r)[3:] for r in out.collect()}
+    assert got["s", "*1/*2"] == (1, 1, 8, 1, pytest.approx(math.log(8)), True, "Phasing_prefers_*1_*2")
+    assert got["s", "*3/*4"] == (1, 1, 1, 8, pytest.approx(-math.log(8)), False, None)
+    # *9+*4 has y and z, so a read with y alone is of its side though it does not cover z
+    assert got["t", "*3x2/*9+*4"] == (2, 0, 9, 0, 10.0, True, "Phasing_prefers_*3x2_*9+*4") and got["t", "*1/*2"] == (0, 2, 0, 9, -10.0, False, None)
+    assert got["t", "*5"] == (0, 0, 0, 0, 0.0, False, None)
+    assert got["u", "*1/*2"] == (0, 0, 0, 0, 0.0, True, None)
+    assert got["w", "*1/*9"][4] == -10.0 and got["w", "*4/*9+*4"][4:] == (10.0, True, "Phasing_prefers_*4_*9+*4")
+    assert {s for s, _ in got} == {"s", "t", "u", "w"}
