@@ -27,6 +27,8 @@ from paraloom.llm.simhash import forest
 
 COSINE = 0.93
 BLOCK = 1024
+#: Pairs that are computed in full at once.
+EXACT = 1 << 14
 #: What rounding in double precision may add to the bounds.
 SLACK = 1e-9
 
@@ -96,44 +98,56 @@ def dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
         "label", "dim", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "class", "copies", "q", "s", "e"
     )
 
-    def link(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("class")
-        copies, cls = x["copies"].to_numpy(np.int64), x["class"].to_numpy(np.int64)
+    def sides(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Places of the tile's two blocks, and whether they are one."""
         ti, tj = int(x["ti"].iloc[0]), int(x["tj"].iloc[0])
-        a = np.flatnonzero(x["own"].to_numpy() == ti)
-        b = a if ti == tj else np.flatnonzero(x["own"].to_numpy() == tj)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": cls[:0], "b": cls[:0], "links": cls[:0]})
-        q, s, e = np.frombuffer(b"".join(x["q"]), np.int8).reshape(len(x), -1), x["s"].to_numpy(), x["e"].to_numpy()
-        i, j, sure = tile_links((q[a], s[a], e[a]), (q[b], s[b], e[b]), threshold, ti == tj)
-        i, j = a[i], b[j]
-        left_i, left_j, i, j = i[~sure], j[~sure], i[sure], j[sure]
+        first = np.flatnonzero(x["own"].to_numpy() == ti)
+        return first, first if ti == tj else np.flatnonzero(x["own"].to_numpy() == tj), ti == tj
+
+    def told(x: pd.DataFrame, i: np.ndarray, j: np.ndarray, open_: np.ndarray) -> pd.DataFrame:
+        """What a tile tells: a spanning forest of its links (a, b), links of each class (a), and classes (a) of block b with pairs that are still open."""
+        cls, copies = x["class"].to_numpy(np.int64), x["copies"].to_numpy(np.int64)
         links = np.zeros(len(x), dtype=np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         edges = np.array(forest(len(x), i, j), dtype=np.int64).reshape(-1, 2)
         some = np.flatnonzero(links)
-        return pd.DataFrame({
-            "a": np.concatenate([cls[edges[:, 0]], cls[some], cls[left_i]]), "b": np.concatenate([cls[edges[:, 1]], np.full(len(some), -1), cls[left_j]]),
-            "links": np.concatenate([np.zeros(len(edges), np.int64), links[some], np.full(len(left_i), -1)]),
-        })
-
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            for k in range(0, len(x), 1 << 14):
-                part = x.iloc[k : k + (1 << 14)]
-                # all pairs of one length at once
-                for _, same in part.groupby(part["va"].map(len)):
-                    over = cosines(np.array(same["va"].tolist(), dtype=np.float64), np.array(same["vb"].tolist(), dtype=np.float64)) >= threshold
-                    yield same.loc[over, ["a", "b", "ca", "cb"]]
-
-    found = cut(tiles.groupBy("label", "dim", "ti", "tj").applyInPandas(link, "a long, b long, links long"))
-    of = lambda side: classes.select(F.col("class").alias(side), F.col("v").alias(f"v{side}"), F.col("copies").alias(f"c{side}"))
-    between = found.where("links = -1").select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    settled = cut(between.mapInPandas(settle, "a long, b long, ca long, cb long"))
-    more = settled.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("cb").alias("links")), F.struct(F.col("b").alias("class"), F.col("ca").alias("links")))).alias("x")).select("x.*")
-    links = found.where("b < 0").select(F.col("a").alias("class"), "links").unionByName(more).groupBy("class").agg(F.sum("links").alias("other_links"))
-    groups = components(found.where("b >= 0 and links = 0").select("a", "b").unionByName(settled.select("a", "b")))
+        columns = {
+            "a": [cls[edges[:, 0]], cls[some], cls[open_]], "b": [cls[edges[:, 1]], np.full(len(some), -1), x["own"].to_numpy(np.int64)[open_]],
+            "links": [np.zeros(len(edges), np.int64), links[some], np.full(len(open_), -1)],
+        }
+        key = {k: [x[k].iloc[0]] * (len(edges) + len(some) + len(open_)) for k in tile}
+        return pd.DataFrame(key | {k: np.concatenate(v) for k, v in columns.items()})
+
+    def link(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("class")
+        left, right, same = sides(x)
+        q, s, e = np.frombuffer(b"".join(x["q"]), np.int8).reshape(len(x), -1), x["s"].to_numpy(), x["e"].to_numpy()
+        i, j, sure = tile_links((q[left], s[left], e[left]), (q[right], s[right], e[right]), threshold, same)
+        i, j = left[i], right[j]
+        return told(x, i[sure], j[sure], np.union1d(i[~sure], j[~sure]))
+
+    def settle(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("class")
+        left, right, same = sides(x)
+        v = np.array(x["v"].tolist(), dtype=np.float64)
+        q, s, e = quantise(unit(v))
+        i, j, sure = tile_links((q[left], s[left], e[left]), (q[right], s[right], e[right]), threshold, same)
+        i, j = left[i[~sure]], right[j[~sure]]  # the others are told
+        over = [cosines(v[i[k : k + EXACT]], v[j[k : k + EXACT]]) >= threshold for k in range(0, len(i), EXACT)]
+        over = np.concatenate([np.zeros(0, dtype=bool), *over])
+        return told(x, i[over], j[over], np.zeros(0, dtype=np.int64))
+
+    tile = ["label", "dim", "ti", "tj"]
+    schema = f"label {label_type}, dim int, ti long, tj long, a long, b long, links long"
+    found = cut(tiles.groupBy(*tile).applyInPandas(link, schema))
+    # the full vectors of a tile's open classes meet once; pairs never leave their tile
+    open_ = found.where("links = -1").select(*tile, F.col("a").alias("class"), F.col("b").alias("own")).join(classes.select("class", "copies", "v"), "class")
+    settled = cut(open_.groupBy(*tile).applyInPandas(settle, schema))
+    told_all = found.where("links >= 0").unionByName(settled)
+    links = told_all.where("b < 0").select(F.col("a").alias("class"), "links").groupBy("class").agg(F.sum("links").alias("other_links"))
+    edges = told_all.where("b >= 0").select("a", "b")
+    groups = components(edges)
     named = classes.select("class", "first", "copies", "label", "v").join(groups, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("component", "class"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     named = named.join(least, "group").join(links, "class", "left")
