@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import ascii_lower, cut, read_table
+from paraloom.llm.common import ascii_lower, cut, read_table, small
 
 #: (rule, verdict): a rule is a host, which stands for its subdomains too, and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -25,6 +25,8 @@ LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.
 Z, BLOCK_RATE = 1.645, 0.5
 #: Prior strengths are kept within these, in outcomes.
 STRENGTH = (1.0, 1000.0)
+#: Suffixes that are broadcast with their rates at most; more are joined by shuffle.
+BROADCAST_SUFFIXES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -53,9 +55,9 @@ def domain_of(host: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, or nulls; of equal rules the first by name."""
+    """(rule, verdict) of the longest rule that fits, or nulls; of rules of one length that both fit (a.org/ and org/ab) the last by name."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, says in sorted(rules, key=lambda r: (len(r[0]), r[0]), reverse=False):
+    for text, says in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         at, start = text.partition("/")[0].lower(), text[len(text.partition("/")[0]) :]
         fits = ((host == at) | F.endswith(host, F.lit(f".{at}"))) & F.startswith(path, F.lit(start))
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
@@ -79,7 +81,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     by_suffix = _level(suffixes.withColumn("prior_mean", F.lit(bad / n if n else 0.0)), "suffix", None)
-    by_domain = _level(domains.join(by_suffix.select("suffix", F.col("mean").alias("prior_mean")), "suffix"), "domain", "suffix")
+    by_domain = _level(domains.join(small(cut(by_suffix.select("suffix", F.col("mean").alias("prior_mean"))), BROADCAST_SUFFIXES), "suffix"), "domain", "suffix")
     by_host = _level(named.join(by_domain.select("domain", "suffix", F.col("mean").alias("prior_mean")), ["domain", "suffix"]), "host", None)
     low = F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
     return by_host.select("host", "n", "bad", "mean", "strength", low.alias("low"))
