@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraloom.llm.common import cut, let_go, numbered, read_table, renamed, small
@@ -39,6 +39,8 @@ NEAR_WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 20, 3
 #: Candidates that are checked against each other at once (larger groups go by pairs of parts), and members of a centre that one task checks.
 PART, DEAL = 4096, 1024
+#: Bytes of the sets of a part at most, about; a tile has two parts.
+PART_BYTES = 8 << 20
 #: Texts of candidates that are looked up by broadcast at most.
 BROADCAST_IDS = 1_000_000
 _A = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -288,7 +290,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, deal: int = DEAL) -> DataFrame
     return left.groupBy("centre", "part").cogroup(right.groupBy("hub", "deal")).applyInPandas(check, "x long, y long")
 
 
-def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, broadcast_ids: int = BROADCAST_IDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(a, b): fingerprints of texts whose shingle sets are equal or similar; marked has the rows of sketches."""
     held = marked.where(F.col("sid").isNotNull())
     of_set = cut(held.groupBy("sid").agg(F.min("fp").alias("least"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
@@ -309,8 +311,12 @@ def near_edges(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_
     members = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"m{k}") for k in (1, 2)]
     open_ = grouped.groupBy("band", "key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n"), *members).where("g1 <> g2")
     # groups with the same members in several bands are checked once
-    open_ = open_.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*").select("*", twice)
-    parts = F.ceil(F.col("n") / part)
+    open_ = cut(open_.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.*").select("*", twice))
+    # a tile is bounded by its rows and by the bytes of their sets
+    weights = sets.select("sid", F.length("found").cast("long").alias("bytes"))
+    heavy = grouped.join(open_, ["band", "key", "key2"]).select("band", "key", "sid").join(weights, "sid").groupBy("band", "key").agg(F.sum("bytes").alias("bytes"))
+    open_ = open_.join(heavy, ["band", "key"])
+    parts = F.ceil(F.greatest(F.col("n") / part, F.col("bytes") / part_bytes))
     mine = F.pmod(F.xxhash64(F.lit(5), "sid"), parts)
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
     rows = grouped.join(open_, ["band", "key", "key2"]).select("sid", "band", "key", "group", F.explode(tiles).alias("t")).select("sid", "band", "key", "group", "t.*").join(sets, "sid")
@@ -343,7 +349,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of rows that repeat a doc_id one stays, the first by its columns; rows without doc_id stay.
+    """One document of each group: the one with the smallest doc_id; of rows that repeat a doc_id one stays, the first by text, lang, source, n_chars and
+    then its other columns in order (maps aside); rows without doc_id stay.
 
     The ids that go are looked up by broadcast while they are few, so that texts stay where they are.
     """
@@ -355,6 +362,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int
     whole = renamed(rows.where("id is null"), names)
     if odd.where("repeated").isEmpty():
         return whole
-    once = Window.partitionBy("own").orderBy(*[f"c{names.index(c)}" for c in ("text", "lang", "source", "n_chars") if c in names])
-    first = rows.where("repeated").withColumn("k", F.row_number().over(once)).where("k = 1")
+    lead = [f"c{names.index(c)}" for c in ("text", "lang", "source", "n_chars") if c in names]
+    kinds = dict(rows.dtypes)
+    order = lead + [c for c in (f"c{k}" for k in range(len(names))) if c not in lead and not any(x in kinds[c] for x in ("map<", "variant", "interval"))]
+    # an aggregation, so that each task passes one row of an id on
+    least = rows.where("repeated").groupBy("own").agg(F.min_by(F.struct(*[f"c{k}" for k in range(len(names))]), F.struct(*order)).alias("row"))
+    first = least.select("row.*")
     return whole.unionByName(renamed(first, names))
