@@ -156,7 +156,7 @@ def test_simhash_splits_a_large_group(spark):
 
 @pytest.mark.parametrize("part", [3, 4096])
 def test_simhash_stage_takes_five_words_and_four_fifths(spark, part, monkeypatch):
-    monkeypatch.setattr(simhash.near_edges, "__defaults__", ("doc_id", "text", part, 0 if part == 3 else 10))
+    monkeypatch.setattr(simhash.near_edges, "__defaults__", ("doc_id", "text", part, 0 if part == 3 else 10, 2000 if part == 3 else simhash.PART_BYTES))
     monkeypatch.setattr(simhash.star_links, "__defaults__", (2 if part == 3 else 1024,))
     r, rows = random.Random(8), []
     words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(4000)]
@@ -278,6 +278,26 @@ def test_reputation_blocks_bad_hosts(spark):
     assert ("bad.good.net", "block") in verdicts and {v for h, v in verdicts if h != "bad.good.net"} == {"allow"}
 
 
+def test_rules_of_one_length(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a.org", "/ab1"), ("b.org", "/ab"), ("x.a.org", "/c")], "host string, path string")
+    rule, verdict = url_filter.longest_rule(F.col("host"), F.col("path"), (("a.org/", "allow"), ("org/ab", "block")))
+    assert [tuple(r) for r in df.select(rule, verdict).collect()] == [("org/ab", "block"), ("org/ab", "block"), ("a.org/", "allow")]
+
+
+def test_links_at_the_threshold(spark):
+    # cosines of exactly 0.6 in double precision link at 0.6, in every tile, and no pair leaves its tile
+    rows = [(k, [3.0, 4.0, 0.0] if k % 2 else [5.0, 0.0, 0.0], 0) for k in range(6)] + [(10 + k, [3.0, 4.0, float(k + 1)], 0) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    links = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and cos(rows[a][1], rows[b][1]) >= 0.6]
+    root = unions(len(rows), links)
+    for block in (2, 1024):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(df, threshold=0.6, block=block).collect()}
+        assert got == {rows[k][0]: (sum(a == k for a, _ in links), rows[root[k]][0]) for k in range(len(rows))}
+
+
 # ---- mixing ----
 
 
