@@ -1,7 +1,12 @@
-"""Approximate text search: semi-global distance and local mapping; Arrow batches to numpy-free bit-parallel Python."""
+"""Approximate text search: semi-global distance and local mapping, bit-parallel (Myers, 1999).
+
+Rows of similar text length go side by side: the bits of all their patterns are arrays of 64-bit words with carries between them, and one step takes the next character
+of every text. Few rows, and those left over, are searched one by one with Python's long integers.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +42,92 @@ def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+#: Rows that are worth going side by side, and cells of their tables of characters and of patterns at most.
+ROWS, CELLS = 48, 1 << 22
+
+
+def _side_by_side(patterns: list[str], texts: list[str], most: int) -> list[tuple[int, int] | None]:
+    """best_end of rows with patterns that are not empty, all at once; the longest texts come first."""
+    n = len(patterns)
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    size, length = np.array([len(p) for p in patterns]), np.array([len(t) for t in texts])
+    words = -(-int(size.max()) // 64)
+    flat, row = np.concatenate([codes(p) for p in patterns]), np.repeat(np.arange(n), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    letters, letter = np.unique(flat, return_inverse=True)
+    equal = np.zeros((len(letters) + 1, n, words), dtype=np.uint64)  # the last letter stands for those of no pattern
+    np.bitwise_or.at(equal, (letter, row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    table = np.full((int(length.max()), n), len(letters), dtype=np.int32)
+    for k, t in enumerate(texts):
+        own = codes(t)
+        at = np.searchsorted(letters, own)
+        at[at == len(letters)] = 0
+        table[: len(own), k] = np.where(letters[at] == own, at, len(letters))
+    bits = np.clip(size[:, None] - 64 * np.arange(words), 0, 64).astype(np.uint64)
+    ones = ~np.uint64(0)
+    mask = np.where(bits == 64, ones, (np.uint64(1) << (bits & np.uint64(63))) - np.uint64(1))
+    last, top = (size - 1) >> 6, np.uint64(1) << ((size - 1) & 63).astype(np.uint64)
+    up, down, score = mask.copy(), np.zeros_like(mask), size.copy()
+    best, end, one, high = np.full(n, most + 1), np.zeros(n, dtype=np.int64), np.uint64(1), np.uint64(63)
+    every = np.arange(n)
+
+    def moved(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out = x << one
+        out[:, 1:] |= x[:, :-1] >> high
+        return out & m
+
+    active = n
+    for step in range(int(length.max())):
+        while active and length[active - 1] <= step:
+            active -= 1
+        some = slice(0, active)
+        eq, u, d, m = equal[table[step, some], every[some]], up[some], down[some], mask[some]
+        both, carry = eq & u, np.zeros(active, dtype=np.uint64)
+        total = np.empty_like(u)
+        for w in range(words):
+            part = both[:, w] + u[:, w]
+            total[:, w] = part + carry
+            carry = ((part < u[:, w]) | (total[:, w] < part)).astype(np.uint64)
+        diagonal = ((total ^ u) | eq | d) & m
+        right_up, right_down = (d | ~(diagonal | u)) & m, u & diagonal
+        rows = every[some]
+        gain, loss = right_up[rows, last[some]] & top[some], right_down[rows, last[some]] & top[some]
+        score[some] += (gain != 0).astype(np.int64) - (loss != 0)
+        right_up, right_down = moved(right_up, m), moved(right_down, m)
+        up[some], down[some] = (right_down | ~(diagonal | right_up)) & m, right_up & diagonal
+        better = score[some] < best[some]
+        best[some] = np.where(better, score[some], best[some])
+        end[some] = np.where(better, step + 1, end[some])
+    return [(int(b), int(e)) if b <= most else None for b, e in zip(best, end, strict=True)]
+
+
+def best_ends(patterns: list[str], texts: list[str], most: int) -> list[tuple[int, int] | None]:
+    """best_end of each row."""
+    out: list[tuple[int, int] | None] = [None] * len(patterns)
+    order = sorted((k for k in range(len(patterns)) if patterns[k]), key=lambda k: -len(texts[k]))
+    for k in range(len(patterns)):
+        if not patterns[k]:
+            out[k] = (0, 0)
+    at = 0
+    while at < len(order):
+        longest, most_words, stop = max(1, len(texts[order[at]])), 1, at
+        while stop < len(order) and 2 * len(texts[order[stop]]) >= longest:
+            most_words = max(most_words, -(-len(patterns[order[stop]]) // 64))
+            if stop - at >= ROWS and (stop - at + 1) * max(longest, 64 * most_words) > CELLS:
+                break
+            stop += 1
+        stop = max(stop, at + 1)
+        some = order[at:stop]
+        if len(some) >= ROWS:
+            found = _side_by_side([patterns[k] for k in some], [texts[k] for k in some], most)
+        else:
+            found = [best_end(patterns[k], texts[k], most) for k in some]
+        for k, x in zip(some, found, strict=True):
+            out[k] = x
+        at = stop
+    return out
+
+
 _FOUND = StructType([StructField("distance", IntegerType()), StructField("end", IntegerType())])
 
 
@@ -45,7 +136,10 @@ def semi_global(pattern, text, most: int):
 
     @F.pandas_udf(_FOUND)
     def search(p: pd.Series, t: pd.Series) -> pd.DataFrame:
-        found = [best_end(a, b, most) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(p, t, strict=True)]
+        whole = [k for k, (a, b) in enumerate(zip(p, t, strict=True)) if isinstance(a, str) and isinstance(b, str)]
+        found: list[tuple[int, int] | None] = [None] * len(p)
+        for k, x in zip(whole, best_ends([p.iloc[k] for k in whole], [t.iloc[k] for k in whole], most), strict=True):
+            found[k] = x
         return pd.DataFrame({"distance": pd.array([x and x[0] for x in found], "Int32"), "end": pd.array([x and x[1] for x in found], "Int32")})
 
     return search(pattern, text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.functions.scalar import alt_count, geometric_mean, ref_count, without_copies
+from paraloom.functions.scalar import geometric_mean, without_copies
 
 # Tag, expected copies in all, up to exon 9, from there to intron 1, and upstream of intron 1.
 TAG_COPIES = (
@@ -337,11 +337,6 @@ def hemizygous(sites: DataFrame, keys: list[str], ratio: str, least: int = 20, m
     return counted.withColumn("hemizygous", (F.col("n_sites") >= least) & (F.col("n_het") <= most_het))
 
 
-def depth_signals(ratios: DataFrame, ratio: str) -> DataFrame:
-    """ratios with `signal`: a gain or loss of one copy of two."""
-    return ratios.withColumn("signal", F.when((F.col(ratio) >= 1.25) & (F.col(ratio) < 1.75), "gain").when((F.col(ratio) >= 0.40) & (F.col(ratio) < 0.80), "loss").otherwise("none"))
-
-
 def confidence(parts: dict[str, Column]) -> Column:
     return geometric_mean(list(parts.values()), [WEIGHTS[k] for k in parts])
 
@@ -393,12 +388,6 @@ def variant_scores(calls: DataFrame, counts: DataFrame, stars: DataFrame, keys:
     return met.select(*keys, F.when(F.col("genotype").isNull(), 0.1).when(none, 1.0).otherwise(F.col("__c")).alias("completeness"), F.when(F.col("genotype").isNull() | none, 1.0).otherwise(F.coalesce("__p", F.lit(1.0))).alias("specificity"))
 
 
-def variant_support(counts: Column) -> Column:
-    """Alternative share of a `alt(fwd:rev),ref` measurement."""
-    a, r = alt_count(counts), ref_count(counts)
-    return F.try_divide(a.cast("double"), a + r)
-
-
 def activity_score(alleles: DataFrame, keys: list[str], function: DataFrame) -> DataFrame:
     """(keys, score): the sum of a call's allele activities from a table (haplotype, activity); null if one is missing or `n/a`."""
     met = alleles.join(function.select(F.col("haplotype").alias("allele"), F.expr("try_cast(activity as double)").alias("__a")), "allele", "left")

@@ -11,7 +11,7 @@ from pyspark.sql.column import Column
 from paraloom.functions.scalar import allele_state, fraction, log10_base, main_allele, parse_variant, sort_pair, without_copies
 from paraloom.operators import intervals as I
 from paraloom.operators import segment as G
-from paraloom.operators.calls import conversion_map
+from paraloom.operators.calls import balance_deviation, conversion_map, mismatch_share
 from paraloom.operators.match import nearest
 from paraloom.operators.reads import phase_winner
 from paraloom.operators.sides import small
@@ -71,14 +71,11 @@ def consistency_flags(calls: DataFrame, sites: DataFrame, counts: DataFrame, sta
     switch = conversion_map(ratios, keys, "idx", "ratio").select(*keys, "chimeric")
     defining = defining_variants(F.col("genotype"), stars, calls, keys)
     seen = defining.join(counts, [*keys, "name"]).withColumn("depth", F.col("alt") + F.col("ref")).withColumn("vaf", F.try_divide(F.col("alt").cast("double"), F.col("alt") + F.col("ref")))
-    deep = F.col("depth") >= 5
-    rate = F.try_divide(F.count_if(deep & (F.col("vaf") < 0.05)).cast("double"), F.count_if(deep))
-    mismatch = seen.groupBy(*keys).agg(rate.alias("rate"))
+    mismatch = mismatch_share(seen, keys, "alt", "ref").select(*keys, F.col("share").alias("rate"))
     # variants of exactly one of two sides
-    one_side = seen.groupBy(*keys, "name").agg(F.count_distinct("hap").alias("sides"), F.first("depth").alias("depth"), F.first("vaf").alias("vaf"))
-    het = (F.col("sides") == 1) & (F.col("depth") >= 10) & (F.col("vaf") > 0.05) & (F.col("vaf") < 0.95)
-    off = F.when(het, F.abs(F.col("vaf") - 0.5))
-    balance = one_side.groupBy(*keys).agg(F.when(F.count(off) >= 2, F.avg(off)).alias("deviation"))
+    one_side = seen.groupBy(*keys, "name").agg(F.count_distinct("hap").alias("sides"), *[F.first(c).alias(c) for c in ("depth", "vaf", "alt", "ref")])
+    het = one_side.where((F.col("sides") == 1) & (F.col("depth") >= 10) & (F.col("vaf") > 0.05) & (F.col("vaf") < 0.95))
+    balance = balance_deviation(het, keys, "alt", "ref")
     met = calls.join(switch, keys, "left").join(mismatch, keys, "left").join(balance, keys, "left")
     percent = lambda x: F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("pct"))
     plain = (F.col("tag") == "cn2") & (F.col("total_cn") == 4) & (F.size(F.split("genotype", "/")) == 2)

@@ -390,12 +390,13 @@ def d36_pair_sort(spark, d):
     return table(spark, d, "part").select("p_partkey", S.sort_pair(F.concat_ws("/", star(F.col("p_size") % 41), star(F.col("p_partkey") % 23))).alias("genotype"))
 
 
-@query("""SELECT l_orderkey, count(*) FILTER (WHERE l_quantity >= 5) AS n_sites, round(count(*) FILTER (WHERE l_quantity >= 5 AND l_discount * 100 < 0.05 * l_quantity) / nullif(count(*) FILTER (WHERE l_quantity >= 5), 0)::DOUBLE, 6) + 0.0 AS share FROM lineitem GROUP BY 1""")
+@query("""WITH v AS (SELECT l_orderkey, l_discount * 100 AS alt, l_quantity - l_discount * 100 AS ref FROM lineitem)
+SELECT l_orderkey, count(*) FILTER (WHERE alt + ref >= 5) AS n_sites,
+  round(count(*) FILTER (WHERE alt + ref >= 5 AND alt < 0.05 * (alt + ref)) / nullif(count(*) FILTER (WHERE alt + ref >= 5), 0)::DOUBLE, 6) + 0.0 AS share FROM v GROUP BY 1""")
 def d28_mismatch(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") * 100).alias("alt"), (F.col("l_quantity") - F.col("l_discount") * 100).alias("ref"), "l_quantity")
-    rows = rows.withColumn("ref", F.col("l_quantity") - F.col("alt"))
-    deep = F.col("l_quantity") >= 5
-    out = rows.groupBy("l_orderkey").agg(F.count_if(deep).alias("n_sites"), F.try_divide(F.count_if(deep & (F.col("alt") < 0.05 * F.col("l_quantity"))).cast("double"), F.count_if(deep)).alias("share"))
+    alt = F.col("l_discount") * 100
+    rows = table(spark, d, "lineitem").select("l_orderkey", alt.alias("alt"), (F.col("l_quantity") - alt).alias("ref"))
+    out = C.mismatch_share(rows, ["l_orderkey"], "alt", "ref")
     return out.select("l_orderkey", "n_sites", r6("share").alias("share"))
 
 

@@ -15,6 +15,7 @@ from paraloom.operators import haplotypes as H
 from paraloom.operators import intervals as I
 from paraloom.operators import match as M
 from paraloom.operators import reads as R
+from paraloom.operators import site_index as X
 from paraloom.operators.sides import small
 from paraloom.plans import genotype as G
 from paraloom.plans.base_queries import r6, table
@@ -122,6 +123,22 @@ def p1_primary_counts(spark, d):
     return I.region_read_counts(lineitem_reads(spark, d), regions, ["sample_id"], 64)
 
 
+@query("WITH " + _hits("mapq >= 10", "SELECT idx, chrom, unnest([pos1, pos2]) AS pos, a1, a2 FROM s") + _COUNTED)
+def s3_site_index(spark, d):
+    # what a run calls: sites in one sorted array, reads find theirs by binary search
+    observed = X.observe(lineitem_reads(spark, d), X.site_rows(nation_sites(spark, d), "nation"))
+    return I.supporting_counts(I.allele_reads(X.at_sites(observed, "nation", (1, 2), 10), ["sample_id"]), ["sample_id"])
+
+
+_STRETCHES = [("A", 100, 140), ("N", 0, 30), ("R", 1900, 5000), ("N", 700, 701)]
+
+
+@query(f"""WITH {_READS}, e AS (SELECT *, pos + CASE c WHEN 0 THEN 12 WHEN 1 THEN 13 ELSE 10 END AS end_pos FROM r)
+SELECT sample_id, qname, chrom, pos, end_pos FROM e WHERE {" OR ".join(f"(chrom = '{c}' AND pos < {b} AND end_pos > {a})" for c, a, b in _STRETCHES)}""")
+def s2_fetch(spark, d):
+    return X.overlapping_reads(lineitem_reads(spark, d), _STRETCHES).select("sample_id", "qname", "chrom", "pos", "end_pos")
+
+
 @query("WITH " + _hits("mapq >= 10") + _COUNTED)
 def p2_pileup(spark, d):
     return _counted(spark, d, 10, width=64)
@@ -474,6 +491,38 @@ def d33_phasing_scores(spark, d):
     return out.select(F.col("sample_id").cast("long").alias("s_suppkey"), *[r6("score").alias("score") if c == "score" else F.col(c) for c in out.columns if c != "sample_id"])
 
 
+_MARK = "g.42130692G>A"
+
+
+@query(f"""WITH i AS (SELECT n_nationkey AS ord, '*' || n_nationkey AS name, CASE n_nationkey % 3 WHEN 0 THEN ['r' || n_regionkey] WHEN 1 THEN ['r' || n_regionkey, 'k' || (n_nationkey % 7)]
+  ELSE ['k' || (n_nationkey % 7), '{_MARK}'] END AS parts FROM nation),
+all_pairs AS (SELECT 'pair' AS t, list_concat(a.parts, b.parts) AS p, [a.name, b.name] AS n FROM i a JOIN i b ON a.ord <= b.ord
+  UNION ALL SELECT 'triple_pair', list_concat(a.parts, list_concat(b.parts, b.parts)), [a.name, b.name, b.name] FROM i a, i b),
+d AS (SELECT t, array_to_string(list_sort(p), '_') AS key, list_sort(list(DISTINCT array_to_string(list_sort(n), '_'))) AS c FROM all_pairs GROUP BY 1, 2),
+o AS (SELECT l_orderkey AS id, ['cn2', 'cn3', 'star68', 'star68_star68'][1 + l_orderkey % 4] AS tag, l_orderkey % 4 AS q,
+  list_sort(list(CASE l_partkey % 3 WHEN 0 THEN 'r' || (l_partkey % 5) WHEN 1 THEN 'k' || (l_partkey % 7) ELSE '{_MARK}' END)) AS names FROM lineitem WHERE l_linenumber <= 2 + l_orderkey % 2 GROUP BY 1),
+h AS (SELECT *, len(list_filter(names, lambda x: x = '{_MARK}')) AS have, list_filter(names, lambda x: x <> '{_MARK}') AS rest FROM o),
+x AS (SELECT id, q, 'drop' AS kind, k, list_sort(list_concat(rest, list_transform(range(0, have - k), lambda z: '{_MARK}'))) AS trial FROM (SELECT *, unnest(range(0, least(greatest(q - 1, 0), have) + 1)) AS k FROM h)
+  UNION ALL SELECT id, q, 'add', 0, list_sort(list_append(names, v)) FROM (SELECT id, q, names, unnest(list_distinct(names)) AS v FROM h WHERE q = 1) WHERE len(list_filter(names, lambda x: x = v)) = 1),
+m AS (SELECT x.*, coalesce(d.c, []) AS c FROM x LEFT JOIN d ON d.t = CASE WHEN q = 1 THEN 'triple_pair' ELSE 'pair' END AND d.key = array_to_string(trial, '_')),
+g AS (SELECT id, count(*) FILTER (WHERE kind = 'drop') AS n, coalesce(any_value(c) FILTER (WHERE kind = 'drop' AND k = 0), []) AS plain,
+  coalesce(flatten(list(c ORDER BY k) FILTER (WHERE kind = 'drop' AND len(c) > 0)), []) AS haps, coalesce(list(c) FILTER (WHERE kind = 'add' AND len(c) = 1), []) AS added FROM m GROUP BY 1),
+z AS (SELECT *, CASE WHEN n > 1 THEN haps WHEN len(plain) = 0 AND len(added) = 1 THEN added[1] ELSE plain END AS c FROM g)
+SELECT id AS l_orderkey, tag, CASE WHEN len(c) = 0 THEN 'no_match' WHEN n > 1 THEN CASE WHEN len(list_distinct(c)) = 1 THEN 'unique_match' ELSE 'pick_common_allele' END WHEN len(c) = 1 THEN 'unique_match' ELSE 'more_than_one_match' END AS call_info,
+  array_to_string(c, ';') AS candidates, array_to_string(CASE WHEN n > 1 AND len(c) > 0 THEN [c[len(c)]] ELSE c END, ';') AS star_call FROM z JOIN o USING (id)""")
+def d18_trials(spark, d):
+    n, part, order = F.col("n_nationkey"), F.col("l_partkey"), F.col("l_orderkey")
+    r, k = F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.concat(F.lit("k"), (n % 7).cast("string"))
+    parts = F.when(n % 3 == 0, F.array(r)).when(n % 3 == 1, F.array(r, k)).otherwise(F.array(k, F.lit(_MARK)))
+    stars = table(spark, d, "nation").select(n.alias("ord"), F.concat(F.lit("*"), n.cast("string")).alias("name"), parts.alias("parts"))
+    name = F.when(part % 3 == 0, F.concat(F.lit("r"), (part % 5).cast("string"))).when(part % 3 == 1, F.concat(F.lit("k"), (part % 7).cast("string"))).otherwise(_MARK)
+    names = table(spark, d, "lineitem").where(F.col("l_linenumber") <= 2 + order % 2).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(name)).alias("names"))
+    tag = F.get(F.array(*map(F.lit, ("cn2", "cn3", "star68", "star68_star68"))), (order % 4).cast("int"))
+    observed = names.select(order.cast("string").alias("sample_id"), tag.alias("tag"), "names")
+    out = G.match_stars(observed, G.dictionaries(stars), stars, G.Options())
+    return out.select(F.col("sample_id").cast("long").alias("l_orderkey"), "tag", "call_info", F.coalesce(F.array_join("candidates", ";"), F.lit("")).alias("candidates"), F.array_join("star_call", ";").alias("star_call"))
+
+
 _ZONES = ", ".join(f"coalesce(bool_or(bin BETWEEN {a} AND {b} AND n_left + n_right >= 3), false) AS {n}" for n, (a, b) in E.CLIP_ZONES.items())
 
 

@@ -121,11 +121,6 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(READS).parquet(path)
 
 
-def fetch(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """Reads that overlap [start, end); the bounds reach the Parquet scan."""
-    return reads.where((F.col("chrom") == chrom) & (F.col("pos") < end) & (F.col("end_pos") > start))
-
-
 def read_length(reads: DataFrame, regions: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """(sample_id, read_length): the median over the first reads of each sample (of samples, else of those that have reads).
 
