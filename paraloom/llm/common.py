@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -76,6 +77,14 @@ def let_go() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the machine at the end of a task, where the C library can; workers outlive their stages."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has so few rows; df must be cheap to count."""
     return F.broadcast(df) if df.count() <= most else df

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from paraloom.llm.common import kept, numbered, read_table
+from paraloom.llm.common import kept, numbered, read_table, trim
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
@@ -255,6 +255,7 @@ def predict(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "te
                 parts["label_share"] = pa.array(shares, pa.float64())
             language = pa.StructArray.from_arrays(list(parts.values()), list(parts))
             yield pa.RecordBatch.from_arrays([*batch.columns[first:], language], names=[*batch.schema.names[first:], "found"])
+        trim()
 
     others = [c for c in docs.columns if c != out]
     lead = [text_col] if label_col is None else [text_col, label_col]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, read_table
+from paraloom.llm.common import cut, read_table, trim
 from paraloom.llm.tokens import END_ID, crc_of, encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -116,6 +116,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         for column, value in zip(columns, (doc, n, start, len(part), crc_of(part), part.tobytes() if with_ids else None), strict=False):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(pieces, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraloom.llm.common import cut, let_go, numbered, read_table, renamed, small
+from paraloom.llm.common import cut, let_go, numbered, read_table, renamed, small, trim
 from paraloom.llm.components import components
 
 SHINGLE, DISTANCE, SEGMENTS = 3, 2, 5
@@ -225,6 +225,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                     keys.append(band_keys(found) if len(found) else [])
                 columns = [part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sid", "keys"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(compute, "doc_id long, fp long, sid long, keys array<long>")
 
@@ -269,6 +270,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             for first in range(0, batch.num_rows, 1024):
                 found = [shingle_set(x.as_py()) for x in batch.column(0).slice(first, 1024)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "found"])
+        trim()
 
     return texts.mapInArrow(compute, "sid long, found binary").where(F.col("sid").isNotNull()).dropDuplicates(["sid"])
 
