@@ -296,7 +296,7 @@ n AS (SELECT sample_id, count(*) FILTER (WHERE substr(pattern, 1, 1) = '1' AND s
 z AS (SELECT sample_id, cn, {conversion_sql(0.8)} AS c, coalesce(s, 0) >= 2 AS s, coalesce(g, 0) >= 2 AS g FROM k JOIN c USING (sample_id) LEFT JOIN n USING (sample_id))
 SELECT sample_id, CASE WHEN c < cn - 2 AND s THEN cn - 2 - c ELSE 0 END::INT AS copies, coalesce(c < cn - 2 AND s AND g, false) AS cis_938 FROM z""")
 def d10_switch_938(spark, d):
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.pmod(F.round("s_acctbal").cast("long"), F.lit(30)).alias("n1"), (F.col("s_suppkey") % 40).alias("n2"), (2 + F.col("s_suppkey") % 5).cast("int").alias("total_cn"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.pmod(F.rint("s_acctbal").cast("long"), F.lit(30)).alias("n1"), (F.col("s_suppkey") % 40).alias("n2"), (2 + F.col("s_suppkey") % 5).cast("int").alias("total_cn"))
     out = H.call_938(rows.select("sample_id", "n1", "n2"), rows.select("sample_id", "total_cn"), _patterns(spark, d))
     return out.select("sample_id", F.col("copies").cast("int").alias("copies"), "cis_938")
 

@@ -51,3 +51,16 @@ def test_no_column_of_an_answer_is_constant(spark):
         rows = answer.fetchall()
         found += [(name, c) for k, c in enumerate(answer.columns) if len(rows) > 1 and len({str(r[k]) for r in rows}) == 1]
     assert found == []
+
+
+def test_halves_round_to_even_as_in_sql(spark, tmp_path):
+    """Balances of n + 0.5 decide a copy number at some keys; SQL's cast takes the even neighbour."""
+    db = duckdb.connect()
+    db.execute("CREATE VIEW supplier AS SELECT i AS s_suppkey, (i // 40 - 30) + 0.5 AS s_acctbal FROM range(2400) t(i)")
+    db.execute("CREATE VIEW lineitem AS SELECT i % 2400 AS l_suppkey, 1.0 AS l_tax, 1.0 AS l_discount, 30.0 AS l_quantity, 'A' AS l_returnflag, 'F' AS l_linestatus FROM range(4800) t(i)")
+    for name in ("supplier", "lineitem"):
+        db.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    want = db.sql(catalog.ORACLES["d10_switch_938"])
+    got = catalog.QUERIES["d10_switch_938"](spark, str(tmp_path)).collect()
+    assert plain(tuple(r[c] for c in want.columns) for r in got) == plain(want.fetchall())
+    assert len({r["copies"] for r in got}) > 2
