@@ -44,6 +44,8 @@ def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 #: Rows that are worth going side by side, and cells of their tables of characters and of patterns at most.
 ROWS, CELLS = 48, 1 << 22
+#: Characters of queries in a task of local mapping, and of references that go to every task; a row counts for QUERY_CHARS more.
+TASK_CHARS, FEW_CHARS, QUERY_CHARS = 1 << 18, 1 << 20, 64
 
 
 def _side_by_side(patterns: list[str], texts: list[str], most: int) -> list[tuple[int, int] | None]:
@@ -138,23 +140,37 @@ def semi_global(pattern, text, most: int):
     def search(p: pd.Series, t: pd.Series) -> pd.DataFrame:
         whole = [k for k, (a, b) in enumerate(zip(p, t, strict=True)) if isinstance(a, str) and isinstance(b, str)]
         found: list[tuple[int, int] | None] = [None] * len(p)
-        for k, x in zip(whole, best_ends([p.iloc[k] for k in whole], [t.iloc[k] for k in whole], most), strict=True):
-            found[k] = x
+        pairs = [(p.iloc[k], t.iloc[k]) for k in whole]
+        once = list(dict.fromkeys(pairs))  # a batch's equal pairs are searched once
+        best = dict(zip(once, best_ends([a for a, _ in once], [b for _, b in once], most), strict=True))
+        for k, x in zip(whole, pairs, strict=True):
+            found[k] = best[x]
         return pd.DataFrame({"distance": pd.array([x and x[0] for x in found], "Int32"), "end": pd.array([x and x[1] for x in found], "Int32")})
 
     return search(pattern, text)
 
 
-def map_locally(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, most: int, apart: int = 10) -> DataFrame:
-    """(query_id, ref_id, strand, end, distance): seeds verified in their window on both strands; of hits within `apart` the better stays."""
-    both = queries.select(query_id, F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col(query).alias("__q")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col(query)).alias("__q")))).alias("s"))
-    both = both.select(F.concat_ws("|", F.col("s.strand"), F.col(query_id).cast("string")).alias("__id"), query_id, F.col("s.strand").alias("strand"), F.col("s.__q").alias("__q"))
-    seeds = qgram_seeds(both, "__id", "__q", refs, ref_id, ref, q, most)
-    placed = seeds.join(both, "__id").join(refs.select(ref_id, F.col(ref).alias("__r")), ref_id)
+def map_locally(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, most: int, apart: int = 10, task_chars: int = TASK_CHARS) -> DataFrame:
+    """(query_id, ref_id, strand, end, distance): seeds verified in their window on both strands; of hits within `apart` the better stays.
+
+    Queries are dealt by query_id into tasks of about task_chars characters before their seeds are cut. Where the references are few they stay there until
+    their hits are verified; what is found is dealt into as many. So a task holds the hits of its own queries only, however many there are in however few files.
+    """
+    size = queries.agg(F.sum(F.coalesce(F.char_length(query), F.lit(0)) + QUERY_CHARS)).first()[0] or 0
+    few = (refs.agg(F.sum(F.coalesce(F.char_length(ref), F.lit(0)) + QUERY_CHARS)).first()[0] or 0) <= FEW_CHARS
+    tasks = 1 + size // task_chars
+    dealt = queries.select(query_id, F.col(query).alias("__q")).repartition(tasks, query_id)
+    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("__q").alias("q")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("__q")).alias("q")))
+    both = dealt.select(query_id, F.explode(strands).alias("s")).select(query_id, F.col("s.strand").alias("strand"), F.col("s.q").alias("__q"))
+    seeds = qgram_seeds(both, [query_id, "strand", "__q"], "__q", refs, ref_id, ref, q, most, few_places=few)
+    texts = refs.select(ref_id, F.col(ref).alias("__r"))
+    placed = seeds.join(F.broadcast(texts) if few else texts, ref_id)
     start = F.greatest(F.col("diagonal") - 2 * most, F.lit(0))
     window = F.substring("__r", (start + 1).cast("int"), (F.col("diagonal") + F.char_length("__q") + 2 * most - start).cast("int"))
-    hit = placed.withColumn("__w", window).withColumn("__s", start).withColumn("__h", semi_global(F.col("__q"), F.col("__w"), most)).where("__h is not null and __h.distance is not null")
+    # out of an array, so that the filter does not search once more
+    hit = placed.select(query_id, ref_id, "strand", start.alias("__s"), F.explode(F.array(semi_global(F.col("__q"), window, most))).alias("__h")).where("__h.distance is not null")
     found = hit.select(query_id, ref_id, "strand", (F.col("__s") + F.col("__h.end")).alias("end"), F.col("__h.distance").alias("distance"))
+    found = found.repartition(tasks, query_id)  # a Python function leaves its rows where they are, but Spark no longer knows it
     order = Window.partitionBy(query_id, ref_id, "strand").orderBy("end")
     cluster = F.sum(F.when(F.col("end") - F.lag("end").over(order) <= apart, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     best = Window.partitionBy(query_id, ref_id, "strand", "__c").orderBy("distance", "end")

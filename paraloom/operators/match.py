@@ -169,14 +169,16 @@ def shared_kmers(texts: DataFrame, keys: list[str], text: str, items: DataFrame,
     return hits.join(panel, "kmer").groupBy(*keys, item_id).agg(F.sum("n").cast("long").alias("n"))
 
 
-def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int | None = 500, panel_grams: int = PANEL_KMERS) -> DataFrame:
+def qgram_seeds(queries: DataFrame, query_id: str | list[str], query: str, refs: DataFrame, ref_id: str, ref: str, q: int, max_k: int, most_hits: int | None = 500, panel_grams: int = PANEL_KMERS, few_places: bool = False) -> DataFrame:
     """(query_id, ref_id, diagonal): candidates of pigeonhole seeding, once per bucket of max_k + 1 diagonals.
 
     A match with max_k errors leaves one of max_k + 1 disjoint seeds whole. q-grams with over most_hits places are repeats
-    and give no seeds; most_hits None seeds with all of them, so that no candidate is lost.
+    and give no seeds; most_hits None seeds with all of them, so that no candidate is lost. query_id may be several columns. few_places says that
+    the references' places go to every task; queries that are dealt by a column of query_id then stay where they are.
     """
+    ids = [query_id] if isinstance(query_id, str) else query_id
     seeds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_k)), lambda i: F.struct((i * q).alias("off"), F.substring(F.col(query), i * q + 1, F.lit(q)).alias("gram"))), lambda s: F.char_length(s["gram"]) == q)
-    left = queries.select(query_id, F.explode(seeds).alias("s")).select(query_id, F.col("s.off").alias("off"), F.col("s.gram").alias("gram"))
+    left = queries.select(*ids, F.explode(seeds).alias("s")).select(*ids, F.col("s.off").alias("off"), F.col("s.gram").alias("gram"))
     # only places of grams that are asked for go on
     known = known_grams(left, panel_grams)
     if known is None:
@@ -186,8 +188,8 @@ def qgram_seeds(queries: DataFrame, query_id: str, query: str, refs: DataFrame,
     if most_hits is not None:
         common = grams.groupBy("gram").agg(F.count("*").alias("__n")).where(F.col("__n") > most_hits).select("gram")
         grams = grams.join(common, "gram", "left_anti")
-    hits = left.join(grams, "gram").withColumn("d", F.col("at") - F.col("off"))
-    return hits.groupBy(query_id, ref_id, F.floor(F.col("d") / (max_k + 1)).alias("bucket")).agg(F.min("d").alias("diagonal")).drop("bucket")
+    hits = left.join(F.broadcast(grams) if few_places else grams, "gram").withColumn("d", F.col("at") - F.col("off"))
+    return hits.groupBy(*ids, ref_id, F.floor(F.col("d") / (max_k + 1)).alias("bucket")).agg(F.min("d").alias("diagonal")).drop("bucket")
 
 
 def nearest(queries: DataFrame, query_id: str, vector: str, train: DataFrame, train_vector: str, label: str, order: str, k: int = 5, block: int = 4096) -> DataFrame:

@@ -440,3 +440,25 @@ def test_paralog_mixture(spark):
             splits = [cn] if a == b else range(1, cn)
             want = max(sum(math.log((math.exp(other[i]) + k * math.exp(ll[i, a]) + (cn - k) * math.exp(ll[i, b])) / (cn + 1)) for i in range(30)) for k in splits)
             assert got[a, b] == pytest.approx(want)
+
+
+def test_local_mapping_deals_queries_before_their_seeds(spark, monkeypatch):
+    """Many queries of one file are dealt into tasks, and no task adds up the hits of all; equal texts map alike."""
+    r = random.Random(6)
+    refs = spark.createDataFrame([(k, "".join(r.choices("ACGT", k=200))) for k in range(3)] + [(9, None)], "r long, s string")
+    texts = [row["s"][at : at + 30] for row in refs.where("s is not null").collect() for at in (0, 50, 110, 170)]
+    queries = spark.createDataFrame([(k, texts[k % len(texts)]) for k in range(240)] + [(900, None), (901, "AC")], "q long, t string").coalesce(1)
+    mapped = lambda n: align.map_locally(queries, "q", "t", refs, "r", "s", 8, 2, task_chars=n)
+    plan = mapped(1000)._jdf.queryExecution().executedPlan().toString()
+    before_hits = plan[plan.index("partial_min") :].splitlines()
+    dealt = next(k for k, line in enumerate(before_hits) if "Exchange hashpartitioning" in line)
+    assert "REPARTITION_BY_NUM" in before_hits[dealt]
+    by_task = mapped(1000).select(F.spark_partition_id().alias("p"), "q").distinct().groupBy("p").count().collect()
+    assert len(by_task) > 10 and max(x["count"] for x in by_task) < 60
+    rows = sorted(map(tuple, mapped(1000).collect()))
+    assert {x[0] for x in rows if x[4] == 0} == set(range(240))
+    by_text = [sorted(x[1:] for x in rows if x[0] == k) for k in range(240)]
+    assert all(by_text[k] == by_text[k % len(texts)] for k in range(240))
+    assert sorted(map(tuple, mapped(1 << 30).collect())) == rows
+    monkeypatch.setattr(align, "FEW_CHARS", 0)
+    assert sorted(map(tuple, mapped(1000).collect())) == rows
